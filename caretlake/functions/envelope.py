@@ -36,3 +36,12 @@ def is_integer(type_: Column, raw: Column, path: str) -> Column:
     return F.when(type_ == "BIGINT", True).when(
         type_.rlike("^(DECIMAL|DOUBLE)"),
         F.get_json_object(raw, path).rlike("^-?[0-9]+$")).otherwise(False)
+
+
+def computed(**columns: Column) -> Column:
+    """Columns worked out once per row, to be used inside a `select`.
+
+    A later filter on one of them is not rewritten in terms of the whole JSON expression
+    and pushed down, which would parse the text again for every use of the column.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))

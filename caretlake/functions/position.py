@@ -30,7 +30,8 @@ def position_struct(text: Column, line: Column, ch: Column) -> Column:
 
 def prefix_at(text: Column, pos: Column, window: int = S.CONTEXT_WINDOW) -> Column:
     """Up to `window` characters before the caret."""
-    return F.substr(text, F.greatest(F.lit(1), pos - window + 1), F.least(pos, F.lit(window)))
+    cut = F.substr(text, F.greatest(F.lit(1), pos - window + 1), F.least(pos, F.lit(window)))
+    return F.when(pos.isNotNull(), cut)
 
 
 def suffix_at(text: Column, pos: Column, window: int = S.CONTEXT_WINDOW) -> Column:

@@ -22,9 +22,9 @@ def parse_envelope(msgs: DataFrame) -> DataFrame:
     df = msgs.withColumn("_v", F.try_parse_json("raw"))
     df = df.withColumns({
         "_object": env.is_json_object(raw, v),
-        "_id_type": env.json_type(v, "$.id"), "id": env.json_value(v, "$.id"),
+        "_id_type": env.json_type(v, "$.id"), "_id": env.json_value(v, "$.id"),
         "_m_type": env.json_type(v, "$.method"), "_m_json": env.json_value(v, "$.method"),
-        "method": F.try_variant_get(v, "$.method", "string"),
+        "_method": F.try_variant_get(v, "$.method", "string"),
         "params": F.try_variant_get(v, "$.params", "variant"),
         "version_ok": F.coalesce((env.json_type(v, "$.jsonrpc") == "STRING") & (
             F.try_variant_get(v, "$.jsonrpc", "string") == "2.0"), F.lit(False)),
@@ -43,15 +43,15 @@ def parse_envelope(msgs: DataFrame) -> DataFrame:
         .when(no_id | good_id, S.OK)
         .otherwise(S.BAD_ID))
     kind = (
-        F.when(F.col("status") != S.OK, "invalid")
+        F.when(status != S.OK, "invalid")
         .when(no_method, "response")
         .when(no_id, "notification")
         .otherwise("request"))
-    df = df.withColumn("status", status).withColumn("kind", kind)
-    return df.withColumns({
-        "id": F.when(~no_id, F.col("id")),
-        "method": F.when(F.col("_m_type") == "STRING", F.col("method")),
-    }).drop("_v", "_object", "_id_type", "_m_type", "_m_json", "_answers")
+    added = env.computed(
+        id=F.when(~no_id, F.col("_id")),
+        method=F.when(F.col("_m_type") == "STRING", F.col("_method")),
+        kind=kind, status=status)
+    return df.select(*msgs.columns, "params", "version_ok", added)
 
 
 def _falsy_json(value: Column) -> Column:
@@ -96,9 +96,8 @@ def parse_calls(msgs: DataFrame) -> DataFrame:
         | (is_completion & (F.col("uri").isNull() | F.col("line").isNull() | F.col("ch").isNull())))
     status = F.when((F.col("status") == S.OK) & F.coalesce(lacking, F.lit(False)),
                     S.INVALID_PARAMS).otherwise(F.col("status"))
-    return df.withColumn("status", status).select(
-        "session", "seq", "kind", "method", "status", "uri", "changes", "n_full", "n_ranged",
-        "text", "line", "ch")
+    own = {c: F.col(c) for c in ("uri", "changes", "n_full", "n_ranged", "text", "line", "ch")}
+    return df.select("session", "seq", "kind", "method", env.computed(status=status, **own))
 
 
 def dead_letters(msgs: DataFrame) -> DataFrame:

@@ -86,7 +86,10 @@ def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer splits than cores over the cores; leave others alone."""
+    """Spread a table of fewer splits than cores over the cores; leave others alone.
+
+    For plain scans, whose number of splits is known without running anything.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 

@@ -14,7 +14,7 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet") -> Da
 
 
 def stream_messages(spark: SparkSession, path: str, format: str = "parquet",
-                    max_bytes: str = "256m") -> DataFrame:
+                    max_bytes: int = 256 << 20) -> DataFrame:
     """A growing message log; `max_bytes` bounds what one micro-batch takes in."""
     return (spark.readStream.format(format).schema(S.MESSAGES)
             .option("maxBytesPerTrigger", max_bytes).load(path))
