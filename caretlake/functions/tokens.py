@@ -28,7 +28,7 @@ def interior_grams(words: Column, context_size: int = 1) -> Column:
     `wj` is the word j places to the left (NULL where the text starts later). Whole
     shifted slices are zipped, so no entry drags the text's word list along.
     """
-    n = F.size(words)
+    n = F.array_size(words)
     count = F.greatest(n - 2, F.lit(0))
     columns = [
         F.sequence(F.lit(1), n - 2).alias("i"),

@@ -21,7 +21,7 @@ def line_index(docs: DataFrame, key: str = "uri", text: str = "text") -> DataFra
     """
     step = F.lit(_LINES_PER_SLICE)
     lines = docs.select(key, F.split(text, "\n", -1).alias("_lines"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / step).cast("int"))
+    starts = F.sequence(F.lit(0), F.floor((F.array_size("_lines") - 1) / step).cast("int"))
     sliced = lines.select(
         key, F.transform(starts, lambda s: F.slice("_lines", s * step + 1, step)).alias("_slices"))
     sizes = F.transform("_slices", lambda ls: F.aggregate(
@@ -100,7 +100,7 @@ def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
         base = docs.select(key, F.col(text).alias("_t"), F.length(text).alias("_n"))
     elif unit == "word":
         base = docs.select(key, tokens(F.col(text)).alias("_w"))
-        base = base.withColumn("_n", F.size("_w") - 2)
+        base = base.withColumn("_n", F.array_size("_w") - 2)
     else:
         raise ValueError(f"unknown cloze unit: {unit}")
     last = F.col("_n") - 1 if per_doc is None else F.lit(per_doc - 1)

@@ -81,12 +81,12 @@ def parse_calls(msgs: DataFrame) -> DataFrame:
             i.alias("change_idx"), _falsy_json(c["range"]).alias("full"), c["text"].alias("text"))))
     df = df.withColumn("changes", changes).withColumn(
         "_full", F.filter("changes", lambda c: c["full"]))
-    n_full = F.coalesce(F.size("_full"), F.lit(0))
+    n_full = F.coalesce(F.array_size("_full"), F.lit(0))
     df = df.withColumns({
         "uri": F.col("_p.textDocument.uri"),
         "line": F.col("_p.position.line"), "ch": F.col("_p.position.character"),
         "text": F.try_element_at("_full", F.lit(-1))["text"],
-        "n_full": n_full, "n_ranged": F.coalesce(F.size("changes"), F.lit(0)) - n_full,
+        "n_full": n_full, "n_ranged": F.coalesce(F.array_size("changes"), F.lit(0)) - n_full,
     })
     no_text = F.exists("_full", lambda c: c["text"].isNull())
     lacking = (
@@ -220,7 +220,7 @@ def session_profile(msgs: DataFrame) -> DataFrame:
         "client": F.when(~no_client, client),
         "locale": with_default("$.locale", F.lit("")),
         "root": with_default("$.rootUri", text("$.rootPath")),
-        "n_folders": F.coalesce(F.size(folders), F.lit(0)),
+        "n_folders": F.coalesce(F.array_size(folders), F.lit(0)),
         "folders": F.coalesce(F.array_join(F.transform(
             folders, lambda f: F.concat_ws(" -> ", f["name"], f["uri"])), "; "), F.lit("")),
         "options": F.when(kind("$.initializationOptions") != "VOID",

@@ -151,7 +151,7 @@ def evaluate_candidates(listed: DataFrame, by: list[str] | None = None,
     at = F.array_position(labels, F.col("target"))
     return score(listed.select(
         *(by or []), F.when(at > 0, at).alias("at"),
-        F.coalesce(F.size("candidates"), F.lit(0)).alias("answers")), by)
+        F.coalesce(F.array_size("candidates"), F.lit(0)).alias("answers")), by)
 
 
 def score(per_request: DataFrame, by: list[str] | None = None) -> DataFrame:

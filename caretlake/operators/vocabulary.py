@@ -42,8 +42,9 @@ def encode_batches(docs: DataFrame, vocab: DataFrame, max_length: int = S.MAX_LE
     Rows are cut to `max_length` ids, begin and end included, before anything moves, and
     padded to the longest row of their batch. Batch lengths come from word counts alone.
     """
-    words = docs.select(key, batch_col, F.slice(tokens(F.col(text)), 1, max_length - 2).alias("_w"))
-    longest = words.groupBy(batch_col).agg((F.max(F.size("_w")) + 2).alias("_longest"))
+    kept = F.slice(tokens(F.coalesce(text, F.lit(""))), 1, max_length - 2)
+    words = docs.select(key, batch_col, kept.alias("_w"))
+    longest = words.groupBy(batch_col).agg((F.max(F.array_size("_w")) + 2).alias("_longest"))
     ids = maybe_broadcast(vocab.select(
         F.col("item").alias("_word"), (F.col("idx") + FIRST_WORD_ID).cast("int").alias("_id")))
     placed = words.select(key, batch_col, F.posexplode_outer("_w").alias("_pos", "_word"))
@@ -53,12 +54,12 @@ def encode_batches(docs: DataFrame, vocab: DataFrame, max_length: int = S.MAX_LE
     rows = coded.groupBy(key, batch_col).agg(F.sort_array(F.collect_list(
         F.when(F.col("_id").isNotNull(), F.struct("_pos", "_id")))).alias("_ids"))
     body = F.transform("_ids", lambda e: e["_id"])
-    padding = F.col("_longest") - F.size("_ids") - 2
+    padding = F.col("_longest") - F.array_size("_ids") - 2
     return rows.join(longest, batch_col).select(
         key, batch_col,
         F.concat(F.array(F.lit(BEGIN)), body, F.array(F.lit(END)),
                  F.array_repeat(F.lit(PAD), padding)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("_ids") + 2),
+        F.concat(F.array_repeat(F.lit(1), F.array_size("_ids") + 2),
                  F.array_repeat(F.lit(0), padding)).alias("attention_mask"))
 
 

@@ -24,7 +24,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace("value", "\r$", "")
     items = lines.withColumn("items", F.split(body, OTHER_LINE_BOUNDARY, -1))
     blocks = items.groupBy("file", "size", "block").agg(
-        F.sum(F.size("items")).alias("n"), F.count("*").alias("lines"),
+        F.sum(F.array_size("items")).alias("n"), F.count("*").alias("lines"),
         F.sum(F.octet_length("value")).alias("bytes"), F.max("at").alias("last"),
         F.max_by(F.element_at("items", -1), "at").alias("tail"))
     # One row per split from here on.
