@@ -21,7 +21,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
     # A carriage return before the line feed belongs to it.
-    body = F.regexp_replace("value", "\r$", "")
+    body = F.regexp_replace("value", r"\r\z", "")
     items = lines.withColumn("items", F.split(body, OTHER_LINE_BOUNDARY, -1))
     blocks = items.groupBy("file", "size", "block").agg(
         F.sum(F.array_size("items")).alias("n"), F.count("*").alias("lines"),
@@ -33,7 +33,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     unended = F.sum(F.col("lines") + F.col("bytes")).over(by_file) > F.col("size")
     at_end = F.col("block") == F.max("block").over(by_file)
     # A final boundary other than a line feed opens no further item.
-    drop = unended & at_end & (F.col("tail") == "") 
+    drop = unended & at_end & (F.col("tail") == "")
     blocks = blocks.withColumn("drop", drop).withColumn(
         "kept", F.col("n") - F.col("drop").cast("int")).withColumn(
         "offset", F.coalesce(F.sum("kept").over(before), F.lit(0)))
