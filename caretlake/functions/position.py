@@ -14,18 +14,16 @@ def line_start(text: Column, line: Column) -> Column:
     return F.when(line == 0, F.lit(0)).otherwise(F.length(before) + 1)
 
 
-def position_struct(text: Column, line: Column, ch: Column) -> Column:
-    """STRUCT<pos INT, status STRING> for a (line, ch) cursor in a text."""
-    start = line_start(text, line)
-    skipped = F.substr(text, start + 1, ch)
-    status = (
+def position_status(text: Column, line: Column, ch: Column, start: Column,
+                    skipped: Column) -> Column:
+    """Status of a cursor, given the start of its line and the text from there to it."""
+    return (
         F.when(line.isNull() | ch.isNull() | (line < 0) | (ch < 0), S.INVALID_POSITION)
         .when(start > F.length(text), S.NO_SUCH_LINE)
         .when((F.length(skipped) < ch) | skipped.contains("\n") | skipped.contains("\r"),
               S.PAST_EOL)
         .otherwise(S.OK)
     )
-    return F.struct(F.when(status == S.OK, start + ch).alias("pos"), status.alias("status"))
 
 
 def prefix_at(text: Column, pos: Column, window: int = S.CONTEXT_WINDOW) -> Column:

@@ -60,12 +60,19 @@ def attach_documents(cursors: DataFrame, docs: DataFrame, on: str = "uri") -> Da
 
 def resolve_position(df: DataFrame, text: str = "text", line: str = "line",
                      ch: str = "ch") -> DataFrame:
-    """Add `pos` and `status`; an earlier status other than `ok` is kept."""
-    at = pos_fn.position_struct(F.col(text), F.col(line), F.col(ch))
-    if "status" not in df.columns:
-        df = df.withColumn("status", F.lit(S.OK))
-    return df.withColumn("_at", F.when(F.col("status") == S.OK, at)).withColumns({
-        "pos": F.col("_at.pos"), "status": F.coalesce("_at.status", "status")}).drop("_at")
+    """Add `pos` and `status`; an earlier status other than `ok` is kept.
+
+    Line start and skipped text are columns of their own, so each is worked out once.
+    """
+    t, n, c, start = F.col(text), F.col(line), F.col(ch), F.col("_start")
+    df = df.withColumn("_start", pos_fn.line_start(t, n))
+    df = df.withColumn("_skipped", F.substr(t, start + 1, c))
+    status = pos_fn.position_status(t, n, c, start, F.col("_skipped"))
+    if "status" in df.columns:
+        status = F.when(F.col("status") == S.OK, status).otherwise(F.col("status"))
+    df = df.withColumn("status", status)
+    return df.withColumn("pos", F.when(F.col("status") == S.OK, start + c)).drop(
+        "_start", "_skipped")
 
 
 def context_window(df: DataFrame, text: str = "text", pos: str = "pos",

@@ -16,8 +16,11 @@ def parse_envelope(msgs: DataFrame) -> DataFrame:
     """Add id, method, params, kind, version_ok and status to (…, direction, raw).
 
     `id` is JSON text, so 1 and "1" stay apart; `params` is a VARIANT. `kind` is
-    request / notification / response / invalid.
+    request / notification / response / invalid. A table parsed (and perhaps written)
+    before is returned as it is.
     """
+    if "kind" in msgs.columns:
+        return msgs
     raw, v = F.col("raw"), F.col("_v")
     df = msgs.withColumn("_v", F.try_parse_json("raw"))
     df = df.withColumns({

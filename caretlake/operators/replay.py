@@ -35,7 +35,8 @@ def _is_write():
 
 
 def _narrow(calls: DataFrame) -> DataFrame:
-    return calls.select("session", "seq", "method", "status", "uri", "n_full", "line", "ch")
+    return calls.select("session", "seq", "kind", "method", "status", "uri", "n_full", "n_ranged",
+                        "line", "ch")
 
 
 def session_epochs(calls: DataFrame) -> DataFrame:
@@ -140,8 +141,6 @@ def change_audit(calls: DataFrame) -> DataFrame:
     """
     rows = document_states(calls).filter(
         F.col("method").isin(OPEN, CHANGE, CLOSE, SAVE) & (F.col("status") == S.OK))
-    ranged = calls.filter(F.col("n_ranged") > 0).select("session", "seq", "n_ranged")
-    rows = rows.join(ranged, ["session", "seq"], "left")
     applied = F.when((F.col("method") == CHANGE) & F.col("is_open"), F.col("n_full"))
 
     def count(method):
@@ -160,9 +159,7 @@ def replay_status(calls: DataFrame, routes: DataFrame, positions: bool = False)
     With `positions`, completions that need a context window also report cursors that
     cannot be resolved and contexts that already hold the mask.
     """
-    states = route_messages(
-        document_states(calls).join(calls.select("session", "seq", "kind"), ["session", "seq"]),
-        routes)
+    states = route_messages(document_states(calls), routes)
     touches = F.col("method").isin(OPEN, COMPLETION) | (
         (F.col("method") == CHANGE) & (F.col("n_full") > 0))
     needs_open = touches & (F.col("method") != OPEN)

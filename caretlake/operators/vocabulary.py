@@ -41,13 +41,15 @@ def encode_batches(docs: DataFrame, vocab: DataFrame, max_length: int = S.MAX_LE
 
     Rows are cut to `max_length` ids, begin and end included, before anything moves, and
     padded to the longest row of their batch. Batch lengths come from word counts alone.
+    The cut documents are shuffled once by key; looked up words then find their document
+    again without moving as single rows.
     """
     kept = F.slice(tokens(F.coalesce(text, F.lit(""))), 1, max_length - 2)
     words = docs.select(key, batch_col, kept.alias("_w"))
     longest = words.groupBy(batch_col).agg((F.max(F.array_size("_w")) + 2).alias("_longest"))
     ids = maybe_broadcast(vocab.select(
         F.col("item").alias("_word"), (F.col("idx") + FIRST_WORD_ID).cast("int").alias("_id")))
-    placed = words.select(key, batch_col, F.posexplode_outer("_w").alias("_pos", "_word"))
+    placed = words.repartition(key).select(key, batch_col, F.posexplode_outer("_w").alias("_pos", "_word"))
     coded = placed.join(ids, "_word", "left").withColumn(
         "_id", F.when(F.col("_word").isNotNull(), F.coalesce("_id", F.lit(UNKNOWN))))
     # A group holds the words of one document, max_length of them at most.
@@ -65,7 +67,7 @@ def encode_batches(docs: DataFrame, vocab: DataFrame, max_length: int = S.MAX_LE
 
 def vocab_pages(vocab: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """(page, labels): the ordered vocabulary in pages of at most `page_size` items."""
-    return vocab.groupBy(F.floor(F.col("idx") / page_size).cast("int").alias("page")).agg(
+    return vocab.groupBy(F.expr(f"idx div {page_size}").cast("int").alias("page")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("idx", "item"))),
                     lambda e: e["item"]).alias("labels"))
 

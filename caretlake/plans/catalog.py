@@ -48,15 +48,15 @@ def _written(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFr
 
 
 def _documents(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
 
 
 def _messages(spark, sf):
-    return session_log.session_messages(spread(table(spark, sf, "conversations")))
+    return session_log.session_messages(spread(table(spark, sf, "conversations"), "conv_id", "turn"))
 
 
 def _traffic(spark, sf):
-    return session_log.session_traffic(spread(table(spark, sf, "conversations")))
+    return session_log.session_traffic(spread(table(spark, sf, "conversations"), "conv_id", "turn"))
 
 
 def _calls(spark, sf):
@@ -64,6 +64,12 @@ def _calls(spark, sf):
     return _written(spark, sf, "calls", lambda: msg.parse_calls(_messages(spark, sf)))
 
 
+def _envelopes(spark, sf):
+    """Both directions of the log with parsed envelopes, written once."""
+    return _written(spark, sf, "envelopes", lambda: msg.parse_envelope(
+        _traffic(spark, sf)).drop("params"))
+
+
 def _model(spark, sf):
     """The fill model trained on `documents`, written once in packed form."""
     return _written(spark, sf, "model", lambda: ngram.pack_model(
@@ -243,7 +249,7 @@ def response_rows(spark, sf):
 
 
 def encode_batches(spark, sf):
-    docs = _documents(spark, sf).withColumn("batch", F.floor(F.col("doc_id") / BATCH_ROWS))
+    docs = _documents(spark, sf).withColumn("batch", F.expr(f"doc_id div {BATCH_ROWS}"))
     coded = voc.encode_batches(docs, _vocab(spark, sf, ENCODER_VOCAB_SIZE))
     return coded.select("doc_id", "batch", F.array_join("input_ids", " ").alias("input_ids"),
                         F.array_join("attention_mask", "").alias("attention_mask"))
@@ -349,7 +355,7 @@ def unknown_methods(spark, sf):
 
 
 def pair_messages(spark, sf):
-    return msg.pair_messages(_traffic(spark, sf))
+    return msg.pair_messages(_envelopes(spark, sf))
 
 
 def assign_request_ids(spark, sf):
@@ -438,10 +444,14 @@ def _folder(spark, name):
 
 
 def _log_stream(spark, sf):
-    """The session log as a stream of files."""
+    """The session log as a stream of files.
+
+    A session sits in one file, so its messages arrive in order whatever the number of
+    micro-batches.
+    """
     tune(spark)
     path = _folder(spark, "log")
-    _messages(spark, sf).write.parquet(path)
+    _messages(spark, sf).repartition("session").write.parquet(path)
     return stream_messages(spark, path)
 
 

@@ -252,7 +252,7 @@ def oracles() -> dict[str, str]:
           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls,
                        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""",
         "attach_documents": """
-          SELECT event_id, user_id * 3 AS uri, length(text) AS chars,
+          SELECT event_id, user_id * 3 AS uri, CAST(length(text) AS INTEGER) AS chars,
                  CASE WHEN doc_id IS NULL THEN 'unknown_document' ELSE 'ok' END AS status
           FROM events LEFT JOIN documents ON doc_id = user_id * 3""",
         "resolve_position": f"WITH {_CURSORS} SELECT request_id, uri, line, ch, pos, status FROM resolved",

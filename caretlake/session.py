@@ -85,13 +85,14 @@ def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(df) if byte_size(df) <= max_bytes else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table of fewer splits than cores over the cores; leave others alone.
 
-    For plain scans, whose number of splits is known without running anything.
+    For plain scans, whose number of splits is known without running anything. `keys`
+    tell rows apart; hashing them places a row the same way when a task is repeated.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def ship(spark: SparkSession) -> None:
