@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from caretlake import schemas as S
 
 
-def line_start(text: Column, line: Column) -> Column:
-    """Offset of the first character of a line; past the text if there is no such line."""
-    before = F.call_function("substring_index", text, F.lit("\n"), line)
+def text_before_line(text: Column, line: Column) -> Column:
+    """The lines before a line, without the last line feed; all of it if there is no such line."""
+    return F.when(line > 0, F.call_function("substring_index", text, F.lit("\n"), line))
+
+
+def line_start(before: Column, line: Column) -> Column:
+    """Offset of the first character of an existing line."""
     return F.when(line == 0, F.lit(0)).otherwise(F.length(before) + 1)
 
 
-def position_status(text: Column, line: Column, ch: Column, start: Column,
+def position_status(text: Column, line: Column, ch: Column, before: Column,
                     skipped: Column) -> Column:
-    """Status of a cursor, given the start of its line and the text from there to it."""
+    """Status of a cursor, given the text before its line and from there to the cursor.
+
+    Byte lengths are stored with a string, so comparing them costs nothing.
+    """
     return (
         F.when(line.isNull() | ch.isNull() | (line < 0) | (ch < 0), S.INVALID_POSITION)
-        .when(start > F.length(text), S.NO_SUCH_LINE)
+        .when((line > 0) & (F.octet_length(before) == F.octet_length(text)), S.NO_SUCH_LINE)
         .when((F.length(skipped) < ch) | skipped.contains("\n") | skipped.contains("\r"),
               S.PAST_EOL)
         .otherwise(S.OK)

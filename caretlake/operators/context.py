@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caretlake import schemas as S
 from caretlake.functions import position as pos_fn
 from caretlake.functions.tokens import tokens
+from caretlake.operators.skew import spread_join
 
 # Lines per slice in `line_index`; offsets inside a slice are summed row by row.
 _LINES_PER_SLICE = 1024
@@ -50,11 +51,12 @@ def line_index(docs: DataFrame, key: str = "uri", text: str = "text") -> DataFra
 def attach_documents(cursors: DataFrame, docs: DataFrame, on: str = "uri") -> DataFrame:
     """Cursor ⋈ document; a cursor without a document gets `unknown_document`.
 
-    A document many cursors point at is a skewed key of the cursor side, which adaptive
-    execution splits.
+    Documents are unique by `on`. One that very many cursors point at is copied, and its
+    cursors are dealt over the copies.
     """
     found = docs.select(on, "text", F.lit(True).alias("_found"))
-    return cursors.join(found, on, "left").withColumn(
+    others = [F.col(c) for c in cursors.columns if c != on] or [F.col(on)]
+    return spread_join(cursors, found, [on], others).withColumn(
         "status", F.when(F.col("_found"), S.OK).otherwise(S.UNKNOWN_DOCUMENT)).drop("_found")
 
 
@@ -65,22 +67,29 @@ def resolve_position(df: DataFrame, text: str = "text", line: str = "line",
     Line start and skipped text are columns of their own, so each is worked out once.
     """
     t, n, c, start = F.col(text), F.col(line), F.col(ch), F.col("_start")
-    df = df.withColumn("_start", pos_fn.line_start(t, n))
+    df = df.withColumn("_before", pos_fn.text_before_line(t, n))
+    df = df.withColumn("_start", pos_fn.line_start(F.col("_before"), n))
     df = df.withColumn("_skipped", F.substr(t, start + 1, c))
-    status = pos_fn.position_status(t, n, c, start, F.col("_skipped"))
+    status = pos_fn.position_status(t, n, c, F.col("_before"), F.col("_skipped"))
     if "status" in df.columns:
         status = F.when(F.col("status") == S.OK, status).otherwise(F.col("status"))
     df = df.withColumn("status", status)
     return df.withColumn("pos", F.when(F.col("status") == S.OK, start + c)).drop(
-        "_start", "_skipped")
+        "_before", "_start", "_skipped")
 
 
 def context_window(df: DataFrame, text: str = "text", pos: str = "pos",
                    window: int = S.CONTEXT_WINDOW) -> DataFrame:
-    """Add `prefix` and `suffix`; the character at the caret belongs to neither."""
-    t, p = F.col(text), F.col(pos)
-    return df.withColumns({"prefix": pos_fn.prefix_at(t, p, window),
-                           "suffix": pos_fn.suffix_at(t, p, window)})
+    """Add `prefix` and `suffix`; the character at the caret belongs to neither.
+
+    The text is walked once, to the neighbourhood both are taken from.
+    """
+    p, near = F.col(pos), F.col("_near")
+    left = F.least(p, F.lit(window))
+    df = df.withColumn("_near", F.substr(F.col(text), p - left + 1, left + max(window, 1)))
+    return df.withColumns({"prefix": pos_fn.prefix_at(near, F.when(p.isNotNull(), left), window),
+                           "suffix": pos_fn.suffix_at(near, F.when(p.isNotNull(), left), window)}
+                          ).drop("_near")
 
 
 def mask_prompt(df: DataFrame, mask: str = S.MASK) -> DataFrame:
@@ -94,8 +103,8 @@ def mask_prompt(df: DataFrame, mask: str = S.MASK) -> DataFrame:
 
 def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
                   unit: str = "char", window: int = S.CONTEXT_WINDOW,
-                  key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Reproducible held-out targets: (key, i, pos, prefix, suffix, target).
+                  key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reproducible held-out targets: (key, …keep, i, pos, prefix, suffix, target).
 
     `unit="char"` hides one character, `unit="word"` one interior word with up to
     `window` words on each side. Draw `i` of a document with integer key `d` is
@@ -104,9 +113,9 @@ def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
     document, so only bounded rows leave it.
     """
     if unit == "char":
-        base = docs.select(key, F.col(text).alias("_t"), F.length(text).alias("_n"))
+        base = docs.select(key, *keep, F.col(text).alias("_t"), F.length(text).alias("_n"))
     elif unit == "word":
-        base = docs.select(key, tokens(F.col(text)).alias("_w"))
+        base = docs.select(key, *keep, tokens(F.col(text)).alias("_w"))
         base = base.withColumn("_n", F.array_size("_w") - 2)
     else:
         raise ValueError(f"unknown cloze unit: {unit}")
@@ -118,12 +127,12 @@ def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
     if unit == "char":
         t = F.col("_t")
         return draws.withColumn("pos", drawn).select(
-            key, "i", "pos", pos_fn.prefix_at(t, p, window).alias("prefix"),
+            key, *keep, "i", "pos", pos_fn.prefix_at(t, p, window).alias("prefix"),
             pos_fn.suffix_at(t, p, window).alias("suffix"),
             F.substr(t, p + 1, F.lit(1)).alias("target"))
     w = F.col("_w")
     left = F.slice(w, F.greatest(p - window, F.lit(0)) + 1, F.least(p, F.lit(window)))
     return draws.withColumn("pos", drawn + 1).select(
-        key, "i", "pos", F.array_join(left, " ").alias("prefix"),
+        key, *keep, "i", "pos", F.array_join(left, " ").alias("prefix"),
         F.array_join(F.slice(w, p + 2, F.lit(window)), " ").alias("suffix"),
         F.element_at(w, p + 1).alias("target"))

@@ -13,6 +13,8 @@ from caretlake import schemas as S
 from caretlake.operators.context import context_window, mask_prompt, resolve_position
 from caretlake.operators.messages import route_messages
 from caretlake.operators.scan import running
+from caretlake.operators.skew import spread_join
+from caretlake.session import materialize
 
 OPEN = "textDocument/didOpen"
 CHANGE = "textDocument/didChange"
@@ -83,18 +85,17 @@ def document_states(calls: DataFrame) -> DataFrame:
         F.col("last_open") > F.col("epoch_start"), F.lit(False)))
 
 
-def _with_texts(rows: DataFrame, calls: DataFrame) -> DataFrame:
-    """Fetch the text written by message `write_seq`."""
-    texts = calls.filter(_is_write()).select(
-        "session", F.col("seq").alias("write_seq"), "text")
-    return rows.join(texts, ["session", "write_seq"], "left")
+def _texts(calls: DataFrame) -> DataFrame:
+    return calls.filter(_is_write()).select("session", F.col("seq").alias("write_seq"), "text")
 
 
 def corpus_as_of(calls: DataFrame) -> DataFrame:
     """Completion requests with the text their document had at that moment.
 
     (session, seq, epoch, uri, line, ch, write_seq, status, text); status is ok,
-    invalid_params, not_initialized or unknown_document.
+    invalid_params, not_initialized or unknown_document. The narrow answers are written
+    once; a text very many requests refer to is then copied and they are dealt over the
+    copies.
     """
     asked = document_states(calls.filter(
         F.col("method").isin("initialize", OPEN, CHANGE, COMPLETION))).filter(
@@ -105,7 +106,7 @@ def corpus_as_of(calls: DataFrame) -> DataFrame:
     asked = asked.withColumn("status", status).select(
         "session", "seq", "epoch", "uri", "line", "ch", "status",
         F.when(F.col("status") == S.OK, F.col("last_write")).alias("write_seq"))
-    return _with_texts(asked, calls)
+    return spread_join(materialize(asked), _texts(calls), ["session", "write_seq"], [F.col("seq")])
 
 
 def corpus_snapshot(calls: DataFrame, all_epochs: bool = False) -> DataFrame:
@@ -123,7 +124,7 @@ def corpus_snapshot(calls: DataFrame, all_epochs: bool = False) -> DataFrame:
     if not all_epochs:
         final = calls.groupBy("session").agg(F.count_if(_is_init()).alias("epoch"))
         last = last.join(final, ["session", "epoch"])
-    texts = _with_texts(last.drop("opened"), calls)
+    texts = last.join(_texts(calls), ["session", "write_seq"])
     return texts.withColumnRenamed("write_seq", "seq").select(
         "session", "epoch", "uri", "seq", "text")
 

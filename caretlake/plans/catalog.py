@@ -182,10 +182,9 @@ def evaluate_predictions(spark, sf):
 
 
 def evaluate_by_language(spark, sf):
-    docs = _documents(spark, sf)
-    prompts = ctx.cloze_prompts(docs, per_doc=3, unit="word").select(
-        (F.col("doc_id") * 1000000 + F.col("i")).alias("request_id"), "doc_id", "prefix",
-        "suffix", "target").join(docs.select("doc_id", "lang"), "doc_id")
+    prompts = ctx.cloze_prompts(_documents(spark, sf), per_doc=3, unit="word", keep=("lang",))
+    prompts = prompts.select((F.col("doc_id") * 1000000 + F.col("i")).alias("request_id"),
+                             "lang", "prefix", "suffix", "target")
     return ngram.evaluate_candidates(ngram.ngram_candidates(prompts, _model(spark, sf)), ["lang"])
 
 

@@ -20,7 +20,7 @@ _COLUMNS = ["session", "seq", "uri", "line", "ch", "status", "text"]
 
 
 class SessionReplay(StatefulProcessor):
-    """State per session: whether it is initialized, the last message, uri → text.
+    """State per session (or bucket of its documents): progress and uri → text.
 
     A write touches one map entry. Texts are only looked up here; positions and
     contexts are cut by the JVM expressions the batch operators use.
@@ -71,19 +71,27 @@ class SessionReplay(StatefulProcessor):
         pass
 
 
-def stream_texts(msgs: DataFrame) -> DataFrame:
-    """Completion requests of a message stream with the text as of that message."""
+def stream_texts(msgs: DataFrame, buckets: int = 1) -> DataFrame:
+    """Completion requests of a message stream with the text as of that message.
+
+    Documents of a session do not affect each other, so `buckets > 1` deals them over as
+    many keys, with a copy of every `initialize`, where single sessions are very busy.
+    """
     ship(msgs.sparkSession)
     calls = parse_calls(msgs).select(
         "session", "seq", "method", "status", "uri", "n_full", "text", "line", "ch").filter(
         F.col("method").isin("initialize", OPEN, CHANGE, COMPLETION)
         & F.col("status").isin(S.OK, S.INVALID_PARAMS))
-    return calls.groupBy("session").transformWithStateInPandas(
+    own = F.array(F.pmod(F.xxhash64("uri"), F.lit(buckets)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(buckets - 1))
+    dealt = calls.withColumn("bucket", F.explode(
+        F.when(F.col("method") == "initialize", every).otherwise(own)))
+    return dealt.groupBy("session", "bucket").transformWithStateInPandas(
         statefulProcessor=SessionReplay(), outputStructType=_OUTPUT,
         outputMode="Append", timeMode="None")
 
 
-def stream_prompts(msgs: DataFrame, window: int = S.CONTEXT_WINDOW) -> DataFrame:
+def stream_prompts(msgs: DataFrame, window: int = S.CONTEXT_WINDOW, buckets: int = 1) -> DataFrame:
     """One prompt row per completion request, with status: the live `completion_prompts`."""
-    resolved = context_window(resolve_position(stream_texts(msgs)), window=window).drop("text")
-    return mask_prompt(resolved)
+    texts = resolve_position(stream_texts(msgs, buckets))
+    return mask_prompt(context_window(texts, window=window).drop("text"))

@@ -49,12 +49,11 @@ def test_top_k_is_limited_before_the_shuffle(documents):
 
 def test_no_text_is_sorted(spark):
     """Windows of the replay see numbers and uris only."""
-    lines = plan(replay.corpus_as_of(catalog._calls(spark, SF))).splitlines()
+    lines = plan(replay.document_states(catalog._calls(spark, SF))).splitlines()
     windows = [i for i, line in enumerate(lines) if "Window [" in line]
     assert windows
-    for i in windows:
-        below = [line for line in lines[i:i + 6] if "Exchange" in line or "Project" in line]
-        assert all("text#" not in line for line in below)
+    assert not any("text" in line for line in lines if "ReadSchema" in line and "textDocument" not in line)
+    assert all("text#" not in lines[i] for i in windows)
 
 
 def test_dimensions_are_broadcast(spark):

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
@@ -17,8 +18,8 @@ from caretlake.streaming.traffic import stream_traffic
 COLUMNS = ["session", "seq", "uri", "line", "ch", "status", "pos", "prefix", "suffix", "prompt"]
 
 
-def run(spark, path, out, state, **options):
-    stream = stream_prompts(stream_messages(spark, path, **options))
+def run(spark, path, out, state, buckets=1):
+    stream = stream_prompts(stream_messages(spark, path), buckets=buckets)
     stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(
         availableNow=True).start(out).awaitTermination()
 
@@ -27,7 +28,8 @@ def key(row):
     return repr(tuple(row))
 
 
-def test_stream_equals_batch_across_restarts(spark, conversations, tmp_path):
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_stream_equals_batch_across_restarts(spark, conversations, tmp_path, buckets):
     log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
     messages = materialize(session_messages(conversations))
     want = replay.completion_prompts(msg.parse_calls(messages)).select(*COLUMNS).collect()
@@ -36,7 +38,7 @@ def test_stream_equals_batch_across_restarts(spark, conversations, tmp_path):
     for low, high in ((0, 12), (12, 33), (33, 1000)):
         part = messages.filter((F.col("seq") >= low) & (F.col("seq") < high))
         part.repartition(3).write.mode("append").parquet(log)
-        run(spark, log, out, state)
+        run(spark, log, out, state, buckets)
     got = spark.read.parquet(out).select(*COLUMNS).collect()
     assert sorted(got, key=key) == sorted(want, key=key)
 
