@@ -91,11 +91,13 @@ class ModelCompleter(Completer):
     """Distributed batch inference with an injected fill model.
 
     `factory` is pickled to the workers and called once in each to build the model. The
-    model sees batches of whole prompts and returns labels in its own order.
+    model sees batches of whole prompts and returns labels in its own order. Inference
+    outweighs moving the bounded prompts, so `partitions` deals them evenly over tasks.
     """
 
-    def __init__(self, factory: Callable[[], FillModel], batch_size: int = 64):
-        self.factory, self.batch_size = factory, batch_size
+    def __init__(self, factory: Callable[[], FillModel], batch_size: int = 64,
+                 partitions: int | None = None):
+        self.factory, self.batch_size, self.partitions = factory, batch_size, partitions
         self.name = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def complete(self, prompts, k=S.NUM_RESULTS):
@@ -116,6 +118,8 @@ class ModelCompleter(Completer):
         sent = prompts.select("request_id", "prompt")
         if "status" in prompts.columns:
             sent = prompts.filter(F.col("status") == S.OK).select("request_id", "prompt")
+        if self.partitions:
+            sent = sent.repartition(self.partitions, "request_id")
         rid = sent.schema["request_id"].dataType.simpleString()
         return sent.mapInPandas(infer, f"request_id {rid}, rank int, label string, score double")
 
@@ -125,7 +129,7 @@ def make_completer(model_type: str | None = None, **opts) -> Completer:
     if model_type is None or model_type == "vocab":
         return VocabCompleter(opts["vocab"])
     if model_type in ("hf", "huggingface"):
-        return ModelCompleter(opts["factory"], opts.get("batch_size", 64))
+        return ModelCompleter(opts["factory"], opts.get("batch_size", 64), opts.get("partitions"))
     if model_type == "ngram":
         return NgramCompleter(opts["model"], opts.get("context_size", 1))
     if model_type == "empty":

@@ -254,7 +254,7 @@ def encode_batches(spark, sf):
                         F.array_join("attention_mask", "").alias("attention_mask"))
 
 
-def _frequent_words(k_default: int = S.NUM_RESULTS):
+def _frequent_words():
     """Factory of a small stand-in model: the words most frequent in the prompt itself."""
     def build():
         import collections
@@ -275,7 +275,8 @@ def _frequent_words(k_default: int = S.NUM_RESULTS):
 def model_complete(spark, sf):
     prompts = ctx.mask_prompt(ctx.context_window(_resolved(spark, sf))).select(
         "request_id", "prompt", "status")
-    completer = comp.make_completer("hf", factory=_frequent_words())
+    completer = comp.make_completer("hf", factory=_frequent_words(),
+                                    partitions=spark.sparkContext.defaultParallelism)
     return completer.complete(prompts, 5)
 
 

@@ -30,11 +30,15 @@ def stream_complete(prompts: DataFrame, completer: Completer, path: str, checkpo
     """Answer a stream of prompts (session, seq, request_id, prefix, suffix, prompt, status).
 
     Every micro-batch is an ordinary completion job with its own output folder, which a
-    retried batch overwrites, so responses appear once.
+    retried batch overwrites, so responses appear once. The prompts are kept while they
+    are answered: completers read them more than once, and the replay behind them must not
+    run again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         complete_batch(batch, completer, k).write.mode("overwrite").parquet(
             os.path.join(path, f"batch={batch_id}"))
+        batch.unpersist()
 
     return (prompts.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))

@@ -31,8 +31,23 @@ class SessionReplay(StatefulProcessor):
         self.docs = handle.getMapState("docs", "uri string", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        initialized, last = self.progress.get() if self.progress.exists() else (False, -1)
+        initialized, last = self.progress.get() or (False, -1)
+        # Texts touched by this batch; state is read once and written once per uri.
+        texts: dict[str, str | None] = {}
+        written: set[str] = set()
+        fresh = not initialized
         out = []
+
+        def current(uri):
+            if uri not in texts:
+                stored = None if fresh else self.docs.getValue((uri,))
+                texts[uri] = stored[0] if stored else None
+            return texts[uri]
+
+        def write(uri, text):
+            texts[uri] = text
+            written.add(uri)
+
         # Arrival order inside a micro-batch is not given; a batch is bounded at the source.
         for m in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
             if m.seq <= last:
@@ -40,26 +55,32 @@ class SessionReplay(StatefulProcessor):
                 continue
             last = int(m.seq)
             if m.method == COMPLETION:
+                text = current(m.uri) if m.status == S.OK and initialized else None
                 if m.status != S.OK:
                     out.append(self._row(m, m.status))
                 elif not initialized:
                     out.append(self._row(m, S.NOT_INITIALIZED))
-                elif not self.docs.containsKey((m.uri,)):
+                elif text is None:
                     out.append(self._row(m, S.UNKNOWN_DOCUMENT))
                 else:
-                    out.append(self._row(m, S.OK, self.docs.getValue((m.uri,))[0]))
+                    out.append(self._row(m, S.OK, text))
             elif m.status != S.OK:
                 continue
             elif m.method == "initialize":
-                initialized = True
-                self.docs.clear()
+                if not fresh:
+                    self.docs.clear()
+                initialized, fresh = True, True
+                texts.clear()
+                written.clear()
             elif initialized and m.method == OPEN:
-                self.docs.updateValue((m.uri,), (m.text,))
-            elif initialized and m.method == CHANGE and m.n_full and self.docs.containsKey((m.uri,)):
-                self.docs.updateValue((m.uri,), (m.text,))
+                write(m.uri, m.text)
+            elif initialized and m.method == CHANGE and m.n_full and current(m.uri) is not None:
+                write(m.uri, m.text)
+        for uri in written:
+            self.docs.updateValue((uri,), (texts[uri],))
         self.progress.update((initialized, last))
-        frame = pd.DataFrame(out, columns=_COLUMNS)
-        yield frame.astype({"line": "Int32", "ch": "Int32"})
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"line": "Int32", "ch": "Int32"})
 
     @staticmethod
     def _row(m, status, text=None):
