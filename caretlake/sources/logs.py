@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
+from caretlake.sources.lines import numbered_lines
 
 
 def read_messages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """A message log (session, seq, direction, raw)."""
+    """A message log (session, seq, direction, raw).
+
+    text: one inbound message per line; every file is a session, identified by a hash of
+    its path, and the line number orders its messages.
+    """
+    if format == "text":
+        return numbered_lines(spark, path, restart=True).select(
+            F.xxhash64("file").alias("session"), F.col("idx").alias("seq"),
+            F.lit("in").alias("direction"), F.col("item").alias("raw"))
     return spark.read.format(format).schema(S.MESSAGES).load(path)
 
 

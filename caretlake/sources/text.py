@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caretlake.functions.tokens import OTHER_LINE_BOUNDARY
+from caretlake.sources.lines import numbered_lines
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """A vocabulary text file as (idx, item): order, blanks and duplicates kept.
 
-    Lines end at every Unicode line boundary. The file is read in splits; items are
-    numbered inside a split and shifted by the counts of the splits before it, so a
-    large file is never one row or one task.
+    Lines end at every Unicode line boundary.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    # A carriage return before the line feed belongs to it.
-    body = F.regexp_replace("value", r"\r\z", "")
-    items = lines.withColumn("items", F.split(body, OTHER_LINE_BOUNDARY, -1))
-    blocks = items.groupBy("file", "size", "block").agg(
-        F.sum(F.array_size("items")).alias("n"), F.count("*").alias("lines"),
-        F.sum(F.octet_length("value")).alias("bytes"), F.max("at").alias("last"),
-        F.max_by(F.element_at("items", -1), "at").alias("tail"))
-    # One row per split from here on.
-    by_file = Window.partitionBy("file")
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    unended = F.sum(F.col("lines") + F.col("bytes")).over(by_file) > F.col("size")
-    at_end = F.col("block") == F.max("block").over(by_file)
-    # A final boundary other than a line feed opens no further item.
-    drop = unended & at_end & (F.col("tail") == "")
-    blocks = blocks.withColumn("drop", drop).withColumn(
-        "kept", F.col("n") - F.col("drop").cast("int")).withColumn(
-        "offset", F.coalesce(F.sum("kept").over(before), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("file", "block").orderBy("at", "i")) - 1
-    rows = items.select("file", "block", "at", F.posexplode("items").alias("i", "item"))
-    rows = rows.withColumn("local", local)
-    placed = rows.join(F.broadcast(blocks.select("file", "block", "kept", "offset")),
-                       ["file", "block"])
-    return placed.filter(F.col("local") < F.col("kept")).select(
-        (F.col("offset") + F.col("local")).cast("long").alias("idx"), "item")
+    return numbered_lines(spark, path, OTHER_LINE_BOUNDARY).select("idx", "item")
 
 
 def read_corpus(spark: SparkSession, path: str, format: str = "text",

@@ -62,6 +62,16 @@ def test_message_log_formats(spark, tmp_path):
         assert back.schema == S.MESSAGES and sorted(back.collect()) == sorted(df.collect())
 
 
+def test_message_log_of_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id":1}\n{"id":2}\r\n\n{"id":3}')
+    (tmp_path / "b.jsonl").write_text('{"id":4}\n')
+    rows = logs.read_messages(spark, str(tmp_path), "text").orderBy("raw").collect()
+    assert [(r.seq, r.direction, r.raw) for r in rows] == [
+        (2, "in", ""), (0, "in", '{"id":1}'), (1, "in", '{"id":2}'), (3, "in", '{"id":3}'),
+        (0, "in", '{"id":4}')]
+    assert len({r.session for r in rows[:4]}) == 1 and rows[4].session != rows[0].session
+
+
 def test_server_log(spark, tmp_path):
     (tmp_path / "log").write_text(
         "2024-01-02 03:04:05,678 INFO enter into loop\n"
