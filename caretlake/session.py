@@ -29,6 +29,9 @@ RUNTIME_CONF = {
 # Sides up to this many bytes are broadcast by `maybe_broadcast`; beyond, joins shuffle.
 BROADCAST_BYTES = 64 << 20
 
+# Scans of fewer splits (of 128 MB unless set otherwise) count as small.
+SMALL_SPLITS = 16
+
 
 def build_session(app: str = "caretlake", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
@@ -86,13 +89,15 @@ def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFram
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of fewer splits than cores over the cores; leave others alone.
+    """Spread a small table of fewer splits than cores over the cores; leave others alone.
 
-    For plain scans, whose number of splits is known without running anything. `keys`
-    tell rows apart; hashing them places a row the same way when a task is repeated.
+    For plain scans, whose number of splits is known without running anything. Tables of
+    SMALL_SPLITS splits or more are never shuffled for this. `keys` tell rows apart;
+    hashing them places a row the same way when a task is repeated.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
+    few = df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS)
+    return df.repartition(cores, *keys) if few else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from caretlake import schemas as S
 from caretlake.operators.context import context_window, mask_prompt, resolve_position
 from caretlake.operators.messages import parse_calls
 from caretlake.operators.replay import CHANGE, COMPLETION, OPEN
-from caretlake.session import ship
+from caretlake.schemas import (
+    CONTEXT_WINDOW, INVALID_PARAMS, NOT_INITIALIZED, OK, OUT_OF_ORDER, UNKNOWN_DOCUMENT)
+
+# The processor also runs in a helper process of the driver that sees no --py-files, so
+# this module travels with it; its methods use plain values of the package only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUTPUT = ("session bigint, seq bigint, uri string, line int, ch int, status string, text string")
 _COLUMNS = ["session", "seq", "uri", "line", "ch", "status", "text"]
@@ -51,20 +57,20 @@ class SessionReplay(StatefulProcessor):
         # Arrival order inside a micro-batch is not given; a batch is bounded at the source.
         for m in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
             if m.seq <= last:
-                out.append(self._row(m, S.OUT_OF_ORDER))
+                out.append(self._row(m, OUT_OF_ORDER))
                 continue
             last = int(m.seq)
             if m.method == COMPLETION:
-                text = current(m.uri) if m.status == S.OK and initialized else None
-                if m.status != S.OK:
+                text = current(m.uri) if m.status == OK and initialized else None
+                if m.status != OK:
                     out.append(self._row(m, m.status))
                 elif not initialized:
-                    out.append(self._row(m, S.NOT_INITIALIZED))
+                    out.append(self._row(m, NOT_INITIALIZED))
                 elif text is None:
-                    out.append(self._row(m, S.UNKNOWN_DOCUMENT))
+                    out.append(self._row(m, UNKNOWN_DOCUMENT))
                 else:
-                    out.append(self._row(m, S.OK, text))
-            elif m.status != S.OK:
+                    out.append(self._row(m, OK, text))
+            elif m.status != OK:
                 continue
             elif m.method == "initialize":
                 if not fresh:
@@ -98,11 +104,10 @@ def stream_texts(msgs: DataFrame, buckets: int = 1) -> DataFrame:
     Documents of a session do not affect each other, so `buckets > 1` deals them over as
     many keys, with a copy of every `initialize`, where single sessions are very busy.
     """
-    ship(msgs.sparkSession)
     calls = parse_calls(msgs).select(
         "session", "seq", "method", "status", "uri", "n_full", "text", "line", "ch").filter(
         F.col("method").isin("initialize", OPEN, CHANGE, COMPLETION)
-        & F.col("status").isin(S.OK, S.INVALID_PARAMS))
+        & F.col("status").isin(OK, INVALID_PARAMS))
     own = F.array(F.pmod(F.xxhash64("uri"), F.lit(buckets)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(buckets - 1))
     dealt = calls.withColumn("bucket", F.explode(
@@ -112,7 +117,7 @@ def stream_texts(msgs: DataFrame, buckets: int = 1) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
-def stream_prompts(msgs: DataFrame, window: int = S.CONTEXT_WINDOW, buckets: int = 1) -> DataFrame:
+def stream_prompts(msgs: DataFrame, window: int = CONTEXT_WINDOW, buckets: int = 1) -> DataFrame:
     """One prompt row per completion request, with status: the live `completion_prompts`."""
     texts = resolve_position(stream_texts(msgs, buckets))
     return mask_prompt(context_window(texts, window=window).drop("text"))

@@ -1,7 +1,10 @@
 import json
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
@@ -12,7 +15,7 @@ from caretlake.plans.session_log import session_messages
 from caretlake.session import materialize
 from caretlake.sources.logs import stream_messages
 from caretlake.streaming.complete import stream_complete
-from caretlake.streaming.replay import stream_prompts
+from caretlake.streaming.replay import SessionReplay, stream_prompts
 from caretlake.streaming.traffic import stream_traffic
 
 COLUMNS = ["session", "seq", "uri", "line", "ch", "status", "pos", "prefix", "suffix", "prompt"]
@@ -96,3 +99,15 @@ def test_windows_close_after_the_delay(spark, tmp_path):
     put(3, 21)
     rows = spark.read.parquet(out).orderBy("window_start").collect()
     assert [(r.window_start.minute, r.n) for r in rows] == [(1, 2), (2, 1)]
+
+
+def test_processor_needs_no_installed_package(tmp_path):
+    """A helper process of the driver unpickles it without the package on its path."""
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(SessionReplay()))
+    code = ("import pickle, sys; from pyspark import cloudpickle; "
+            "p = cloudpickle.loads(open('p', 'rb').read()); "
+            "assert 'caretlake' not in sys.modules; print(type(p).__name__)")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip().endswith("SessionReplay"), done.stderr
