@@ -122,7 +122,9 @@ def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
     last = F.col("_n") - 1 if per_doc is None else F.lit(per_doc - 1)
     drawn = F.col("i") if per_doc is None else F.pmod(
         F.col(key) * seed + F.col("i") * 17, F.col("_n")).cast("int")
-    draws = base.filter(F.col("_n") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), last)))
+    # A text without places explodes to nothing; a filter would tokenize it a second time.
+    draws = base.withColumn("i", F.explode(
+        F.when(F.col("_n") > 0, F.sequence(F.lit(0), last))))
     p = F.col("pos")
     if unit == "char":
         t = F.col("_t")

@@ -11,6 +11,8 @@ from caretlake.functions import tokens as tk
 # Copies of the one context-free row every prompt asks for.
 _SALTS = 64
 
+_ENTRIES = "array<struct<token:string,n:bigint>>"
+
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int = S.NUM_RESULTS,
           tie: str = "token", rank: str = "rank") -> DataFrame:
@@ -49,8 +51,9 @@ def pack_model(model: DataFrame) -> DataFrame:
 
     A trained model is already partitioned by context, so packing it adds no shuffle.
     """
-    entry = F.struct("rk", "token", "n")
-    return model.groupBy("level", "key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    ranked = F.sort_array(F.collect_list(F.struct("rk", "token", "n")))
+    return model.groupBy("level", "key").agg(F.transform(
+        ranked, lambda e: F.struct(e["token"].alias("token"), e["n"].alias("n"))).alias("entries"))
 
 
 def save_model(model: DataFrame, path: str) -> None:
@@ -62,7 +65,7 @@ def save_model(model: DataFrame, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> DataFrame:
     """A saved model, in packed form."""
     return spark.read.schema(
-        "key string, entries array<struct<rk:int,token:string,n:bigint>>, level int").parquet(path)
+        f"key string, entries {_ENTRIES}, level int").parquet(path)
 
 
 def context_words(context_size: int = 1, prefix: str = "prefix",
@@ -78,35 +81,46 @@ def _answers(prompts: DataFrame, model: DataFrame, k: int, context_size: int) ->
 
     Each prompt asks for one key per level and each context of the model is one row of
     at most k entries, so the join returns at most one row per prompt and level. All
-    prompts ask for the one context-free row: it is copied once per salt and the
-    prompts spread over the copies. Other hot contexts are split while the query runs.
+    prompts ask for the one context-free row: it is copied once per salt, the prompts
+    spread over the copies, and its entries follow after the shuffle by prompt as a
+    broadcast of that many rows. Other hot contexts are split while the query runs.
     """
     last = tk.level_count(context_size)
     packed = model if "entries" in model.columns else pack_model(model)
-    salts = F.when(F.col("level") == last, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(
-        F.array(F.lit(0)))
-    packed = packed.select("level", "key", "entries", F.explode(salts).alias("salt"))
+    is_last = F.col("level") == last
+    every_salt = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    dealt = packed.select(
+        "level", "key", F.explode(F.when(is_last, every_salt).otherwise(F.array(F.lit(0)))).alias("salt"),
+        F.when(~is_last, F.col("entries")).otherwise(F.array().cast(_ENTRIES)).alias("entries"))
+    anywhere = packed.filter(is_last).select(
+        F.explode(every_salt).alias("salt"), F.col("entries").alias("rest"))
+    own_salt = F.pmod(F.xxhash64("request_id"), F.lit(_SALTS)).cast("int")
 
     words = prompts.select("request_id", *[
         c.alias(n) for n, c in context_words(context_size).items()])
     keys = tk.level_keys([F.col(f"w{j}") for j in range(1, context_size + 1)], F.col("right"))
     asked = words.select("request_id", F.explode(keys).alias("c")).select(
         "request_id", F.col("c.level").alias("level"), F.col("c.key").alias("key"))
-    asked = asked.filter(F.col("key").isNotNull())
-    asked = asked.withColumn("salt", F.when(
-        F.col("level") == last, F.pmod(F.xxhash64("request_id"), F.lit(_SALTS)).cast("int")
-    ).otherwise(0))
+    asked = asked.filter(F.col("key").isNotNull()).withColumn(
+        "salt", F.when(is_last, own_salt).otherwise(0))
 
     # At most one packed row per level meets in a request's group.
-    hits = asked.join(packed, ["level", "key", "salt"]).groupBy("request_id").agg(
+    hits = asked.join(dealt, ["level", "key", "salt"]).groupBy("request_id").agg(
         F.sort_array(F.collect_list(F.struct("level", "entries"))).alias("hits"))
-    merged = F.flatten(F.transform("hits", lambda h: F.transform(h.entries, lambda e: F.struct(
-        e.token.alias("label"), h.level.alias("level"), e.n.alias("n")))))
+    hits = hits.withColumn("salt", own_salt).join(F.broadcast(anywhere), "salt")
+
+    def labelled(entries, level):
+        return F.transform(entries, lambda e: F.struct(
+            e["token"].alias("label"), level.alias("level"), e["n"].alias("n")))
+
+    merged = F.concat(F.flatten(F.transform("hits", lambda h: labelled(h["entries"], h["level"]))),
+                      labelled(F.col("rest"), F.lit(last)))
     # Entries come in (level, n desc, word) order already; keep first appearances.
     listed = hits.select("request_id", merged.alias("all")).withColumn(
-        "labels", F.transform("all", lambda e: e.label))
-    first = F.filter("all", lambda e, i: F.array_position("labels", e.label) == i + 1)
-    return listed.select("request_id", F.slice(first, 1, k).alias("candidates"))
+        "labels", F.transform("all", lambda e: e["label"]))
+    best = F.transform(F.slice(F.array_distinct("labels"), 1, k), lambda label: F.get(
+        "all", (F.array_position("labels", label) - 1).cast("int")))
+    return listed.select("request_id", best.alias("candidates"))
 
 
 def ngram_candidates(prompts: DataFrame, model: DataFrame, k: int = S.NUM_RESULTS,
