@@ -19,13 +19,17 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
     Adaptive execution splits partitions by their bytes, so a million narrow cursors into
     one long document would still be one task. Here such keys are counted first; their
     `right` row is copied and the left rows are dealt over the copies by `spread_by`.
+    Rows with a NULL key match nothing and go anywhere.
     """
+    hot_rows = max(hot_rows, 1)
     hot = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
     hot = hot.orderBy(F.desc("_n")).limit(HOT_KEYS).select(
         *on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_copies"))
     copies = F.coalesce("_copies", F.lit(1))
-    dealt = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_copy", F.pmod(F.xxhash64(*spread_by), copies).cast("int")).drop("_copies")
+    keyless = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_copy", F.pmod(
+        F.xxhash64(*spread_by), F.when(keyless, F.lit(HOT_KEYS)).otherwise(copies)).cast("int")
+    ).drop("_copies")
     copied = right.join(F.broadcast(hot), on, "left").withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
     return dealt.join(copied, [*on, "_copy"], how).drop("_copy")
