@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caretlake.llm import queries_exact
+from caretlake.llm import queries_exact, queries_near
 
-MODULES = [queries_exact]
+MODULES = [queries_exact, queries_near]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
