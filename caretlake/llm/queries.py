@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from caretlake.llm import queries_exact, queries_near
+from caretlake.llm import (
+    queries_chat,
+    queries_exact,
+    queries_licenses,
+    queries_near,
+    queries_packing,
+    queries_substring,
+    queries_warc,
+)
 
-MODULES = [queries_exact, queries_near]
+MODULES = [queries_licenses, queries_substring, queries_chat, queries_near,
+           queries_warc, queries_exact, queries_packing]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
