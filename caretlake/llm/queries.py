@@ -8,12 +8,15 @@ from caretlake.llm import (
     queries_licenses,
     queries_near,
     queries_packing,
+    queries_pieces,
+    queries_quality,
+    queries_search,
     queries_substring,
     queries_warc,
 )
 
-MODULES = [queries_licenses, queries_substring, queries_chat, queries_near,
-           queries_warc, queries_exact, queries_packing]
+MODULES = [queries_licenses, queries_substring, queries_chat, queries_near, queries_pieces,
+           queries_warc, queries_search, queries_exact, queries_packing, queries_quality]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
