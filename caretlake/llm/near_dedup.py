@@ -225,7 +225,7 @@ def _mixed_blocks(multi: DataFrame, labels: DataFrame, scratch: Scratch) -> Data
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, text_hash, n_shingles, component_id, kept.
 
     Texts with one set of 5-word shingles are one node. Nodes that agree in a band of their
     signatures are candidates. First every bucket's members are compared with its smallest
@@ -275,7 +275,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
     return rows.join(named, "node", "left").select(
-        "id", "n_shingles",
+        "id", "text_hash", "n_shingles",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
         .alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """The rows whose id is the smallest of their component, with their own columns.
+
+    Rows repeating id and text stay or go together; so do rows without an id in components
+    that have none.
+    """
+    kept = near_duplicates(docs, id_col, text_col, percent, miss).filter("kept").select(
+        F.col("id").alias("__near_id"), F.col("text_hash").alias("__near_hash")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__near_id"]) & (
+        F.xxhash64(text_bytes(text_col)) == kept["__near_hash"]), "left_semi")
