@@ -37,7 +37,7 @@ class Encoder:
     is full and cleared.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,9 +75,15 @@ class Encoder:
                for w, g in zip(words, got) if g is None}
         if new:
             self._learn(list(new))
-        return [self.whole(text) if words is None else
-                b"".join(map(get, words) if None in got else got)
-                for text, words, got in zip(texts, split, found)]
+        ids = []
+        for text, words, got in zip(texts, split, found):
+            if words is None:
+                ids.append(self.whole(text))
+                continue
+            if None in got:
+                got = [self.known[w] if g is None else g for w, g in zip(words, got)]
+            ids.append(b"".join(got))
+        return ids
 
 
 @lru_cache(maxsize=4)
