@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caretlake.llm.common import Scratch, arrow_map, text_bytes
+from caretlake.llm.common import Scratch, _arrow_schema, arrow_map, text_bytes
 from caretlake.llm.licenses import words
 from caretlake.llm.minhash import WordHashes
 from caretlake.llm.warc import _open
@@ -20,11 +21,11 @@ TOP = 10
 
 # A shard is closed at so many documents or postings; a block is 64 documents of it.
 SHARD_DOCS = 8192
-SHARD_POSTINGS = 4_000_000
+SHARD_POSTINGS = 2_000_000
 BLOCK_BITS = 6
 
-# Postings of the shards that one search task holds, and queries it takes at a time.
-TASK_POSTINGS = 8_000_000
+# Postings of the shards that one search task goes through, and queries it reads at a time.
+TASK_POSTINGS = 4_000_000
 QUERY_ROWS = 512
 
 # Documents scored between two looks at the threshold.
@@ -111,6 +112,11 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(rows, run, f"query {kind}, term bigint").distinct()
 
 
+def _below(threshold: float) -> float:
+    """A bound that no document of this score falls short of by rounding."""
+    return threshold * (1 - 1e-9) - 1e-8
+
+
 @dataclass
 class Shard:
     """A shard with the BM25 weights of its postings, before the factor of the term."""
@@ -120,7 +126,7 @@ class Shard:
 
     def __post_init__(self):
         row = self.row
-        self.ids = np.array(row["ids"], object)
+        self.ids = row["ids"]
         lengths = np.frombuffer(row["lengths"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
@@ -128,7 +134,7 @@ class Shard:
         tf = np.frombuffer(row["counts"], np.int32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / max(self.mean_words, 1e-9))
         self.weights = tf * (K1 + 1) / (tf + norm[self.docs])
-        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.offsets))
+        owner = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
         # The same postings by document, terms ascending.
         order = np.argsort(self.docs, kind="stable")
         self.doc_terms, self.doc_weights = owner[order], self.weights[order]
@@ -156,12 +162,12 @@ class Shard:
         return np.bincount(where, what, size)
 
     def _exact(self, docs: np.ndarray, factor: np.ndarray) -> np.ndarray:
-        """Full scores; terms are added in one order, so equal texts get equal scores."""
+        """Full scores, to nine decimals, so that sums in another order are still equal."""
         starts, ends = self.doc_offsets[docs], self.doc_offsets[docs + 1]
         sizes = ends - starts
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         parts = factor[self.doc_terms[at]] * self.doc_weights[at]
-        return np.add.reduceat(parts, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return np.round(np.add.reduceat(parts, np.concatenate([[0], np.cumsum(sizes)[:-1]])), 9)
 
     def search(self, terms: np.ndarray, factors: np.ndarray, k: int,
                threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -196,7 +202,7 @@ class Shard:
                     break
             if len(seed) >= k:
                 threshold = np.partition(self._exact(seed, factor), -k)[-k]
-        slack = threshold * (1 - 1e-9)
+        slack = _below(threshold)
         pivot = int(np.searchsorted(np.cumsum(bound), slack, "left"))
         if pivot == len(local):
             return none
@@ -216,7 +222,7 @@ class Shard:
                     np.concatenate([best[1], self._exact(some, factor)]))
             if len(best[1]) >= k:
                 threshold = max(threshold, np.partition(best[1], -k)[-k])
-                slack = threshold * (1 - 1e-9)
+                slack = _below(threshold)
         good = best[1] >= slack
         return best[0][good], best[1][good], threshold
 
@@ -225,44 +231,57 @@ def search_all(index: DataFrame, query_files: list[str], total: int, mean_words:
                query_kind: str, k: int) -> DataFrame:
     """(query, id, score): for every task, the best k of its shards for every query.
 
-    A task holds a few shards and reads the query table block by block from the shared
-    folder, so neither has to fit into a task or the driver as a whole.
+    A task has one shard in memory at a time and reads the query table block by block from
+    the shared folder; from shard to shard it carries the best k of every query, whose last
+    score is the next shard's first threshold.
     """
+    target = _arrow_schema(index.sparkSession, f"query {query_kind}, id {kind}, score double")
 
     def run(batches):
-        shards = [Shard({n: v[i] for n, v in batch.items()}, mean_words)
-                  for batch in batches for i in range(len(batch["ids"]))]
-        if not shards:
-            return
-        for file in query_files:
-            files, path = _open(file)
-            with files.open_input_file(path) as source:
-                for rows in pq.ParquetFile(source).iter_batches(QUERY_ROWS):
-                    yield _answers(shards, rows, total, k)
+        best: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                shard = Shard({n: v.as_py() if n in ("ids", "shard_docs", "shard_words")
+                               else v.as_buffer() for n, v in row.items()}, mean_words)
+                for rows in _query_blocks(query_files):
+                    _search_block(shard, rows, total, k, best)
+        for part in _portions(list(best.items()), 5000):
+            rows = [(query, i, score) for query, (ranked, _) in part for score, i in ranked]
+            yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(
+                zip(*rows), target)], schema=target)
+
+    return index.mapInArrow(run, f"query {query_kind}, id {kind}, score double")
+
+
+def _portions(items: list, size: int):
+    for at in range(0, len(items), size):
+        yield items[at:at + size]
+
 
-    return arrow_map(index, run, f"query {query_kind}, id {kind}, score double")
+def _query_blocks(query_files: list[str]):
+    for file in query_files:
+        files, path = _open(file)
+        with files.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(QUERY_ROWS)
 
 
-def _answers(shards: list[Shard], rows, total: int, k: int) -> dict:
-    out = {"query": [], "id": [], "score": []}
+def _search_block(shard: Shard, rows, total: int, k: int, best: dict) -> None:
+    """Take a block of queries through a shard; `best` has (score, id) rows and a threshold."""
     lists = rows.column("terms")
     offsets = lists.offsets.to_numpy()
     terms = lists.values.field("term").to_numpy().view(np.uint64)
     df = lists.values.field("df").to_numpy()
     factors = np.log1p((total - df + 0.5) / (df + 0.5))
     for query, a, b in zip(rows.column("query").to_pylist(), offsets, offsets[1:]):
-        ids, scores, threshold = [], np.empty(0), 0.0
-        for shard in shards:
-            docs, found, threshold = shard.search(terms[a:b], factors[a:b], k, threshold)
-            ids += shard.ids[docs].tolist()
-            scores = np.concatenate([scores, found])
-            if len(scores) > k:
-                threshold = max(threshold, float(np.partition(scores, -k)[-k]))
-        ranked = sorted(zip(-scores, ids), key=lambda r: (r[0], r[1] is None, r[1]))[:k]
-        out["query"] += [query] * len(ranked)
-        out["id"] += [i for _, i in ranked]
-        out["score"] += [-s for s, _ in ranked]
-    return out
+        ranked, threshold = best.get(query, ([], 0.0))
+        docs, scores, threshold = shard.search(terms[a:b], factors[a:b], k, threshold)
+        if len(docs):
+            ranked = sorted([*ranked, *((s, shard.ids[d]) for d, s in zip(docs.tolist(), scores.tolist()))],
+                            key=lambda r: (-r[0], r[1] is None, r[1]))[:k]
+            if len(ranked) == k:
+                threshold = max(threshold, ranked[-1][0])
+            best[query] = ranked, threshold
 
 
 def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -271,8 +290,8 @@ def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
 
     Queries are texts with the columns of `docs`; each distinct word counts once. Document
     frequencies, the number of documents and their mean length are those of all documents,
-    so the best of each shard merge into the exact result. Equal scores go by id, null
-    last. Documents that share no word with a query are no results of it.
+    so the best of each shard merge into the exact result. Scores have nine decimals; equal
+    ones go by id, null last. Documents that share no word with a query are no results of it.
 
     Null, empty and wordless queries have no results, such documents are never found. Rows
     repeating an id are documents of their own; queries repeating an id are one query of
