@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,15 @@ RATE = 0.5
 SEED = 11
 
 
-def word_features(word: str) -> np.ndarray:
+def word_buckets(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, edges marked."""
     marked = f"<{word}>"
     parts = [marked] + [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for p in parts],
-                    np.int32)
+    return [crc32(p.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for p in parts]
+
+
+def word_features(word: str) -> np.ndarray:
+    return np.array(word_buckets(word), np.int32)
 
 
 def repeats(words: list[str]) -> int:
@@ -150,21 +154,32 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    r["label"]) for r in got])
 
 
+_SCORED: dict[str, WordCache] = {}
+
+
+def _known_words(name: str, margin: np.ndarray) -> WordCache:
+    """One memory of words per worker, which goes from task to task, for the last model."""
+    if name not in _SCORED:
+        values = margin.astype(float).tolist()
+
+        def word_margin(word):
+            buckets = word_buckets(word)
+            # Real part: the sum of margins; imaginary part: the number of buckets.
+            return complex(sum([values[b] for b in buckets]), len(buckets))
+
+        _SCORED.clear()
+        _SCORED[name] = WordCache(word_margin, 1_000_000)
+    return _SCORED[name]
+
+
 def score_column(model: Model):
     """A function of a text column: the probability of class 1."""
     margin, rest = model.margins()
-    margin = margin.astype(np.float64)
-
-    def word_margin(word):
-        buckets = word_features(word)
-        # Real part: the sum of margins; imaginary part: the number of buckets.
-        return complex(margin[buckets].sum(), len(buckets))
-
     again = complex(margin[REPEAT_BUCKET], 1)
-    holder: dict = {}
+    name = hashlib.sha256(margin.tobytes()).hexdigest()
 
     def score(text: pa.Array) -> pa.Array:
-        words = holder.setdefault("words", WordCache(word_margin))
+        words = _known_words(name, margin)
         logits = []
         for body in text.to_pylist():
             parts = (body or "").split()
