@@ -25,7 +25,8 @@ def position_status(text: Column, line: Column, ch: Column, before: Column,
     Byte lengths are stored with a string, so comparing them costs nothing.
     """
     return (
-        F.when(line.isNull() | ch.isNull() | (line < 0) | (ch < 0), S.INVALID_POSITION)
+        F.when(text.isNull(), S.UNKNOWN_DOCUMENT)
+        .when(line.isNull() | ch.isNull() | (line < 0) | (ch < 0), S.INVALID_POSITION)
         .when((line > 0) & (F.octet_length(before) == F.octet_length(text)), S.NO_SUCH_LINE)
         .when((F.length(skipped) < ch) | skipped.contains("\n") | skipped.contains("\r"),
               S.PAST_EOL)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.operators.ngram import ngram_candidates, ngram_complete
-from caretlake.operators.vocabulary import PAGE_SIZE, vocab_complete
+from caretlake.operators.vocabulary import PAGE_SIZE, vocab_complete, vocab_labels
 from caretlake.session import ship
 
 # prompts, k -> per prompt the (label, score) pairs in model order
@@ -38,7 +38,8 @@ class EmptyCompleter(Completer):
     """No candidates for anything."""
 
     def complete(self, prompts, k=S.NUM_RESULTS):
-        return prompts.sparkSession.createDataFrame([], S.COMPLETIONS)
+        return prompts.limit(0).select("request_id", *[
+            F.lit(None).cast(f.dataType).alias(f.name) for f in S.COMPLETIONS.fields[1:]])
 
     def labels(self, prompts, k=S.NUM_RESULTS):
         return prompts.withColumn("labels", F.array().cast("array<string>"))
@@ -58,7 +59,8 @@ class VocabCompleter(Completer):
             F.lit(None).cast("double").alias("score"))
 
     def labels(self, prompts, k=S.NUM_RESULTS):
-        return vocab_complete(prompts, self.vocab)
+        """One row per prompt with the whole vocabulary, as one response carries it."""
+        return vocab_labels(prompts, self.vocab)
 
 
 class NgramCompleter(Completer):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from caretlake import schemas as S
 from caretlake.functions import position as pos_fn
 from caretlake.functions.tokens import tokens
-from caretlake.operators.skew import spread_join
+from caretlake.operators.skew import spread_join, wanted_only
+from caretlake.session import BROADCAST_BYTES, byte_size
 
 # Lines per slice in `line_index`; offsets inside a slice are summed row by row.
 _LINES_PER_SLICE = 1024
@@ -51,10 +52,20 @@ def line_index(docs: DataFrame, key: str = "uri", text: str = "text") -> DataFra
 def attach_documents(cursors: DataFrame, docs: DataFrame, on: str = "uri") -> DataFrame:
     """Cursor ⋈ document; a cursor without a document gets `unknown_document`.
 
-    Documents are unique by `on`. One that very many cursors point at is copied, and its
-    cursors are dealt over the copies.
+    Documents are unique by `on`. The cursors are counted (pass written or cheap rows): few
+    ones are broadcast to the documents, so no text moves. Of many, the documents nobody
+    points at are left out first; one that very many point at is copied, and its cursors
+    are dealt over the copies.
     """
-    found = docs.select(on, "text", F.lit(True).alias("_found"))
+    if byte_size(cursors) <= BROADCAST_BYTES:
+        # Texts stay where they are: cursors come to them, and those that found none are added.
+        found = docs.select(on, "text").join(F.broadcast(cursors), on)
+        known = docs.select(on).join(F.broadcast(cursors.select(on).distinct()), on, "left_semi")
+        missed = cursors.join(known, on, "left_anti")
+        return found.select(*cursors.columns, "text", F.lit(S.OK).alias("status")).unionByName(
+            missed.select("*", F.lit(None).cast("string").alias("text"),
+                          F.lit(S.UNKNOWN_DOCUMENT).alias("status")))
+    found = wanted_only(docs.select(on, "text", F.lit(True).alias("_found")), cursors, [on])
     others = [F.col(c) for c in cursors.columns if c != on] or [F.col(on)]
     return spread_join(cursors, found, [on], others).withColumn(
         "status", F.when(F.col("_found"), S.OK).otherwise(S.UNKNOWN_DOCUMENT)).drop("_found")

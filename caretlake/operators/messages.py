@@ -9,6 +9,8 @@ from caretlake import schemas as S
 from caretlake.functions import envelope as env
 from caretlake.operators.scan import running
 
+_ENVELOPE = "jsonrpc variant, id variant, method variant, result variant, error variant"
+
 DEAD_LETTER_REASONS = (S.NO_METHOD, S.METHOD_NOT_STRING, S.BAD_ID)
 
 
@@ -21,22 +23,23 @@ def parse_envelope(msgs: DataFrame) -> DataFrame:
     """
     if "kind" in msgs.columns:
         return msgs
-    raw, v = F.col("raw"), F.col("_v")
-    df = msgs.withColumn("_v", F.try_parse_json("raw"))
+    raw, e = F.col("raw"), F.col("_e")
+    df = msgs.withColumn("_e", env.parse_object(raw, _ENVELOPE))
     df = df.withColumns({
-        "_object": env.is_json_object(raw, v),
-        "_id_type": env.json_type(v, "$.id"), "_id": env.json_value(v, "$.id"),
-        "_m_type": env.json_type(v, "$.method"), "_m_json": env.json_value(v, "$.method"),
-        "_method": F.try_variant_get(v, "$.method", "string"),
-        "params": F.try_variant_get(v, "$.params", "variant"),
-        "version_ok": F.coalesce((env.json_type(v, "$.jsonrpc") == "STRING") & (
-            F.try_variant_get(v, "$.jsonrpc", "string") == "2.0"), F.lit(False)),
-        "_answers": env.json_type(v, "$.result").isNotNull() | env.json_type(v, "$.error").isNotNull(),
+        "_object": F.coalesce(raw.rlike(r"^\s*\{") & e["_corrupt"].isNull(), F.lit(False)),
+        "_id_type": F.schema_of_variant(e["id"]), "_id": F.to_json(e["id"]),
+        "_m_type": F.schema_of_variant(e["method"]), "_m_json": F.to_json(e["method"]),
+        "_method": F.try_variant_get(e["method"], "$", "string"),
+        "params": env.parse_object(raw, "params variant")["params"],
+        "version_ok": F.coalesce((F.schema_of_variant(e["jsonrpc"]) == "STRING") & (
+            F.try_variant_get(e["jsonrpc"], "$", "string") == "2.0"), F.lit(False)),
+        "_answers": e["result"].isNotNull() | e["error"].isNotNull(),
     })
     id_type = F.col("_id_type")
     no_method = env.is_falsy(F.col("_m_type"), F.col("_m_json"))
     no_id = id_type.isNull() | (id_type == "VOID")
-    good_id = id_type.isin("STRING", "BOOLEAN") | env.is_integer(id_type, raw, "$.id")
+    good_id = id_type.isin("STRING", "BOOLEAN") | env.is_integer(
+        id_type, env.parse_object(raw, "id string")["id"])
     response = no_method & F.col("_answers") & (F.col("direction") == "out")
     status = (
         F.when(~F.col("_object"), S.INVALID_ENVELOPE)
@@ -57,22 +60,18 @@ def parse_envelope(msgs: DataFrame) -> DataFrame:
     return df.select(*msgs.columns, "params", "version_ok", added)
 
 
-def _falsy_json(value: Column) -> Column:
-    """Falsiness of a JSON value kept as text, as `from_json` keeps objects in strings."""
-    return value.isNull() | value.isin("", "{}", "[]", "false", "0", "0.0")
-
-
 def parse_calls(msgs: DataFrame) -> DataFrame:
     """Inbound messages as typed calls for the replay.
 
     (session, seq, kind, method, status, uri, changes, n_full, n_ranged, text, line, ch).
     `changes` lists what a didOpen or didChange carries, in order, with `full` telling
     whole texts from ranged edits, which are ignored; `text` is the last whole text.
-    Calls lacking what they need are `invalid_params`.
+    Calls lacking what they need are `invalid_params`; a version only has to be there, be
+    it null.
     """
     inbound = msgs.filter(F.col("direction").isNull() | (F.col("direction") != "out"))
     df = parse_envelope(inbound).drop("params").withColumn(
-        "_p", F.from_json("raw", S.CALL_BODY)["params"])
+        "_p", F.from_json("raw", S.CALL_BODY, env.JSON_OPTIONS)["params"])
     is_change = F.col("method") == "textDocument/didChange"
     is_open = F.col("method") == "textDocument/didOpen"
     is_completion = F.col("method") == "textDocument/completion"
@@ -81,7 +80,8 @@ def parse_calls(msgs: DataFrame) -> DataFrame:
         F.lit(0).alias("change_idx"), F.lit(True).alias("full"),
         F.col("_p.textDocument.text").alias("text")))).when(
         is_change, F.transform(given, lambda c, i: F.struct(
-            i.alias("change_idx"), _falsy_json(c["range"]).alias("full"), c["text"].alias("text"))))
+            i.alias("change_idx"), env.is_falsy(
+                F.schema_of_variant(c["range"]), F.to_json(c["range"])).alias("full"), c["text"].alias("text"))))
     df = df.withColumn("changes", changes).withColumn(
         "_full", F.filter("changes", lambda c: c["full"]))
     n_full = F.coalesce(F.array_size("_full"), F.lit(0))
@@ -132,22 +132,23 @@ def unknown_methods(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def explain_errors(msgs: DataFrame, codes: DataFrame) -> DataFrame:
     """Logged error responses with the name and family of their code."""
-    code = F.get_json_object("raw", "$.error.code").try_cast("int")
-    errors = msgs.filter(F.col("direction") == "out").withColumns({
-        "code": code, "message": F.get_json_object("raw", "$.error.message")})
+    error = env.parse_object(F.col("raw"), "error struct<code:string,message:string>")["error"]
+    errors = msgs.filter(F.col("direction") == "out").withColumn("_error", error).withColumns({
+        "code": F.col("_error.code").try_cast("int"), "message": F.col("_error.message")}).drop("_error")
     low, high = S.SERVER_ERROR_RANGE
     named = errors.filter(F.col("code").isNotNull()).join(F.broadcast(codes), "code", "left")
     return named.withColumn("family", F.coalesce(
         "family", F.when(F.col("code").between(low, high), "server"), F.lit("unknown")))
 
 
-def pair_messages(msgs: DataFrame) -> DataFrame:
+def pair_messages(msgs: DataFrame, levels: int = 1) -> DataFrame:
     """Requests with their responses: (session, id, nth, request_seq, response_seq, distance, outcome).
 
     The n-th request of an id belongs to the n-th response of that id, provided the
     response came later; `outcome` is answered / unanswered / orphan. Occurrences are
     numbered with running counts, so an id reused without end stays spread out, and the
-    two sides meet in one aggregation instead of a join.
+    two sides meet in one aggregation instead of a join. Sparse message numbers take 2 or 3
+    `levels` (see `running`).
     """
     parsed = parse_envelope(msgs).filter(F.col("id").isNotNull() & (
         ((F.col("kind") == "request") & (F.col("direction") != "out"))
@@ -156,7 +157,8 @@ def pair_messages(msgs: DataFrame) -> DataFrame:
     times = ["ts"] if "ts" in msgs.columns else []
     rows = parsed.select("session", "id", "seq", "kind", *times)
     rows = running(rows, ["session", "id"], "seq", {
-        "_req": ("sum", is_request.cast("long")), "_resp": ("sum", (~is_request).cast("long"))})
+        "_req": ("sum", is_request.cast("long")), "_resp": ("sum", (~is_request).cast("long"))},
+        levels=levels)
     nth = F.when(is_request, F.col("_req")).otherwise(F.col("_resp"))
     sides = [F.max(F.when(is_request, F.col("seq"))).alias("q"),
              F.max(F.when(~is_request, F.col("seq"))).alias("r")]
@@ -182,16 +184,25 @@ def pair_messages(msgs: DataFrame) -> DataFrame:
     return out
 
 
-def assign_request_ids(requests: DataFrame, name: str = "id") -> DataFrame:
-    """Number the requests of every session from 0 in message order."""
-    numbered = running(requests, ["session"], "seq", {name: ("sum", F.lit(1).cast("long"))})
+def assign_request_ids(requests: DataFrame, name: str = "id", levels: int = 1) -> DataFrame:
+    """Number the requests of every session from 0 in message order.
+
+    Sparse message numbers take 2 or 3 `levels` (see `running`).
+    """
+    numbered = running(requests, ["session"], "seq", {name: ("sum", F.lit(1).cast("long"))},
+                       levels=levels)
     return numbered.withColumn(name, F.col(name) - 1)
 
 
+_CAPABILITIES = [("general", "general"), ("document", "textDocument"),
+                 ("workspace", "workspace"), ("experimental", "experimental")]
+
+
 def session_profile(msgs: DataFrame) -> DataFrame:
     """What each `initialize` says about the client, one row per message.
 
-    Missing keys take defaults and JSON nulls do not: a null rootUri hides rootPath.
+    Missing keys take defaults and JSON nulls do not: a null rootUri hides rootPath. Each
+    group of capabilities is given as its JSON text.
     """
     inits = parse_envelope(msgs).filter(
         (F.col("method") == "initialize") & (F.col("status") == S.OK))
@@ -209,7 +220,7 @@ def session_profile(msgs: DataFrame) -> DataFrame:
     pid_type = kind("$.processId")
     pid_falsy = env.is_falsy(pid_type, env.json_value(p, "$.processId"))
     pid_int = (pid_type == "BOOLEAN") | env.is_integer(
-        pid_type, F.col("raw"), "$.params.processId")
+        pid_type, env.parse_object(F.col("raw"), "params struct<processId:string>")["params"]["processId"])
     name = with_default("$.clientInfo.name", F.lit(""))
     version = text("$.clientInfo.version")
     client = F.when(F.coalesce(version, F.lit("")) != "", F.concat_ws("/", name, version)).otherwise(name)
@@ -230,16 +241,18 @@ def session_profile(msgs: DataFrame) -> DataFrame:
                           env.json_value(p, "$.initializationOptions")),
         "trace": with_default("$.trace", F.lit("off")),
         **{f"has_{column}": F.coalesce(kind(f"$.capabilities.{key}") != "VOID", F.lit(False))
-           for column, key in [("general", "general"), ("document", "textDocument"),
-                               ("workspace", "workspace"), ("experimental", "experimental")]},
+           for column, key in _CAPABILITIES},
+        **{column: F.when(kind(f"$.capabilities.{key}") != "VOID",
+                          env.json_value(p, f"$.capabilities.{key}"))
+           for column, key in _CAPABILITIES},
     }
     return inits.select("session", "seq", *[c.alias(n) for n, c in profile.items()])
 
 
 # Charset spellings that can be checked here.
-UTF8_NAMES = ("utf-8", "utf_8")
-ASCII_NAMES = ("ascii", "us-ascii")
-LATIN1_NAMES = ("latin-1", "latin1", "iso-8859-1")
+UTF8_NAMES = ("utf-8", "utf_8", "u8", "cp65001")
+ASCII_NAMES = ("ascii", "us-ascii", "646", "us_ascii")
+LATIN1_NAMES = ("latin-1", "latin1", "iso-8859-1", "iso8859-1", "iso_8859_1", "l1", "8859", "cp819")
 
 
 def media_type(content_type: Column) -> Column:
@@ -282,6 +295,6 @@ def audit_frames(frames: DataFrame) -> DataFrame:
         .when(F.col("actual_length") > declared, "long_body")
         .when(~charset.isin(*UTF8_NAMES, *ASCII_NAMES, *LATIN1_NAMES), "unsupported_charset")
         .when(F.col("_text").isNull(), "undecodable")
-        .when(F.try_parse_json("_text").isNull(), "invalid_json")
+        .when(~env.is_json(F.col("_text")), "invalid_json")
         .otherwise(S.OK))
     return df.withColumn("status", status).drop("_text")

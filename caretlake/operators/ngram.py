@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.functions import tokens as tk
-
-# Copies of the one context-free row every prompt asks for.
-_SALTS = 64
+from caretlake.operators.skew import spread_join
 
 _ENTRIES = "array<struct<token:string,n:bigint>>"
 
@@ -76,51 +74,23 @@ def context_words(context_size: int = 1, prefix: str = "prefix",
     return {**words, "right": F.try_element_at(tk.tokens(F.col(suffix)), F.lit(1))}
 
 
-def _answers(prompts: DataFrame, model: DataFrame, k: int, context_size: int) -> DataFrame:
-    """(request_id, candidates ARRAY<STRUCT<label, level, n>>), best first.
-
-    Each prompt asks for one key per level and each context of the model is one row of
-    at most k entries, so the join returns at most one row per prompt and level. All
-    prompts ask for the one context-free row: it is copied once per salt, the prompts
-    spread over the copies, and its entries follow after the shuffle by prompt as a
-    broadcast of that many rows. Other hot contexts are split while the query runs.
-    """
-    last = tk.level_count(context_size)
-    packed = model if "entries" in model.columns else pack_model(model)
-    is_last = F.col("level") == last
-    every_salt = F.sequence(F.lit(0), F.lit(_SALTS - 1))
-    dealt = packed.select(
-        "level", "key", F.explode(F.when(is_last, every_salt).otherwise(F.array(F.lit(0)))).alias("salt"),
-        F.when(~is_last, F.col("entries")).otherwise(F.array().cast(_ENTRIES)).alias("entries"))
-    anywhere = packed.filter(is_last).select(
-        F.explode(every_salt).alias("salt"), F.col("entries").alias("rest"))
-    own_salt = F.pmod(F.xxhash64("request_id"), F.lit(_SALTS)).cast("int")
-
-    words = prompts.select("request_id", *[
-        c.alias(n) for n, c in context_words(context_size).items()])
-    keys = tk.level_keys([F.col(f"w{j}") for j in range(1, context_size + 1)], F.col("right"))
-    asked = words.select("request_id", F.explode(keys).alias("c")).select(
-        "request_id", F.col("c.level").alias("level"), F.col("c.key").alias("key"))
-    asked = asked.filter(F.col("key").isNotNull()).withColumn(
-        "salt", F.when(is_last, own_salt).otherwise(0))
+def _labelled(entries: Column, level: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(
+        e["token"].alias("label"), level.alias("level"), e["n"].alias("n")))
 
-    # At most one packed row per level meets in a request's group.
-    hits = asked.join(dealt, ["level", "key", "salt"]).groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("level", "entries"))).alias("hits"))
-    hits = hits.withColumn("salt", own_salt).join(F.broadcast(anywhere), "salt")
 
-    def labelled(entries, level):
-        return F.transform(entries, lambda e: F.struct(
-            e["token"].alias("label"), level.alias("level"), e["n"].alias("n")))
+def _context_free(model: DataFrame, last: int) -> Column:
+    """The candidates of the row without context, read once as a value of k entries.
 
-    merged = F.concat(F.flatten(F.transform("hits", lambda h: labelled(h["entries"], h["level"]))),
-                      labelled(F.col("rest"), F.lit(last)))
-    # Entries come in (level, n desc, word) order already; keep first appearances.
-    listed = hits.select("request_id", merged.alias("all")).withColumn(
-        "labels", F.transform("all", lambda e: e["label"]))
-    best = F.transform(F.slice(F.array_distinct("labels"), 1, k), lambda label: F.get(
-        "all", (F.array_position("labels", label) - 1).cast("int")))
-    return listed.select("request_id", best.alias("candidates"))
+    A model of another context size is refused: its levels mean other contexts.
+    """
+    free = F.max(F.when((F.col("level") == last) & (F.col("key") == ""), F.col("entries")))
+    read = model.agg(free.alias("free"), F.max("level").alias("top"))
+    wrong = F.raise_error(F.concat(F.lit(f"the prompts ask for {last} levels, the model has "),
+                                   F.col("top").cast("string"))).cast(_ENTRIES)
+    entries = F.when(F.col("top").isNull() | (F.col("top") == last), F.coalesce(
+        "free", F.array().cast(_ENTRIES))).otherwise(wrong)
+    return read.select(_labelled(entries, F.lit(last)).alias("candidates")).scalar()
 
 
 def ngram_candidates(prompts: DataFrame, model: DataFrame, k: int = S.NUM_RESULTS,
@@ -129,16 +99,42 @@ def ngram_candidates(prompts: DataFrame, model: DataFrame, k: int = S.NUM_RESULT
 
     The lowest level number wins for a word found at several; ranks follow
     (level, n desc, word).
+
+    Each prompt asks for one key per level with context, and each context of the model is
+    one row of at most k entries, so the join returns at most one row per prompt and level.
+    Contexts that very many prompts ask for are counted first and copied. The context-free
+    entries every prompt ends with are added as a value, without a join.
     """
-    return prompts.join(_answers(prompts, model, k, context_size), "request_id", "left")
+    last = tk.level_count(context_size)
+    packed = model if "entries" in model.columns else pack_model(model)
+    words = prompts.select("request_id", *[
+        c.alias(n) for n, c in context_words(context_size).items()])
+    keys = tk.level_keys([F.col(f"w{j}") for j in range(1, context_size + 1)], F.col("right"))
+    asked = words.select("request_id", F.explode(keys).alias("c")).select(
+        "request_id", F.col("c.level").alias("level"), F.col("c.key").alias("key")).filter(
+        F.col("key").isNotNull() & (F.col("level") < last))
+    contexts = packed.filter(F.col("level") < last).select("level", "key", "entries")
+    # At most one packed row per level meets in a request's group.
+    hits = spread_join(asked, contexts, ["level", "key"], [F.col("request_id")], how="inner").groupBy(
+        "request_id").agg(F.sort_array(F.collect_list(F.struct("level", "entries"))).alias("_hits"))
+
+    near = F.flatten(F.transform("_hits", lambda h: _labelled(h["entries"], h["level"])))
+    # Entries come in (level, n desc, word) order already; keep first appearances.
+    listed = prompts.join(hits, "request_id", "left").withColumn(
+        "_rest", _context_free(packed, last)).withColumn(
+        "_all", F.when(F.col("_hits").isNull(), F.col("_rest")).otherwise(
+            F.concat(near, F.col("_rest")))).withColumn(
+        "_labels", F.transform("_all", lambda e: e["label"]))
+    best = F.transform(F.slice(F.array_distinct("_labels"), 1, k), lambda label: F.get(
+        "_all", (F.array_position("_labels", label) - 1).cast("int")))
+    return listed.withColumn("candidates", best).drop("_hits", "_rest", "_all", "_labels")
 
 
 def ngram_complete(prompts: DataFrame, model: DataFrame, k: int = S.NUM_RESULTS,
                    context_size: int = 1) -> DataFrame:
     """One row per candidate: (request_id, rank, label, level, n)."""
-    listed = _answers(prompts, model, k, context_size)
-    return listed.select("request_id", F.posexplode_outer("candidates").alias("_i", "_c")).filter(
-        F.col("_c").isNotNull()).select(
+    listed = ngram_candidates(prompts.select("request_id", "prefix", "suffix"), model, k, context_size)
+    return listed.select("request_id", F.posexplode("candidates").alias("_i", "_c")).select(
         "request_id", (F.col("_i") + 1).alias("rank"), F.col("_c.label").alias("label"),
         F.col("_c.level").alias("level"), F.col("_c.n").alias("n"))
 

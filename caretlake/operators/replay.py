@@ -13,8 +13,8 @@ from caretlake import schemas as S
 from caretlake.operators.context import context_window, mask_prompt, resolve_position
 from caretlake.operators.messages import route_messages
 from caretlake.operators.scan import running
-from caretlake.operators.skew import spread_join
-from caretlake.session import materialize
+from caretlake.operators.skew import spread_join, wanted_only
+from caretlake.session import materialize, maybe_broadcast
 
 OPEN = "textDocument/didOpen"
 CHANGE = "textDocument/didChange"
@@ -41,14 +41,15 @@ def _narrow(calls: DataFrame) -> DataFrame:
                         "line", "ch")
 
 
-def session_epochs(calls: DataFrame) -> DataFrame:
+def session_epochs(calls: DataFrame, levels: int = 1) -> DataFrame:
     """Add `epoch` (initialize calls so far, 0 = none) and `epoch_start` (seq of the last).
 
-    Pass narrow rows: every given column is sorted along.
+    Pass narrow rows: every given column is sorted along. Sparse message numbers, such as
+    microseconds, take 2 or 3 `levels` (see `running`).
     """
     return running(calls, ["session"], "seq", {
         "epoch": ("sum", _is_init().cast("long")),
-        "epoch_start": ("max", F.when(_is_init(), F.col("seq")))})
+        "epoch_start": ("max", F.when(_is_init(), F.col("seq")))}, levels=levels)
 
 
 def _changes(calls: DataFrame, full: bool) -> DataFrame:
@@ -71,16 +72,16 @@ def ignored_changes(calls: DataFrame) -> DataFrame:
     return _changes(calls, False)
 
 
-def document_states(calls: DataFrame) -> DataFrame:
+def document_states(calls: DataFrame, levels: int = 1) -> DataFrame:
     """Narrow calls with epoch, last_open and last_write of their uri up to each call.
 
     Both reach across epochs; a document is open in the current epoch exactly if
     `last_open > epoch_start`, and then the last write is an effective one too.
     """
-    rows = session_epochs(_narrow(calls))
+    rows = session_epochs(_narrow(calls), levels)
     states = running(rows, ["session", "uri"], "seq", {
         "last_open": ("max", F.when(_is_open(), F.col("seq"))),
-        "last_write": ("max", F.when(_is_write(), F.col("seq")))})
+        "last_write": ("max", F.when(_is_write(), F.col("seq")))}, levels=levels)
     return states.withColumn("is_open", F.coalesce(
         F.col("last_open") > F.col("epoch_start"), F.lit(False)))
 
@@ -89,16 +90,19 @@ def _texts(calls: DataFrame) -> DataFrame:
     return calls.filter(_is_write()).select("session", F.col("seq").alias("write_seq"), "text")
 
 
-def corpus_as_of(calls: DataFrame) -> DataFrame:
+def corpus_as_of(calls: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Completion requests with the text their document had at that moment.
 
     (session, seq, epoch, uri, line, ch, write_seq, status, text); status is ok,
     invalid_params, not_initialized or unknown_document. The narrow answers are written
-    once; a text very many requests refer to is then copied and they are dealt over the
-    copies.
+    once. Texts no request refers to are left out before anything moves; one that very many
+    refer to is copied and they are dealt over the copies. `states` are the document states
+    of the calls, if they are at hand.
     """
-    asked = document_states(calls.filter(
-        F.col("method").isin("initialize", OPEN, CHANGE, COMPLETION))).filter(
+    if states is None:
+        states = document_states(calls.filter(
+            F.col("method").isin("initialize", OPEN, CHANGE, COMPLETION)))
+    asked = states.filter(
         (F.col("method") == COMPLETION) & F.col("status").isin(S.OK, S.INVALID_PARAMS))
     status = (F.when(F.col("status") != S.OK, F.col("status"))
               .when(F.col("epoch") == 0, S.NOT_INITIALIZED)
@@ -106,7 +110,9 @@ def corpus_as_of(calls: DataFrame) -> DataFrame:
     asked = asked.withColumn("status", status).select(
         "session", "seq", "epoch", "uri", "line", "ch", "status",
         F.when(F.col("status") == S.OK, F.col("last_write")).alias("write_seq"))
-    return spread_join(materialize(asked), _texts(calls), ["session", "write_seq"], [F.col("seq")])
+    asked, on = materialize(asked), ["session", "write_seq"]
+    return spread_join(asked, wanted_only(_texts(calls), asked.filter("status = 'ok'"), on), on,
+                       [F.col("seq")])
 
 
 def corpus_snapshot(calls: DataFrame, all_epochs: bool = False) -> DataFrame:
@@ -124,7 +130,8 @@ def corpus_snapshot(calls: DataFrame, all_epochs: bool = False) -> DataFrame:
     if not all_epochs:
         final = calls.groupBy("session").agg(F.count_if(_is_init()).alias("epoch"))
         last = last.join(final, ["session", "epoch"])
-    texts = last.join(_texts(calls), ["session", "write_seq"])
+    # A broadcast of the surviving numbers, if they are few enough, leaves texts in place.
+    texts = _texts(calls).join(maybe_broadcast(materialize(last)), ["session", "write_seq"])
     return texts.withColumnRenamed("write_seq", "seq").select(
         "session", "epoch", "uri", "seq", "text")
 
@@ -160,7 +167,10 @@ def replay_status(calls: DataFrame, routes: DataFrame, positions: bool = False)
     With `positions`, completions that need a context window also report cursors that
     cannot be resolved and contexts that already hold the mask.
     """
-    states = route_messages(document_states(calls), routes)
+    states = document_states(calls)
+    if positions:
+        states = materialize(states)
+    plain, states = states, route_messages(states, routes)
     touches = F.col("method").isin(OPEN, COMPLETION) | (
         (F.col("method") == CHANGE) & (F.col("n_full") > 0))
     needs_open = touches & (F.col("method") != OPEN)
@@ -174,25 +184,28 @@ def replay_status(calls: DataFrame, routes: DataFrame, positions: bool = False)
     out = states.select("session", "seq", "method", "ch", status.alias("status"))
     if not positions:
         return out
-    resolved = completion_prompts(calls).select(
+    resolved = completion_prompts(calls, states=plain).select(
         "session", "seq", F.col("status").alias("_at"))
     return out.join(resolved, ["session", "seq"], "left").withColumn(
         "status", F.when(F.col("status") == S.OK, F.coalesce("_at", "status")).otherwise(
             F.col("status"))).drop("_at")
 
 
-def completion_prompts(calls: DataFrame, window: int = S.CONTEXT_WINDOW) -> DataFrame:
+def completion_prompts(calls: DataFrame, window: int = S.CONTEXT_WINDOW,
+                       states: DataFrame | None = None) -> DataFrame:
     """Completion requests with position, context and prompt: texts end here."""
-    at = context_window(resolve_position(corpus_as_of(calls)), window=window).drop("text")
+    at = context_window(resolve_position(corpus_as_of(calls, states)), window=window).drop("text")
     return mask_prompt(at)
 
 
 def fail_stop(df: DataFrame, strict: bool = False) -> DataFrame:
     """Mark everything after the first fatal message of a session `dropped`.
 
-    The first fatal number is an aggregate per session, not a window over it. `strict`
-    also counts cursors at column 0 as fatal.
+    The first fatal number is an aggregate per session, not a window over it. The statuses
+    are written once, since both the aggregate and the rows are made of them. `strict` also
+    counts cursors at column 0 as fatal.
     """
+    df = materialize(df)
     fatal = F.col("status").isin(*S.FATAL)
     if strict:
         fatal = fatal | ((F.col("method") == COMPLETION) & (F.col("ch") == 0))

@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caretlake.session import maybe_broadcast
+
 # A key is spread once it has more rows than this, one copy per so many rows.
 HOT_ROWS = 100_000
 
-# At most this many of the hottest keys are spread, which bounds the broadcast.
+# The broadcast of hot keys holds fewer rows than this: a key counts as hot only if it has
+# more than one part in HOT_KEYS of all rows, and so no hot key is left out.
 HOT_KEYS = 10_000
 
+# Rows without a key go to so many places.
+NULL_SPREAD = 10_000
+
+
+def wanted_only(right: DataFrame, left: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of `right` that some row of `left` asks for, found before they move.
+
+    The distinct keys of `left`, which should be written or cheap, are counted; if few
+    enough they are broadcast and wide rows nobody asks for stay where they are.
+    """
+    return right.join(maybe_broadcast(left.select(*on).distinct()), on, "left_semi")
+
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column],
                 hot_rows: int = HOT_ROWS, how: str = "left") -> DataFrame:
@@ -21,14 +36,15 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
     `right` row is copied and the left rows are dealt over the copies by `spread_by`.
     Rows with a NULL key match nothing and go anywhere.
     """
-    hot_rows = max(hot_rows, 1)
-    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = hot.orderBy(F.desc("_n")).limit(HOT_KEYS).select(
-        *on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_copies"))
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    share = F.coalesce(counts.agg((F.sum("_n") / HOT_KEYS).alias("_share")).scalar(), F.lit(0.0))
+    least = F.greatest(F.lit(float(max(hot_rows, 1))), share)
+    hot = counts.filter(F.col("_n") > least).select(
+        *on, F.ceil(F.col("_n") / least).cast("int").alias("_copies"))
     copies = F.coalesce("_copies", F.lit(1))
     keyless = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("_copy", F.pmod(
-        F.xxhash64(*spread_by), F.when(keyless, F.lit(HOT_KEYS)).otherwise(copies)).cast("int")
+        F.xxhash64(*spread_by), F.when(keyless, F.lit(NULL_SPREAD)).otherwise(copies)).cast("int")
     ).drop("_copies")
     copied = right.join(F.broadcast(hot), on, "left").withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")

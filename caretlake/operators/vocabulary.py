@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
@@ -10,9 +10,6 @@ from caretlake.functions.tokens import tokens
 from caretlake.operators.scan import numbered
 from caretlake.session import BROADCAST_BYTES, byte_size, maybe_broadcast
 
-# Up to this many words are numbered in one task; larger vocabularies are numbered in parallel.
-_SMALL_VOCAB = 1 << 20
-
 # Items per answer row, and copies of a page when pages are too large to broadcast.
 PAGE_SIZE = 4096
 _SALTS = 64
@@ -27,12 +24,9 @@ def build_vocab(docs: DataFrame, top_n: int | None = None, min_count: int = 1,
     words = docs.select(tokens(F.col(text)).alias("_w")).select(F.explode("_w").alias("item"))
     counts = words.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
     order = [F.desc("n"), F.asc("item")]
-    if top_n is not None and top_n <= _SMALL_VOCAB:
-        best = counts.orderBy(*order).limit(top_n)
-        idx = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
-        return best.select(idx.alias("idx"), "item", "n")
-    ranked = numbered(counts, order, "idx").select("idx", "item", "n")
-    return ranked if top_n is None else ranked.filter(F.col("idx") < top_n)
+    if top_n is not None:
+        counts = counts.orderBy(*order).limit(top_n)
+    return numbered(counts, order, "idx").select("idx", "item", "n")
 
 
 def encode_batches(docs: DataFrame, vocab: DataFrame, max_length: int = S.MAX_LENGTH,
@@ -92,6 +86,21 @@ def vocab_complete(requests: DataFrame, vocab: DataFrame, page_size: int = PAGE_
     return spread.join(salted, ["page", "_salt"]).drop("_salt")
 
 
+def vocab_labels(requests: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Requests plus `labels`, the whole vocabulary in order: one row per request.
+
+    The list is gathered once and is one value; a vocabulary of a checked size goes to the
+    tasks as such, a larger one is copied for groups of requests.
+    """
+    whole = vocab.agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "item"))),
+                                  lambda e: e["item"]).alias("labels"))
+    if byte_size(vocab.select("item")) <= BROADCAST_BYTES:
+        return requests.withColumn("labels", whole.scalar())
+    copies = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return requests.withColumn("_salt", F.pmod(F.xxhash64(*requests.columns), F.lit(_SALTS)).cast("int")
+                               ).join(copies, "_salt").drop("_salt")
+
+
 def limit_items(df: DataFrame, n: int | None = None, labels: str = "labels") -> DataFrame:
     """Keep the first n labels of a list in order; None keeps all."""
     return df if n is None else df.withColumn(labels, F.slice(labels, 1, n))

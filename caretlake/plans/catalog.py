@@ -28,8 +28,6 @@ from caretlake.streaming.traffic import stream_traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-VOCAB_SIZE = 200
-ENCODER_VOCAB_SIZE = 500
 BATCH_ROWS = 32
 
 # Tables derived once per application and input folder, and kept in the shared folder.
@@ -76,9 +74,8 @@ def _model(spark, sf):
         ngram.train_ngram(_documents(spark, sf))))
 
 
-def _vocab(spark, sf, top_n):
-    return _written(spark, sf, f"vocab{top_n}", lambda: voc.build_vocab(
-        _documents(spark, sf), top_n=top_n))
+def _vocab(spark, sf):
+    return _written(spark, sf, "vocab", lambda: voc.build_vocab(_documents(spark, sf)))
 
 
 # --- context -------------------------------------------------------------------------
@@ -203,15 +200,19 @@ def _requests(spark, sf):
 
 
 def vocab_complete(spark, sf):
-    requests = _requests(spark, sf).select("request_id")
-    listed = voc.vocab_complete(requests, _vocab(spark, sf, VOCAB_SIZE), page_size=64)
-    return listed.select("request_id", "page", F.array_join("labels", "|").alias("labels"))
+    """What every request is answered with, page by page of the whole vocabulary."""
+    listed = voc.vocab_complete(_requests(spark, sf).select("request_id"), _vocab(spark, sf))
+    return listed.select("request_id", "page", F.size("labels").alias("n_labels"),
+                         F.element_at("labels", 1).alias("first_label"),
+                         F.element_at("labels", -1).alias("last_label"))
 
 
 def vocab_completer(spark, sf):
-    requests = _requests(spark, sf).select("request_id")
-    completer = comp.make_completer("vocab", vocab=_vocab(spark, sf, VOCAB_SIZE))
-    return completer.complete(requests).select("request_id", "rank", "label")
+    """One answer per request: the whole vocabulary in order."""
+    completer = comp.make_completer("vocab", vocab=_vocab(spark, sf))
+    return completer.labels(_requests(spark, sf).select("request_id")).select(
+        "request_id", F.size("labels").alias("n_labels"),
+        F.md5(F.array_join("labels", "|")).alias("labels_md5"))
 
 
 def empty_complete(spark, sf):
@@ -249,7 +250,7 @@ def response_rows(spark, sf):
 
 def encode_batches(spark, sf):
     docs = _documents(spark, sf).withColumn("batch", F.expr(f"doc_id div {BATCH_ROWS}"))
-    coded = voc.encode_batches(docs, _vocab(spark, sf, ENCODER_VOCAB_SIZE))
+    coded = voc.encode_batches(docs, _vocab(spark, sf))
     return coded.select("doc_id", "batch", F.array_join("input_ids", " ").alias("input_ids"),
                         F.array_join("attention_mask", "").alias("attention_mask"))
 
@@ -467,8 +468,7 @@ def stream_replay(spark, sf):
 def stream_responses(spark, sf):
     out = _folder(spark, "responses")
     model = _model(spark, sf)
-    prompts = stream_prompts(_log_stream(spark, sf)).withColumn(
-        "request_id", F.col("session") * 1000000 + F.col("seq"))
+    prompts = stream_prompts(_log_stream(spark, sf))
     stream_complete(prompts, comp.NgramCompleter(model), out, _folder(spark, "state"),
                     k=3).awaitTermination()
     rows = spark.read.schema("session bigint, seq bigint, direction string, raw string").parquet(

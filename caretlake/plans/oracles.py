@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from caretlake import schemas as S
+from caretlake.plans.source_queries import oracles as source_oracles
 
 _TOKENS = r"list_filter(string_split_regex({text}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -115,7 +116,7 @@ log AS (
   UNION ALL SELECT conv_id, 30, 'initialize', NULL, NULL, false, NULL, NULL, true, false
     FROM turns WHERE turn = 3 AND conv_id % 10 = 0
   UNION ALL SELECT conv_id, turn * 10 + 1, CASE WHEN k THEN 'textDocument/didOpen'
-      ELSE 'textDocument/didChange' END, uri, text, NOT k AND turn % 5 = 4, NULL, NULL, false, false
+      ELSE 'textDocument/didChange' END, uri, text, NOT k AND (turn % 5 = 4 OR turn % 9 = 7), NULL, NULL, false, false
     FROM turns
   UNION ALL SELECT conv_id, turn * 10 + 2, 'textDocument/completion', user_uri, NULL, false, 0,
       CAST(1 + (conv_id + turn) % 40 AS INTEGER), true, false FROM turns
@@ -314,12 +315,15 @@ def oracles() -> dict[str, str]:
         "evaluate_by_level": f"""{ranked}
           SELECT level, count(*) AS hits, CAST(count(*) FILTER (rank = 1) AS BIGINT) AS hits_at_1
           FROM ranked JOIN prompts USING (request_id) WHERE label = target GROUP BY level""",
-        "vocab_complete": f"""WITH {_vocab(200)}, {_REQUESTS},
-          pages AS (SELECT CAST(idx // 64 AS INTEGER) AS page, string_agg(item, '|' ORDER BY idx) AS labels
+        "vocab_complete": f"""WITH {_vocab()}, {_REQUESTS},
+          pages AS (SELECT CAST(idx // 4096 AS INTEGER) AS page, CAST(count(*) AS INTEGER) AS n_labels,
+                           arg_min(item, idx) AS first_label, arg_max(item, idx) AS last_label
                     FROM vocab GROUP BY 1)
-          SELECT request_id, page, labels FROM requests, pages""",
-        "vocab_completer": f"""WITH {_vocab(200)}, {_REQUESTS}
-          SELECT request_id, CAST(idx + 1 AS INTEGER) AS rank, item AS label FROM requests, vocab""",
+          SELECT request_id, page, n_labels, first_label, last_label FROM requests, pages""",
+        "vocab_completer": f"""WITH {_vocab()}, {_REQUESTS},
+          whole AS (SELECT CAST(count(*) AS INTEGER) AS n_labels,
+                           md5(string_agg(item, '|' ORDER BY idx)) AS labels_md5 FROM vocab)
+          SELECT request_id, n_labels, labels_md5 FROM requests, whole""",
         "empty_complete": f"WITH {_REQUESTS} SELECT request_id, CAST(0 AS INTEGER) AS n_labels FROM requests",
         "limit_items": f"""WITH {_REQUESTS}
           SELECT request_id, array_to_string({_tokens()}[1:3], '|') AS labels FROM requests""",
@@ -332,7 +336,7 @@ def oracles() -> dict[str, str]:
                  CASE WHEN NOT is_null THEN w[1] END AS first_label,
                  CAST(CASE WHEN is_null THEN -1 ELSE least(len(w), 3) END AS INTEGER) AS n_items,
                  is_null FROM w""",
-        "encode_batches": f"""WITH {_vocab(500)},
+        "encode_batches": f"""WITH {_vocab()},
           d AS (SELECT doc_id, doc_id // 32 AS batch, {_tokens()}[1:510] AS w FROM documents),
           longest AS (SELECT batch, max(len(w)) AS m FROM d GROUP BY batch),
           t AS (SELECT doc_id, unnest(w) AS item, unnest(range(1, len(w) + 1)) AS pos FROM d),
@@ -422,7 +426,10 @@ def oracles() -> dict[str, str]:
             CASE WHEN session % 6 = 0 THEN '{{"depth":' || session % 7 || '}}' END AS options,
             CASE WHEN session % 4 = 3 THEN 'verbose' ELSE 'off' END AS trace,
             session % 2 = 0 AS has_general, session % 2 = 0 AS has_document,
-            false AS has_workspace, false AS has_experimental
+            false AS has_workspace, false AS has_experimental,
+            CASE WHEN session % 2 = 0 THEN '{{}}' END AS general,
+            CASE WHEN session % 2 = 0 THEN '{{"completion":true}}' END AS document,
+            CAST(NULL AS VARCHAR) AS workspace, CAST(NULL AS VARCHAR) AS experimental
           FROM log WHERE method = 'initialize'""",
         "explain_errors": f"""WITH {_TRAFFIC}, {_CODES}
           SELECT session, seq, code, name, family, 'failed' AS message
@@ -461,4 +468,5 @@ def oracles() -> dict[str, str]:
         "stream_replay": f"WITH {_PROMPTS} SELECT session, seq, uri, status, pos, prompt FROM prompt_rows",
         "stream_responses": streamed,
         "stream_windows": _WINDOWS,
+        **source_oracles(_TIMINGS, _tokens()),
     }

@@ -46,10 +46,18 @@ _PARAMS = """
     WHEN 'initialize' THEN {init}
     WHEN 'textDocument/didOpen' THEN to_json(named_struct(
       'textDocument', named_struct('uri', uri, 'text', text)))
-    WHEN 'textDocument/didChange' THEN to_json(named_struct(
-      'textDocument', named_struct('uri', uri, 'version', turn),
-      'contentChanges', array(named_struct('range', IF(turn % 5 = 4, named_struct(
-        'start', named_struct('line', 0, 'character', 0)), NULL), 'text', text))))
+    WHEN 'textDocument/didChange' THEN CASE
+      WHEN turn % 5 <> 4 AND turn % 9 = 7 THEN to_json(named_struct(
+        'textDocument', named_struct('uri', uri, 'version', turn),
+        'contentChanges', array(named_struct('range', '0', 'text', text))))
+      WHEN turn % 5 <> 4 AND turn % 6 = 5 THEN to_json(named_struct(
+        'textDocument', named_struct('uri', uri, 'version', CAST(NULL AS INT)),
+        'contentChanges', array(named_struct('range', CAST(NULL AS STRING), 'text', text))),
+        map('ignoreNullFields', 'false'))
+      ELSE to_json(named_struct(
+        'textDocument', named_struct('uri', uri, 'version', turn),
+        'contentChanges', array(named_struct('range', IF(turn % 5 = 4, named_struct(
+          'start', named_struct('line', 0, 'character', 0)), NULL), 'text', text)))) END
     WHEN 'textDocument/completion' THEN to_json(named_struct(
       'textDocument', named_struct('uri', concat('conv://', conv_id, '/user')),
       'position', named_struct('line', 0, 'character', 1 + (conv_id + turn) % 40)))

@@ -7,11 +7,6 @@ from pyspark.sql import types as T
 
 # --- row schemas -----------------------------------------------------------------
 
-DOCUMENTS = T.StructType([
-    T.StructField("uri", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
 MESSAGES = T.StructType([
     T.StructField("session", T.LongType()),
     T.StructField("seq", T.LongType()),
@@ -19,17 +14,6 @@ MESSAGES = T.StructType([
     T.StructField("raw", T.StringType()),
 ])
 
-CALLS = T.StructType([
-    T.StructField("session", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("method", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("uri", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("line", T.IntegerType()),
-    T.StructField("ch", T.IntegerType()),
-])
-
 TIMINGS = T.StructType([
     T.StructField("measure", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -42,21 +26,21 @@ COMPLETIONS = T.StructType([
     T.StructField("score", T.DoubleType()),
 ])
 
-# The part of a message the replay reads. A ranged change keeps `range` as raw JSON
-# text, so that null, missing and {} stay apart from a real range.
+# The part of a message the replay reads. VARIANT fields tell missing (NULL) from null, and a
+# range from a string that only looks like one.
 CALL_BODY = T.StructType([
     T.StructField("params", T.StructType([
         T.StructField("textDocument", T.StructType([
             T.StructField("uri", T.StringType()),
             T.StructField("text", T.StringType()),
-            T.StructField("version", T.StringType()),
+            T.StructField("version", T.VariantType()),
         ])),
         T.StructField("position", T.StructType([
             T.StructField("line", T.IntegerType()),
             T.StructField("character", T.IntegerType()),
         ])),
         T.StructField("contentChanges", T.ArrayType(T.StructType([
-            T.StructField("range", T.StringType()),
+            T.StructField("range", T.VariantType()),
             T.StructField("text", T.StringType()),
         ]))),
     ])),

@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Endings of files that Spark inflates while reading, as one split each.
+_COMPRESSED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst")
+
+
+def _open_ended(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, open): whether a compressed file ends without a line feed.
+
+    Its size says nothing about its text, so it is read once more in other parts, which
+    leave the line feeds where they are.
+    """
+    parts = spark.read.option("lineSep", "e").text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.endswith("value", F.lit("\n")).alias("ended"))
+    return parts.groupBy("file").agg((~F.max_by("ended", "at")).alias("open"))
+
+
 def numbered_lines(spark: SparkSession, path: str, boundary: str | None = None,
                    restart: bool = False) -> DataFrame:
     """(file, idx, item): the lines of all files in order, numbered from 0.
@@ -31,6 +47,10 @@ def numbered_lines(spark: SparkSession, path: str, boundary: str | None = None,
     by_file = Window.partitionBy("file")
     order = by_file.orderBy("block") if restart else Window.orderBy("file", "block")
     unended = F.sum(F.col("lines") + F.col("bytes")).over(by_file) > F.col("size")
+    compressed = [f for f in lines.inputFiles() if f.endswith(_COMPRESSED)]
+    if compressed:
+        blocks = blocks.join(_open_ended(spark, compressed), "file", "left")
+        unended = F.coalesce("open", unended)
     at_end = F.col("block") == F.max("block").over(by_file)
     # A file ending in a boundary other than a line feed opens no further item there.
     drop = unended & at_end & (F.col("tail") == "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
+from caretlake.operators.scan import running
 from caretlake.sources.lines import numbered_lines
 
 
@@ -24,7 +25,19 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet") -> Da
 
 def stream_messages(spark: SparkSession, path: str, format: str = "parquet",
                     max_bytes: int = 256 << 20) -> DataFrame:
-    """A growing message log; `max_bytes` bounds what one micro-batch takes in."""
+    """A growing message log; a micro-batch takes files of about `max_bytes` in all, one at
+    least.
+
+    text: new files of one inbound message per line, a session each, numbered as
+    `read_messages` does. A streamed file is read as one value, so logs have to be rolled.
+    """
+    if format == "text":
+        files = (spark.readStream.format("text").option("wholetext", True)
+                 .option("maxBytesPerTrigger", max_bytes).load(path)
+                 .select(F.xxhash64("_metadata.file_path").alias("session"), "value"))
+        lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)
+        return files.filter("value <> ''").select("session", F.posexplode(lines).alias("seq", "raw")).select(
+            "session", F.col("seq").cast("long").alias("seq"), F.lit("in").alias("direction"), "raw")
     return (spark.readStream.format(format).schema(S.MESSAGES)
             .option("maxBytesPerTrigger", max_bytes).load(path))
 
@@ -37,22 +50,32 @@ def read_timings(spark: SparkSession, path: str) -> DataFrame:
 LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) (DEBUG|INFO|WARNING|ERROR|CRITICAL) (.*)$"
 
 
+# More than any rank of a level.
+_RANKS = 1000
+
+
 def read_server_log(spark: SparkSession, path: str, min_level: str | None = None) -> DataFrame:
     """Log lines (ts, level, message); lines without a prefix have a NULL level.
 
-    `min_level` (debug, info, warn, error) keeps the records at or above it.
+    `min_level` (debug, info, warn, error) keeps the records at or above it, with the lines
+    that follow them, such as tracebacks; lines before the first record are dropped.
     """
-    line = F.col("value")
+    line = F.col("item")
     ts = F.try_to_timestamp(F.regexp_extract(line, LOG_LINE, 1), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
     level = F.nullif(F.regexp_extract(line, LOG_LINE, 2), F.lit(""))
     message = F.when(line.rlike(LOG_LINE), F.regexp_extract(line, LOG_LINE, 3)).otherwise(line)
-    rows = spark.read.text(path).select(
-        ts.alias("ts"), level.alias("level"), message.alias("message"))
+    read = [ts.alias("ts"), level.alias("level"), message.alias("message")]
     if min_level is None:
-        return rows
+        return spark.read.text(path).select(F.col("value").alias("item")).select(*read)
     floor = S.LOG_LEVEL_OPTIONS[min_level]
-    return rows.filter(F.col("level").isin(
-        [name for name, rank in S.LOG_LEVELS.items() if rank >= floor]))
+    rows = numbered_lines(spark, path, restart=True).select("file", "idx", *read)
+    rank = F.lit(None).cast("long")
+    for name, value in S.LOG_LEVELS.items():
+        rank = F.when(F.col("level") == name, value).otherwise(rank)
+    # The record a line belongs to, as one number that grows with the line.
+    rows = running(rows, ["file"], "idx", {
+        "_record": ("max", F.when(F.col("level").isNotNull(), F.col("idx") * _RANKS + rank))})
+    return rows.filter(F.col("_record") % _RANKS >= floor).select("ts", "level", "message")
 
 
 def response_json(id_json: Column, result: Column) -> Column:

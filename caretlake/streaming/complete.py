@@ -11,34 +11,46 @@ from pyspark.sql.streaming import StreamingQuery
 from caretlake import schemas as S
 from caretlake.operators.completers import Completer
 from caretlake.operators.vocabulary import completion_items
+from caretlake.session import materialize
 from caretlake.sources.logs import responses
 
 
 def complete_batch(prompts: DataFrame, completer: Completer, k: int = S.NUM_RESULTS) -> DataFrame:
     """Responses (session, seq, direction, raw) of one table of prompts.
 
-    Prompts without a usable context get no response.
+    Session and number together are the key of a request. Prompts without a usable context
+    get no response.
     """
-    asked = prompts.filter(F.col("status") == S.OK)
+    asked = prompts.filter(F.col("status") == S.OK).withColumn(
+        "request_id", F.concat_ws("/", "session", "seq"))
     listed = completer.labels(asked.withColumn("id", F.col("seq").cast("string")), k)
     answered = responses(completion_items(listed))
     return answered.select("session", "seq", F.lit("out").alias("direction"), "raw")
 
 
+def unanswered(prompts: DataFrame) -> DataFrame:
+    """(session, seq, status) of the requests that get no response."""
+    return prompts.filter(F.col("status").isNull() | (F.col("status") != S.OK)).select(
+        "session", "seq", "status")
+
+
 def stream_complete(prompts: DataFrame, completer: Completer, path: str, checkpoint: str,
                     k: int = S.NUM_RESULTS, **trigger) -> StreamingQuery:
-    """Answer a stream of prompts (session, seq, request_id, prefix, suffix, prompt, status).
+    """Answer a stream of prompts (session, seq, prefix, suffix, prompt, status).
 
     Every micro-batch is an ordinary completion job with its own output folder, which a
-    retried batch overwrites, so responses appear once. The prompts are kept while they
-    are answered: completers read them more than once, and the replay behind them must not
-    run again.
+    retried batch overwrites, so responses appear once. The prompts are written before
+    they are answered: completers read them more than once, and the replay behind them must
+    not run again. Requests without a usable context have a row with their status in
+    `_unanswered`, so input and output reconcile.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        complete_batch(batch, completer, k).write.mode("overwrite").parquet(
+        # Written, not cached: an executor that is lost takes no prompt with it.
+        kept = materialize(batch)
+        complete_batch(kept, completer, k).write.mode("overwrite").parquet(
             os.path.join(path, f"batch={batch_id}"))
-        batch.unpersist()
+        unanswered(kept).write.mode("overwrite").parquet(
+            os.path.join(path, "_unanswered", f"batch={batch_id}"))
 
     return (prompts.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))

@@ -22,6 +22,8 @@ from caretlake.schemas import (
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUTPUT = ("session bigint, seq bigint, uri string, line int, ch int, status string, text string")
+# Characters of answered texts that leave the processor in one frame.
+_FRAME_CHARS = 4_000_000
 _COLUMNS = ["session", "seq", "uri", "line", "ch", "status", "text"]
 
 
@@ -42,7 +44,10 @@ class SessionReplay(StatefulProcessor):
         texts: dict[str, str | None] = {}
         written: set[str] = set()
         fresh = not initialized
-        out = []
+        out, size = [], 0
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=_COLUMNS).astype({"line": "Int32", "ch": "Int32"})
 
         def current(uri):
             if uri not in texts:
@@ -70,6 +75,10 @@ class SessionReplay(StatefulProcessor):
                     out.append(self._row(m, UNKNOWN_DOCUMENT))
                 else:
                     out.append(self._row(m, OK, text))
+                    size += len(text)
+                    if size > _FRAME_CHARS:
+                        yield frame(out)
+                        out, size = [], 0
             elif m.status != OK:
                 continue
             elif m.method == "initialize":
@@ -86,7 +95,7 @@ class SessionReplay(StatefulProcessor):
             self.docs.updateValue((uri,), (texts[uri],))
         self.progress.update((initialized, last))
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS).astype({"line": "Int32", "ch": "Int32"})
+            yield frame(out)
 
     @staticmethod
     def _row(m, status, text=None):

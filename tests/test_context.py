@@ -100,3 +100,9 @@ def test_unknown_document(spark):
     docs = spark.createDataFrame([("a", "text")], "uri string, text string")
     got = {r.uri: r.status for r in ctx.attach_documents(cursors, docs).collect()}
     assert got == {"a": "ok", "b": "unknown_document"}
+
+
+def test_a_document_without_text_is_unknown(spark):
+    df = spark.createDataFrame([(None, 0, 1)], "text string, line int, ch int")
+    row = ctx.resolve_position(df).first()
+    assert (row.status, row.pos) == ("unknown_document", None)

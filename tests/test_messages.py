@@ -195,3 +195,44 @@ def test_request_ids(spark):
     df = spark.createDataFrame([(1, 5), (1, 9), (2, 3), (1, 7)], "session long, seq long")
     got = {(r.session, r.seq): r.id for r in msg.assign_request_ids(df).collect()}
     assert got == {(1, 5): 0, (1, 7): 1, (1, 9): 2, (2, 3): 0}
+
+
+def _call(method, **params):
+    return json.dumps({"jsonrpc": "2.0", "method": method, "params": params})
+
+
+def test_a_version_may_be_null(spark):
+    doc, change = {"uri": "u", "version": None}, [{"text": "t"}]
+    raws = [_call("textDocument/didChange", textDocument=doc, contentChanges=change),
+            _call("textDocument/didChange", textDocument={"uri": "u"}, contentChanges=change)]
+    rows = msg.parse_calls(_messages(spark, raws)).orderBy("seq").collect()
+    assert [(r.status, r.text) for r in rows] == [("ok", "t"), ("invalid_params", "t")]
+
+
+@pytest.mark.parametrize("given, full", [("0", False), ("false", False), ("", True), (None, True), (0, True),
+                                         ({}, True), ([], True), ({"start": 1}, False), (1, False)])
+def test_ranges_by_their_type(spark, given, full):
+    raw = _call("textDocument/didChange", textDocument={"uri": "u", "version": 1},
+                contentChanges=[{"range": given, "text": "t"}])
+    (row,) = msg.parse_calls(_messages(spark, [raw])).collect()
+    assert (row.n_full, row.n_ranged) == ((1, 0) if full else (0, 1))
+
+
+def test_texts_of_any_size(spark):
+    body = F.concat(F.lit('{"jsonrpc":"2.0","method":"textDocument/didOpen","params":{"textDocument":'
+                          '{"uri":"u","text":"'), F.repeat(F.lit("x"), 25_000_000), F.lit('"}}}'))
+    msgs = spark.range(1).select(F.lit(1).cast("long").alias("session"), F.col("id").alias("seq"),
+                                 F.lit("in").alias("direction"), body.alias("raw"))
+    (row,) = msg.parse_calls(msgs).select("status", F.length("text").alias("n")).collect()
+    assert (row.status, row.n) == ("ok", 25_000_000)
+    frames = msgs.select(F.octet_length("raw").cast("long").alias("content_length"),
+                         F.lit(None).cast("string").alias("content_type"),
+                         F.encode("raw", "UTF-8").alias("content"))
+    assert msg.audit_frames(frames).select("status").first().status == "ok"
+
+
+def test_capabilities_are_kept(spark):
+    raw = _call("initialize", capabilities={"general": {"a": [1]}, "workspace": None})
+    (row,) = msg.session_profile(_messages(spark, [raw.replace('"method"', '"id":1,"method"')])).collect()
+    assert (row.general, row.workspace, row.document) == ('{"a":[1]}', None, None)
+    assert (row.has_general, row.has_workspace) == (True, False)

@@ -1,4 +1,5 @@
 import collections
+import json
 
 import pytest
 import regex
@@ -8,7 +9,9 @@ from caretlake.operators import completers as comp
 from caretlake.operators import context as ctx
 from caretlake.operators import ngram
 from caretlake.operators import vocabulary as voc
+from caretlake.operators.completers import EmptyCompleter, VocabCompleter
 from caretlake.session import materialize
+from caretlake.streaming.complete import complete_batch
 
 TEXTS = ["the cat sat on the mat", "the cat ran on the mat", "a dog sat on a mat", "one two", "", "x"]
 
@@ -169,3 +172,23 @@ def test_model_is_built_once_per_worker(spark, tmp_path):
     assert {(r.rank, r.label) for r in rows if r.request_id == 5} == {(1, "P5"), (2, "x")}
     pids = open(log).read().split()
     assert len(pids) == len(set(pids))
+
+
+def test_a_model_of_another_context_size_is_refused(spark):
+    docs = spark.createDataFrame([("a b c d",)], "text string")
+    prompts = spark.createDataFrame([(1, "a", "c")], "request_id long, prefix string, suffix string")
+    with pytest.raises(Exception, match="levels"):
+        ngram.ngram_complete(prompts, ngram.train_ngram(docs, context_size=2)).collect()
+
+
+def test_one_response_whatever_the_vocabulary(spark):
+    vocab = spark.range(5000).select(F.col("id").alias("idx"), F.concat(F.lit("w"), "id").alias("item"))
+    prompts = spark.createDataFrame([(1, 5, "ok", "p", "s")],
+                                    "session long, seq long, status string, prefix string, suffix string")
+    (row,) = complete_batch(prompts, VocabCompleter(vocab)).collect()
+    assert [i["label"] for i in json.loads(row.raw)["result"]] == [f"w{i}" for i in range(5000)]
+
+
+def test_an_empty_completer_keeps_the_type_of_the_key(spark):
+    prompts = spark.createDataFrame([("a/1",)], "request_id string")
+    assert EmptyCompleter().complete(prompts).schema["request_id"].dataType.simpleString() == "string"

@@ -4,7 +4,7 @@ import __spark_entry__ as entry_module
 from caretlake import schemas as S
 from caretlake.operators import context as ctx
 from caretlake.operators import ngram, replay
-from caretlake.plans import catalog
+from caretlake.plans import catalog, source_queries
 from tests.conftest import SF
 
 PYTHON_QUERIES = {"model_complete", "stream_replay", "stream_responses", "stream_windows"}
@@ -15,7 +15,8 @@ def plan(df):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    own = {*catalog.QUERIES, *source_queries.QUERIES}
+    assert own <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
@@ -59,3 +60,15 @@ def test_no_text_is_sorted(spark):
 def test_dimensions_are_broadcast(spark):
     text = plan(catalog.route_messages(spark, SF))
     assert "BroadcastHashJoin" in text and S.routes(spark).count() == 36
+
+
+def test_few_cursors_move_no_text(spark, documents):
+    cursors = spark.createDataFrame([(1, 1), (2, 10**9)], "request_id int, uri bigint")
+    df = ctx.attach_documents(cursors, documents.select(documents.doc_id.alias("uri"), "text"))
+    exchanges = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("text" in line for line in exchanges)
+    assert {r.request_id: r.status for r in df.collect()} == {1: "ok", 2: "unknown_document"}
+
+
+def test_fail_stop_reads_the_log_at_most_twice(spark):
+    assert plan(catalog.QUERIES["fail_stop"](spark, SF)).count("Scan parquet") <= 2

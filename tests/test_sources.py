@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -83,7 +84,29 @@ def test_server_log(spark, tmp_path):
     assert rows[0].message == "enter into loop" and str(rows[0].ts) == "2024-01-02 03:04:05.678000"
     assert rows[3].message.startswith("Traceback") and rows[3].ts is None
     kept = logs.read_server_log(spark, str(tmp_path / "log"), "warn").collect()
-    assert [r.level for r in kept] == ["WARNING", "ERROR"]
+    assert [r.level for r in kept] == ["WARNING", "ERROR", None, None]
+    assert kept[3].message == "  boom"
+
+
+@pytest.mark.parametrize("content", [*VOCABULARIES, b"word\n" * 2000 + b"\n", b"word\n" * 2000 + b"end"])
+def test_compressed_vocabularies(spark, tmp_path, content):
+    (tmp_path / "v.txt").write_bytes(content)
+    (tmp_path / "v.txt.gz").write_bytes(gzip.compress(content))
+    plain, packed = ([(r.idx, r["item"]) for r in text.read_vocab(spark, str(tmp_path / name))
+                      .orderBy("idx").collect()] for name in ("v.txt", "v.txt.gz"))
+    assert plain == packed
+
+
+def test_streamed_plain_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.log").write_text("one\ntwo\n\n")
+    out = str(tmp_path / "out")
+    (logs.stream_messages(spark, str(tmp_path / "in"), "text").writeStream.format("parquet")
+     .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+     .start(out).awaitTermination())
+    rows = spark.read.parquet(out).orderBy("seq").collect()
+    same = logs.read_messages(spark, str(tmp_path / "in"), "text").orderBy("seq").collect()
+    assert [(r.session, r.seq, r.raw) for r in rows] == [(r.session, r.seq, r.raw) for r in same]
 
 
 def test_responses(spark, tmp_path):
