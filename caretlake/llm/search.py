@@ -28,9 +28,6 @@ BLOCK_BITS = 6
 TASK_POSTINGS = 4_000_000
 QUERY_ROWS = 512
 
-# Documents scored between two looks at the threshold.
-STEP = 256
-
 INDEX = ("shard_docs bigint, shard_words bigint, ids array<{kind}>, lengths binary, terms binary, "
          "offsets binary, docs binary, counts binary")
 
@@ -135,11 +132,6 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(self.mean_words, 1e-9))
         self.weights = tf * (K1 + 1) / (tf + norm[self.docs])
         owner = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
-        # The same postings by document, terms ascending.
-        order = np.argsort(self.docs, kind="stable")
-        self.doc_terms, self.doc_weights = owner[order], self.weights[order]
-        self.doc_offsets = np.concatenate([[0], np.cumsum(np.bincount(
-            self.docs, minlength=len(lengths)))])
         # Largest weight of every term, and of every term in every block it touches.
         self.most = np.maximum.reduceat(self.weights, self.offsets[:-1]) if len(
             self.terms) else np.empty(0)
@@ -149,6 +141,7 @@ class Shard:
         at = np.flatnonzero(edge)
         self.block, self.block_most = blocks[at], (
             np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0))
+        self.block_start = np.append(at, len(blocks))
         self.block_offsets = np.searchsorted(owner[at], np.arange(len(self.terms) + 1))
 
     def _postings(self, terms, factors, offsets, keys, values, size):
@@ -161,24 +154,29 @@ class Shard:
         what = what * np.repeat(factors, [b - a for a, b in spans])
         return np.bincount(where, what, size)
 
-    def _exact(self, docs: np.ndarray, factor: np.ndarray) -> np.ndarray:
-        """Full scores, to nine decimals, so that sums in another order are still equal."""
-        starts, ends = self.doc_offsets[docs], self.doc_offsets[docs + 1]
-        sizes = ends - starts
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        parts = factor[self.doc_terms[at]] * self.doc_weights[at]
-        return np.round(np.add.reduceat(parts, np.concatenate([[0], np.cumsum(sizes)[:-1]])), 9)
+    def _postings_within(self, terms, factors, alive):
+        """Sums of factor * weight by document, over those blocks of the lists that are alive."""
+        spans = [(self.block_offsets[t], self.block_offsets[t + 1]) for t in terms]
+        entry = np.concatenate([np.arange(a, b) for a, b in spans])
+        factor = np.repeat(factors, [b - a for a, b in spans])
+        keep = alive[self.block[entry]]
+        entry, factor = entry[keep], factor[keep]
+        first = self.block_start[entry]
+        sizes = self.block_start[entry + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.docs[at], self.weights[at] * np.repeat(factor, sizes), len(self.ids))
 
     def search(self, terms: np.ndarray, factors: np.ndarray, k: int,
                threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Documents that may be among the best k, with scores.
+        """Documents that may be among the best k, with scores to nine decimals.
 
         threshold: a score that k documents elsewhere have reached already; documents that
-        only equal it are still returned. Terms whose summed largest weights stay below the
-        threshold can't lift a document over it: only the lists of the others, from the
-        pivot on, are read. Documents met there go on if their sum and the block maxima of
-        the terms below the pivot reach the threshold, best bounds first, until no bound
-        does.
+        only equal it are still returned. Terms are ordered by the largest score each can
+        give. Those in front of the pivot can't lift a document to the threshold even
+        together, so only the lists from the pivot on are read whole. A document met there
+        goes on if its sum and the block maxima of the terms in front reach the threshold;
+        of the lists in front only the blocks of such documents are read.
         """
         none = np.empty(0, np.int64), np.empty(0), threshold
         at = np.searchsorted(self.terms, terms)
@@ -187,71 +185,61 @@ class Shard:
         if not have.any():
             return none
         local, factors = at[have], factors[have]
-        factor = np.zeros(len(self.terms))
-        factor[local] = factors
         bound = factors * self.most[local]
         order = np.argsort(bound, kind="stable")
         local, factors, bound = local[order], factors[order], bound[order]
-        best: tuple = (np.empty(0, np.int64), np.empty(0))
-        if threshold <= 0:
-            # A first threshold, from documents of the strongest terms.
-            seed = np.empty(0, np.int64)
-            for t in local[::-1]:
-                seed = np.union1d(seed, self.docs[self.offsets[t]:self.offsets[t + 1]][:STEP])
-                if len(seed) >= k:
-                    break
-            if len(seed) >= k:
-                threshold = np.partition(self._exact(seed, factor), -k)[-k]
-        slack = _below(threshold)
-        pivot = int(np.searchsorted(np.cumsum(bound), slack, "left"))
+        pivot = int(np.searchsorted(np.cumsum(bound), _below(threshold), "left"))
         if pivot == len(local):
             return none
-        sums = self._postings(local[pivot:], factors[pivot:], self.offsets, self.docs,
-                              self.weights, len(self.ids))
-        rest = self._postings(local[:pivot], factors[:pivot], self.block_offsets, self.block,
-                              self.block_most, (len(self.ids) >> BLOCK_BITS) + 1)
-        upper = sums + np.repeat(rest, 1 << BLOCK_BITS)[:len(sums)]
-        docs = np.flatnonzero((sums > 0) & (upper >= slack))
-        docs = docs[np.argsort(-upper[docs], kind="stable")]
-        for start in range(0, len(docs), STEP):
-            if upper[docs[start]] < slack:
-                break
-            some = docs[start:start + STEP]
-            some = some[upper[some] >= slack]
-            best = (np.concatenate([best[0], some]),
-                    np.concatenate([best[1], self._exact(some, factor)]))
-            if len(best[1]) >= k:
-                threshold = max(threshold, np.partition(best[1], -k)[-k])
-                slack = _below(threshold)
-        good = best[1] >= slack
-        return best[0][good], best[1][good], threshold
-
-
-def search_all(index: DataFrame, query_files: list[str], total: int, mean_words: float, kind: str,
-               query_kind: str, k: int) -> DataFrame:
+        scores = self._postings(local[pivot:], factors[pivot:], self.offsets, self.docs,
+                                self.weights, len(self.ids))
+        docs = np.flatnonzero(scores)
+        if pivot:
+            rest = self._postings(local[:pivot], factors[:pivot], self.block_offsets, self.block,
+                                  self.block_most, (len(self.ids) >> BLOCK_BITS) + 1)
+            docs = docs[scores[docs] + rest[docs >> BLOCK_BITS] >= _below(threshold)]
+            if not len(docs):
+                return none
+            alive = np.zeros(len(rest), bool)
+            alive[docs >> BLOCK_BITS] = True
+            scores = scores + self._postings_within(local[:pivot], factors[:pivot], alive)
+        found = np.round(scores[docs], 9)
+        if len(found) >= k:
+            threshold = max(threshold, float(np.partition(found, -k)[-k]))
+        good = found >= _below(threshold)
+        return docs[good], found[good], threshold
+
+
+def search_all(index: DataFrame, tasks: int, query_files: list[str], total: int,
+               mean_words: float, query_kind: str, k: int) -> DataFrame:
     """(query, id, score): for every task, the best k of its shards for every query.
 
-    A task has one shard in memory at a time and reads the query table block by block from
-    the shared folder; from shard to shard it carries the best k of every query, whose last
-    score is the next shard's first threshold.
+    The index is a written table; a task gets names of its files and reads shard after
+    shard, one in memory at a time, and for each of them the query table block by block.
+    From shard to shard it carries the best k of every query, whose last score is the next
+    shard's first threshold.
     """
-    target = _arrow_schema(index.sparkSession, f"query {query_kind}, id {kind}, score double")
+    spark = index.sparkSession
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    schema = f"query {query_kind}, id {kind}, score double"
+    target = _arrow_schema(spark, schema)
+    files = spark.createDataFrame([(f,) for f in index.inputFiles()], "file string")
 
     def run(batches):
         best: dict = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
+            for row in _blocks(batch.column("file").to_pylist(), 1):
+                cells = {n: row.column(n)[0] for n in row.schema.names}
                 shard = Shard({n: v.as_py() if n in ("ids", "shard_docs", "shard_words")
-                               else v.as_buffer() for n, v in row.items()}, mean_words)
-                for rows in _query_blocks(query_files):
+                               else v.as_buffer() for n, v in cells.items()}, mean_words)
+                for rows in _blocks(query_files, QUERY_ROWS):
                     _search_block(shard, rows, total, k, best)
         for part in _portions(list(best.items()), 5000):
             rows = [(query, i, score) for query, (ranked, _) in part for score, i in ranked]
             yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(
                 zip(*rows), target)], schema=target)
 
-    return index.mapInArrow(run, f"query {query_kind}, id {kind}, score double")
+    return files.repartition(tasks).mapInArrow(run, schema)
 
 
 def _portions(items: list, size: int):
@@ -259,11 +247,12 @@ def _portions(items: list, size: int):
         yield items[at:at + size]
 
 
-def _query_blocks(query_files: list[str]):
-    for file in query_files:
-        files, path = _open(file)
-        with files.open_input_file(path) as source:
-            yield from pq.ParquetFile(source).iter_batches(QUERY_ROWS)
+def _blocks(files: list[str], rows: int):
+    """The rows of written Parquet files, a few at a time."""
+    for file in files:
+        store, path = _open(file)
+        with store.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(rows)
 
 
 def _search_block(shard: Shard, rows, total: int, k: int, best: dict) -> None:
@@ -300,7 +289,7 @@ def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "search")
-    kind, query_kind = (d.schema[id_col].dataType.simpleString() for d in (docs, queries))
+    query_kind = queries.schema[id_col].dataType.simpleString()
     index = scratch.write(build_index(docs, id_col, text_col), "index")
     size = index.agg(F.sum("shard_docs").alias("docs"), F.sum("shard_words").alias("words"),
                      F.sum(F.octet_length("docs") / 4).alias("postings")).first()
@@ -309,9 +298,8 @@ def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     asked = scratch.write(asked.groupBy("query").agg(F.sort_array(F.collect_list(
         F.struct("term", "df"))).alias("terms")), "queries")
     tasks = max(1, int((size["postings"] or 0) // TASK_POSTINGS),
-                min(spark.sparkContext.defaultParallelism, index.count()))
-    found = search_all(index.repartition(tasks), asked.inputFiles(), total, mean, kind,
-                       query_kind, k)
+                min(spark.sparkContext.defaultParallelism, len(index.inputFiles())))
+    found = search_all(index, tasks, asked.inputFiles(), total, mean, query_kind, k)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(
         F.desc("score"), F.col("id").asc_nulls_last()))
     found = scratch.write(found, "found")
