@@ -46,10 +46,10 @@ def same(got, want):
         assert all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got[query], want[query]))
 
 
-@pytest.mark.parametrize("shard, step, k", [(8192, 256, 10), (17, 8, 3), (64, 64, 1)])
-def test_against_scoring_everything(llm, monkeypatch, shard, step, k):
+@pytest.mark.parametrize("shard, block, k", [(8192, 6, 10), (17, 2, 3), (64, 0, 1)])
+def test_against_scoring_everything(llm, monkeypatch, shard, block, k):
     monkeypatch.setattr(search, "SHARD_DOCS", shard)
-    monkeypatch.setattr(search, "STEP", step)
+    monkeypatch.setattr(search, "BLOCK_BITS", block)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
     weights = [1 / (i + 1) for i in range(400)]
