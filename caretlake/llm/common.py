@@ -80,8 +80,18 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def equal(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+_MEMORY: dict = {}
+
+
+def worker_memory(key, make: Callable):
+    """make(), kept in this Python worker from task to task until another key is asked for.
+
+    What operators remember of words lies here, so a worker holds one such memory at a time.
+    """
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = make()
+    return _MEMORY[key]
 
 
 def text_bytes(name: str) -> Column:

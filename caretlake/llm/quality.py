@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretlake.llm.common import arrow_map
+from caretlake.llm.common import arrow_map, worker_memory
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -154,12 +154,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    r["label"]) for r in got])
 
 
-_SCORED: dict[str, WordCache] = {}
-
-
 def _known_words(name: str, margin: np.ndarray) -> WordCache:
-    """One memory of words per worker, which goes from task to task, for the last model."""
-    if name not in _SCORED:
+    """The memory of scored words of a model."""
+
+    def make():
         values = margin.astype(float).tolist()
 
         def word_margin(word):
@@ -167,9 +165,9 @@ def _known_words(name: str, margin: np.ndarray) -> WordCache:
             # Real part: the sum of margins; imaginary part: the number of buckets.
             return complex(sum([values[b] for b in buckets]), len(buckets))
 
-        _SCORED.clear()
-        _SCORED[name] = WordCache(word_margin, 1_000_000)
-    return _SCORED[name]
+        return WordCache(word_margin, 500_000)
+
+    return worker_memory(("quality", name), make)
 
 
 def score_column(model: Model):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from caretlake.llm.common import worker_memory
+
 # Characters whose class no Unicode version has changed lately. Texts with others are
 # encoded by the library as they are.
 PLAIN = [chr(c) for c in [*range(0x00, 0x1C), *range(0x20, 0x250), *range(0x2010, 0x2028)]]
@@ -37,7 +38,7 @@ class Encoder:
     is full and cleared.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 1_000_000):
+    def __init__(self, path: str, pattern: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,7 +87,6 @@ class Encoder:
         return ids
 
 
-@lru_cache(maxsize=4)
 def byte_bpe(path: str | None = None) -> Encoder:
     """The 50k byte-level tokenizer; `path` names another file of its kind.
 
@@ -94,4 +94,5 @@ def byte_bpe(path: str | None = None) -> Encoder:
     """
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return worker_memory(("byte_bpe", path), lambda: Encoder(
+        path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
