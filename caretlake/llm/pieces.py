@@ -177,7 +177,7 @@ def merge_run(model: PieceModel, drop: Dropout, symbols: np.ndarray, key: np.uin
             offer(i, nxt[i])
         if prv[i] >= 0:
             offer(prv[i], i)
-    return np.array([s for s, g in zip(sym, gone) if not g], np.int64)
+    return np.array([s for s, g in zip(sym, gone) if not g], np.int32)
 
 
 def merge_rows(model: PieceModel, drop: Dropout, sym: np.ndarray, keys: np.ndarray,
@@ -188,7 +188,7 @@ def merge_rows(model: PieceModel, drop: Dropout, sym: np.ndarray, keys: np.ndarr
     equals. Rows with an empty agenda are done. Yields (rows, symbols).
     """
     rows, width = np.arange(len(sym)), sym.shape[1]
-    place = start[:, None] + np.arange(width + 1)
+    place = start[:, None].astype(np.int32) + np.arange(width + 1, dtype=np.int32)
     if width > 1:
         ranks = _candidates(
             model, drop, sym[:, :-1].ravel(), sym[:, 1:].ravel(), np.repeat(keys, width - 1),
@@ -203,22 +203,20 @@ def merge_rows(model: PieceModel, drop: Dropout, sym: np.ndarray, keys: np.ndarr
                 x[going] for x in (rows, sym, place, ranks, keys, head, best))
         if not len(rows):
             return
-        each, at = np.arange(len(rows)), head[:, None]
-        columns = np.arange(width)
-        move = columns[:-1] + (columns[:-1] > at)
-        sym = np.take_along_axis(sym, move, 1)
-        sym[each, head] = model.merged[best]
-        # Edges of symbols: the one inside the merged pair goes.
-        place = np.take_along_axis(place, columns + (columns > at), 1)
+        # The right symbol of the merged pair goes, with the edge inside it and its rank.
+        columns, right = np.arange(width + 1), head[:, None] + 1
+        sym[np.arange(len(rows)), head] = model.merged[best]
+        sym = sym[columns[:-1] != right].reshape(len(rows), width - 1)
+        place = place[columns != right].reshape(len(rows), width)
+        ranks = ranks[columns[:-2] + 1 != right].reshape(len(rows), width - 2)
         width -= 1
         if width == 1:
             break
-        ranks = np.take_along_axis(ranks, columns[:width - 1] + (columns[:width - 1] > at), 1)
-        for side in (-1, 0):
-            ok = np.flatnonzero((head + side >= 0) & (head + side < width - 1))
-            i = head[ok] + side
-            ranks[ok, i] = _candidates(model, drop, sym[ok, i], sym[ok, i + 1], keys[ok],
-                                       place[ok, i], place[ok, i + 2])
+        # The pairs on both sides of the new symbol are candidates anew.
+        left, own = np.flatnonzero(head > 0), np.flatnonzero(head < width - 1)
+        at, i = np.concatenate([left, own]), np.concatenate([head[left] - 1, head[own]])
+        ranks[at, i] = _candidates(model, drop, sym[at, i], sym[at, i + 1], keys[at],
+                                   place[at, i], place[at, i + 2])
     yield rows, sym
 
 
@@ -230,7 +228,7 @@ def encode(model: PieceModel, texts: list[str], keys: np.ndarray, rate: float) -
     if not len(points):
         return []
     flat = np.concatenate(points)
-    sym = model.symbol[flat].astype(np.int64)
+    sym = model.symbol[flat]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mark = flat == 0x20
     edge = np.zeros(len(flat), bool)
@@ -260,7 +258,7 @@ def encode(model: PieceModel, texts: list[str], keys: np.ndarray, rate: float) -
     for rows, block in done:
         counts[rows] = block.shape[1]
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    out = np.empty(offsets[-1], np.int64)
+    out = np.empty(offsets[-1], np.int32)
     for rows, block in done:
         out[offsets[rows][:, None] + np.arange(block.shape[1])] = block
     run_of_doc = np.searchsorted(runs, first)
@@ -321,7 +319,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return arrow_map(rows, run, f"id {kind}, text_hash bigint, ids array<int>")
 
 
-def _groups(texts: list[str], chars: int = 500_000) -> list[list[int]]:
+def _groups(texts: list[str], chars: int = 2_000_000) -> list[list[int]]:
     """Positions of texts to be merged together, about `chars` characters at a time."""
     groups, size = [[]], 0
     for k, text in enumerate(texts):
