@@ -113,15 +113,16 @@ def mask_prompt(df: DataFrame, mask: str = S.MASK) -> DataFrame:
 
 
 def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
-                  unit: str = "char", window: int = S.CONTEXT_WINDOW,
+                  unit: str = "char", window: int | None = None,
                   key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Reproducible held-out targets: (key, …keep, i, pos, prefix, suffix, target).
 
-    `unit="char"` hides one character, `unit="word"` one interior word with up to
-    `window` words on each side. Draw `i` of a document with integer key `d` is
+    `unit="char"` hides one character, with up to `window` (128) characters on each side;
+    `unit="word"` one interior word, with all words of the text before and after it, or up to
+    `window` of them. Draw `i` of a document with integer key `d` is
     `(d * seed + i * 17) mod n` over its n places, so every engine draws the same;
-    `per_doc=None` takes every place once. Contexts are cut in the row that holds the
-    document, so only bounded rows leave it.
+    `per_doc=None` takes every place once; for words of long texts give it a window, or every
+    place carries the whole text. Contexts are cut in the row that holds the document.
     """
     if unit == "char":
         base = docs.select(key, *keep, F.col(text).alias("_t"), F.length(text).alias("_n"))
@@ -138,14 +139,17 @@ def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
         F.when(F.col("_n") > 0, F.sequence(F.lit(0), last))))
     p = F.col("pos")
     if unit == "char":
-        t = F.col("_t")
+        t, window = F.col("_t"), S.CONTEXT_WINDOW if window is None else window
         return draws.withColumn("pos", drawn).select(
             key, *keep, "i", "pos", pos_fn.prefix_at(t, p, window).alias("prefix"),
             pos_fn.suffix_at(t, p, window).alias("suffix"),
             F.substr(t, p + 1, F.lit(1)).alias("target"))
     w = F.col("_w")
-    left = F.slice(w, F.greatest(p - window, F.lit(0)) + 1, F.least(p, F.lit(window)))
+    if window is None:
+        left, right = F.slice(w, F.lit(1), p), F.slice(w, p + 2, F.col("_n") + 2)
+    else:
+        left = F.slice(w, F.greatest(p - window, F.lit(0)) + 1, F.least(p, F.lit(window)))
+        right = F.slice(w, p + 2, F.lit(window))
     return draws.withColumn("pos", drawn + 1).select(
         key, *keep, "i", "pos", F.array_join(left, " ").alias("prefix"),
-        F.array_join(F.slice(w, p + 2, F.lit(window)), " ").alias("suffix"),
-        F.element_at(w, p + 1).alias("target"))
+        F.array_join(right, " ").alias("suffix"), F.element_at(w, p + 1).alias("target"))

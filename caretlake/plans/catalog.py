@@ -179,7 +179,8 @@ def evaluate_predictions(spark, sf):
 
 
 def evaluate_by_language(spark, sf):
-    prompts = ctx.cloze_prompts(_documents(spark, sf), per_doc=3, unit="word", keep=("lang",))
+    # The model looks at the next word on each side alone.
+    prompts = ctx.cloze_prompts(_documents(spark, sf), per_doc=3, unit="word", window=1, keep=("lang",))
     prompts = prompts.select((F.col("doc_id") * 1000000 + F.col("i")).alias("request_id"),
                              "lang", "prefix", "suffix", "target")
     return ngram.evaluate_candidates(ngram.ngram_candidates(prompts, _model(spark, sf)), ["lang"])

@@ -274,8 +274,8 @@ def oracles() -> dict[str, str]:
                      FROM documents),
           p AS (SELECT *, CAST((doc_id * 31 + i * 17) % (len(w) - 2) + 1 AS INTEGER) AS pos
                 FROM d WHERE len(w) > 2)
-          SELECT doc_id, i, pos, array_to_string(w[greatest(pos - 127, 1):pos], ' ') AS prefix,
-                 array_to_string(w[pos + 2:pos + 129], ' ') AS suffix, w[pos + 1] AS target FROM p""",
+          SELECT doc_id, i, pos, array_to_string(w[1:pos], ' ') AS prefix,
+                 array_to_string(w[pos + 2:], ' ') AS suffix, w[pos + 1] AS target FROM p""",
         "build_vocab": f"WITH {_vocab()} SELECT idx, item, n FROM vocab",
         "build_vocab_top": f"WITH {_vocab(1000, 2)} SELECT idx, item, n FROM vocab",
         "train_ngram": f"{model} SELECT level, key, token, n, rk FROM model",
