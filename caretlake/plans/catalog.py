@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 BATCH_ROWS = 32
 
-# Tables derived once per application and input folder, and kept in the shared folder.
+# Tables derived once per application and state of the input folder, in the shared folder.
 _WRITTEN: dict[tuple, DataFrame] = {}
 
 
@@ -38,8 +38,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
+def _version(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of what lies in the input folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _written(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, _version(spark, sf), name)
     if key not in _WRITTEN:
         _WRITTEN[key] = materialize(build())
     return _WRITTEN[key]
@@ -480,22 +487,33 @@ def stream_responses(spark, sf):
 
 
 def stream_windows(spark, sf):
-    tune(spark)
-    out = _folder(spark, "traffic")
-    schema = table(spark, sf, "events").schema
-    stream = _events(spark.readStream.schema(schema).parquet(os.path.join(sf, "events.parquet*")))
+    """Hourly counts of a stream in append mode, every closed window written once.
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(out)
-
-    query = (stream_traffic(stream, "1 hour").writeStream.outputMode("complete").foreachBatch(write)
-             .option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True)
-             .start())
-    query.awaitTermination()
-    return spark.read.parquet(out).withColumn(
+    A last row far ahead closes all windows; a row that comes when they are closed is late.
+    """
+    tune(spark)
+    events = _events(table(spark, sf, "events")).select("ts", "event_type")
+    source, out, state = (_folder(spark, n) for n in ("events", "traffic", "state"))
+
+    def run(rows):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        (stream_traffic(stream, "1 hour").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", state).trigger(availableNow=True).start(out)
+         .awaitTermination())
+
+    def marked(when):
+        return events.agg(when.alias("ts")).select("ts", F.lit(_MARK).alias("event_type"))
+
+    run(events.unionByName(marked(F.max("ts") + F.expr("INTERVAL 30 DAYS"))))
+    run(marked(F.min("ts")))
+    return spark.read.parquet(out).filter(F.col("event_type") != _MARK).withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+# The kind of the rows that close windows, or come late.
+_MARK = "-"
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     line_index, attach_documents, resolve_position, context_window, mask_prompt, cloze_chars,
     cloze_words, build_vocab, build_vocab_top, train_ngram, train_ngram_two_words, top_k,
