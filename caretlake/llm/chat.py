@@ -6,10 +6,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretlake.llm.common import arrow_map
+from caretlake.llm.common import arrow_map, list_array
 
 # Control strings of the template: <s> begins a conversation, [INST]role[/INST]text</s> is a
 # turn. Each is one token of its own, so no token reaches over the edge of a text.
@@ -105,18 +106,21 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     def run(batches):
         encode = tokenizer(tokenizer_path).encode
         for batch in batches:
-            out = {n: [] for n in ("id", "formatted", "token_ids", "token_starts", "token_ends",
-                                   "loss_mask")}
-            for id_, turns in zip(batch["id"], batch["turns"]):
+            texts, ids, starts, ends, masks = [], [], [], [], []
+            for turns in batch["turns"]:
                 formatted, spans = render([(t["role"], t["text"]) for t in turns])
                 coded = encode(formatted, add_special_tokens=False)
-                offsets = np.array(coded.offsets, np.int64).reshape(-1, 2)
+                offsets = np.array(coded.offsets, np.int32).reshape(-1, 2)
                 asked = [s for s, t in zip(spans, turns) if t["role"] in loss_roles and s[0] < s[1]]
-                mask = loss_mask(offsets[:, 0], offsets[:, 1], asked)
-                for name, value in zip(out, (id_, formatted, coded.ids, offsets[:, 0].tolist(),
-                                             offsets[:, 1].tolist(), mask.tolist())):
-                    out[name].append(value)
-            yield out
+                texts.append(formatted)
+                ids.append(np.array(coded.ids, np.int32))
+                starts.append(offsets[:, 0])
+                ends.append(offsets[:, 1])
+                masks.append(loss_mask(offsets[:, 0], offsets[:, 1], asked))
+            yield {"id": batch["id"], "formatted": texts, "token_ids": list_array(ids, pa.int32()),
+                   "token_starts": list_array(starts, pa.int32()),
+                   "token_ends": list_array(ends, pa.int32()),
+                   "loss_mask": list_array([m.astype(bool) for m in masks], pa.bool_())}
 
     return arrow_map(
         _ordered(conversations, id_col, turn_col, role_col, text_col), run,
@@ -134,24 +138,23 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = {n: [] for n in ("id", "turns", "loss_texts", "formatted_chars")}
-            for id_, text, starts, ends, mask in zip(*(batch[n] for n in (
-                    "id", "formatted", "token_starts", "token_ends", "loss_mask"))):
-                under, last = [], None
-                for a, b, masked in zip(starts, ends, mask):
-                    if masked and last is not None and a <= last:
-                        under[-1][1] = last = max(b, last)
-                    elif masked:
-                        under.append([a, b])
-                        last = b
-                out["id"].append(id_)
-                out["turns"].append([{"role": r, "text": t} for r, t in parse(text)])
-                out["loss_texts"].append([unescape(text[a:b]) for a, b in under])
-                out["formatted_chars"].append(len(text))
-            yield out
-
-    return arrow_map(formatted, run, f"id {kind}, turns array<struct<role:string,text:string>>, "
-                     "loss_texts array<string>, formatted_chars bigint")
+            losses = []
+            for text, starts, ends, mask in zip(batch["formatted"], *(
+                    batch[n] for n in ("token_starts", "token_ends", "loss_mask"))):
+                under = np.flatnonzero(np.array(mask.values, bool))
+                a, b = (np.array(v.values)[under] for v in (starts, ends))
+                # Tokens of one character share its offsets; a gap ends a run.
+                cuts = np.flatnonzero(a[1:] > b[:-1]) + 1 if len(a) else np.empty(0, int)
+                first, last = np.append(0, cuts), np.append(cuts, len(a)) - 1
+                losses.append([unescape(text[a[i]:b[j]]) for i, j in zip(first, last)] if len(a) else [])
+            yield {"id": batch["id"], "loss_texts": losses,
+                   "turns": [[{"role": r, "text": t} for r, t in parse(f)] for f in batch["formatted"]],
+                   "formatted_chars": [len(f) for f in batch["formatted"]]}
+
+    names = ["id", "formatted", "token_starts", "token_ends", "loss_mask"]
+    return arrow_map(formatted.select(*names), run, f"id {kind}, "
+                     "turns array<struct<role:string,text:string>>, loss_texts array<string>, "
+                     "formatted_chars bigint", raw=("token_starts", "token_ends", "loss_mask"))
 
 
 def turns_text(turns: Column) -> Column:

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,24 +56,31 @@ class Scratch:
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dict]],
-              schema: str) -> DataFrame:
-    """mapInArrow over dictionaries of column lists; `function` yields the same.
+              schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow over dictionaries of column lists; `function` yields the same, or arrays.
 
-    `function` sees one batch at a time and keeps what it likes between them.
+    Columns named in `raw` come as Arrow arrays. `function` sees one batch at a time and keeps what it likes between them.
     """
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        inputs = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)}
-                  for b in batches)
+        inputs = ({n: c.to_pylist() if n not in raw else c
+                   for n, c in zip(b.schema.names, b.columns)} for b in batches)
         for out in function(inputs):
             yield pa.RecordBatch.from_arrays(
-                [out[f.name] if isinstance(out[f.name], pa.Array)
+                [out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array)
                  else pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def list_array(parts: list, kind: pa.DataType) -> pa.Array:
+    """An array of lists from numpy arrays, without going through Python objects."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
