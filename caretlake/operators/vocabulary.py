@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.functions.tokens import tokens
 from caretlake.operators.scan import numbered
-from caretlake.session import BROADCAST_BYTES, byte_size, maybe_broadcast
+from caretlake.operators.skew import spread_join
+from caretlake.session import BROADCAST_BYTES, byte_size
 
 # Items per answer row, and copies of a page when pages are too large to broadcast.
 PAGE_SIZE = 4096
@@ -34,24 +35,28 @@ def encode_batches(docs: DataFrame, vocab: DataFrame, max_length: int = S.MAX_LE
     """Word ids per document: (key, batch, input_ids, attention_mask).
 
     Rows are cut to `max_length` ids, begin and end included, before anything moves, and
-    padded to the longest row of their batch. Batch lengths come from word counts alone.
-    The cut documents are shuffled once by key; looked up words then find their document
-    again without moving as single rows.
+    padded to the longest row of their batch, which is some rows of bounded length. Texts are
+    tokenized once. The cut documents are shuffled once by key; words looked up in a
+    broadcast vocabulary (of a counted size) then find their document again without moving as
+    single rows. In a larger vocabulary frequent words are looked up in copies.
     """
     kept = F.slice(tokens(F.coalesce(text, F.lit(""))), 1, max_length - 2)
     words = docs.select(key, batch_col, kept.alias("_w"))
-    longest = words.groupBy(batch_col).agg((F.max(F.array_size("_w")) + 2).alias("_longest"))
-    ids = maybe_broadcast(vocab.select(
-        F.col("item").alias("_word"), (F.col("idx") + FIRST_WORD_ID).cast("int").alias("_id")))
+    ids = vocab.select(F.col("item").alias("_word"), (F.col("idx") + FIRST_WORD_ID).cast("int").alias("_id"))
     placed = words.repartition(key).select(key, batch_col, F.posexplode_outer("_w").alias("_pos", "_word"))
-    coded = placed.join(ids, "_word", "left").withColumn(
+    if byte_size(ids) <= BROADCAST_BYTES:
+        coded = placed.join(F.broadcast(ids), "_word", "left")
+    else:
+        coded = spread_join(placed, ids, ["_word"], [F.col(key), F.col("_pos")])
+    coded = coded.withColumn(
         "_id", F.when(F.col("_word").isNotNull(), F.coalesce("_id", F.lit(UNKNOWN))))
     # A group holds the words of one document, max_length of them at most.
     rows = coded.groupBy(key, batch_col).agg(F.sort_array(F.collect_list(
         F.when(F.col("_id").isNotNull(), F.struct("_pos", "_id")))).alias("_ids"))
+    rows = rows.withColumn("_longest", F.max(F.array_size("_ids") + 2).over(Window.partitionBy(batch_col)))
     body = F.transform("_ids", lambda e: e["_id"])
     padding = F.col("_longest") - F.array_size("_ids") - 2
-    return rows.join(longest, batch_col).select(
+    return rows.select(
         key, batch_col,
         F.concat(F.array(F.lit(BEGIN)), body, F.array(F.lit(END)),
                  F.array_repeat(F.lit(PAD), padding)).alias("input_ids"),

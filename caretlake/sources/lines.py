@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Offsets, one row per split, are broadcast for up to so many files.
+BROADCAST_FILES = 100_000
+
 # Endings of files that Spark inflates while reading, as one split each.
 _COMPRESSED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst")
 
@@ -59,7 +62,9 @@ def numbered_lines(spark: SparkSession, path: str, boundary: str | None = None,
             order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("file", "block").orderBy("at", "i")) - 1
     rows = items.select("file", "block", "at", F.posexplode("items").alias("i", "item"))
-    placed = rows.withColumn("local", local).join(
-        F.broadcast(blocks.select("file", "block", "kept", "offset")), ["file", "block"])
+    offsets = blocks.select("file", "block", "kept", "offset")
+    if len(lines.inputFiles()) <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    placed = rows.withColumn("local", local).join(offsets, ["file", "block"])
     return placed.filter(F.col("local") < F.col("kept")).select(
         "file", (F.col("offset") + F.col("local")).cast("long").alias("idx"), "item")
