@@ -26,7 +26,7 @@ _SEED = 20240229
 class WordHashes(dict):
     """Word -> 64-bit hash, kept for frequent words; cleared when it grows large."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:

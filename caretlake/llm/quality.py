@@ -165,7 +165,7 @@ def _known_words(name: str, margin: np.ndarray) -> WordCache:
             # Real part: the sum of margins; imaginary part: the number of buckets.
             return complex(sum([values[b] for b in buckets]), len(buckets))
 
-        return WordCache(word_margin, 500_000)
+        return WordCache(word_margin, 150_000)
 
     return worker_memory(("quality", name), make)
 
