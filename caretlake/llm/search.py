@@ -20,8 +20,8 @@ K1, B = 1.2, 0.75
 TOP = 10
 
 # A shard is closed at so many documents or postings; a block is 64 documents of it.
-SHARD_DOCS = 8192
-SHARD_POSTINGS = 2_000_000
+SHARD_DOCS = 4096
+SHARD_POSTINGS = 1_000_000
 BLOCK_BITS = 6
 
 # Postings of the shards that one search task goes through, and queries it reads at a time.
@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 "lengths": [np.array(lengths, np.int64).tobytes()], "terms": [terms.tobytes()],
                 "offsets": [np.append(first, len(flat)).astype(np.int64).tobytes()],
                 "docs": [owner[order].tobytes()],
-                "counts": [np.concatenate(tallies)[order].astype(np.int32).tobytes()]}
+                "counts": [np.concatenate(tallies)[order].tobytes()]}
 
     def run(batches):
         hashes = WordHashes()
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids.append(id_)
                 lengths.append(len(parts))
                 found.append(terms)
-                tallies.append(tally)
+                tallies.append(tally.astype(np.int32))
                 postings += len(terms)
                 if len(ids) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
                     yield closed(ids, lengths, found, tallies)
