@@ -46,7 +46,7 @@ def same(got, want):
         assert all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got[query], want[query]))
 
 
-@pytest.mark.parametrize("shard, block, k", [(8192, 6, 10), (17, 2, 3), (64, 0, 1)])
+@pytest.mark.parametrize("shard, block, k", [(4096, 6, 10), (17, 2, 3), (64, 0, 1)])
 def test_against_scoring_everything(llm, monkeypatch, shard, block, k):
     monkeypatch.setattr(search, "SHARD_DOCS", shard)
     monkeypatch.setattr(search, "BLOCK_BITS", block)
