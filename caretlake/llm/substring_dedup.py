@@ -1,11 +1,13 @@
-"""Substring deduplication by hashing lines and the pieces of lines."""
+"""Substring deduplication by hashing lines, the pieces of lines, and passages of words."""
 
 from __future__ import annotations
 
 import re
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,12 @@ MIN_WORDS = 8
 # A sentence of more words than this is cut where its own words say so.
 LONG_SENTENCE = 40
 
+# Every repeated passage of so many words goes, whatever lines and sentences it is part of.
+PASSAGE = 51
+
+# A passage is known by the smallest hash of the runs of so many words in it, its anchor.
+ANCHOR = 16
+
 _SENTENCE_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+")
 _WORD = re.compile(r"\S+")
 
@@ -49,6 +57,15 @@ def _pieces(text: str, start: int, end: int):
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of all units of a text: those of its lines, and its passages.
+
+    The operator finds what repeats among them without listing every passage.
+    """
+    words = Words(text, WordHashes())
+    return line_units(text, min_words) + words.passages(0, len(words.hashes))
+
+
+def line_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a text, in code points: lines, sentences within
     lines, and pieces of long sentences, each of at least `min_words` words.
 
@@ -80,18 +97,87 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]
     return [(start, end, digest) for (start, end), digest in found.items()]
 
 
+class WordHashes(dict):
+    """Word -> 64-bit hash, kept for frequent words; cleared when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 150_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+# White space as str.split knows it, by code point; the last entry stands for what is beyond.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+_ODD = 0x9E3779B97F4A7C15
+
+
+class Words:
+    """The words of a text: hashes in lower case, and where they start and end."""
+
+    def __init__(self, text: str, hashes: WordHashes):
+        found = text.lower().split()
+        self.hashes = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate([[False], ~_SPACE[np.minimum(codes, 0x3001)], [False]])
+        self.starts, self.ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+
+    def digest(self, first: int, stop: int) -> bytes:
+        return blake2b(self.hashes[first:stop].tobytes(), digest_size=16).digest()
+
+    def passages(self, first: int, stop: int) -> list[tuple[int, int, bytes]]:
+        """(start, end, digest) of every passage from word `first` up to word `stop`."""
+        return [(int(self.starts[i]), int(self.ends[i + PASSAGE - 1]), self.digest(i, i + PASSAGE))
+                for i in range(first, stop - PASSAGE + 1)]
+
+    def groups(self) -> list[tuple[int, int, int, bytes, int]]:
+        """(start, end, stop, digest, anchor) of all passages, those of one anchor as a group.
+
+        The anchor is the first smallest hash of the runs of ANCHOR words in a passage, so
+        equal passages have equal anchors, and no two passages of a group are equal. `stop`
+        is the end of the group's first passage.
+        """
+        if len(self.hashes) < PASSAGE:
+            return []
+        runs, width, factor = self.hashes, 1, _ODD
+        while width < ANCHOR:
+            runs = runs[:-width] * np.uint64(factor) + runs[width:]
+            width, factor = 2 * width, factor * factor % (1 << 64)
+        runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(_ODD)
+        runs ^= runs >> np.uint64(29)
+        least, place, width, span = runs, np.arange(len(runs)), 1, PASSAGE - ANCHOR + 1
+        while width < span:
+            step = min(width, span - width)
+            right = least[step:] < least[:-step]
+            place = np.where(right, place[step:], place[:-step])
+            least = np.where(right, least[step:], least[:-step])
+            width += step
+        firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        lasts = np.concatenate([firsts[1:], [len(place)]]) + PASSAGE - 1
+        return list(zip(self.starts[firsts].tolist(), self.ends[lasts - 1].tolist(),
+                        self.ends[firsts + PASSAGE - 1].tolist(),
+                        [self.digest(a, b) for a, b in zip(firsts.tolist(), lasts.tolist())],
+                        least[firsts].view(np.int64).tolist()))
+
+
 def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, text_hash, start, end, digest) per unit."""
+    """(id, text_hash, start, end, stop, digest, anchor) per line unit and group of passages.
+
+    The anchor of a line unit is null, and its `stop` its end.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ("start", "end", "stop", "digest", "anchor")
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            out = {n: [] for n in ("id", "text_hash", "start", "end", "digest")}
+            out = {n: [] for n in ("id", "text_hash", *names)}
             for id_, hash_, text in zip(batch["id"], batch["text_hash"], batch["text"]):
-                found = units(text, min_words)
+                found = [(a, b, b, d, None) for a, b, d in line_units(text, min_words)]
+                found += Words(text, hashes).groups()
                 out["id"] += [id_] * len(found)
                 out["text_hash"] += [hash_] * len(found)
-                for name, values in zip(("start", "end", "digest"), zip(*found)):
+                for name, values in zip(names, zip(*found)):
                     out[name] += values
             yield out
 
@@ -99,7 +185,59 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     return arrow_map(
         docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
                     text.alias("text")),
-        run, f"id {kind}, text_hash bigint, start int, end int, digest binary")
+        run, f"id {kind}, text_hash bigint, start int, end int, stop int, digest binary, "
+        "anchor bigint")
+
+
+def passage_rows(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
+    """(id, text_hash, start, end, stop, digest) per passage inside the spans of `spans`."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ("start", "end", "digest")
+    spans = spans.groupBy("id", "text_hash").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")).select(
+        F.col("id").alias("other_id"), F.col("text_hash").alias("other_hash"), "spans")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
+                        text.alias("text"))
+    texts = texts.join(spans, F.col("id").eqNullSafe(F.col("other_id"))
+                       & (F.col("text_hash") == F.col("other_hash")))
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            out = {n: [] for n in ("id", "text_hash", *names)}
+            for id_, hash_, text, spans in zip(batch["id"], batch["text_hash"], batch["text"],
+                                               batch["spans"]):
+                for span in spans:
+                    at = span["start"]
+                    words = Words(text[at:span["end"]], hashes)
+                    found = words.passages(0, len(words.hashes))
+                    out["id"] += [id_] * len(found)
+                    out["text_hash"] += [hash_] * len(found)
+                    for name, values in zip(names, zip(*found)):
+                        out[name] += values if name == "digest" else [at + v for v in values]
+            yield {**out, "stop": out["end"]}
+
+    return arrow_map(texts.select("id", "text_hash", "text", "spans"), run,
+                     f"id {kind}, text_hash bigint, start int, end int, stop int, digest binary")
+
+
+def _firsts(rows: DataFrame, *more: str) -> DataFrame:
+    """(digest, first, n): the place where a digest comes first, with its stop and `more`."""
+    place = F.struct(F.col("id").isNull().alias("without"), "id", "text_hash", "start", "stop", *more)
+    return rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+
+
+def _again(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, text_hash, start, end) of the units that stand before.
+
+    What overlaps its own first occurrence in one document loses the rest only.
+    """
+    first = firsts.filter("n > 1").select("digest", "first")
+    here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return rows.join(first, "digest").filter(~(here & (F.col("start") == F.col("first.start")))).select(
+        "id", "text_hash", F.when(here, F.greatest("start", "first.stop")).otherwise(
+            F.col("start")).alias("start"), "end")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -107,16 +245,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, text_hash, spans) of the documents that lose something.
 
     Of the units with one digest the first in order of (id, text, place) stays, null ids
-    last. First occurrences are found by map-side minima and joined back to the units, so a
-    unit repeated in a third of all documents is a skewed join key and no group.
+    last. Units whose hash stands alone are left out by a semi-join first. First occurrences
+    are found by map-side minima and joined back to the units, so a unit repeated in a third
+    of all documents is a skewed join key and no group.
+
+    A group of passages that stands before goes as a whole. Only where an anchor has groups
+    of different words, at the edges of what repeats, the first of each is taken apart and
+    its passages are compared one by one: equal passages have equal anchors, and the passages
+    of later groups are those of the first.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = scratch.write(unit_rows(docs, id_col, text_col, min_words), "units")
-    rank = F.struct(F.col("id").isNull().alias("without"), "id", "text_hash", "start")
-    first = (rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-             .filter("n > 1").select("digest", "first"))
-    again = rows.join(first, "digest").filter(rank != F.col("first"))
-    return again.groupBy("id", "text_hash").agg(
+    key = F.coalesce("anchor", F.xxhash64("digest"))
+    known = rows.groupBy(key.alias("key")).count().filter("count > 1").select("key")
+    rows = scratch.write(rows.join(known, key == F.col("key"), "left_semi"), "repeated")
+    scratch.free("units")
+    firsts = scratch.write(_firsts(rows, "end", "anchor"), "firsts")
+    groups = firsts.filter("first.anchor IS NOT NULL").select("first.*")
+    mixed = groups.groupBy("anchor").count().filter("count > 1").select("anchor")
+    edges = groups.join(mixed, "anchor", "left_semi")
+    passages = scratch.write(passage_rows(docs, id_col, text_col, edges), "passages")
+    again = _again(rows, firsts).union(_again(passages, _firsts(passages)))
+    return again.filter("start < end").groupBy("id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
@@ -131,6 +281,9 @@ def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     texts, removed = [], []
     for body, found in zip(text.to_pylist(), spans.to_pylist()):
         outer: list[dict] = []
+        for span in found or []:
+            while body[span["start"]].isspace():
+                span["start"] += 1
         for span in sorted(found or [], key=lambda s: (s["start"], -s["end"])):
             if not outer or span["start"] >= outer[-1]["end"]:
                 outer.append(span)
@@ -158,10 +311,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, text (what is left), removed (spans of the original).
 
     Units are lines, sentences in them and pieces of long sentences, of `min_words` words
-    or more, compared in lower case with single spaces. The first occurrence of a unit in
-    order of (id, text, place) stays, every other is removed together with the white space
-    behind it; `removed` keeps its code point offsets in the original. Nothing is removed
-    that does not stand somewhere before.
+    or more, and all passages of PASSAGE words from any word on, across lines and sentences:
+    what repeats over 50 words goes to its last word. Units are compared in lower case with
+    single spaces. The first occurrence of a unit in order of (id, text, place) stays, every
+    other is removed together with the white space behind it; `removed` keeps its code point
+    offsets in the original. Of a passage that overlaps its own first occurrence the rest is
+    removed. Nothing is removed that does not stand somewhere before.
 
     A null text stays null, empty and one-word texts stay as they are. Rows repeating id and
     text are one document and lose the same. Rows repeating an id only are ranked by the

@@ -94,3 +94,54 @@ def test_short_units_stay(llm):
 
 def test_empty_table(nothing):
     assert substring_dedup(nothing).count() == 0 and keep_rest(nothing).count() == 0
+
+
+def kept_words(rows, width=51):
+    """What windows of `width` words leave of (id, text) rows in order of id, word by word."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        words = text.lower().split()
+        gone = set()
+        for k in range(len(words) - width + 1):
+            doc, at = first.setdefault(tuple(words[k:k + width]), (i, k))
+            if (doc, at) != (i, k):
+                gone |= set(range(max(k, at + width) if doc == i else k, k + width))
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+def test_every_repeated_window_of_51_words_goes(llm):
+    rng = random.Random(51)
+    fresh = (f"q{n}" for n in range(10 ** 6))
+
+    def own(n):
+        return [next(fresh) for _ in range(n)]
+
+    passages = [own(n) for n in (51, 52, 54, 75, 130, 400)]
+    rows = []
+    for k in range(60):
+        words = own(rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            passage = rng.choice(passages)
+            a = rng.choice([0, 0, rng.randrange(len(passage))])
+            words += passage[a:rng.choice([len(passage), rng.randrange(a, len(passage)) + 1])]
+            words += own(rng.choice([0, 1, 3, 10]))
+        # Every word may end a line, so no line unit of 8 words is left: passages alone count.
+        rows.append((k, "".join(w.upper() + rng.choice(["\n", " \n ", "\n\n"]) for w in words)))
+    rows.append((90, "\n".join(own(10) + [f"p{k % 7}" for k in range(200)])))
+    got = {r.id: r.text.lower().split()
+           for r in substring_dedup(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = kept_words(rows)
+    assert got == want
+    assert sum(map(len, want.values())) < sum(len(t.split()) for _, t in rows) * 0.8
+
+
+def test_a_passage_joined_with_other_words_in_its_sentences_goes(llm):
+    def sentence(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    one, two = sentence("one", 27), sentence("two", 27)
+    rows = [(k, f"{sentence(f'a{k}x', 10)} {one}. {two} {sentence(f'b{k}x', 10)}.") for k in (1, 2)]
+    got = {r.id: r.text for r in substring_dedup(
+        llm.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{sentence('a2x', 10)} {sentence('b2x', 10)}."}
