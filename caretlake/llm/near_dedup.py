@@ -15,6 +15,9 @@ from caretlake.session import maybe_broadcast
 # Links join texts of at least this similarity: 100 * both >= 85 * either.
 PERCENT = 85
 
+# A corpus keeps one of the texts of this similarity.
+KEEP_PERCENT = 80
+
 # A similar pair is pruned by a look at the signatures with at most this probability.
 MISS = 1e-7
 
@@ -26,12 +29,12 @@ BLOCK_SHINGLES = 1 << 20
 OWNER_BYTES = 16 << 20
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = mh.BANDS) -> DataFrame:
     """(id, text_hash, n_shingles, node, sig): digest of the shingle set, and its signature."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        hashes, factors = mh.WordHashes(), mh.multipliers()
+        hashes, factors = mh.WordHashes(), mh.multipliers(bands * mh.BAND_ROWS)
         for batch in batches:
             sets = [mh.shingle_set(t, hashes) for t in batch["text"]]
             yield {"id": batch["id"], "text_hash": batch["text_hash"],
@@ -76,11 +79,11 @@ def candidate_sets(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame,
     return once.union(sets.filter("copies > 1").select("node", "set").dropDuplicates(["node"]))
 
 
-def band_rows(reps: DataFrame) -> DataFrame:
+def band_rows(reps: DataFrame, bands: int = mh.BANDS) -> DataFrame:
     """(bucket, node, n_shingles): one row per band of every signature."""
     width = 4 * mh.BAND_ROWS
     keys = [F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width))
-            for b in range(mh.BANDS)]
+            for b in range(bands)]
     return reps.select(F.explode(F.array(*keys)).alias("bucket"), "node", "n_shingles")
 
 
@@ -118,7 +121,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _matrix(signatures: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), mh.HASHES)
+    return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), -1)
 
 
 def block_links(part: np.ndarray, label: np.ndarray, sig: np.ndarray, sets: list[np.ndarray],
@@ -233,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     falls below `miss`, survivors confirmed on full sets. Then buckets that still hold
     several components are compared in blocks of bounded size, skipping what is connected
     already; only links leave a task, never pairs. A pair of `percent` similarity misses
-    all bands with probability (1 - s**5)**25, 4e-7 at 0.85.
+    all bands with probability (1 - s**5)**bands: 25 bands and 4e-7 at 0.85, 40 and 1e-7 at 0.8.
 
     component_id is the smallest id reachable; kept marks the row that has it. Texts
     without words (null, empty, white space) are linked with nothing, not even each other.
@@ -243,16 +246,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    bounds = mh.least_matches(percent / 100, miss)
-    rows = scratch.write(sketches(docs, id_col, text_col), "sketches")
+    bands = mh.bands(percent / 100)
+    bounds = mh.least_matches(percent / 100, miss, bands * mh.BAND_ROWS)
+    rows = scratch.write(sketches(docs, id_col, text_col, bands), "sketches")
     reps = scratch.write(rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"),
         F.first("sig").alias("sig")), "reps")
 
-    bands = band_rows(reps)
-    buckets = (bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
+    banded = band_rows(reps, bands)
+    buckets = (banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
                .filter("n > 1"))
-    multi = scratch.write(bands.join(buckets, "bucket").select(
+    multi = scratch.write(banded.join(buckets, "bucket").select(
         "bucket", "leader", "node", "n_shingles"), "multi")
     wanted = scratch.write(multi.select("node").distinct(), "wanted")
 
@@ -282,9 +286,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+             percent: int = KEEP_PERCENT, miss: float = MISS) -> DataFrame:
     """The rows whose id is the smallest of their component, with their own columns.
 
+    Near copies are texts of a similarity of `percent` or more, 80 unless told otherwise.
     Rows repeating id and text stay or go together; so do rows without an id in components
     that have none.
     """

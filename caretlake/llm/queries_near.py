@@ -10,7 +10,7 @@ from caretlake.llm.near_dedup import near_duplicates
 
 def op4_minhash_near_dedup(spark, sf_dir):
     docs = table(prepare(spark), sf_dir, "documents")
-    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles",
+    return near_duplicates(docs, percent=85).select(F.col("id").alias("doc_id"), "n_shingles",
                                         "component_id", "kept")
 
 

@@ -30,7 +30,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of every group of near-duplicates."""
+    """Keep the smallest doc_id of every group of near-duplicates, of 0.8 similarity or more."""
     prepare(spark)
     return near_dedup.keep_one(docs)
 

@@ -143,3 +143,26 @@ def test_buckets_beyond_a_block(llm, monkeypatch):
             copy[rng.randrange(100)] = f"n{rng.randrange(1000)}"
         rows.append((k, " ".join(copy)))
     assert result(llm.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
+def test_the_stage_drops_copies_of_four_fifths_similarity(llm):
+    from corpus_pipeline import near_dedup_stage
+
+    base = [f"w{i}" for i in range(104)]
+    near, far = list(base), list(base)
+    for at in (20, 60):
+        near[at] = "other"
+    for at in (20, 50, 80):
+        far[at] = "another"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    a, b, c = (shingles(t) for _, t in rows)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and max(len(a & c) / len(a | c), len(b & c) / len(b | c)) < 0.8
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_dedup_stage(llm, docs, "").collect()) == [1, 3]
+    got = near_duplicates(docs, percent=80).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, 80)
+
+
+def test_bands_miss_few_pairs():
+    assert mh.bands(0.85) == mh.BANDS and mh.bands(0.8) == 40
+    assert all((1 - s ** mh.BAND_ROWS) ** mh.bands(s) <= mh.BAND_MISS for s in (0.5, 0.7, 0.8, 0.85, 0.95, 1))
