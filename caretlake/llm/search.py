@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,10 @@ BLOCK_BITS = 6
 TASK_POSTINGS = 4_000_000
 QUERY_ROWS = 512
 
+# Queries that a search task takes through its shards together, and bytes of their terms.
+BLOCK_QUERIES = 8192
+BLOCK_BYTES = 32 << 20
+
 INDEX = ("shard_docs bigint, shard_words bigint, ids array<{kind}>, lengths binary, terms binary, "
          "offsets binary, docs binary, counts binary")
 
@@ -214,10 +219,11 @@ def search_all(index: DataFrame, tasks: int, query_files: list[str], total: int,
                mean_words: float, query_kind: str, k: int) -> DataFrame:
     """(query, id, score): for every task, the best k of its shards for every query.
 
-    The index is a written table; a task gets names of its files and reads shard after
-    shard, one in memory at a time, and for each of them the query table block by block.
-    From shard to shard it carries the best k of every query, whose last score is the next
-    shard's first threshold.
+    The index is a written table; a task gets names of its files and takes the query table
+    block by block. For each block it reads shard after shard, one in memory at a time, and
+    carries the best k of the block's queries from shard to shard, whose last score is the
+    next shard's first threshold. A block leaves the task when it has met all shards, so a
+    task holds one shard and one block, whatever the number of queries.
     """
     spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
@@ -226,22 +232,48 @@ def search_all(index: DataFrame, tasks: int, query_files: list[str], total: int,
     files = spark.createDataFrame([(f,) for f in index.inputFiles()], "file string")
 
     def run(batches):
-        best: dict = {}
-        for batch in batches:
-            for row in _blocks(batch.column("file").to_pylist(), 1):
+        names = [f for batch in batches for f in batch.column("file").to_pylist()]
+
+        def shards():
+            for row in _blocks(names, 1):
                 cells = {n: row.column(n)[0] for n in row.schema.names}
-                shard = Shard({n: v.as_py() if n in ("ids", "shard_docs", "shard_words")
-                               else v.as_buffer() for n, v in cells.items()}, mean_words)
-                for rows in _blocks(query_files, QUERY_ROWS):
-                    _search_block(shard, rows, total, k, best)
-        for part in _portions(list(best.items()), 5000):
-            rows = [(query, i, score) for query, (ranked, _) in part for score, i in ranked]
-            yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(
-                zip(*rows), target)], schema=target)
+                yield Shard({n: v.as_py() if n in ("ids", "shard_docs", "shard_words")
+                             else v.as_buffer() for n, v in cells.items()}, mean_words)
+
+        for best in best_of_blocks(shards, _blocks(query_files, QUERY_ROWS), total, k):
+            for part in _portions(list(best.items()), 5000):
+                rows = [(query, i, score) for query, (ranked, _) in part for score, i in ranked]
+                yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(
+                    zip(*rows), target)], schema=target)
 
     return files.repartition(tasks).mapInArrow(run, schema)
 
 
+def best_of_blocks(shards: Callable[[], Iterator[Shard]], batches: Iterator, total: int, k: int,
+                   queries: int = BLOCK_QUERIES):
+    """{query: (ranked, threshold)} of one block of the query batches after the other."""
+    for block in _query_blocks(batches, queries):
+        best: dict = {}
+        for shard in shards():
+            for rows in block:
+                _search_block(shard, rows, total, k, best)
+        if best:
+            yield best
+
+
+def _query_blocks(batches: Iterator, queries: int):
+    """Lists of batches: up to `queries` rows, fewer when they are many bytes."""
+    block, rows, size = [], 0, 0
+    for batch in batches:
+        if block and (rows + batch.num_rows > queries or size + batch.nbytes > BLOCK_BYTES):
+            yield block
+            block, rows, size = [], 0, 0
+        block.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+    if block:
+        yield block
+
+
 def _portions(items: list, size: int):
     for at in range(0, len(items), size):
         yield items[at:at + size]

@@ -70,3 +70,46 @@ def test_empty_tables(hard, nothing):
     assert top_k(hard, nothing).count() == 0
     assert top_k(nothing, hard).count() == 0
     assert top_k(nothing, nothing).count() == 0
+
+
+def test_a_task_holds_one_block_of_queries(monkeypatch):
+    import pyarrow as pa
+
+    held, met = [], []
+
+    def seen(shard, rows, total, k, best):
+        for query in rows.column("query").to_pylist():
+            best[query] = ([(1.0, shard)], 1.0)
+            met.append((shard, query))
+        held.append(len(best))
+
+    monkeypatch.setattr(search, "_search_block", seen)
+    batches = [pa.RecordBatch.from_pydict({"query": list(range(a, a + 10))}) for a in range(0, 1000, 10)]
+    blocks = list(search.best_of_blocks(lambda: iter("xyz"), iter(batches), 1, 10, queries=40))
+    assert max(held) == 40 and [len(b) for b in blocks] == [40] * 25
+    assert sorted(met) == [(s, q) for s in "xyz" for q in range(1000)]
+
+
+def test_results_over_several_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [{"ids": list(range(20 * n, 20 * n + 20)), "lengths": np.full(20, 9, np.int64).tobytes(),
+             "terms": np.arange(5, dtype=np.uint64).tobytes(),
+             "offsets": np.arange(0, 41, 8, dtype=np.int64).tobytes(),
+             "docs": np.concatenate([np.sort(rng.permutation(20)[:8]) for _ in range(5)]).astype(np.int32).tobytes(),
+             "counts": rng.integers(1, 9, 40).astype(np.int32).tobytes()} for n in range(3)]
+    kind = pa.list_(pa.struct([("term", pa.int64()), ("df", pa.int64())]))
+    batches = [pa.RecordBatch.from_arrays([pa.array([q]), pa.array(
+        [[{"term": t, "df": 24} for t in range(q % 4 + 1)]], kind)], ["query", "terms"]) for q in range(12)]
+
+    def found(queries):
+        out = {}
+        for best in search.best_of_blocks(lambda: (search.Shard(r, 9.0) for r in rows),
+                                          iter(batches), 60, 3, queries):
+            assert len(best) <= queries and not out.keys() & best.keys()
+            out |= best
+        return out
+
+    assert found(2) == found(5) == found(100) and len(found(2)) == 12
