@@ -1,4 +1,4 @@
-"""Exact BM25 top-k search: a sharded inverted index and block-max WAND."""
+"""Exact BM25 top-k search: a sharded inverted index and block-max MaxScore."""
 
 from __future__ import annotations
 
@@ -177,7 +177,7 @@ class Shard:
         """Documents that may be among the best k, with scores to nine decimals.
 
         threshold: a score that k documents elsewhere have reached already; documents that
-        only equal it are still returned. Terms are ordered by the largest score each can
+        only equal it are still returned. This is MaxScore: terms are ordered by the largest score each can
         give. Those in front of the pivot can't lift a document to the threshold even
         together, so only the lists from the pivot on are read whole. A document met there
         goes on if its sum and the block maxima of the terms in front reach the threshold;
