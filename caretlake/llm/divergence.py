@@ -11,10 +11,12 @@ with p diverges from one with q by floor((p - q)^2 / q).
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ _FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
                 for c in range(256))
 
 # Counts a task holds before it hands its stripes on.
-HELD = 250_000
+HELD = 800_000
+# Rows of stripes in a batch.
+ROWS = 20_000
 # Stripes worked on at once, cells of one array of divergences, and cells of a task's table of
 # pairs; with more pairs, blocks of sources are dealt over tasks.
 STRIPES, CELLS, PAIRS = 4_096, 1 << 20, 4 << 20
@@ -85,81 +89,121 @@ def fold_stripes(docs: DataFrame, text: str = "text", lang: str = "lang",
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        stripes, size = {}, 0
+        seen = _Seen()
         for batch in batches:
             for words, of, own in zip(batch["text"], batch["lang"], batch["source"]):
-                table = stripes.setdefault(of, {})
-                counts = Counter(words.translate(_FOLDED).split())
-                counts[b""] = 1
-                for term, count in counts.items():
-                    stripe = table.get(term)
-                    if stripe is None:
-                        table[term] = [1, {own: count}]
-                        size += 1
-                    else:
-                        stripe[0] += 1
-                        by = stripe[1]
-                        if own in by:
-                            by[own] += count
-                        else:
-                            by[own] = count
-                            size += 1
-            if size >= held:
-                yield from _rows(stripes)
-                stripes, size = {}, 0
-        yield from _rows(stripes)
+                seen.add(words.translate(_FOLDED).split(), of, own)
+                if seen.size() >= held:
+                    yield from seen.stripes()
+                    seen = _Seen()
+        yield from seen.stripes()
 
     return arrow_map(docs.select(text_bytes(text).alias("text"), string(lang).alias("lang"),
                                  string(source).alias("source")), run, _STRIPE)
 
 
-def _rows(stripes: dict) -> Iterator[dict]:
-    for lang, table in stripes.items():
-        items = list(table.items())
-        for at in range(0, len(items), STRIPES):
-            some = items[at:at + STRIPES]
-            yield {"lang": [lang] * len(some), "term": [t.decode() for t, _ in some],
-                   "docs": [s[0] for _, s in some],
-                   "sources": [list(s[1]) for _, s in some],
-                   "counts": [list(s[1].values()) for _, s in some]}
+class _Seen:
+    """Counts of a partition so far: rows by term for each language, words for each group."""
+
+    def __init__(self):
+        self.docs, self.counts, self.held = defaultdict(Counter), defaultdict(Counter), 0
+
+    def add(self, words: list, lang: str, source: str) -> None:
+        docs, counts = self.docs[lang], self.counts[lang, source]
+        before = len(docs) + len(counts)
+        docs.update({*words, b""})
+        counts.update(words)
+        counts[b""] += 1
+        self.held += len(docs) + len(counts) - before
+
+    def size(self) -> int:
+        return self.held
+
+    def stripes(self) -> Iterator[dict]:
+        """The counts turned into stripes, a language at a time."""
+        for lang, docs in self.docs.items():
+            at = dict(zip(docs, range(len(docs))))
+            own = [(source, c) for (of, source), c in self.counts.items() if of == lang]
+            sizes = [len(c) for _, c in own]
+            row = np.fromiter((at[t] for _, c in own for t in c), np.int64, sum(sizes))
+            count = np.fromiter((n for _, c in own for n in c.values()), np.int64, sum(sizes))
+            order = np.argsort(row, kind="stable")
+            source = np.repeat(np.arange(len(own)), sizes)[order]
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(docs)))]
+            names, terms = pa.array([n for n, _ in own], pa.string()), list(docs)
+            rows = np.fromiter(docs.values(), np.int64, len(docs))
+            count = count[order]
+            for low in range(0, len(terms), ROWS):
+                high = min(low + ROWS, len(terms))
+                part = slice(ends[low], ends[high])
+                yield {"lang": [lang] * (high - low), "docs": rows[low:high],
+                       "term": pa.array(terms[low:high], pa.binary()),
+                       "sources": _lists(names.take(pa.array(source[part])), ends[low:high + 1]),
+                       "counts": _lists(pa.array(count[part]), ends[low:high + 1])}
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), values)
 
 
 def merge_stripes(stripes: DataFrame, min_docs: int, parts: int) -> DataFrame:
     """One stripe per (lang, term); terms of fewer than `min_docs` rows go, '' stays.
 
-    A key's stripes follow each other and are added up as they come: a task holds the sums of
-    one batch, and of a term at most one number per source.
+    A key's stripes follow each other and are added up as they come: a task holds the rows of
+    one batch, and of a term that goes on at most one number per source.
     """
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        key, docs, counts = None, 0, {}
-        out = []
-
-        def close():
-            if key is not None and (docs >= min_docs or key[1] == ""):
-                out.append((*key, docs, list(counts), list(counts.values())))
-
+        held, size = [], 0
         for batch in batches:
-            for lang, term, more, sources, added in zip(*(batch[c] for c in (
-                    "lang", "term", "docs", "sources", "counts"))):
-                if (lang, term) != key:
-                    close()
-                    key, docs, counts = (lang, term), 0, {}
-                docs += more
-                for source, count in zip(sources, added):
-                    counts[source] = counts.get(source, 0) + count
-            if len(out) >= STRIPES:
-                yield _columns(out)
-                out = []
-        close()
-        if out:
-            yield _columns(out)
+            held.append(batch)
+            size += len(batch["term"])
+            if size >= ROWS:
+                done, rest = _merge(held, min_docs)
+                yield done
+                held, size = [rest], 1
+        if size:
+            done, rest = _merge(held, min_docs)
+            yield done
+            yield {c: v if rest["docs"][0].as_py() >= min_docs or rest["term"][0].as_py() == ""
+                   else v[:0] for c, v in rest.items()}
 
     ordered = stripes.repartition(parts, "lang", "term").sortWithinPartitions("lang", "term")
-    return arrow_map(ordered, run, _STRIPE)
-
-
-def _columns(rows: list) -> dict:
-    return dict(zip(("lang", "term", "docs", "sources", "counts"), map(list, zip(*rows))))
+    return arrow_map(ordered, run, _STRIPE, raw=("lang", "term", "docs", "sources", "counts"))
+
+
+def _merge(batches: list, min_docs: int) -> tuple[dict, dict]:
+    """What adjacent rows of equal keys add up to, and the last key's row, which may go on."""
+    rows = {c: pa.concat_arrays([b[c] for b in batches]) for c in batches[0]}
+    n = len(rows["term"])
+    new = np.ones(n, bool)
+    new[1:] = pc.or_(pc.not_equal(rows["term"][1:], rows["term"][:-1]),
+                     pc.not_equal(rows["lang"][1:], rows["lang"][:-1])).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    docs = np.add.reduceat(rows["docs"].to_numpy(), starts)
+    run = np.repeat(np.cumsum(new) - 1, pc.list_value_length(rows["sources"]).to_numpy())
+    sources = rows["sources"].flatten().dictionary_encode()
+    width = len(sources.dictionary)
+    key = run * width + sources.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    counts = np.add.reduceat(rows["counts"].flatten().to_numpy()[order], first)
+    own, code = np.divmod(key[first], width)
+    terms = rows["term"].take(pa.array(starts))
+    keep = (docs >= min_docs) | (pc.binary_length(terms).to_numpy() == 0)
+    keep[-1] = False
+    last = np.zeros(len(starts), bool)
+    last[-1] = True
+
+    def some(which: np.ndarray) -> dict:
+        entries, at = which[own], pa.array(np.flatnonzero(which))
+        ends = np.r_[0, np.cumsum(np.bincount(own, minlength=len(starts))[which])]
+        return {"lang": rows["lang"].take(pa.array(starts[which])), "term": terms.take(at),
+                "docs": pa.array(docs[which]),
+                "sources": _lists(sources.dictionary.take(pa.array(code[entries])), ends),
+                "counts": _lists(pa.array(counts[entries]), ends)}
+
+    return some(keep), some(last)
 
 
 def _groups(merged: DataFrame) -> DataFrame:
