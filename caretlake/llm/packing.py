@@ -22,8 +22,11 @@ SLOTS = T.StructType([T.StructField(n, T.LongType()) for n in
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   max_tokens: int = MAX_TOKENS, tokenizer: str | None = None) -> DataFrame:
-    """(id, piece, start, length, ids): the ids of every text with an end id behind them,
-    cut into pieces of `max_tokens` if there are more. ids are 32-bit little-endian."""
+    """(id, piece, start, length, ids): the ids of every text with an end id behind them.
+
+    More than `max_tokens` are cut from the end on, so that only the first piece may be shorter.
+    ids are 32-bit little-endian.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([END_ID], np.uint32).tobytes()
 
@@ -33,8 +36,10 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = {n: [] for n in ("id", "piece", "start", "length", "ids")}
             for id_, ids in zip(batch["id"], encoder.encode(batch["text"])):
                 ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at:at + 4 * max_tokens]
+                first = (len(ids) // 4 - 1) % max_tokens + 1
+                cuts = [0, *range(4 * first, len(ids) + 1, 4 * max_tokens)]
+                for piece, (at, to) in enumerate(zip(cuts, cuts[1:])):
+                    part = ids[at:to]
                     for name, value in zip(out, (id_, piece, at // 4, len(part) // 4, part)):
                         out[name].append(value)
             yield out

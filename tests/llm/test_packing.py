@@ -7,8 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from caretlake.llm.common import table
 from caretlake.llm.packing import pack_documents, plan_slots
+from caretlake.llm.queries_packing import op9_best_fit_packing
 from caretlake.llm.token_ids import PLAIN, byte_bpe
+from tests.conftest import SF
 from tests.llm.conftest import HARD
 
 
@@ -83,6 +86,30 @@ def test_hard_rows(hard, limit):
     assert len(sequences) <= -(-sum(r.length for r in rows) // limit) * 1.3 + 1
 
 
+def test_query_against_brute_force(llm):
+    """Pieces made again by the library from whole texts, and as few sequences as best fit needs."""
+    docs = table(llm, SF, "documents")
+    want, lengths = [], defaultdict(int)
+    for r in docs.collect():
+        ids, at, piece = ids_of(r.text or ""), 0, 0
+        while at < len(ids):
+            to = at + ((len(ids) - at - 1) % 2048 + 1)
+            want.append((r.doc_id, piece, at, to - at, crc32(ids[at:to].tobytes())))
+            lengths[to - at] += 1
+            at, piece = to, piece + 1
+    rows = op9_best_fit_packing(llm, SF).collect()
+    assert sorted(want) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert max(r.piece for r in rows) > 1
+    assert all(r.length == 2048 for r in rows if r.piece)
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for slots in sequences.values():
+        slots.sort()
+        assert [at for at, _ in slots] == [sum(n for _, n in slots[:i]) for i in range(len(slots))]
+    assert len(sequences) == len(best_fit(lengths, 2048))
+
+
 def test_a_length_shared_by_all(llm):
     df = llm.range(1000).selectExpr("id AS doc_id", "'same text' AS text")
     rows = pack_documents(df, keep_ids=False).collect()
