@@ -166,7 +166,9 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     Every file is inflated once as a stream, whatever its members; each record becomes a
     member of its own and a line of the sidecar index `<archive>.index.json`. Returns
-    (archive, records, bytes). Archives are tasks; nothing but their names is listed here.
+    (archive, records, bytes). Archives are tasks; nothing but their names is listed here. No
+    archives give no rows; two of one name in different folders stop the job, since both
+    would be written to one file.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -181,12 +183,24 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
              .select("path"))
-    rows = arrow_map(found.repartition("path"), run, "archive string, records bigint, bytes bigint")
+    names = found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    archives, different = names.agg(F.count("*"), F.count_distinct("name")).first()
+    if different < archives:
+        raise ValueError(f"archives below {source} share names")
+    rows = arrow_map(one_each(found, archives, "path"), run, "archive string, records bigint, bytes bigint")
     path = f"{target}/_manifest"
     rows.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def one_each(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows in the order of `by` over `n` tasks, as they name large files and are small themselves.
+
+    The number is given, or rows would be put together into few tasks by their size.
+    """
+    return rows.repartitionByRange(max(1, n), *by)
+
+
 INDEX = "archive string, offset bigint, length bigint, type string, record_id string"
 
 
@@ -230,8 +244,9 @@ def read_records(index: DataFrame) -> DataFrame:
                     out[name].append(value)
             yield out
 
-    share = F.shiftright("offset", READ_BITS)
-    rows = (index.withColumn("share", share).repartition("archive", "share")
+    index = index.withColumn("share", F.shiftright("offset", READ_BITS))
+    shares = index.agg(F.count_distinct("archive", "share")).first()[0]
+    rows = (one_each(index, shares, "archive", "share")
             .sortWithinPartitions("archive", "offset"))
     return arrow_map(rows, run, "record_id string, type string, payload_bytes bigint, "
                      "payload_digest string, refers_to string, payload binary")

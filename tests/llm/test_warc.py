@@ -5,9 +5,17 @@ import io
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from caretlake.llm.common import Scratch
-from caretlake.llm.warc import archive_pages, normalise, read_index, split_members
+from caretlake.llm.warc import (
+    archive_pages,
+    normalise,
+    one_each,
+    read_index,
+    read_records,
+    split_members,
+)
 
 ROWS = [(1, "http://a/\r\nX: y", "<p>ü</p>"), (2, None, None), (3, "http://c", ""),
         (4, "http://d", "<p>ü</p>"), (None, "http://e", "<p>ü</p>"), (None, "f", "only here"),
@@ -90,3 +98,24 @@ def test_normalising_twice_gives_the_same_bytes(llm):
     files = [open(f"{scratch.path(t)}/a.warc.warc.gz", "rb").read() for t in ("x", "y")]
     assert files[0] == files[1]
     assert read_index(llm, scratch.path("x")).count() == 2
+
+
+def test_archives_are_tasks(llm):
+    """Names of archives are few bytes; the work behind them must not end up in one task."""
+    scratch = Scratch(llm, "warc-test")
+    source = scratch.path("in")
+    os.makedirs(f"{source}/more")
+    for n in range(6):
+        with gzip.open(f"{source}/a{n}.warc.gz", "wb") as out:
+            out.write(record(n, b"x" * n))
+    names = llm.read.format("binaryFile").load(f"{source}/*.gz").select("path")
+    dealt = one_each(names, 6, "path").withColumn("task", F.spark_partition_id())
+    assert dealt.rdd.getNumPartitions() == 6
+    assert dealt.agg(F.count_distinct("task")).first()[0] == 6
+    assert normalise(llm, source, scratch.path("out")).count() == 6
+    index = read_index(llm, scratch.path("out"))
+    assert read_records(index).rdd.getNumPartitions() == 6
+    with gzip.open(f"{source}/more/a1.warc.gz", "wb") as out:
+        out.write(record(9, b"y"))
+    with pytest.raises(ValueError, match="share names"):
+        normalise(llm, f"{source}{{,/more}}", scratch.path("again"))
