@@ -28,8 +28,8 @@ from caretlake.llm.page_samples import made_up, told_by_markup
 PATH, WORD, SIZES, HIDDEN = 16, 8, 6, 16
 INPUT = PATH + WORD + SIZES
 
-# Pages the network learns from: those of the table with the smallest hashed ids among those
-# that name their article and have no more than SAMPLE_CHARS characters, and made-up ones.
+# Pages the network learns from: those of the table with the smallest hashes among those that
+# name their article and have no more than SAMPLE_CHARS characters, and made-up ones.
 SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES, EPOCHS = 300, 50_000, 600, 14
 # Cells (blocks and padding) of pages the network looks at together.
 CELLS = 40_000
@@ -239,10 +239,13 @@ def train_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     their article teach nothing; a table without any leaves the made-up ones.
     """
     html = F.col(f"`{html_col}`")
-    named = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), html.alias("html")).filter(
+    named = pages.select(F.xxhash64(F.col(f"`{id_col}`").cast("string"), html).alias("key"),
+                         html.alias("html")).filter(
         (F.length(html) <= SAMPLE_CHARS) & html.rlike("(?i)<(article|main)[\\s>]"))
-    rows = named.orderBy(F.xxhash64("id"), "id", "html").limit(sample_pages).collect()
-    told = [told_by_markup(r.html) for r in rows]
+    # Numbers are ranked first, so tasks hand on eight bytes a page; repeated pages count once.
+    keys = [r.key for r in named.groupBy("key").count().orderBy("key").limit(sample_pages).collect()]
+    rows = named.filter(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html"))
+    told = [told_by_markup(r.html) for r in sorted(rows.collect(), key=lambda r: r.key)]
     labeller = Labeller()
     labeller.train([p for p in told if any(p[1])] + made_up(made_pages), epochs=epochs)
     return labeller
