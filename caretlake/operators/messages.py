@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.functions import envelope as env
-from caretlake.operators.scan import running
+from caretlake.operators.scan import measured_cuts, running
 
 _ENVELOPE = "jsonrpc variant, id variant, method variant, result variant, error variant"
 
@@ -63,8 +63,8 @@ def parse_envelope(msgs: DataFrame) -> DataFrame:
 def parse_calls(msgs: DataFrame) -> DataFrame:
     """Inbound messages as typed calls for the replay.
 
-    (session, seq, kind, method, status, uri, changes, n_full, n_ranged, text, line, ch).
-    `changes` lists what a didOpen or didChange carries, in order, with `full` telling
+    (session, seq, kind, method, id, status, uri, changes, n_full, n_ranged, text, line, ch).
+    `id` is the JSON text of the request's id, null for notifications. `changes` lists what a didOpen or didChange carries, in order, with `full` telling
     whole texts from ranged edits, which are ignored; `text` is the last whole text.
     Calls lacking what they need are `invalid_params`; a version only has to be there, be
     it null.
@@ -100,7 +100,7 @@ def parse_calls(msgs: DataFrame) -> DataFrame:
     status = F.when((F.col("status") == S.OK) & F.coalesce(lacking, F.lit(False)),
                     S.INVALID_PARAMS).otherwise(F.col("status"))
     own = {c: F.col(c) for c in ("uri", "changes", "n_full", "n_ranged", "text", "line", "ch")}
-    return df.select("session", "seq", "kind", "method", env.computed(status=status, **own))
+    return df.select("session", "seq", "kind", "method", "id", env.computed(status=status, **own))
 
 
 def dead_letters(msgs: DataFrame) -> DataFrame:
@@ -141,14 +141,13 @@ def explain_errors(msgs: DataFrame, codes: DataFrame) -> DataFrame:
         "family", F.when(F.col("code").between(low, high), "server"), F.lit("unknown")))
 
 
-def pair_messages(msgs: DataFrame, levels: int = 1) -> DataFrame:
+def pair_messages(msgs: DataFrame) -> DataFrame:
     """Requests with their responses: (session, id, nth, request_seq, response_seq, distance, outcome).
 
     The n-th request of an id belongs to the n-th response of that id, provided the
     response came later; `outcome` is answered / unanswered / orphan. Occurrences are
     numbered with running counts, so an id reused without end stays spread out, and the
-    two sides meet in one aggregation instead of a join. Sparse message numbers take 2 or 3
-    `levels` (see `running`).
+    two sides meet in one aggregation instead of a join.
     """
     parsed = parse_envelope(msgs).filter(F.col("id").isNotNull() & (
         ((F.col("kind") == "request") & (F.col("direction") != "out"))
@@ -158,7 +157,7 @@ def pair_messages(msgs: DataFrame, levels: int = 1) -> DataFrame:
     rows = parsed.select("session", "id", "seq", "kind", *times)
     rows = running(rows, ["session", "id"], "seq", {
         "_req": ("sum", is_request.cast("long")), "_resp": ("sum", (~is_request).cast("long"))},
-        levels=levels)
+        cuts=measured_cuts(msgs.select("session", "seq"), ["session"], "seq"))
     nth = F.when(is_request, F.col("_req")).otherwise(F.col("_resp"))
     sides = [F.max(F.when(is_request, F.col("seq"))).alias("q"),
              F.max(F.when(~is_request, F.col("seq"))).alias("r")]
@@ -184,13 +183,9 @@ def pair_messages(msgs: DataFrame, levels: int = 1) -> DataFrame:
     return out
 
 
-def assign_request_ids(requests: DataFrame, name: str = "id", levels: int = 1) -> DataFrame:
-    """Number the requests of every session from 0 in message order.
-
-    Sparse message numbers take 2 or 3 `levels` (see `running`).
-    """
-    numbered = running(requests, ["session"], "seq", {name: ("sum", F.lit(1).cast("long"))},
-                       levels=levels)
+def assign_request_ids(requests: DataFrame, name: str = "id") -> DataFrame:
+    """Number the requests of every session from 0 in message order."""
+    numbered = running(requests, ["session"], "seq", {name: ("sum", F.lit(1).cast("long"))})
     return numbered.withColumn(name, F.col(name) - 1)
 
 

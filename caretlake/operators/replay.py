@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caretlake import schemas as S
 from caretlake.operators.context import context_window, mask_prompt, resolve_position
 from caretlake.operators.messages import route_messages
-from caretlake.operators.scan import running
+from caretlake.operators.scan import measured_cuts, running
 from caretlake.operators.skew import spread_join, wanted_only
 from caretlake.session import materialize, maybe_broadcast
 
@@ -37,19 +37,25 @@ def _is_write():
 
 
 def _narrow(calls: DataFrame) -> DataFrame:
-    return calls.select("session", "seq", "kind", "method", "status", "uri", "n_full", "n_ranged",
-                        "line", "ch")
+    return calls.select("session", "seq", "kind", "method", "id", "status", "uri", "n_full",
+                        "n_ranged", "line", "ch")
 
 
-def session_epochs(calls: DataFrame, levels: int = 1) -> DataFrame:
+def session_cuts(calls: DataFrame) -> tuple[int, ...]:
+    """How the message numbers of the sessions are cut (see `measured_cuts`)."""
+    return measured_cuts(calls.select("session", "seq"), ["session"], "seq")
+
+
+def session_epochs(calls: DataFrame, cuts: tuple[int, ...] | None = None) -> DataFrame:
     """Add `epoch` (initialize calls so far, 0 = none) and `epoch_start` (seq of the last).
 
-    Pass narrow rows: every given column is sorted along. Sparse message numbers, such as
-    microseconds, take 2 or 3 `levels` (see `running`).
+    Pass narrow rows: every given column is sorted along. Message numbers may be dense or
+    sparse, such as microseconds; they are measured first.
     """
+    cuts = session_cuts(calls) if cuts is None else cuts
     return running(calls, ["session"], "seq", {
         "epoch": ("sum", _is_init().cast("long")),
-        "epoch_start": ("max", F.when(_is_init(), F.col("seq")))}, levels=levels)
+        "epoch_start": ("max", F.when(_is_init(), F.col("seq")))}, cuts=cuts)
 
 
 def _changes(calls: DataFrame, full: bool) -> DataFrame:
@@ -72,16 +78,17 @@ def ignored_changes(calls: DataFrame) -> DataFrame:
     return _changes(calls, False)
 
 
-def document_states(calls: DataFrame, levels: int = 1) -> DataFrame:
+def document_states(calls: DataFrame) -> DataFrame:
     """Narrow calls with epoch, last_open and last_write of their uri up to each call.
 
     Both reach across epochs; a document is open in the current epoch exactly if
     `last_open > epoch_start`, and then the last write is an effective one too.
     """
-    rows = session_epochs(_narrow(calls), levels)
+    cuts = session_cuts(calls)
+    rows = session_epochs(_narrow(calls), cuts)
     states = running(rows, ["session", "uri"], "seq", {
         "last_open": ("max", F.when(_is_open(), F.col("seq"))),
-        "last_write": ("max", F.when(_is_write(), F.col("seq")))}, levels=levels)
+        "last_write": ("max", F.when(_is_write(), F.col("seq")))}, cuts=cuts)
     return states.withColumn("is_open", F.coalesce(
         F.col("last_open") > F.col("epoch_start"), F.lit(False)))
 
@@ -93,8 +100,9 @@ def _texts(calls: DataFrame) -> DataFrame:
 def corpus_as_of(calls: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Completion requests with the text their document had at that moment.
 
-    (session, seq, epoch, uri, line, ch, write_seq, status, text); status is ok,
-    invalid_params, not_initialized or unknown_document. The narrow answers are written
+    (session, seq, id, epoch, uri, line, ch, write_seq, status, text); `id` is the JSON text of
+    the request's own id, null for a notification; status is ok, invalid_params,
+    not_initialized or unknown_document. The narrow answers are written
     once. Texts no request refers to are left out before anything moves; one that very many
     refer to is copied and they are dealt over the copies. `states` are the document states
     of the calls, if they are at hand.
@@ -108,7 +116,7 @@ def corpus_as_of(calls: DataFrame, states: DataFrame | None = None) -> DataFrame
               .when(F.col("epoch") == 0, S.NOT_INITIALIZED)
               .when(~F.col("is_open"), S.UNKNOWN_DOCUMENT).otherwise(S.OK))
     asked = asked.withColumn("status", status).select(
-        "session", "seq", "epoch", "uri", "line", "ch", "status",
+        "session", "seq", "id", "epoch", "uri", "line", "ch", "status",
         F.when(F.col("status") == S.OK, F.col("last_write")).alias("write_seq"))
     asked, on = materialize(asked), ["session", "write_seq"]
     return spread_join(asked, wanted_only(_texts(calls), asked.filter("status = 'ok'"), on), on,
@@ -136,6 +144,18 @@ def corpus_snapshot(calls: DataFrame, all_epochs: bool = False) -> DataFrame:
         "session", "epoch", "uri", "seq", "text")
 
 
+def session_states(calls: DataFrame) -> DataFrame:
+    """What the sessions of a log have come to: (session, last_seq, initialized, uri, text).
+
+    A row per document open at the end, one with a null uri for a session without any. The
+    live replay goes on from here (`stream_prompts(initial=…)`).
+    """
+    last = calls.groupBy("session").agg(
+        F.max("seq").alias("last_seq"), (F.count_if(_is_init()) > 0).alias("initialized"))
+    docs = corpus_snapshot(calls).select("session", "uri", "text")
+    return last.join(docs, "session", "left")
+
+
 def corpus_stats(snapshot: DataFrame) -> DataFrame:
     """Documents and characters per corpus."""
     return snapshot.groupBy("session", "epoch").agg(

@@ -8,6 +8,7 @@ from caretlake import schemas as S
 from caretlake.operators import messages as msg
 from caretlake.operators import replay
 from caretlake.operators import scan
+from caretlake.session import materialize
 
 
 def message(method, id=None, **params):
@@ -94,7 +95,6 @@ def random_session(rng, n):
 def stretches(request, monkeypatch):
     """Replay with stretches of 65,536 and of 8 messages."""
     monkeypatch.setattr(scan, "STRETCH_BITS", request.param)
-    monkeypatch.setattr(scan.running, "__defaults__", (True, 1, request.param))
 
 
 def test_replay_against_simulation(spark, stretches):
@@ -124,6 +124,31 @@ def test_replay_against_simulation(spark, stretches):
     calls.unpersist()
 
 
+def test_microsecond_numbers(spark, monkeypatch):
+    """Sparse numbers of one busy session: the answers are those of the same dense numbers, and
+    no scan meets more rows at once than stretches may hold."""
+    monkeypatch.setattr(scan, "STRETCH_BITS", 5)
+    rng = random.Random(8)
+    raws = random_session(rng, 300)
+    at = sorted(rng.sample(range(10 ** 15, 10 ** 15 + 10 ** 9), 200)) + list(range(2 * 10 ** 15, 2 * 10 ** 15 + 100))
+    dense = materialize(msg.parse_calls(log(spark, raws)))
+    sparse = materialize(msg.parse_calls(spark.createDataFrame(
+        [(0, s, "in", raw) for s, raw in zip(at, raws)], S.MESSAGES)))
+    cuts = replay.session_cuts(sparse)
+    assert sparse.groupBy(F.shiftright("seq", cuts[0])).count().agg(F.max("count")).first()[0] <= 32
+
+    def answers(calls, number):
+        def rows(df, *columns):
+            return sorted((number(r.seq), *[r[c] for c in columns]) for r in df.collect())
+        return (rows(replay.replay_status(calls, S.routes(spark)), "status"),
+                sorted((number(r.seq), r.status, r.text or "") for r in replay.corpus_as_of(calls).collect()),
+                rows(replay.effective_writes(calls), "change_idx", "text", "epoch"),
+                rows(replay.corpus_snapshot(calls), "uri", "text", "epoch"),
+                sorted(map(tuple, replay.change_audit(calls).collect()), key=repr))
+
+    assert answers(sparse, at.index) == answers(dense, int)
+
+
 def test_two_full_changes_in_one_message(spark):
     raw = message("textDocument/didChange", textDocument={"uri": "u", "version": 1},
                   contentChanges=[{"text": "one"}, {"text": "no", "range": {"start": 1}}, {"text": "two"}])
