@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.operators.ngram import ngram_candidates, ngram_complete
-from caretlake.operators.vocabulary import PAGE_SIZE, vocab_complete, vocab_labels
+from caretlake.operators.vocabulary import PAGE_SIZE, vocab_complete
 from caretlake.session import ship
 
 # prompts, k -> per prompt the (label, score) pairs in model order
@@ -20,7 +20,12 @@ FillModel = Callable[[list[str], int], list[list[tuple[str, float]]]]
 
 
 class Completer:
-    """`complete(prompts, k)` maps (request_id, …) to (request_id, rank, label, score)."""
+    """`complete(prompts, k)` maps (request_id, …) to (request_id, rank, label, score).
+
+    A `paged` completer's answers may be too long for one value: take `pages`, a row per page.
+    """
+
+    paged = False
 
     def complete(self, prompts: DataFrame, k: int = S.NUM_RESULTS) -> DataFrame:
         raise NotImplementedError
@@ -46,7 +51,12 @@ class EmptyCompleter(Completer):
 
 
 class VocabCompleter(Completer):
-    """The whole vocabulary in file order, for every prompt; `k` does not apply."""
+    """The whole vocabulary in file order, for every prompt; `k` does not apply.
+
+    `labels` gathers a request's whole answer as one value and is for small vocabularies.
+    """
+
+    paged = True
 
     def __init__(self, vocab: DataFrame):
         self.vocab = vocab
@@ -58,9 +68,9 @@ class VocabCompleter(Completer):
             "request_id", (F.col("page") * PAGE_SIZE + F.col("_i") + 1).alias("rank"), "label",
             F.lit(None).cast("double").alias("score"))
 
-    def labels(self, prompts, k=S.NUM_RESULTS):
-        """One row per prompt with the whole vocabulary, as one response carries it."""
-        return vocab_labels(prompts, self.vocab)
+    def pages(self, prompts: DataFrame) -> DataFrame:
+        """The prompts with (page, labels): a row per page of the answer, in order of `page`."""
+        return vocab_complete(prompts, self.vocab)
 
 
 class NgramCompleter(Completer):

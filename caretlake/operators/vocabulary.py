@@ -91,21 +91,6 @@ def vocab_complete(requests: DataFrame, vocab: DataFrame, page_size: int = PAGE_
     return spread.join(salted, ["page", "_salt"]).drop("_salt")
 
 
-def vocab_labels(requests: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Requests plus `labels`, the whole vocabulary in order: one row per request.
-
-    The list is gathered once and is one value; a vocabulary of a checked size goes to the
-    tasks as such, a larger one is copied for groups of requests.
-    """
-    whole = vocab.agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "item"))),
-                                  lambda e: e["item"]).alias("labels"))
-    if byte_size(vocab.select("item")) <= BROADCAST_BYTES:
-        return requests.withColumn("labels", whole.scalar())
-    copies = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return requests.withColumn("_salt", F.pmod(F.xxhash64(*requests.columns), F.lit(_SALTS)).cast("int")
-                               ).join(copies, "_salt").drop("_salt")
-
-
 def limit_items(df: DataFrame, n: int | None = None, labels: str = "labels") -> DataFrame:
     """Keep the first n labels of a list in order; None keeps all."""
     return df if n is None else df.withColumn(labels, F.slice(labels, 1, n))

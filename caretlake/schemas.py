@@ -58,6 +58,7 @@ NOT_INITIALIZED = "not_initialized"
 METHOD_NOT_FOUND = "method_not_found"
 NOT_IMPLEMENTED = "not_implemented"
 INVALID_PARAMS = "invalid_params"
+NOTIFICATION = "notification"
 
 INVALID_ENVELOPE = "invalid_envelope"
 NO_METHOD = "no_method"

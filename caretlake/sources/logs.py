@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
-from caretlake.operators.scan import running
+from caretlake.operators.scan import DENSE, running
+from caretlake.sources import tail
 from caretlake.sources.lines import numbered_lines
 
 
@@ -28,9 +29,19 @@ def stream_messages(spark: SparkSession, path: str, format: str = "parquet",
     """A growing message log; a micro-batch takes files of about `max_bytes` in all, one at
     least.
 
-    text: new files of one inbound message per line, a session each, numbered as
-    `read_messages` does. A streamed file is read as one value, so logs have to be rolled.
+    lines: files of one inbound message per line that may go on growing, a session each. A
+    message's number is the byte its line begins at, so numbers are sparse and in the order of
+    those `read_messages` gives; a last line without a line feed waits for it. Files are read
+    in ranges of bytes (`max_bytes` does not apply) through Arrow's file systems.
+
+    text: whole new files of the same kind, numbered as `read_messages` does. Each is read as one
+    value, so it suits small rolled files in stores that only Spark reads.
     """
+    if format == "lines":
+        spark.dataSource.register(tail.LineTail)
+        return spark.readStream.format(tail.FORMAT).option("path", path).load().select(
+            F.xxhash64("file").alias("session"), F.col("at").alias("seq"),
+            F.lit("in").alias("direction"), F.col("value").alias("raw"))
     if format == "text":
         files = (spark.readStream.format("text").option("wholetext", True)
                  .option("maxBytesPerTrigger", max_bytes).load(path)
@@ -74,7 +85,7 @@ def read_server_log(spark: SparkSession, path: str, min_level: str | None = None
         rank = F.when(F.col("level") == name, value).otherwise(rank)
     # The record a line belongs to, as one number that grows with the line.
     rows = running(rows, ["file"], "idx", {
-        "_record": ("max", F.when(F.col("level").isNotNull(), F.col("idx") * _RANKS + rank))})
+        "_record": ("max", F.when(F.col("level").isNotNull(), F.col("idx") * _RANKS + rank))}, cuts=DENSE)
     return rows.filter(F.col("_record") % _RANKS >= floor).select("ts", "level", "message")
 
 
