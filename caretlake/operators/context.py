@@ -112,6 +112,37 @@ def mask_prompt(df: DataFrame, mask: str = S.MASK) -> DataFrame:
     return df.withColumns({"prompt": pos_fn.prompt_of(prefix, suffix, mask), "status": status})
 
 
+def cloze_places(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every interior word as a place: (key, …keep, pos, target), without any context.
+
+    As long as the text, where prompts with whole contexts would be as long as its square. The
+    contexts are cut by `cut_contexts` where somebody needs them.
+    """
+    words = docs.select(key, *keep, tokens(F.col(text)).alias("_w"))
+    inner = F.slice("_w", F.lit(2), F.greatest(F.array_size("_w") - 2, F.lit(0)))
+    return words.select(key, *keep, F.posexplode(inner).alias("_i", "target")).select(
+        key, *keep, (F.col("_i") + 1).alias("pos"), "target")
+
+
+def cut_contexts(places: DataFrame, docs: DataFrame, window: int, key: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """Places with `prefix` and `suffix`, up to `window` words of their document on each side.
+
+    The words of a document are split once, and places of one document meet them as numbers: a
+    place that very many refer to is dealt over copies. Place and document are matched by `key`;
+    places outside their document's interior have null contexts.
+    """
+    words = docs.select(key, tokens(F.col(text)).alias("_w"))
+    met = spread_join(places, wanted_only(words, places, [key]), [key], [F.col("pos")])
+    p, w, inside = F.col("pos"), F.col("_w"), F.col("pos").between(1, F.array_size("_w") - 2)
+    left = F.slice(w, F.greatest(p - window, F.lit(0)) + 1, F.least(p, F.lit(window)))
+    right = F.slice(w, p + 2, F.lit(window))
+    return met.withColumns({
+        "prefix": F.when(inside, F.array_join(left, " ")),
+        "suffix": F.when(inside, F.array_join(right, " "))}).drop("_w")
+
+
 def cloze_prompts(docs: DataFrame, per_doc: int | None = None, seed: int = 31,
                   unit: str = "char", window: int | None = None,
                   key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caretlake import schemas as S
 from caretlake.functions import tokens as tk
 from caretlake.operators.skew import spread_join
+from caretlake.session import materialize
 
 _ENTRIES = "array<struct<token:string,n:bigint>>"
 
@@ -157,20 +158,62 @@ def evaluate(predictions: DataFrame, targets: DataFrame, by: list[str] | None =
 def evaluate_candidates(listed: DataFrame, by: list[str] | None = None,
                         k: int = S.NUM_RESULTS) -> DataFrame:
     """The same scores from `candidates` lists next to their `target`: no join needed."""
+    return score(_places(listed, by or [], k), by)
+
+
+def evaluate_held_out(docs: DataFrame, by: list[str] | None = None, folds: int = 2,
+                      context_size: int = 1, k: int = S.NUM_RESULTS, key: str = "doc_id",
+                      text: str = "text", fold: Column | None = None) -> DataFrame:
+    """Scores over every interior word of every document, overall or by columns of `docs`.
+
+    A document is answered by a model of the other folds, never by its own counts. `fold` numbers
+    them from 0, by a hash of `key` if not given, so rows of one key are in one fold. Words with the same neighbours have the same
+    answers: they are counted first and answered once.
+    """
+    if fold is None:
+        fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+    scored = None
+    for own in range(folds):
+        model = materialize(pack_model(train_ngram(docs.filter(fold != own), context_size, k, text=text)))
+        grams = docs.filter(fold == own).select(
+            *(by or []), F.explode(tk.interior_grams(tk.tokens(F.col(text)), context_size)).alias("g"))
+        near = [f"w{j}" for j in range(context_size, 0, -1)]
+        asked = grams.groupBy(*(by or []), *[F.col(f"g.{w}").alias(w) for w in near],
+                              F.col("g.right").alias("suffix"), F.col("g.token").alias("target")).agg(
+            F.count("*").alias("weight"))
+        asked = materialize(asked.select(
+            F.monotonically_increasing_id().alias("request_id"), *(by or []),
+            F.concat_ws(" ", *near).alias("prefix"), "suffix", "target", "weight"))
+        rows = _places(ngram_candidates(asked, model, k, context_size), [*(by or []), "weight"], k)
+        scored = rows if scored is None else scored.unionByName(rows)
+    return score(scored, by, F.col("weight"))
+
+
+def _places(listed: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """(…keep, at, answers): where the target stands in its list of candidates."""
     labels = F.slice(F.transform("candidates", lambda c: c.label), 1, k)
     at = F.array_position(labels, F.col("target"))
-    return score(listed.select(
-        *(by or []), F.when(at > 0, at).alias("at"),
-        F.coalesce(F.array_size("candidates"), F.lit(0)).alias("answers")), by)
+    return listed.select(*keep, F.when(at > 0, at).alias("at"),
+                         F.coalesce(F.array_size("candidates"), F.lit(0)).alias("answers"))
+
+
+def score(per_request: DataFrame, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """Scores from one row per request: `at` = rank of the target or NULL, `answers`.
+
+    With a `weight`, a row stands for so many requests of the same outcome. Shares of no requests
+    are null.
+    """
+    weight, zero = F.lit(1).cast("long") if weight is None else weight, F.lit(0).cast("long")
 
+    def requests(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, weight)), zero)
 
-def score(per_request: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Scores from one row per request: `at` = rank of the target or NULL, `answers`."""
+    prompts = F.coalesce(F.sum(weight), zero)
     aggs = [
-        F.count("*").alias("prompts"),
-        F.count_if(F.col("at") == 1).alias("hits_at_1"),
-        F.count("at").alias("hits_at_k"),
-        F.round(F.sum(F.coalesce(1.0 / F.col("at"), F.lit(0.0))) / F.count("*"), 6).alias("mrr"),
-        F.round(F.count_if(F.col("answers") > 0) / F.count("*"), 6).alias("coverage"),
+        prompts.alias("prompts"), requests(F.col("at") == 1).alias("hits_at_1"),
+        requests(F.col("at").isNotNull()).alias("hits_at_k"),
+        F.round(F.try_divide(F.sum(F.coalesce(1.0 / F.col("at"), F.lit(0.0)) * weight), prompts), 6)
+        .alias("mrr"),
+        F.round(F.try_divide(requests(F.col("answers") > 0), prompts), 6).alias("coverage"),
     ]
     return per_request.groupBy(*(by or [])).agg(*aggs)

@@ -133,6 +133,17 @@ def cloze_chars(spark, sf):
     return ctx.cloze_prompts(_documents(spark, sf), per_doc=3)
 
 
+def cloze_places(spark, sf):
+    return ctx.cloze_places(_documents(spark, sf), keep=("lang",))
+
+
+def cut_contexts(spark, sf):
+    """Three words on each side of every interior word of the passages."""
+    passages = table(spark, sf, "benchmark").select("item_id", "text")
+    places = ctx.cloze_places(passages, "item_id")
+    return ctx.cut_contexts(places, passages, 3, "item_id")
+
+
 def cloze_words(spark, sf):
     return ctx.cloze_prompts(_documents(spark, sf), per_doc=3, unit="word")
 
@@ -164,7 +175,8 @@ def top_k(spark, sf):
 
 def _passage_prompts(spark, sf):
     passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    prompts = ctx.cloze_prompts(passages, unit="word")
+    # The model looks at the next word on each side alone.
+    prompts = ctx.cloze_prompts(passages, unit="word", window=1)
     return prompts.withColumn("request_id", F.col("doc_id") * 1000000 + F.col("pos"))
 
 
@@ -186,11 +198,9 @@ def evaluate_predictions(spark, sf):
 
 
 def evaluate_by_language(spark, sf):
-    # The model looks at the next word on each side alone.
-    prompts = ctx.cloze_prompts(_documents(spark, sf), per_doc=3, unit="word", window=1, keep=("lang",))
-    prompts = prompts.select((F.col("doc_id") * 1000000 + F.col("i")).alias("request_id"),
-                             "lang", "prefix", "suffix", "target")
-    return ngram.evaluate_candidates(ngram.ngram_candidates(prompts, _model(spark, sf)), ["lang"])
+    """Every interior word of every document, answered by a model of the other half of them."""
+    docs = _documents(spark, sf)
+    return ngram.evaluate_held_out(docs, ["lang"], fold=F.pmod(F.col("doc_id"), F.lit(2)))
 
 
 def evaluate_by_level(spark, sf):
@@ -216,11 +226,15 @@ def vocab_complete(spark, sf):
 
 
 def vocab_completer(spark, sf):
-    """One answer per request: the whole vocabulary in order."""
+    """What one answer per request adds up to, from its pages: no value is longer than a page."""
     completer = comp.make_completer("vocab", vocab=_vocab(spark, sf))
-    return completer.labels(_requests(spark, sf).select("request_id")).select(
-        "request_id", F.size("labels").alias("n_labels"),
-        F.md5(F.array_join("labels", "|")).alias("labels_md5"))
+    pages = completer.pages(_requests(spark, sf).select("request_id")).select(
+        "request_id", "page", F.size("labels").alias("n"),
+        F.md5(F.array_join("labels", "|")).alias("digest"))
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("page", "digest"))),
+                          lambda e: e["digest"])
+    return pages.groupBy("request_id").agg(
+        F.sum("n").alias("n_labels"), F.md5(F.array_join(digests, "")).alias("labels_md5"))
 
 
 def empty_complete(spark, sf):
@@ -242,12 +256,12 @@ def completion_items(spark, sf):
 
 
 def response_rows(spark, sf):
-    """Responses to every conversation turn: its first three words as labels, or null."""
+    """Responses to every conversation turn: its words as labels, or null if it has none."""
     requests = _requests(spark, sf).select(
         F.col("request_id"), F.col("request_id").cast("string").alias("id"),
         tokens(F.col("text")).alias("labels"))
-    items = voc.completion_items(voc.limit_items(requests, 3)).withColumn(
-        "items", F.when(F.col("request_id") % 5 != 0, F.col("items")))
+    items = voc.completion_items(requests).withColumn(
+        "items", F.when(F.size("items") > 0, F.col("items")))
     return responses(items).select(
         "request_id", F.get_json_object("raw", "$.id").alias("id"),
         F.get_json_object("raw", "$.result[0].label").alias("first_label"),
@@ -323,9 +337,11 @@ def corpus_as_of(spark, sf):
         "session", "seq", "epoch", "uri", "status", "write_seq", "text")
 
 
+_PROMPT = ["session", "seq", "id", "uri", "status", "pos", "prompt"]
+
+
 def completion_prompts(spark, sf):
-    return replay.completion_prompts(_calls(spark, sf)).select(
-        "session", "seq", "uri", "status", "pos", "prompt")
+    return replay.completion_prompts(_calls(spark, sf)).select(*_PROMPT)
 
 
 def change_audit(spark, sf):
@@ -470,7 +486,28 @@ def stream_replay(spark, sf):
              .option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True)
              .start(out))
     query.awaitTermination()
-    return spark.read.parquet(out).select("session", "seq", "uri", "status", "pos", "prompt")
+    return spark.read.parquet(out).select(*_PROMPT)
+
+
+# Where `stream_handover` goes from batch to stream: in the midst of most sessions.
+_HANDOVER = 33
+
+
+def stream_handover(spark, sf):
+    """The first messages of every session as a batch, the others as a stream that goes on from
+    what the batch has come to: together the prompts of the whole log."""
+    tune(spark)
+    messages = _messages(spark, sf)
+    before = materialize(msg.parse_calls(messages.filter(F.col("seq") < _HANDOVER)))
+    log, out = _folder(spark, "log"), _folder(spark, "prompts")
+    messages.filter(F.col("seq") >= _HANDOVER).repartition("session").write.parquet(log)
+    prompts = stream_prompts(stream_messages(spark, log), buckets=2,
+                             initial=materialize(replay.session_states(before)))
+    (prompts.select(*_PROMPT).writeStream.format("parquet")
+     .option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True)
+     .start(out).awaitTermination())
+    return replay.completion_prompts(before).select(*_PROMPT).unionByName(
+        spark.read.schema(prompts.select(*_PROMPT).schema).parquet(out))
 
 
 def stream_responses(spark, sf):
@@ -482,8 +519,10 @@ def stream_responses(spark, sf):
     rows = spark.read.schema("session bigint, seq bigint, direction string, raw string").parquet(
         os.path.join(out, "batch=*"))
     items = F.from_json(F.get_json_object("raw", "$.result"), "array<struct<label:string>>")
-    return rows.select("session", "seq", "direction", F.array_join(
-        F.transform(items, lambda i: i["label"]), "|").alias("labels"))
+    # The id as it is written, so a number and a string that looks like it stay apart.
+    return rows.select(
+        "session", "seq", F.regexp_extract("raw", '"id":(.*?),"result":', 1).alias("id"),
+        "direction", F.array_join(F.transform(items, lambda i: i["label"]), "|").alias("labels"))
 
 
 def stream_windows(spark, sf):
@@ -516,7 +555,7 @@ _MARK = "-"
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     line_index, attach_documents, resolve_position, context_window, mask_prompt, cloze_chars,
-    cloze_words, build_vocab, build_vocab_top, train_ngram, train_ngram_two_words, top_k,
+    cloze_words, cloze_places, cut_contexts, build_vocab, build_vocab_top, train_ngram, train_ngram_two_words, top_k,
     ngram_complete, evaluate_completion, evaluate_predictions, evaluate_by_language,
     evaluate_by_level, vocab_complete, vocab_completer, empty_complete, limit_items,
     completion_items, response_rows, encode_batches, model_complete, corpus_source,
@@ -524,6 +563,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     corpus_as_of, completion_prompts, change_audit, replay_status, fail_stop, parse_envelope,
     dead_letters, route_messages, unknown_methods, pair_messages, assign_request_ids,
     session_profile, explain_errors, traffic_summary, audit_frames, parse_measure,
-    label_timings, timing_summary, traffic_window, stream_replay, stream_responses,
-    stream_windows,
+    label_timings, timing_summary, traffic_window, stream_replay, stream_handover,
+    stream_responses, stream_windows,
 ]}

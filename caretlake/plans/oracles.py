@@ -189,14 +189,18 @@ positioned AS (
 
 _FATAL = ", ".join(f"'{s}'" for s in S.FATAL)
 
+_ID = """CASE session % 4 WHEN 1 THEN '"r-' || seq % 40 || '"' WHEN 2 THEN '"' || seq % 40 || '"'
+  WHEN 3 THEN CASE WHEN seq % 3 = 0 THEN 'true' ELSE CAST(seq % 40 AS VARCHAR) END
+  ELSE CAST(seq % 40 AS VARCHAR) END"""
+
 _TRAFFIC = f"""{_LOG},
 both_ways AS (
   SELECT session, seq * 2 AS seq, 'in' AS direction,
-         CASE WHEN badid THEN '1.5' WHEN req THEN CAST(seq % 40 AS VARCHAR) END AS id, method,
+         CASE WHEN badid THEN '1.5' WHEN req THEN {_ID} END AS id, method,
          req, badid, CAST(NULL AS INTEGER) AS code FROM log
   UNION ALL
   SELECT session, seq * 2 + 1, 'out',
-         CASE WHEN badid THEN NULL ELSE CAST(seq % 40 AS VARCHAR) END, NULL, false, false,
+         CASE WHEN badid THEN NULL ELSE {_ID} END, NULL, false, false,
          CASE WHEN method = 'foo/bar' THEN -32601 WHEN badid THEN -32600
               WHEN method = 'textDocument/hover' THEN -32603 END
   FROM log WHERE (req OR badid) AND session % 9 <> 4)
@@ -243,8 +247,10 @@ def oracles() -> dict[str, str]:
                 FROM prompt_rows WHERE status = 'ok'),
       prompts AS (SELECT *, lw[len(lw)] AS l, rw[1] AS r FROM sides),
       {_RANKED.format(k=3)}
-      SELECT p.session, p.seq, 'out' AS direction, string_agg(label, '|' ORDER BY rank) AS labels
-      FROM prompts p JOIN ranked USING (request_id) GROUP BY ALL"""
+      SELECT session, seq, {_ID} AS id, 'out' AS direction, labels FROM (
+        SELECT p.session, p.seq, string_agg(label, '|' ORDER BY rank) AS labels
+        FROM prompts p JOIN ranked USING (request_id) GROUP BY ALL)"""
+    prompt_list = f"WITH {_PROMPTS} SELECT session, seq, {_ID} AS id, uri, status, pos, prompt FROM prompt_rows"
     return {
         "line_index": """
           SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, ls[i] AS line,
@@ -301,17 +307,53 @@ def oracles() -> dict[str, str]:
         "evaluate_completion": f"{ranked}{scored} SELECT {_SCORES} FROM scored",
         "evaluate_predictions":
             f"{passages}, {_RANKED.format(k=5)}{scored} SELECT {_SCORES} FROM scored",
-        "evaluate_by_language": f"""{model},
-          d AS (SELECT doc_id, lang, {_tokens()} AS w, unnest(range(0, 3)) AS i FROM documents),
-          p AS (SELECT *, (doc_id * 31 + i * 17) % (len(w) - 2) + 1 AS pos FROM d WHERE len(w) > 2),
-          prompts AS (SELECT doc_id * 1000000 + i AS request_id, lang, w[pos] AS l,
-                             w[pos + 1] AS target, w[pos + 2] AS r FROM p),
-          {_RANKED.format(k=10)},
+        "evaluate_by_language": f"""
+          WITH words AS (SELECT doc_id % 2 AS fold, lang, {_tokens()} AS w FROM documents),
+          grams AS (
+            SELECT fold, lang, w[i] AS l, w[i + 1] AS t, w[i + 2] AS r
+            FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM words)),
+          levels AS (
+            SELECT 1 - fold AS fold, 1 AS level, l || ' ' || r AS key, t AS token FROM grams
+            UNION ALL SELECT 1 - fold, 2, l, t FROM grams
+            UNION ALL SELECT 1 - fold, 3, '', t FROM grams),
+          model AS (
+            SELECT fold, level, key, token, count(*) AS n, row_number() OVER (
+              PARTITION BY fold, level, key ORDER BY count(*) DESC, token) AS rk
+            FROM levels GROUP BY fold, level, key, token QUALIFY rk <= 10),
+          prompts AS (
+            SELECT row_number() OVER () AS request_id, fold, lang, l, r, t AS target, count(*) AS weight
+            FROM grams GROUP BY fold, lang, l, r, t),
+          asked AS (
+            SELECT request_id, fold, 1 AS level, l || ' ' || r AS key FROM prompts
+            UNION ALL SELECT request_id, fold, 2, l FROM prompts
+            UNION ALL SELECT request_id, fold, 3, '' FROM prompts),
+          found AS (
+            SELECT request_id, token, level, n FROM asked JOIN model USING (fold, level, key)
+            QUALIFY row_number() OVER (PARTITION BY request_id, token ORDER BY level) = 1),
+          ranked AS (
+            SELECT request_id, token, row_number() OVER (
+              PARTITION BY request_id ORDER BY level, n DESC, token) AS rank
+            FROM found QUALIFY rank <= 10),
           scored AS (
-            SELECT p.request_id, p.lang, min(CASE WHEN c.label = p.target THEN c.rank END) AS hit,
-                   count(c.rank) AS answers
-            FROM prompts p LEFT JOIN ranked c USING (request_id) GROUP BY ALL)
-          SELECT lang, {_SCORES} FROM scored GROUP BY lang""",
+            SELECT p.request_id, lang, weight, min(CASE WHEN token = target THEN rank END) AS hit,
+                   count(rank) AS answers
+            FROM prompts p LEFT JOIN ranked USING (request_id) GROUP BY ALL)
+          SELECT lang, CAST(sum(weight) AS BIGINT) AS prompts,
+            CAST(coalesce(sum(weight) FILTER (hit = 1), 0) AS BIGINT) AS hits_at_1,
+            CAST(coalesce(sum(weight) FILTER (hit IS NOT NULL), 0) AS BIGINT) AS hits_at_k,
+            round(sum(coalesce(1.0 / hit, 0) * weight) / sum(weight), 6) AS mrr,
+            round(CAST(coalesce(sum(weight) FILTER (answers > 0), 0) AS DOUBLE) / sum(weight), 6) AS coverage
+          FROM scored GROUP BY lang""",
+        "cloze_places": f"""
+          SELECT doc_id, lang, CAST(i AS INTEGER) AS pos, w[i + 1] AS target
+          FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i
+                FROM (SELECT doc_id, lang, {_tokens()} AS w FROM documents))""",
+        "cut_contexts": f"""
+          SELECT item_id, CAST(i AS INTEGER) AS pos, w[i + 1] AS target,
+                 array_to_string(w[greatest(i - 2, 1):i], ' ') AS prefix,
+                 array_to_string(w[i + 2:i + 4], ' ') AS suffix
+          FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i
+                FROM (SELECT item_id, {_tokens()} AS w FROM benchmark))""",
         "evaluate_by_level": f"""{ranked}
           SELECT level, count(*) AS hits, CAST(count(*) FILTER (rank = 1) AS BIGINT) AS hits_at_1
           FROM ranked JOIN prompts USING (request_id) WHERE label = target GROUP BY level""",
@@ -321,8 +363,10 @@ def oracles() -> dict[str, str]:
                     FROM vocab GROUP BY 1)
           SELECT request_id, page, n_labels, first_label, last_label FROM requests, pages""",
         "vocab_completer": f"""WITH {_vocab()}, {_REQUESTS},
-          whole AS (SELECT CAST(count(*) AS INTEGER) AS n_labels,
-                           md5(string_agg(item, '|' ORDER BY idx)) AS labels_md5 FROM vocab)
+          pages AS (SELECT idx // 4096 AS page, count(*) AS n, md5(string_agg(item, '|' ORDER BY idx)) AS d
+                    FROM vocab GROUP BY 1),
+          whole AS (SELECT CAST(sum(n) AS BIGINT) AS n_labels,
+                           md5(string_agg(d, '' ORDER BY page)) AS labels_md5 FROM pages)
           SELECT request_id, n_labels, labels_md5 FROM requests, whole""",
         "empty_complete": f"WITH {_REQUESTS} SELECT request_id, CAST(0 AS INTEGER) AS n_labels FROM requests",
         "limit_items": f"""WITH {_REQUESTS}
@@ -331,10 +375,9 @@ def oracles() -> dict[str, str]:
           SELECT request_id, '[' || string_agg('{{"label":"' || label || '"}}', ',' ORDER BY rank)
                  || ']' AS items FROM ranked GROUP BY request_id""",
         "response_rows": f"""WITH {_REQUESTS},
-          w AS (SELECT request_id, {_tokens()} AS w, request_id % 5 = 0 AS is_null FROM requests)
-          SELECT request_id, CAST(request_id AS VARCHAR) AS id,
-                 CASE WHEN NOT is_null THEN w[1] END AS first_label,
-                 CAST(CASE WHEN is_null THEN -1 ELSE least(len(w), 3) END AS INTEGER) AS n_items,
+          w AS (SELECT request_id, {_tokens()} AS w, coalesce(len(w), 0) = 0 AS is_null FROM requests)
+          SELECT request_id, CAST(request_id AS VARCHAR) AS id, w[1] AS first_label,
+                 CAST(CASE WHEN is_null THEN -1 ELSE len(w) END AS INTEGER) AS n_items,
                  is_null FROM w""",
         "encode_batches": f"""WITH {_vocab()},
           d AS (SELECT doc_id, doc_id // 32 AS batch, {_tokens()}[1:510] AS w FROM documents),
@@ -368,7 +411,7 @@ def oracles() -> dict[str, str]:
           FROM s GROUP BY ALL""",
         "corpus_as_of": f"""WITH {_AS_OF}
           SELECT session, seq, epoch, uri, status, write_seq, text FROM asof_rows""",
-        "completion_prompts": f"WITH {_PROMPTS} SELECT session, seq, uri, status, pos, prompt FROM prompt_rows",
+        "completion_prompts": prompt_list,
         "change_audit": f"""WITH {_EPOCHS},
           m AS (SELECT e.session, e.uri, e.method, e.ranged, coalesce(o <= e.seq, false) AS is_open
                 FROM e LEFT JOIN opened USING (session, epoch, uri)
@@ -465,7 +508,8 @@ def oracles() -> dict[str, str]:
                  round(min(mean) / 33.0, 6) AS to_target, round(min(mean) / 100.0, 6) AS to_limit
           FROM timed t GROUP BY framework""",
         "traffic_window": _WINDOWS,
-        "stream_replay": f"WITH {_PROMPTS} SELECT session, seq, uri, status, pos, prompt FROM prompt_rows",
+        "stream_replay": prompt_list,
+        "stream_handover": prompt_list,
         "stream_responses": streamed,
         "stream_windows": _WINDOWS,
         **source_oracles(_TIMINGS, _tokens()),

@@ -67,6 +67,16 @@ _PARAMS = """
 """
 
 
+# Ids repeat within long sessions. They are numbers, strings that may look like numbers, or
+# booleans; one kind of message carries an id of a wrong type.
+_ID = """
+  CASE WHEN at = 5 THEN '1.5' WHEN req THEN CASE conv_id % 4
+    WHEN 1 THEN concat('"r-', seq % 40, '"') WHEN 2 THEN concat('"', seq % 40, '"')
+    WHEN 3 THEN IF(seq % 3 = 0, 'true', CAST(seq % 40 AS STRING))
+    ELSE CAST(seq % 40 AS STRING) END END
+"""
+
+
 def _inbound(conversations: DataFrame) -> DataFrame:
     firsts = conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("_first"))
     turns = conversations.join(firsts, ["conv_id", "role"]).withColumn(
@@ -84,9 +94,7 @@ def _inbound(conversations: DataFrame) -> DataFrame:
         F.lit("initialize").alias("method"), F.lit(True).alias("req"))
     rows = turns.unionByName(inits)
     params = F.expr(_PARAMS.format(init=_INIT_PARAMS))
-    # Ids repeat within long sessions; one kind of message carries an id of a wrong type.
-    id_ = F.when(F.col("at") == 5, "1.5").when(F.col("req"), (F.col("seq") % 40).cast("string"))
-    return rows.withColumns({"params": params, "id": id_})
+    return rows.withColumns({"params": params, "id": F.expr(_ID)})
 
 
 def _raw():

@@ -9,7 +9,8 @@ from caretlake.functions.tokens import tokens
 from caretlake.operators import reports
 from caretlake.operators import vocabulary as voc
 from caretlake.plans import catalog as cat
-from caretlake.sources import logs, text
+from caretlake.operators.completers import make_completer
+from caretlake.sources import logs, paged, text
 
 
 def _line_files(spark, rows: DataFrame, name: str, order: str, **options) -> str:
@@ -36,6 +37,32 @@ def message_source(spark, sf):
     return logs.read_messages(spark, path, "text").select("seq", "direction", "raw")
 
 
+def message_stream(spark, sf):
+    """The same files as a stream, numbered by the bytes their lines begin at."""
+    turns = cat.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("value"))
+    path, out = cat._folder(spark, "growing"), cat._folder(spark, "streamed")
+    (turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+     .select("conv_id", "value").write.partitionBy("conv_id").text(path))
+    stream = logs.stream_messages(spark, path, "lines")
+    (stream.writeStream.format("parquet").option("checkpointLocation", cat._folder(spark, "state"))
+     .trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out).select("seq", "direction", "raw")
+
+
+def paged_responses(spark, sf):
+    """One request per language, answered with the whole vocabulary of all documents."""
+    lang = F.coalesce("lang", F.lit(""))
+    asked = cat.table(spark, sf, "documents").groupBy(lang.alias("lang")).agg(
+        F.min("doc_id").alias("session"), F.count("*").alias("seq")).select(
+        "session", "seq", F.concat(F.lit('"'), "lang", F.lit('"')).alias("id"),
+        F.col("lang").alias("request_id"))
+    path = cat._folder(spark, "paged")
+    completer = make_completer("vocab", vocab=cat._vocab(spark, sf))
+    paged.write_pages(completer.pages(asked), path)
+    return paged.read_page_index(spark, path).select("session", "seq", "bytes", "items", "md5")
+
+
 def timing_source(spark, sf):
     """Timings through a CSV file."""
     path = cat._folder(spark, "timings")
@@ -89,7 +116,7 @@ def response_sink(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    vocab_source, message_source, timing_source, server_log_source, corpus_text_source,
+    vocab_source, message_source, message_stream, paged_responses, timing_source, server_log_source, corpus_text_source,
     corpus_xml_source, response_sink]}
 
 
@@ -103,6 +130,20 @@ def oracles(timings: str, words: str) -> dict[str, str]:
         "message_source": """
           SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, 'in' AS direction,
                  regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS raw FROM conversations""",
+        "message_stream": """
+          SELECT CAST(coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seq,
+                 'in' AS direction, raw
+          FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS raw FROM conversations)""",
+        "paged_responses": f"""
+          WITH asked AS (SELECT coalesce(lang, '') AS lang, min(doc_id) AS session, count(*) AS seq
+                         FROM documents GROUP BY 1),
+          counted AS (SELECT item, count(*) AS n FROM (SELECT unnest({words}) AS item FROM documents) GROUP BY 1),
+          listed AS (SELECT string_agg('{{"label":"' || item || '"}}', ',' ORDER BY n DESC, item) AS l,
+                            count(*) AS items FROM counted),
+          lines AS (SELECT session, seq, items, '{{"jsonrpc":"2.0","id":"' || lang || '","result":['
+                           || l || ']}}' AS line FROM asked, listed)
+          SELECT session, seq, strlen(line) AS bytes, items, md5(line) AS md5 FROM lines""",
         "timing_source": f"""WITH {timings}
           SELECT mean, std AS std_published, round(std * std_unit, 9) AS std_ms,
                  CASE event_type WHEN 'signup' THEN 'TF' WHEN 'error' THEN 'TF + JIT'

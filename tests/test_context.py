@@ -106,3 +106,25 @@ def test_a_document_without_text_is_unknown(spark):
     df = spark.createDataFrame([(None, 0, 1)], "text string, line int, ch int")
     row = ctx.resolve_position(df).first()
     assert (row.status, row.pos) == ("unknown_document", None)
+
+
+def test_places_and_their_contexts(spark):
+    docs = spark.createDataFrame([(1, "a b, c d e"), (2, "x y"), (3, None), (4, ""), (5, "p q r")],
+                                 "doc_id int, text string")
+    places = ctx.cloze_places(docs)
+    assert sorted(map(tuple, places.collect())) == [(1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (5, 1, "q")]
+    more = places.unionByName(spark.createDataFrame([(1, 4, "e"), (9, 1, "?")], places.schema))
+    cut = {(r.doc_id, r.pos): (r.prefix, r.suffix) for r in ctx.cut_contexts(more, docs, 2).collect()}
+    assert cut == {(1, 1): ("a", "c d"), (1, 2): ("a b", "d e"), (1, 3): ("b c", "e"), (5, 1): ("p", "r"),
+                   (1, 4): (None, None), (9, 1): (None, None)}
+
+
+def test_places_are_as_long_as_the_text(spark):
+    """Four times the words make four times the places; whole contexts would make sixteen."""
+    def size(df):
+        return sum(len(str(tuple(r))) for r in df.collect())
+
+    def places(n):
+        return ctx.cloze_places(spark.createDataFrame([(1, "word " * n)], "doc_id int, text string"))
+
+    assert size(places(4000)) < 4.5 * size(places(1000))

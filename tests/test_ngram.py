@@ -183,12 +183,29 @@ def test_a_model_of_another_context_size_is_refused(spark):
 
 def test_one_response_whatever_the_vocabulary(spark):
     vocab = spark.range(5000).select(F.col("id").alias("idx"), F.concat(F.lit("w"), "id").alias("item"))
-    prompts = spark.createDataFrame([(1, 5, "ok", "p", "s")],
-                                    "session long, seq long, status string, prefix string, suffix string")
+    prompts = spark.createDataFrame(
+        [(1, 5, '"req-5"', "ok", "p", "s")],
+        "session long, seq long, id string, status string, prefix string, suffix string")
     (row,) = complete_batch(prompts, VocabCompleter(vocab)).collect()
+    assert json.loads(row.raw)["id"] == "req-5"
     assert [i["label"] for i in json.loads(row.raw)["result"]] == [f"w{i}" for i in range(5000)]
 
 
 def test_an_empty_completer_keeps_the_type_of_the_key(spark):
     prompts = spark.createDataFrame([("a/1",)], "request_id string")
     assert EmptyCompleter().complete(prompts).schema["request_id"].dataType.simpleString() == "string"
+
+
+def test_held_out_scores_never_see_their_own_document(spark):
+    """Two documents of words nobody else has: no hit, though each would know itself by heart."""
+    docs = spark.createDataFrame(
+        [(0, "x", "a b c a b c a b c"), (1, "y", "d e f d e f d e f"), (2, "z", "a b c a b c"), (3, "z", "g")],
+        "doc_id long, lang string, text string")
+    by = {r.lang: r for r in ngram.evaluate_held_out(
+        docs, ["lang"], fold=F.when(F.col("doc_id") == 1, 1).otherwise(0)).collect()}
+    assert (by["y"].prompts, by["y"].hits_at_k, by["y"].coverage) == (7, 0, 1.0)
+    assert by["x"].hits_at_k == 0 and by["x"].prompts == 7
+    by = {r.lang: r for r in ngram.evaluate_held_out(
+        docs, ["lang"], fold=F.when(F.col("doc_id") == 0, 1).otherwise(0)).collect()}
+    assert by["x"].hits_at_1 == by["x"].prompts == 7 and by["z"].hits_at_1 == 4
+    assert ngram.evaluate_held_out(docs.limit(0), folds=3).first().prompts == 0

@@ -7,7 +7,8 @@ from caretlake.operators import ngram, replay
 from caretlake.plans import catalog, source_queries
 from tests.conftest import SF
 
-PYTHON_QUERIES = {"model_complete", "stream_replay", "stream_responses", "stream_windows"}
+PYTHON_QUERIES = {"model_complete", "stream_replay", "stream_responses", "stream_windows",
+                  "stream_handover"}
 
 
 def plan(df):
