@@ -1,4 +1,4 @@
-"""Exact BM25 top-k search: a sharded inverted index and block-max MaxScore."""
+"""Exact BM25 top-k search: a sharded inverted index and block-max WAND."""
 
 from __future__ import annotations
 
@@ -25,6 +25,9 @@ SHARD_DOCS = 4096
 SHARD_POSTINGS = 1_000_000
 BLOCK_BITS = 6
 
+# Blocks of a shard that are scored before the others, to raise the threshold.
+FIRST_BLOCKS = 4
+
 # Postings of the shards that one search task goes through, and queries it reads at a time.
 TASK_POSTINGS = 4_000_000
 QUERY_ROWS = 512
@@ -40,13 +43,16 @@ INDEX = ("shard_docs bigint, shard_words bigint, ids array<{kind}>, lengths bina
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per shard: an inverted index of some thousand documents.
 
-    Shards are made of the documents of a scan task, in order, without a shuffle. terms are
-    64-bit hashes in ascending order; the postings of term t are docs[offsets[t]:
-    offsets[t + 1]], positions in the shard, and as many counts.
+    Shards are made of the documents of a scan task, without a shuffle; in a shard they are
+    ordered by their smallest term hashes, so near copies share blocks. terms are 64-bit hashes
+    in ascending order; the postings of term t are docs[offsets[t]: offsets[t + 1]], positions in
+    the shard, and as many counts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def closed(ids, lengths, found, tallies):
+    def closed(*columns):
+        like = sorted(range(len(columns[0])), key=lambda i: columns[2][i][:4].tolist())
+        ids, lengths, found, tallies = ([column[i] for i in like] for column in columns)
         sizes = [len(f) for f in found]
         owner = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
         flat = np.concatenate(found)
@@ -128,7 +134,7 @@ class Shard:
 
     def __post_init__(self):
         row = self.row
-        self.ids = row["ids"]
+        self.ids, self.read = row["ids"], 0
         lengths = np.frombuffer(row["lengths"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
@@ -149,18 +155,16 @@ class Shard:
         self.block_start = np.append(at, len(blocks))
         self.block_offsets = np.searchsorted(owner[at], np.arange(len(self.terms) + 1))
 
-    def _postings(self, terms, factors, offsets, keys, values, size):
-        """Sums of factor * value by key over the lists of some terms."""
-        if not len(terms):
-            return np.zeros(size)
-        spans = [(offsets[t], offsets[t + 1]) for t in terms]
-        where = np.concatenate([keys[a:b] for a, b in spans])
-        what = np.concatenate([values[a:b] for a, b in spans])
-        what = what * np.repeat(factors, [b - a for a, b in spans])
-        return np.bincount(where, what, size)
-
-    def _postings_within(self, terms, factors, alive):
-        """Sums of factor * weight by document, over those blocks of the lists that are alive."""
+    def _block_bounds(self, terms, factors):
+        """For every block, the sum of the block maxima of the terms: no document of it scores more."""
+        spans = [(self.block_offsets[t], self.block_offsets[t + 1]) for t in terms]
+        where = np.concatenate([self.block[a:b] for a, b in spans])
+        most = np.concatenate([self.block_most[a:b] for a, b in spans])
+        return np.bincount(where, most * np.repeat(factors, [b - a for a, b in spans]),
+                           (len(self.ids) >> BLOCK_BITS) + 1)
+
+    def _scores_within(self, terms, factors, alive):
+        """Scores by document; of every list only the blocks that are alive are read."""
         spans = [(self.block_offsets[t], self.block_offsets[t + 1]) for t in terms]
         entry = np.concatenate([np.arange(a, b) for a, b in spans])
         factor = np.repeat(factors, [b - a for a, b in spans])
@@ -170,6 +174,7 @@ class Shard:
         sizes = self.block_start[entry + 1] - first
         ends = np.cumsum(sizes)
         at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        self.read += len(at)
         return np.bincount(self.docs[at], self.weights[at] * np.repeat(factor, sizes), len(self.ids))
 
     def search(self, terms: np.ndarray, factors: np.ndarray, k: int,
@@ -177,11 +182,10 @@ class Shard:
         """Documents that may be among the best k, with scores to nine decimals.
 
         threshold: a score that k documents elsewhere have reached already; documents that
-        only equal it are still returned. This is MaxScore: terms are ordered by the largest score each can
-        give. Those in front of the pivot can't lift a document to the threshold even
-        together, so only the lists from the pivot on are read whole. A document met there
-        goes on if its sum and the block maxima of the terms in front reach the threshold;
-        of the lists in front only the blocks of such documents are read.
+        only equal it are still returned. This is block-max WAND, a block at a time instead of a
+        pivot document: a block whose terms can't reach the threshold even with their block
+        maxima is skipped in all lists. The most promising blocks are scored first, since their
+        documents raise the threshold for the others; `read` counts the postings looked at.
         """
         none = np.empty(0, np.int64), np.empty(0), threshold
         at = np.searchsorted(self.terms, terms)
@@ -190,27 +194,26 @@ class Shard:
         if not have.any():
             return none
         local, factors = at[have], factors[have]
-        bound = factors * self.most[local]
-        order = np.argsort(bound, kind="stable")
-        local, factors, bound = local[order], factors[order], bound[order]
-        pivot = int(np.searchsorted(np.cumsum(bound), _below(threshold), "left"))
-        if pivot == len(local):
+        if (factors * self.most[local]).sum() < _below(threshold):
+            return none
+        bounds = self._block_bounds(local, factors)
+        left = (bounds > 0) & (bounds >= _below(threshold))
+        docs, found = [], []
+        while left.any():
+            alive = left
+            if np.count_nonzero(left) > FIRST_BLOCKS and not docs:
+                edge = np.partition(bounds[left], -FIRST_BLOCKS)[-FIRST_BLOCKS]
+                alive = left & (bounds >= edge)
+            scores = self._scores_within(local, factors, alive)
+            docs.append(np.flatnonzero(scores))
+            found.append(np.round(scores[docs[-1]], 9))
+            reached = np.concatenate(found)
+            if len(reached) >= k:
+                threshold = max(threshold, float(np.partition(reached, -k)[-k]))
+            left = left & ~alive & (bounds >= _below(threshold))
+        if not docs:
             return none
-        scores = self._postings(local[pivot:], factors[pivot:], self.offsets, self.docs,
-                                self.weights, len(self.ids))
-        docs = np.flatnonzero(scores)
-        if pivot:
-            rest = self._postings(local[:pivot], factors[:pivot], self.block_offsets, self.block,
-                                  self.block_most, (len(self.ids) >> BLOCK_BITS) + 1)
-            docs = docs[scores[docs] + rest[docs >> BLOCK_BITS] >= _below(threshold)]
-            if not len(docs):
-                return none
-            alive = np.zeros(len(rest), bool)
-            alive[docs >> BLOCK_BITS] = True
-            scores = scores + self._postings_within(local[:pivot], factors[:pivot], alive)
-        found = np.round(scores[docs], 9)
-        if len(found) >= k:
-            threshold = max(threshold, float(np.partition(found, -k)[-k]))
+        docs, found = np.concatenate(docs), np.concatenate(found)
         good = found >= _below(threshold)
         return docs[good], found[good], threshold
 
