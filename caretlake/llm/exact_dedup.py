@@ -6,16 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caretlake.llm.common import Scratch
 
 # Two texts are equal if these agree: SHA-256, an independent 64-bit hash, the length.
 KEY = ["digest", "check", "size"]
 
-# So many runs meet in one run of the next level.
-FAN_IN = 8
-
-
 def digests(docs: DataFrame, id_col: str, text_col: str,
             normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, digest, check, size) per row; a null text counts as empty."""
@@ -29,25 +26,28 @@ def digests(docs: DataFrame, id_col: str, text_col: str,
 def merge_runs(runs: DataFrame, keep: str) -> DataFrame:
     """Merge the runs that meet in a node; each comes out sorted by digest.
 
-    A digest whose hash or length differs stays a row of its own, so every identifier that
-    survives a level has been verified against all it stands for.
+    The identifier that stays is kept as a struct, which has no place in a hash table of Spark:
+    runs are sorted and merged by comparing neighbours, and may spill. A digest whose hash or length
+    differs stays a row of its own, so every identifier that survives a level has been
+    verified against all it stands for.
     """
     best = {"min": F.min, "max": F.max}[keep]
-    return (runs.groupBy("node", *KEY).agg(best("keep_id").alias("keep_id"),
-                                           F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions("node", *KEY))
+    return runs.groupBy("node", *KEY).agg(best("keep_id").alias("keep_id"),
+                                          F.sum("group_size").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep: str = "min", normalise: Callable[[Column], Column] | None = None,
-                fan_in: int = FAN_IN) -> DataFrame:
+                leaves: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, digest.
 
-    Leaves are runs of the rows whose identifiers fall together; they exchange runs in
-    rounds of `fan_in` until one run, dealt over all tasks by digest, holds every text once.
-    Winners then go down again to the leaves, at most one row per leaf and digest, and from
-    there to the rows. A group holding a third of all rows is spread over all leaves on the
-    way up and down. Leaves grow with spark.sql.shuffle.partitions; texts never move.
+    Leaves are runs of the rows whose identifiers fall together. They exchange runs in
+    binomial rounds: in round r every node whose number has bit r set hands its run to the
+    node without that bit, where both are merged. After log2(leaves) rounds one run, dealt over
+    all tasks by digest, holds every text once. Winners then go down again to the leaves, at
+    most one row per leaf and digest, and from there to the rows. A group holding a third of all
+    rows is spread over all leaves on the way up and down. Leaves, a power of two, grow with
+    spark.sql.shuffle.partitions; texts never move.
 
     Null texts equal empty ones. Rows repeating an id and a text count in group_size and
     share one fate. Null ids lose to any other id; a group of nothing but null ids is
@@ -56,18 +56,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    leaves = fan_in
-    while leaves < int(spark.conf.get("spark.sql.shuffle.partitions")):
-        leaves *= fan_in
-    leaf = F.pmod(F.xxhash64("id"), F.lit(leaves)).cast("int")
+    leaves = leaves or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rounds = max(1, (leaves - 1).bit_length())
+    leaf = F.pmod(F.xxhash64("id"), F.lit(1 << rounds)).cast("int")
     rows = scratch.write(digests(docs, id_col, text_col, normalise).withColumn("node", leaf), "rows")
-    first = scratch.write(merge_runs(rows.withColumn("keep_id", F.col("id"))
-                                     .withColumn("group_size", F.lit(1)), keep), "leaves")
-    runs, nodes = first, leaves
-    while nodes > 1:
-        nodes //= fan_in
-        runs = merge_runs(runs.withColumn("node", F.floor(F.col("node") / fan_in)), keep)
-    root = runs.drop("node")
+    # Null ids lose: they come last among the smallest and first among the largest.
+    null = F.col("id").isNull() if keep == "min" else F.col("id").isNotNull()
+    first = scratch.write(merge_runs(rows.select("node", *KEY, F.struct(
+        null.alias("null"), F.col("id").alias("id")).alias("keep_id"), F.lit(1).alias("group_size")), keep),
+        "leaves")
+    runs = first
+    for r in range(rounds):
+        runs = merge_runs(runs.withColumn("node", F.col("node").bitwiseAND(~(1 << r))), keep)
+    root = runs.select(*KEY, F.col("keep_id.id").alias("keep_id"), "group_size")
     down = first.drop("keep_id", "group_size").join(root, KEY)
     return (rows.join(down, ["node", *KEY]).select(
         F.col("id"), "keep_id", "group_size",
@@ -79,17 +80,36 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               keep: str = "min") -> DataFrame:
     """The rows that stay, with their own columns; rows repeating id and text become one.
 
-    Among rows repeating id and text any may be the one, unless they differ in other
-    columns: then the smallest by those columns stays. Rows without an id are joined to
-    theirs by text, so one of several such copies stays.
+    Rows whose id stands once are kept or go by an anti-join on the id, so no text is hashed or moved
+    again for them. Rows of repeated ids, and rows without one, are told apart by their text:
+    among rows repeating id and text the smallest by the other columns stays, values without an
+    order, such as maps, by their JSON.
     """
     names = docs.columns
-    found = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(
-        F.col("id").alias("_id"), F.hex("digest").alias("_digest")).distinct()
-    text = F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
-    joined = docs.alias("d").join(
-        found.alias("f"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("f._id"))
-        & (F.upper(F.sha2(text.cast("binary"), 256)) == F.col("f._digest")))
-    rows = joined.groupBy("f._id", "f._digest").agg(
-        F.min(F.struct(*[F.col(f"d.`{n}`") for n in names])).alias("_row"))
-    return rows.select(*[F.col(f"_row.`{n}`").alias(n) for n in names])
+    found = Scratch(docs.sparkSession, "exact-dedup").write(
+        exact_dedup(docs, id_col, text_col, keep).select("id", "digest", "kept"), "fates")
+    fates = found.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("any"))
+    repeated = F.col("id").isNull() | (F.col("n") > 1)
+    id_, text = F.col(f"d.`{id_col}`"), F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
+    own = F.col("f.id")
+    single = docs.alias("d").filter(id_.isNotNull()).join(
+        fates.filter(repeated | ~F.col("any")).alias("f"), id_ == own, "left_anti")
+    several = fates.filter(repeated & F.col("any")).select("id")
+    stay = found.filter("kept").alias("k").join(
+        several.alias("s"), F.col("k.id").eqNullSafe(F.col("s.id"))).select("k.id", "k.digest").distinct()
+    copies = docs.alias("d").join(several.alias("s"), id_.eqNullSafe(F.col("s.id")), "left_semi").alias("d").join(
+        stay.alias("f"), id_.eqNullSafe(own)
+        & (F.unhex(F.sha2(text.cast("binary"), 256)) == F.col("f.digest")))
+    order = F.struct(*[F.col(f"d.`{f.name}`") if _orderable(f.dataType) else
+                       F.to_json(F.struct(F.col(f"d.`{f.name}`"))) for f in docs.schema])
+    rows = copies.groupBy("f.id", "f.digest").agg(F.min_by(
+        F.struct(*[F.col(f"d.`{n}`") for n in names]), order).alias("_row"))
+    return single.unionByName(rows.select(*[F.col(f"_row.`{n}`").alias(n) for n in names]))
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))

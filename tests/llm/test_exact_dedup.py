@@ -21,9 +21,9 @@ def expected(rows, best):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("keep, fan_in", [("min", 8), ("max", 2)])
-def test_hard_rows(hard, keep, fan_in):
-    got = exact_dedup(hard, keep=keep, fan_in=fan_in).collect()
+@pytest.mark.parametrize("keep, leaves", [("min", 8), ("max", 2), ("min", 5), ("max", 1)])
+def test_hard_rows(hard, keep, leaves):
+    got = exact_dedup(hard, keep=keep, leaves=leaves).collect()
     rows = [(r.id, r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in got]
     assert sorted(rows, key=repr) == expected(HARD, {"min": min, "max": max}[keep])
 
@@ -58,3 +58,21 @@ def test_kept_rows_keep_their_columns(hard):
 def test_no_python_in_the_plan(hard):
     plan = exact_dedup(hard)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_every_round_merges_sorted_runs(hard):
+    """Three rounds: each sorts what it receives and merges neighbours, none hashes."""
+    plan = exact_dedup(hard, leaves=8)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan
+    assert plan.count("SortAggregate(key=[node") == 2 * 3
+    assert all("Sort [node" in after for after in plan.split("SortAggregate(key=[node")[1:])
+
+
+def test_rows_with_maps_and_repeated_ids(llm):
+    docs = llm.sql("""SELECT * FROM VALUES
+        (1, 'a', map('x', 1)), (1, 'a', map('x', 2)), (1, 'b', map('x', 3)), (2, 'b', map('x', 4)),
+        (3, 'c', NULL), (NULL, 'c', map('x', 5)), (NULL, 'd', map('x', 6)), (NULL, 'd', map('x', 7)),
+        (4, 'e', map()) AS t(doc_id, text, more)""")
+    got = [(r.doc_id, r.text, (r.more or {}).get("x")) for r in keep_rows(docs).collect()]
+    assert sorted(got, key=repr) == sorted(
+        [(1, "a", 1), (1, "b", 3), (3, "c", None), (None, "d", 6), (4, "e", None)], key=repr)
