@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretlake import schemas as S
@@ -99,41 +100,65 @@ def _worker_model(name: str, factory: Callable[[], FillModel]) -> FillModel:
     return _MODELS[name]
 
 
+def padded_batches(rows: Iterable[tuple], size: int, budget: int | None) -> Iterator[list[tuple]]:
+    """Rows (…, length) in order as batches of up to `size` rows and, padded to the longest of
+    them, up to `budget`; a row beyond the budget is a batch of its own."""
+    held, longest = [], 0
+    for row in rows:
+        wide = max(longest, row[-1])
+        if held and (len(held) == size or (budget and wide * (len(held) + 1) > budget)):
+            yield held
+            held, wide = [], row[-1]
+        held.append(row)
+        longest = wide
+    if held:
+        yield held
+
+
 class ModelCompleter(Completer):
     """Distributed batch inference with an injected fill model.
 
     `factory` is pickled to the workers and called once in each to build the model. The
     model sees batches of whole prompts and returns labels in its own order. Inference
     outweighs moving the bounded prompts, so `partitions` deals them evenly over tasks.
+
+    A batch holds up to `batch_size` prompts and, padded to its longest one, up to `budget` in the
+    unit of `length`, a column of the prompt's own: its characters unless given, the tokens of the
+    model's tokenizer at best. Tasks sort their prompts by that length, so a batch holds prompts
+    of much the same length and little padding. `profile` is a resource profile for the stage
+    that runs the model, such as a GPU a task. A null prompt is an empty one.
     """
 
     def __init__(self, factory: Callable[[], FillModel], batch_size: int = 64,
-                 partitions: int | None = None):
+                 partitions: int | None = None, budget: int | None = None,
+                 length: Column | None = None, profile: ResourceProfile | None = None):
         self.factory, self.batch_size, self.partitions = factory, batch_size, partitions
+        self.budget, self.length, self.profile = budget, length, profile
         self.name = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def complete(self, prompts, k=S.NUM_RESULTS):
         ship(prompts.sparkSession)
-        factory, name, size = self.factory, self.name, self.batch_size
+        factory, name, size, budget = self.factory, self.name, self.batch_size, self.budget
 
         def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = _worker_model(name, factory)
-            for pdf in batches:
-                for start in range(0, len(pdf), size):
-                    part = pdf.iloc[start:start + size]
-                    answers = model(part["prompt"].tolist(), k)
-                    rows = [(rid, rank, label, score)
-                            for rid, found in zip(part["request_id"], answers)
-                            for rank, (label, score) in enumerate(found[:k], 1)]
-                    yield pd.DataFrame(rows, columns=["request_id", "rank", "label", "score"])
-
-        sent = prompts.select("request_id", "prompt")
-        if "status" in prompts.columns:
-            sent = prompts.filter(F.col("status") == S.OK).select("request_id", "prompt")
+            rows = (row for pdf in batches for row in zip(pdf["request_id"], pdf["prompt"], pdf["length"]))
+            for part in padded_batches(rows, size, budget):
+                answers = model([prompt for _, prompt, _ in part], k)
+                found = [(rid, rank, label, score)
+                         for (rid, _, _), listed in zip(part, answers)
+                         for rank, (label, score) in enumerate(listed[:k], 1)]
+                yield pd.DataFrame(found, columns=["request_id", "rank", "label", "score"])
+
+        length = F.length("prompt") if self.length is None else self.length
+        ok = prompts.filter(F.col("status") == S.OK) if "status" in prompts.columns else prompts
+        sent = ok.withColumn("prompt", F.coalesce("prompt", F.lit(""))).select(
+            "request_id", "prompt", F.coalesce(length, F.lit(0)).cast("int").alias("length"))
         if self.partitions:
             sent = sent.repartition(self.partitions, "request_id")
         rid = sent.schema["request_id"].dataType.simpleString()
-        return sent.mapInPandas(infer, f"request_id {rid}, rank int, label string, score double")
+        return sent.sortWithinPartitions("length", "request_id").mapInPandas(
+            infer, f"request_id {rid}, rank int, label string, score double", profile=self.profile)
 
 
 def make_completer(model_type: str | None = None, **opts) -> Completer:
@@ -141,7 +166,8 @@ def make_completer(model_type: str | None = None, **opts) -> Completer:
     if model_type is None or model_type == "vocab":
         return VocabCompleter(opts["vocab"])
     if model_type in ("hf", "huggingface"):
-        return ModelCompleter(opts["factory"], opts.get("batch_size", 64), opts.get("partitions"))
+        return ModelCompleter(opts["factory"], opts.get("batch_size", 64), opts.get("partitions"),
+                              opts.get("budget"), opts.get("length"), opts.get("profile"))
     if model_type == "ngram":
         return NgramCompleter(opts["model"], opts.get("context_size", 1))
     if model_type == "empty":

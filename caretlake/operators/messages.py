@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.functions import envelope as env
+from caretlake.functions.charsets import decoded
 from caretlake.operators.scan import measured_cuts, running
+from caretlake.session import ship
 
 _ENVELOPE = "jsonrpc variant, id variant, method variant, result variant, error variant"
 
@@ -64,10 +66,11 @@ def parse_calls(msgs: DataFrame) -> DataFrame:
     """Inbound messages as typed calls for the replay.
 
     (session, seq, kind, method, id, status, uri, changes, n_full, n_ranged, text, line, ch).
-    `id` is the JSON text of the request's id, null for notifications. `changes` lists what a didOpen or didChange carries, in order, with `full` telling
-    whole texts from ranged edits, which are ignored; `text` is the last whole text.
-    Calls lacking what they need are `invalid_params`; a version only has to be there, be
-    it null.
+    `id` is the JSON text of the request's id, null for notifications. `changes` lists what a
+    didOpen or didChange carries, in order, with `full` telling whole texts from ranged edits,
+    which are ignored; `text` is the last whole text. Calls lacking what they need are
+    `invalid_params`, and so are those whose uri or whole text is no string; a version only has
+    to be there, be it null.
     """
     inbound = msgs.filter(F.col("direction").isNull() | (F.col("direction") != "out"))
     df = parse_envelope(inbound).drop("params").withColumn(
@@ -92,17 +95,40 @@ def parse_calls(msgs: DataFrame) -> DataFrame:
         "n_full": n_full, "n_ranged": F.coalesce(F.array_size("changes"), F.lit(0)) - n_full,
     })
     no_text = F.exists("_full", lambda c: c["text"].isNull())
+    mistyped = _mistyped(is_open, is_change, is_open | is_change | is_completion)
     lacking = (
         (is_open & (F.col("uri").isNull() | no_text))
         | (is_change & (F.col("uri").isNull() | F.col("_p.textDocument.version").isNull()
                         | given.isNull() | no_text))
         | (is_completion & (F.col("uri").isNull() | F.col("line").isNull() | F.col("ch").isNull())))
-    status = F.when((F.col("status") == S.OK) & F.coalesce(lacking, F.lit(False)),
+    status = F.when((F.col("status") == S.OK) & (F.coalesce(lacking, F.lit(False)) | mistyped),
                     S.INVALID_PARAMS).otherwise(F.col("status"))
     own = {c: F.col(c) for c in ("uri", "changes", "n_full", "n_ranged", "text", "line", "ch")}
     return df.select("session", "seq", "kind", "method", "id", env.computed(status=status, **own))
 
 
+def _mistyped(is_open: Column, is_change: Column, is_call: Column) -> Column:
+    """Whether the uri or a whole text was written as a number, a boolean, an array or an object.
+
+    `from_json` gives all of these as strings. Only what reads like one of them is parsed once
+    more, with types, so prose is not parsed twice.
+    """
+    def suspicious(value: Column) -> Column:
+        return F.coalesce(value.rlike(r"^(-?[0-9]|true$|false$|[{\[])"), F.lit(False))
+
+    def other(value: Column) -> Column:
+        return F.coalesce(~F.schema_of_variant(value).isin("STRING", "VOID"), F.lit(False))
+
+    doubt = suspicious(F.col("uri")) | F.coalesce(
+        F.exists("_full", lambda c: suspicious(c["text"])), F.lit(False))
+    typed = F.when(is_call & doubt, F.from_json("raw", S.CALL_TYPES, env.JSON_OPTIONS)["params"])
+    in_change = F.exists(F.zip_with("changes", typed["contentChanges"], lambda c, t: c["full"] & other(
+        t["text"])), lambda wrong: wrong)
+    wrong = (other(typed["textDocument"]["uri"]) | (is_open & other(typed["textDocument"]["text"]))
+             | (is_change & F.coalesce(in_change, F.lit(False))))
+    return F.coalesce(wrong, F.lit(False))
+
+
 def dead_letters(msgs: DataFrame) -> DataFrame:
     """Messages that are logged and dropped, with the reason."""
     parsed = parse_envelope(msgs)
@@ -244,7 +270,7 @@ def session_profile(msgs: DataFrame) -> DataFrame:
     return inits.select("session", "seq", *[c.alias(n) for n, c in profile.items()])
 
 
-# Charset spellings that can be checked here.
+# Charset spellings that Spark's own functions decode.
 UTF8_NAMES = ("utf-8", "utf_8", "u8", "cp65001")
 ASCII_NAMES = ("ascii", "us-ascii", "646", "us_ascii")
 LATIN1_NAMES = ("latin-1", "latin1", "iso-8859-1", "iso8859-1", "iso_8859_1", "l1", "8859", "cp819")
@@ -271,25 +297,30 @@ def audit_frames(frames: DataFrame) -> DataFrame:
     """Add mediatype, charset, actual_length and status to (content_length, content_type, content).
 
     status: missing_length, short_body, long_body, unsupported_charset, undecodable,
-    invalid_json or ok.
+    invalid_json or ok. Bodies in UTF-8, ASCII and Latin-1 are decoded by Spark, those in other
+    charsets in Arrow batches; only the latter leave the JVM.
     """
+    ship(frames.sparkSession)
     content, charset = F.col("content"), F.col("charset")
     as_text = content.cast("string")
     utf8 = F.is_valid_utf8(as_text)
     ascii_ = utf8 & (F.length(as_text) == F.octet_length(content))
-    decoded = (F.when(charset.isin(*UTF8_NAMES), F.when(utf8, as_text))
-               .when(charset.isin(*ASCII_NAMES), F.when(ascii_, as_text))
-               .when(charset.isin(*LATIN1_NAMES), F.decode(content, "ISO-8859-1")))
+    native = charset.isin(*UTF8_NAMES, *ASCII_NAMES, *LATIN1_NAMES)
+    text = (F.when(charset.isin(*UTF8_NAMES), F.when(utf8, as_text))
+            .when(charset.isin(*ASCII_NAMES), F.when(ascii_, as_text))
+            .when(charset.isin(*LATIN1_NAMES), F.decode(content, "ISO-8859-1"))
+            .otherwise(F.col("_other.text")))
     df = frames.withColumn("_m", media_type(F.col("content_type"))).withColumns({
         "mediatype": F.col("_m.mediatype"), "charset": F.col("_m.charset"),
-        "actual_length": F.octet_length(content)}).drop("_m").withColumn("_text", decoded)
+        "actual_length": F.octet_length(content)}).drop("_m").withColumn(
+        "_other", decoded(F.when(~native, charset), F.when(~native, content))).withColumn("_text", text)
     declared = F.coalesce("content_length", F.lit(0))
     status = (
         F.when(declared == 0, "missing_length")
         .when(F.col("actual_length") < declared, "short_body")
         .when(F.col("actual_length") > declared, "long_body")
-        .when(~charset.isin(*UTF8_NAMES, *ASCII_NAMES, *LATIN1_NAMES), "unsupported_charset")
+        .when(~native & ~F.col("_other.known"), "unsupported_charset")
         .when(F.col("_text").isNull(), "undecodable")
         .when(~env.is_json(F.col("_text")), "invalid_json")
         .otherwise(S.OK))
-    return df.withColumn("status", status).drop("_text")
+    return df.withColumn("status", status).drop("_text", "_other")

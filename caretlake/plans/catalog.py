@@ -424,6 +424,26 @@ def audit_frames(spark, sf):
         "doc_id", "mediatype", "charset", "content_length", "actual_length", "status")
 
 
+def audit_charsets(spark, sf):
+    """Documents as frame bodies in charsets of two and four bytes, of one byte, and of none."""
+    d = F.col("doc_id")
+    body = F.concat(F.lit('{"id":'), d.cast("string"), F.lit(',"t":'),
+                    F.substring(F.to_json(F.array("text")), 2, 1 << 30))
+    body = F.when(d % 11 == 3, body).otherwise(F.regexp_replace(body, r"\]$", "}"))
+    kinds = [("utf-16-be", "UTF-16BE"), ("utf-16-le", "UTF-16LE"), ("utf_32_be", "UTF-32"),
+             ("KOI8-R", "UTF-8"), ("cp1252", "UTF-8"), ("x-none", "UTF-8")]
+    content, charset = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for i, (name, encoding) in enumerate(kinds):
+        content = F.when(d % len(kinds) == i, F.encode(body, encoding)).otherwise(content)
+        charset = F.when(d % len(kinds) == i, F.lit(name)).otherwise(charset)
+    # One in thirteen bodies lacks its last byte.
+    content = F.when(d % 13 == 5, F.substring(content, F.lit(1), F.octet_length(content) - 1)).otherwise(content)
+    frames = _documents(spark, sf).select(
+        "doc_id", F.octet_length(content).cast("long").alias("content_length"),
+        F.concat(F.lit("a/b;charset="), charset).alias("content_type"), content.alias("content"))
+    return msg.audit_frames(frames).select("doc_id", "charset", "actual_length", "status")
+
+
 # --- reports -----------------------------------------------------------------------------
 
 def _timings(spark, sf):
@@ -562,7 +582,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     session_epochs, effective_writes, ignored_changes, corpus_snapshot, corpus_stats,
     corpus_as_of, completion_prompts, change_audit, replay_status, fail_stop, parse_envelope,
     dead_letters, route_messages, unknown_methods, pair_messages, assign_request_ids,
-    session_profile, explain_errors, traffic_summary, audit_frames, parse_measure,
+    session_profile, explain_errors, traffic_summary, audit_frames, audit_charsets, parse_measure,
     label_timings, timing_summary, traffic_window, stream_replay, stream_handover,
     stream_responses, stream_windows,
 ]}

@@ -493,10 +493,27 @@ def oracles() -> dict[str, str]:
             CASE h WHEN 3 THEN 'latin-1' WHEN 5 THEN 'us-ascii' WHEN 7 THEN 'koi8-r' ELSE 'utf-8' END AS charset,
             declared AS content_length, CAST(actual AS INTEGER) AS actual_length,
             CASE WHEN doc_id % 13 = 3 THEN 'missing_length' WHEN doc_id % 13 = 1 THEN 'short_body'
-                 WHEN doc_id % 13 = 2 THEN 'long_body' WHEN h = 7 THEN 'unsupported_charset'
+                 WHEN doc_id % 13 = 2 THEN 'long_body'
                  WHEN h = 5 AND octet_length(encode(text)) <> length(text) THEN 'undecodable'
                  WHEN broken THEN 'invalid_json' ELSE 'ok' END AS status
           FROM g""",
+        "audit_charsets": """
+          WITH f AS (
+            SELECT doc_id, doc_id % 6 AS h, doc_id % 11 = 3 AS broken, doc_id % 13 = 5 AS cut,
+                   '{"id":' || doc_id || ',"t":' || to_json(coalesce(text, '')) || '}' AS body
+            FROM documents),
+          g AS (
+            SELECT *, CASE WHEN h <= 1 THEN 2 * length(body)
+                             + 2 * length(regexp_replace(body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))
+                           WHEN h = 2 THEN 4 * length(body) ELSE octet_length(encode(body)) END AS size
+            FROM f)
+          SELECT doc_id, CASE h WHEN 0 THEN 'utf-16-be' WHEN 1 THEN 'utf-16-le' WHEN 2 THEN 'utf_32_be'
+                   WHEN 3 THEN 'koi8-r' WHEN 4 THEN 'cp1252' ELSE 'x-none' END AS charset,
+            CAST(size - CAST(cut AS INTEGER) AS INTEGER) AS actual_length,
+            CASE WHEN h = 5 THEN 'unsupported_charset' WHEN h <= 2 AND cut THEN 'undecodable'
+                 WHEN h = 4 AND regexp_matches(hex(encode(body)), '^(..)*(81|8D|8F|90|9D)') THEN 'undecodable'
+                 WHEN broken OR cut THEN 'invalid_json' ELSE 'ok' END AS status
+          FROM g""",
         "parse_measure": f"""WITH {_TIMINGS}
           SELECT event_id, mean, std AS std_published, round(std * std_unit, 9) AS std_ms FROM timed""",
         "label_timings": f"WITH {_TIMINGS} SELECT event_id, framework, label FROM timed",

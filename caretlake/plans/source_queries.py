@@ -10,7 +10,7 @@ from caretlake.operators import reports
 from caretlake.operators import vocabulary as voc
 from caretlake.plans import catalog as cat
 from caretlake.operators.completers import make_completer
-from caretlake.sources import logs, paged, text
+from caretlake.sources import dumps, logs, paged, text
 
 
 def _line_files(spark, rows: DataFrame, name: str, order: str, **options) -> str:
@@ -105,6 +105,15 @@ def corpus_xml_source(spark, sf):
         "uri", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def corpus_dump_source(spark, sf):
+    """Documents as multistream dumps, read back stream by stream."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\p{Cc}]+", " ")
+    rows = cat.table(spark, sf, "documents").select(
+        F.concat(F.lit("page "), F.col("doc_id")).alias("uri"), F.trim(body).alias("text"))
+    streams = dumps.write_multistream(rows, cat._folder(spark, "multistream"))
+    return dumps.read_multistream(streams).select("uri", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def response_sink(spark, sf):
     """Responses written as messages and read again: the words of every turn as labels."""
     words = cat._requests(spark, sf).select(
@@ -117,7 +126,7 @@ def response_sink(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     vocab_source, message_source, message_stream, paged_responses, timing_source, server_log_source, corpus_text_source,
-    corpus_xml_source, response_sink]}
+    corpus_xml_source, corpus_dump_source, response_sink]}
 
 
 def oracles(timings: str, words: str) -> dict[str, str]:
@@ -160,6 +169,9 @@ def oracles(timings: str, words: str) -> dict[str, str]:
         "corpus_xml_source": """
           SELECT 'page ' || doc_id AS uri,
                  trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Cc}]+', ' ', 'g')) AS text FROM documents""",
+        "corpus_dump_source": """
+          SELECT 'page ' || doc_id AS uri,
+                 trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Cc}]+', ' ', 'g')) AS text FROM documents""",
         "response_sink": f"""
           SELECT CAST(0 AS BIGINT) AS session, conv_id * 1000 + turn AS seq, 'out' AS direction,
                  '{{"jsonrpc":"2.0","id":' || (conv_id * 1000 + turn) || ',"result":['

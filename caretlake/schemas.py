@@ -46,6 +46,19 @@ CALL_BODY = T.StructType([
     ])),
 ])
 
+# The same places with their types.
+CALL_TYPES = T.StructType([
+    T.StructField("params", T.StructType([
+        T.StructField("textDocument", T.StructType([
+            T.StructField("uri", T.VariantType()),
+            T.StructField("text", T.VariantType()),
+        ])),
+        T.StructField("contentChanges", T.ArrayType(T.StructType([
+            T.StructField("text", T.VariantType()),
+        ]))),
+    ])),
+])
+
 # --- status vocabulary -----------------------------------------------------------
 
 OK = "ok"

@@ -174,6 +174,30 @@ def test_model_is_built_once_per_worker(spark, tmp_path):
     assert len(pids) == len(set(pids))
 
 
+def test_batches_by_a_budget_hold_little_padding(spark, documents):
+    """Prompts of 1 to 256 characters; the model reports the length that it pads them to."""
+    def factory():
+        return lambda prompts, k: [[(p, float(max(map(len, prompts)) * 1000 + len(prompts)))] for p in prompts]
+
+    cut = F.pmod(F.xxhash64("doc_id", "i"), F.lit(256)) + 1
+    prompts = documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select(
+        (F.col("doc_id") * 10 + F.col("i")).alias("request_id"),
+        F.substring("text", F.lit(1), cut.cast("int")).alias("prompt"))
+    rows = comp.ModelCompleter(factory, 64, 2, budget=4096).complete(prompts).collect()
+    padded, used = sum(r.score // 1000 for r in rows), sum(len(r.label) for r in rows)
+    assert len(rows) == prompts.count() and 1 - used / padded < 0.10
+    assert all((r.score // 1000) * (r.score % 1000) <= 4096 and r.score % 1000 <= 64 for r in rows)
+    other = comp.ModelCompleter(factory, 7, 3).complete(prompts.orderBy(F.desc("request_id"))).collect()
+    assert {(r.request_id, r.label) for r in rows} == {(r.request_id, r.label) for r in other}
+
+
+def test_batches():
+    rows = [(i, n) for i, n in enumerate([1, 2, 2, 9, 3])]
+    assert [len(b) for b in comp.padded_batches(rows, 2, None)] == [2, 2, 1]
+    assert [len(b) for b in comp.padded_batches(rows, 9, 6)] == [3, 1, 1]
+    assert list(comp.padded_batches([], 3, 5)) == []
+
+
 def test_a_model_of_another_context_size_is_refused(spark):
     docs = spark.createDataFrame([("a b c d",)], "text string")
     prompts = spark.createDataFrame([(1, "a", "c")], "request_id long, prefix string, suffix string")

@@ -8,7 +8,7 @@ from caretlake.plans import catalog, source_queries
 from tests.conftest import SF
 
 PYTHON_QUERIES = {"model_complete", "stream_replay", "stream_responses", "stream_windows",
-                  "stream_handover"}
+                  "stream_handover", "audit_frames", "audit_charsets"}
 
 
 def plan(df):
