@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from caretlake.llm.common import prepare, table
-from caretlake.llm.licenses import scan_licenses
+from caretlake.llm.licenses import NOTICES, PHRASES, scan_licenses
 
 
 def op1_license_scan(spark, sf_dir):
@@ -18,29 +20,32 @@ def op1_license_scan(spark, sf_dir):
         F.array_join("labels", ",").alias("labels"), "score")
 
 
-# What the templates accept, as patterns over words that stand between spaces:
-# label, words that have to agree, pattern.
-_NOTICES = [
-    ("apache-2.0", 7, "licensed under the apache license (?: version )? 2 0"),
-    ("apache-2.0-text", 21, "you may not use this file except in compliance with the license "
-     "you may obtain a copy of the license at"),
-    ("mit-notice", 4, "(?: released | licensed | distributed ) under the (?: terms of the )? "
-     "mit license"),
-    ("mit-text", 29, "permission is hereby granted free of charge to any person obtaining a copy "
-     "of this software and associated documentation files the software to deal in the software "
-     "without restriction"),
-    ("gpl-3.0", 9, "licensed under the (?: terms of the )? gnu general public license "
-     "(?: as published by the free software foundation either )? version 3"),
-    ("gpl-2.0", 9, "licensed under the (?: terms of the )? gnu general public license "
-     "(?: as published by the free software foundation either )? version 2"),
-    ("cc-by-4.0", 6, "licensed under (?: a )? cc by 4 0"),
-    ("cc-by-nc-4.0", 7, "licensed under (?: a )? cc by nc 4 0"),
-    ("bsd-text", 21, "redistribution and use in source and binary forms with or without "
-     "modification are permitted provided that the following conditions are met"),
-    ("all-rights-reserved", 3, "all rights reserved"),
-]
-_PHRASES = [("gpl", "gnu general public license"), ("apache", "apache license"),
-            ("cc-by", "cc by"), ("mit", "mit license")]
+_PHRASES = [(t.label, t.markup) for t in PHRASES]
+_TOKEN = re.compile(r"<<(beginOptional|endOptional|var)([^<>]*)>>|([a-z0-9]+)")
+
+
+def _pattern(markup: str) -> tuple[int, str]:
+    """Words that have to agree, and a regular expression over words between spaces."""
+    pattern, count, depth = [], 0, 0
+    for mark, rest, word in _TOKEN.findall(markup):
+        if mark == "beginOptional":
+            pattern.append("(?:")
+            depth += 1
+        elif mark == "endOptional":
+            pattern.append(")?")
+            depth -= 1
+        elif mark == "var":
+            match = rest.split('match="')[1].split('"')[0]
+            if match.startswith("."):
+                pattern.append("(?: [^ ]+ )" + match[1:])
+            else:
+                choices = [c.split() for c in match.split("|")]
+                pattern.append("(?:" + "|".join("".join(f" {w} " for w in c) for c in choices) + ")")
+                count += min(map(len, choices)) if not depth else 0
+        else:
+            pattern.append(f" {word} ")
+            count += not depth
+    return count, "".join(pattern)
 
 
 def _oracle() -> str:
@@ -55,9 +60,7 @@ def _oracle() -> str:
                   WHERE {has})""")
         labels.append(f"CASE WHEN {has} THEN '{label}' END")
         scores.append(f"CASE WHEN {has} THEN {len(phrase.split())} ELSE 0 END")
-    for label, count, markup in _NOTICES:
-        pattern = "".join(
-            w if w.startswith("(?:") or w in ("|", ")", ")?") else f" {w} " for w in markup.split())
+    for label, (count, pattern) in ((t.label, _pattern(t.markup)) for t in NOTICES):
         has = f"regexp_matches(t, '{pattern}')"
         labels.append(f"CASE WHEN {has} THEN '{label}' END")
         scores.append(f"CASE WHEN {has} THEN {count} ELSE 0 END")
@@ -84,8 +87,7 @@ def _oracle() -> str:
         FROM places GROUP BY doc_id),
     scored AS (
         SELECT doc_id, ((len(t) - len(replace(t, ' ', ''))) // 2)::BIGINT AS n_words,
-            array_to_string(list_sort([x for x in [{", ".join(labels)}]
-                if x IS NOT NULL]), ',') AS labels,
+            array_to_string(list_sort(list_distinct([{", ".join(labels)}])), ',') AS labels,
             greatest({", ".join(scores)}) AS longest
         FROM spaced)
     SELECT s.doc_id, n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
