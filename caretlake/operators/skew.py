@@ -28,15 +28,18 @@ def wanted_only(right: DataFrame, left: DataFrame, on: list[str]) -> DataFrame:
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column],
-                hot_rows: int = HOT_ROWS, how: str = "left") -> DataFrame:
+                hot_rows: int = HOT_ROWS, how: str = "left",
+                counts: DataFrame | None = None) -> DataFrame:
     """`left` joined with `right`, whose keys are unique, with hot left keys spread.
 
     Adaptive execution splits partitions by their bytes, so a million narrow cursors into
     one long document would still be one task. Here such keys are counted first; their
     `right` row is copied and the left rows are dealt over the copies by `spread_by`.
-    Rows with a NULL key match nothing and go anywhere.
+    Rows with a NULL key match nothing and go anywhere. `counts` (the keys and `_n`, a written
+    table at best) saves the counting.
     """
-    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
     share = F.coalesce(counts.agg((F.sum("_n") / HOT_KEYS).alias("_share")).scalar(), F.lit(0.0))
     least = F.greatest(F.lit(float(max(hot_rows, 1))), share)
     hot = counts.filter(F.col("_n") > least).select(
