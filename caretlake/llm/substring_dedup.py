@@ -229,25 +229,35 @@ def _firsts(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def _again(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(id, text_hash, start, end) of the units that stand before.
+    """(id, text_hash, start, end) of the units that stand before; `firsts` is a written table.
 
     What overlaps its own first occurrence in one document loses the rest only.
     """
     first = firsts.filter("n > 1").select("digest", "first")
     here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return rows.join(first, "digest").filter(~(here & (F.col("start") == F.col("first.start")))).select(
+    return _dealt(rows, first, "digest", firsts, "inner").filter(
+        ~(here & (F.col("start") == F.col("first.start")))).select(
         "id", "text_hash", F.when(here, F.greatest("start", "first.stop")).otherwise(
             F.col("start")).alias("start"), "end")
 
 
+def _dealt(rows: DataFrame, others: DataFrame, key: str, counts: DataFrame, how: str) -> DataFrame:
+    """Units joined with `others`, unique in `key`; units of a hot key go to several tasks.
+
+    `counts` has `n`, the units of every key, from the aggregation that came before.
+    """
+    return spread_join(rows, others, [key], [F.col("id"), F.col("text_hash"), F.col("start")], HOT_UNITS,
+                       how, counts.filter("n > 1").select(key, F.col("n").alias("_n")))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, spans) of the documents that lose something.
 
     Of the units with one digest the first in order of (id, text, place) stays, null ids
     last. Units whose hash stands alone are left out by a semi-join first. First occurrences
-    are found by map-side minima and joined back to the units, so a unit repeated in a third
-    of all documents is a skewed join key and no group.
+    are found by map-side minima and joined back to the units. Units are counted on the way, so
+    those of a unit repeated in a third of all documents are dealt over many tasks in both joins.
 
     A group of passages that stands before goes as a whole. Only where an anchor has groups
     of different words, at the edges of what repeats, the first of each is taken apart and
@@ -256,16 +266,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = scratch.write(unit_rows(docs, id_col, text_col, min_words), "units")
-    key = F.coalesce("anchor", F.xxhash64("digest"))
-    known = rows.groupBy(key.alias("key")).count().filter("count > 1").select("key")
-    rows = scratch.write(rows.join(known, key == F.col("key"), "left_semi"), "repeated")
-    scratch.free("units")
+    rows = rows.withColumn("key", F.coalesce("anchor", F.xxhash64("digest")))
+    known = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
+    rows = scratch.write(_dealt(rows, known.select("key"), "key", known, "left_semi").drop("key"),
+                         "repeated")
+    scratch.free("units", "keys")
     firsts = scratch.write(_firsts(rows, "end", "anchor"), "firsts")
     groups = firsts.filter("first.anchor IS NOT NULL").select("first.*")
     mixed = groups.groupBy("anchor").count().filter("count > 1").select("anchor")
     edges = groups.join(mixed, "anchor", "left_semi")
     passages = scratch.write(passage_rows(docs, id_col, text_col, edges), "passages")
-    again = _again(rows, firsts).union(_again(passages, _firsts(passages)))
+    passage_firsts = scratch.write(_firsts(passages), "passage-firsts")
+    again = _again(rows, firsts).union(_again(passages, passage_firsts))
     return again.filter("start < end").groupBy("id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
