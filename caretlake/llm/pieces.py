@@ -124,25 +124,29 @@ def drop_keys(names: list[str], seed: int) -> np.ndarray:
 
 
 class Dropout:
-    """Skips a candidate merge if the hash of (document key, its span) is below the rate.
+    """Skips a candidate merge if the hash of (document key, its span, its split) is below the rate.
 
-    The answer depends on the candidate alone, not on when the agenda comes to it.
+    The answer depends on the candidate alone, not on when the agenda comes to it. Two ways to
+    make one piece, such as (ab, c) and (a, bc), are two candidates with fates of their own.
     """
 
     def __init__(self, rate: float):
         self.rate = rate
         self.limit = np.uint64(min(int(rate * 2.0 ** 64), 2 ** 64 - 1))
 
-    def __call__(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def __call__(self, keys: np.ndarray, starts: np.ndarray, splits: np.ndarray,
+                 ends: np.ndarray) -> np.ndarray:
         span = starts.astype(np.uint64) << np.uint64(32) | ends.astype(np.uint64)
-        return _mix(_mix(span * np.uint64(0x9E3779B97F4A7C15)) ^ keys) < self.limit
+        place = span * np.uint64(0x9E3779B97F4A7C15) ^ splits.astype(np.uint64)
+        return _mix(_mix(place) ^ keys) < self.limit
 
 
-def _candidates(model: PieceModel, drop: Dropout, left, right, keys, starts, ends) -> np.ndarray:
+def _candidates(model: PieceModel, drop: Dropout, left, right, keys, starts, splits,
+                ends) -> np.ndarray:
     ranks = model.table.ranks_of(left, right)
     if drop.rate:
         found = np.flatnonzero(ranks != NONE)
-        skipped = found[drop(keys[found], starts[found], ends[found])]
+        skipped = found[drop(keys[found], starts[found], splits[found], ends[found])]
         ranks[skipped] = NONE
     return ranks
 
@@ -156,13 +160,14 @@ def merge_run(model: PieceModel, drop: Dropout, symbols: np.ndarray, key: np.uin
     places = np.arange(start, start + n)
     keys = np.full(n, key, np.uint64)
     agenda = [(int(r), i, end[i], end[i + 1]) for i, r in enumerate(_candidates(
-        model, drop, symbols[:-1], symbols[1:], keys[1:], places[:-1], places[1:] + 1)) if r != NONE]
+        model, drop, symbols[:-1], symbols[1:], keys[1:], places[:-1], places[1:], places[1:] + 1))
+              if r != NONE]
     heapq.heapify(agenda)
 
     def offer(i, j):
         rank = model.pairs.get((sym[i], sym[j]))
         if rank is not None and not (drop.rate and drop(
-                key, np.array([start + i]), np.array([end[j]]))[0]):
+                key, np.array([start + i]), np.array([end[i]]), np.array([end[j]]))[0]):
             heapq.heappush(agenda, (rank, i, end[i], end[j]))
 
     gone = [False] * n
@@ -192,7 +197,7 @@ def merge_rows(model: PieceModel, drop: Dropout, sym: np.ndarray, keys: np.ndarr
     if width > 1:
         ranks = _candidates(
             model, drop, sym[:, :-1].ravel(), sym[:, 1:].ravel(), np.repeat(keys, width - 1),
-            place[:, :-2].ravel(), place[:, 2:].ravel()).reshape(len(sym), width - 1)
+            place[:, :-2].ravel(), place[:, 1:-1].ravel(), place[:, 2:].ravel()).reshape(len(sym), width - 1)
     while width > 1:
         head = ranks.argmin(axis=1)
         best = ranks[np.arange(len(rows)), head]
@@ -216,7 +221,7 @@ def merge_rows(model: PieceModel, drop: Dropout, sym: np.ndarray, keys: np.ndarr
         left, own = np.flatnonzero(head > 0), np.flatnonzero(head < width - 1)
         at, i = np.concatenate([left, own]), np.concatenate([head[left] - 1, head[own]])
         ranks[at, i] = _candidates(model, drop, sym[at, i], sym[at, i + 1], keys[at],
-                                   place[at, i], place[at, i + 2])
+                                   place[at, i], place[at, i + 1], place[at, i + 2])
     yield rows, sym
 
 
@@ -291,9 +296,10 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, text_hash (xxhash64 of the text), ids.
 
     Piece ids by the model's merges, each candidate skipped with probability `rate`. A skip
-    is a hash of seed, id and span, so a document has the same segmentation however often
+    is a hash of seed, id, span and split, so a document has the same segmentation however often
     and wherever it is encoded, equal words of it have different ones, and another seed
-    gives others. At rate 0 the ids are those of the SentencePiece library. `decode_pieces`
+    gives others. Best scores are merged first, of equal ones the smaller id, then the leftmost. At
+    rate 0 the ids are those of the SentencePiece library. `decode_pieces`
     gives back every text exactly, whatever the rate.
 
     Null and empty texts are the mark of the space in front alone. Rows repeating an id

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -36,6 +37,53 @@ def test_heap_and_arrays_agree(rate, monkeypatch):
     assert ids(TEXTS, rate) == by_arrays
 
 
+def agenda(library, text, key, rate):
+    """One candidate at a time over the whole text, unless it is skipped: best score, smallest id,
+    leftmost. Only the model's runs of spaces share a score."""
+    whole = 2 ** 64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    def skipped(a, b, c):
+        place = (a << 32 | c) * 0x9E3779B97F4A7C15 & whole ^ b
+        return mix(mix(place) ^ key) < min(int(rate * 2.0 ** 64), whole)
+
+    pieces = {library.id_to_piece(i): i for i in range(library.get_piece_size())
+              if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))}
+    foreign = "\ue000"  # a mark in the text itself; no piece holds this character
+    symbols = [(c, k, k + 1) for k, c in enumerate(
+        (" " + text).replace("▁", foreign).replace(" ", "▁"))]
+    while True:
+        found = [(-library.get_score(pieces[x + y]), pieces[x + y], a) for (x, a, b), (y, _, c) in
+                 zip(symbols, symbols[1:]) if x + y in pieces and not skipped(a, b, c)]
+        if not found:
+            break
+        k = [a for _, a, _ in symbols].index(min(found)[2])
+        (x, a, _), (y, _, c) = symbols[k:k + 2]
+        symbols[k:k + 2] = [(x + y, a, c)]
+    return [i for x, _, _ in symbols for i in (
+        [pieces[x]] if x in pieces else
+        [library.piece_to_id(f"<0x{b:02X}>") for b in x.replace(foreign, "▁").encode()])]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.4, 0.9])
+def test_against_one_candidate_at_a_time(rate):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [*TEXTS[:150], "the information of this nation " * 3, "▁ mark ▁▁", "", "unbelievableness" * 4]
+    keys = pc.drop_keys([str(k) for k in range(len(texts))], 1)
+    assert ids(texts, rate) == [agenda(library, t, int(k), rate) for t, k in zip(texts, keys)]
+
+
+def test_two_ways_to_one_piece_have_two_fates():
+    drop, n = pc.Dropout(0.5), 4000
+    keys = pc.drop_keys([str(k) for k in range(n)], 1)
+    one, two = (drop(keys, np.full(n, 3), np.full(n, split), np.full(n, 6)) for split in (4, 5))
+    assert 0.45 < one.mean() < 0.55 and 0.45 < (one != two).mean() < 0.55
+
+
 def test_seeds_and_documents_vary():
     same = ["the information of this nation " * 5] * 2
     first, second = ids(same, 0.3)
