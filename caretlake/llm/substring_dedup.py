@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caretlake.llm.common import Scratch, arrow_map
+from caretlake.operators.skew import spread_join
 
 # Units of fewer words are left alone: they repeat by nature.
 MIN_WORDS = 8
 
+# Units of one digest are dealt over tasks, about so many to each.
+HOT_UNITS = 10_000
+
 # A sentence of more words than this is cut where its own words say so.
 LONG_SENTENCE = 40
 

@@ -72,7 +72,7 @@ def agenda(library, text, key, rate):
 @pytest.mark.parametrize("rate", [0.0, 0.1, 0.4, 0.9])
 def test_against_one_candidate_at_a_time(rate):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    texts = [*TEXTS[:150], "the information of this nation " * 3, "▁ mark ▁▁", "", "unbelievableness" * 4]
+    texts = [*TEXTS[:30], "the information of this nation " * 2, "▁ mark ▁▁", "", "unbelievableness" * 2]
     keys = pc.drop_keys([str(k) for k in range(len(texts))], 1)
     assert ids(texts, rate) == [agenda(library, t, int(k), rate) for t, k in zip(texts, keys)]
 
