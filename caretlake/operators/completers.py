@@ -69,9 +69,12 @@ class VocabCompleter(Completer):
             "request_id", (F.col("page") * PAGE_SIZE + F.col("_i") + 1).alias("rank"), "label",
             F.lit(None).cast("double").alias("score"))
 
-    def pages(self, prompts: DataFrame) -> DataFrame:
-        """The prompts with (page, labels): a row per page of the answer, in order of `page`."""
-        return vocab_complete(prompts, self.vocab)
+    def pages(self, prompts: DataFrame, of_page: dict[str, Column] | None = None) -> DataFrame:
+        """The prompts with (page, labels): a row per page of the answer, in order of `page`.
+
+        `of_page` are columns of the labels in their place, worked out once per page.
+        """
+        return vocab_complete(prompts, self.vocab, of_page=of_page)
 
 
 class NgramCompleter(Completer):

@@ -233,3 +233,18 @@ def test_held_out_scores_never_see_their_own_document(spark):
         docs, ["lang"], fold=F.when(F.col("doc_id") == 0, 1).otherwise(0)).collect()}
     assert by["x"].hits_at_1 == by["x"].prompts == 7 and by["z"].hits_at_1 == 4
     assert ngram.evaluate_held_out(docs.limit(0), folds=3).first().prompts == 0
+
+
+def test_pages_are_worked_out_once(spark):
+    """Columns of a page take its labels' place before it meets the requests."""
+    vocab = materialize(spark.createDataFrame([(i, f"w{i}") for i in range(10)], "idx long, item string"))
+    requests = spark.createDataFrame([(1,), (1,), (None,), (7,)], "request_id long")
+    of_page = {"n": F.size("labels"), "first": F.element_at("labels", 1)}
+    got = voc.vocab_complete(requests, vocab, 4, of_page)
+    assert got.columns == ["page", "request_id", "n", "first"]
+    assert "labels" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = voc.vocab_complete(requests, vocab, 4).withColumns(of_page).drop("labels")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    empty = voc.vocab_complete(requests, vocab.limit(0), 4, {"n": F.size("labels")})
+    assert [tuple(r) for r in empty.orderBy("request_id").collect()] == [
+        (None, 0, 0), (1, 0, 0), (1, 0, 0), (7, 0, 0)]
