@@ -21,6 +21,11 @@ FORMAT = "caretlake_lines"
 SCHEMA = "file string, at bigint, value string"
 
 SPLIT_BYTES = 64 << 20
+
+# What opening a file counts for when small ones share a task, and files looked at side by side.
+OPEN_BYTES = 256 << 10
+_THREADS = 16
+
 _CHUNK, _ROWS = 1 << 20, 10_000
 
 
@@ -34,6 +39,13 @@ class Range(InputPartition):
     end: int   # where the batch ends; a line feed stands before it
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or those of many small ones."""
+
+    ranges: list[Range]
+
+
 class LineTail(DataSource):
     """Options: `path`, a file or folder as a path or a URI that Arrow opens; `splitBytes`.
 
@@ -61,28 +73,48 @@ class LineTailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """Bytes up to the last line feed of every file; only what is new is looked at."""
+        from concurrent.futures import ThreadPoolExecutor
+
         files, root, prefix = _open(self.path)
         found = dict(self.known)
-        for path, size in _listed(files, root):
-            name, read = prefix + path, found.get(prefix + path, 0)
-            if size > read:
-                with files.open_input_file(path) as f:
-                    end = _last_line_end(f, read, size)
+        grown = [(path, found.get(prefix + path, 0), size) for path, size in _listed(files, root)
+                 if size > found.get(prefix + path, 0)]
+
+        def line_end(path: str, read: int, size: int) -> int:
+            with files.open_input_file(path) as f:
+                return _last_line_end(f, read, size)
+
+        with ThreadPoolExecutor(_THREADS) as threads:
+            for (path, read, _), end in zip(grown, threads.map(lambda g: line_end(*g), grown)):
                 if end > read:
-                    found[name] = end
+                    found[prefix + path] = end
         self.known = found
         return found
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        """Ranges of at most `splitBytes`; those of small files share a task, so the number of tasks
+        follows the bytes and not the files."""
+        out, held, room = [], [], 0
         for name, stop in sorted(end.items()):
             at = int(start.get(name, 0))
             self.known[name] = max(self.known.get(name, 0), int(stop))
             for low in range(at, int(stop), self.split_bytes):
-                out.append(Range(name, low, min(low + self.split_bytes, int(stop)), int(stop)))
-        return out
-
-    def read(self, partition: Range) -> Iterator:
+                part = Range(name, low, min(low + self.split_bytes, int(stop)), int(stop))
+                cost = part.stop - part.start + OPEN_BYTES
+                if held and cost > room:
+                    out.append(Ranges(held))
+                    held = []
+                if not held:
+                    room = self.split_bytes
+                held.append(part)
+                room -= cost
+        return [*out, Ranges(held)] if held else out
+
+    def read(self, partition: Ranges) -> Iterator:
+        for part in partition.ranges:
+            yield from self._read(part)
+
+    def _read(self, partition: Range) -> Iterator:
         import pyarrow as pa
 
         files, path, _ = _open(partition.file)

@@ -133,3 +133,17 @@ def test_no_value_is_longer_than_a_page(spark, tmp_path):
     write_pages(pages, str(tmp_path / "out"))
     row = read_page_index(spark, str(tmp_path / "out")).first()
     assert row["items"] == 2_000_000 and row.bytes > 30_000_000
+
+
+def test_small_files_share_a_task(tmp_path):
+    """The number of tasks follows the bytes; a large file is still cut."""
+    for i in range(300):
+        (tmp_path / f"{i:03}.log").write_bytes(b"a %d\nb\n" % i)
+    (tmp_path / "large.log").write_bytes(b"0123456\n" * (5 << 17))
+    reader = LineTailReader(str(tmp_path), 2 << 20)
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) < 60 and max(sum(r.stop - r.start for r in p.ranges) for p in parts) <= 2 << 20
+    lines = lines_of(LineTailReader(str(tmp_path), 2 << 20), {}, end)
+    assert len(lines) == 600 + (5 << 17) and len(set(lines)) == len(lines)
+    assert reader.partitions(end, end) == []
