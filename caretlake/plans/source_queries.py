@@ -16,11 +16,23 @@ from caretlake.sources import dumps, logs, paged, text
 def _line_files(spark, rows: DataFrame, name: str, order: str, **options) -> str:
     """Rows of one column `value` as text files whose names follow `order`."""
     path = cat._folder(spark, name)
-    parts = rows.repartitionByRange(4, order).sortWithinPartitions(order)
+    # Files of bounded size: their number follows the splits of the table.
+    files = 4 * max(1, rows.rdd.getNumPartitions())
+    parts = rows.repartitionByRange(files, order).sortWithinPartitions(order)
     parts.select("value").write.options(**options).text(path)
     return path
 
 
+def _session_files(spark, sf, name: str) -> str:
+    """A file of plain lines per conversation."""
+    turns = cat.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("value"))
+    path = cat._folder(spark, name)
+    (turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+     .select("conv_id", "value").write.partitionBy("conv_id").text(path))
+    return path
+
+
 def vocab_source(spark, sf):
     """The lines of all documents as a vocabulary, in gzip files."""
     docs = cat.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
@@ -29,21 +41,13 @@ def vocab_source(spark, sf):
 
 def message_source(spark, sf):
     """A file of plain lines per conversation."""
-    turns = cat.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("value"))
-    path = cat._folder(spark, "messages")
-    (turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-     .select("conv_id", "value").write.partitionBy("conv_id").text(path))
+    path = _session_files(spark, sf, "messages")
     return logs.read_messages(spark, path, "text").select("seq", "direction", "raw")
 
 
 def message_stream(spark, sf):
     """The same files as a stream, numbered by the bytes their lines begin at."""
-    turns = cat.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("value"))
-    path, out = cat._folder(spark, "growing"), cat._folder(spark, "streamed")
-    (turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-     .select("conv_id", "value").write.partitionBy("conv_id").text(path))
+    path, out = _session_files(spark, sf, "growing"), cat._folder(spark, "streamed")
     stream = logs.stream_messages(spark, path, "lines")
     (stream.writeStream.format("parquet").option("checkpointLocation", cat._folder(spark, "state"))
      .trigger(availableNow=True).start(out).awaitTermination())

@@ -1,5 +1,7 @@
 import gzip
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from caretlake import schemas as S
 from caretlake.operators import reports
 from caretlake.operators.vocabulary import completion_items, limit_items
+from caretlake.plans import source_queries
+from caretlake.sources import lines as lines_module
 from caretlake.sources import logs, text
 
 VOCABULARIES = [
@@ -152,3 +156,42 @@ def test_traffic_summary(spark):
     assert {(r.session, r.method, r.messages) for r in rows if r.grouping == 1} == {
         (1, "a", 3), (1, "b", 1), (2, "a", 1)}
     assert [r.messages for r in rows if r.grouping == 7] == [5]
+
+
+def test_a_compressed_file_is_numbered_in_stretches(spark, tmp_path, monkeypatch):
+    """One split of any size, but no window over more than a stretch of it."""
+    monkeypatch.setattr(lines_module, "_STRETCH_BITS", 2)
+    pieces = ["a\nb\x0bc\r\n\nd\ne\nf\ng\nh\ni\x85\n", "", "x\ny\nz\nu\nv\x0b", "\n\n\n\n\n", "1\n2\n3\n4"]
+    for i, data in enumerate(pieces):
+        (tmp_path / f"{i}.gz").write_bytes(gzip.compress(data.encode()))
+    df = text.read_vocab(spark, str(tmp_path))
+    numbering = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+                 if "row_number()" in line]
+    assert numbering and all("stretch" in line for line in numbering)
+    assert [(r.idx, r["item"]) for r in df.orderBy("idx").collect()] == list(enumerate(_items(pieces)))
+
+
+def _items(pieces):
+    """Items by line feeds first, then by the other line ends; nothing opens behind the last one."""
+    out = []
+    for data in pieces:
+        lines = data.split("\n")
+        if lines[-1] == "":
+            lines.pop()
+            ended = True
+        else:
+            ended = False
+        for i, line in enumerate(lines):
+            items = re.split(r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", line.removesuffix("\r"))
+            if not ended and i == len(lines) - 1 and items[-1] == "":
+                items.pop()
+            out += items
+    return out
+
+
+def test_files_follow_the_splits_of_a_table(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).select("id", F.concat(F.lit("v"), "id").alias("value"))
+    path = source_queries._line_files(spark, rows, "t", "id", compression="gzip")
+    names = sorted(n for n in os.listdir(path) if n.endswith(".gz"))
+    assert len(names) == 32
+    assert [r["item"] for r in text.read_vocab(spark, path).orderBy("idx").collect()] == [f"v{i}" for i in range(400)]
