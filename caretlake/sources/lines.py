@@ -44,7 +44,8 @@ def numbered_lines(spark: SparkSession, path: str, boundary: str | None = None,
     split and shifted by the counts of the splits before it, so a large file is never one
     row or one task. A compressed file is read by one task, but numbered in stretches.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    # Columns in folder names aren't asked for, so they are not made out of every path.
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -195,3 +195,12 @@ def test_files_follow_the_splits_of_a_table(spark, tmp_path):
     names = sorted(n for n in os.listdir(path) if n.endswith(".gz"))
     assert len(names) == 32
     assert [r["item"] for r in text.read_vocab(spark, path).orderBy("idx").collect()] == [f"v{i}" for i in range(400)]
+
+
+def test_folder_names_are_no_columns(spark, tmp_path):
+    """Folders that look like partitions of different columns are just folders."""
+    for folder, data in (("x=1", "a\nb\n"), ("y=2", "c\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.txt").write_text(data)
+    rows = logs.read_messages(spark, str(tmp_path), "text").orderBy("raw").collect()
+    assert [(r.seq, r.raw) for r in rows] == [(0, "a"), (1, "b"), (0, "c")]
