@@ -248,3 +248,22 @@ def test_pages_are_worked_out_once(spark):
     empty = voc.vocab_complete(requests, vocab.limit(0), 4, {"n": F.size("labels")})
     assert [tuple(r) for r in empty.orderBy("request_id").collect()] == [
         (None, 0, 0), (1, 0, 0), (1, 0, 0), (7, 0, 0)]
+
+
+def test_encoding_with_a_vocabulary_that_is_not_broadcast(spark, monkeypatch):
+    """The first words are broadcast, the others looked up apart: the same ids as from one table."""
+    texts = ["b a zz c", "", None, "zz", "a a a f e d c b a", "f"]
+    rows = [(i, i // 2, t) for i, t in enumerate(texts)] + [(4, 2, texts[4]), (None, 0, "f a"), (None, None, "f zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, batch long, text string")
+    vocab = materialize(spark.createDataFrame(list(enumerate("abcdef")), "idx long, item string"))
+    want = voc.encode_batches(docs, vocab, max_length=8)
+    monkeypatch.setattr(voc, "BROADCAST_BYTES", 60)
+    got = voc.encode_batches(docs, vocab, max_length=8)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # Words cross the wire as single rows only if they are not among the first.
+    sent = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines()
+            if "Exchange hashpartitioning(_word" in line]
+    assert sent and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    near, rest = voc._first_words(vocab.select(
+        vocab["item"].alias("_word"), vocab["idx"].cast("int").alias("_id")), 150)
+    assert 0 < near.count() < 6 and near.count() + rest.count() == 6
