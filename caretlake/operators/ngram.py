@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from caretlake import schemas as S
 from caretlake.functions import tokens as tk
+from caretlake.operators.grams import MOVED, RANKED, placed_grams, ranked_grams
 from caretlake.operators.skew import spread_join
-from caretlake.session import materialize
+from caretlake.session import materialize, ship
 
 _ENTRIES = "array<struct<token:string,n:bigint>>"
 
+# Words are hot above so many rows, if they also have more than one part in HOT_WORDS of all.
+HOT_ROWS, HOT_WORDS = 100_000, 1_000
+
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int = S.NUM_RESULTS,
           tie: str = "token", rank: str = "rank") -> DataFrame:
@@ -26,29 +30,57 @@ def top_k(df: DataFrame, by: list[str], score: str, k: int = S.NUM_RESULTS,
 
 def train_ngram(docs: DataFrame, context_size: int = 1, k: int = S.NUM_RESULTS,
                 min_count: int = 1, text: str = "text") -> DataFrame:
-    """Counts of the middle word by context: (level, key, token, n, rk).
+    """Counts of the middle word by context: (level, key, token, n, rk)."""
+    packed, behind = _trained(docs, context_size, k, min_count, text)
+    columns = ["level", "key", "token", "n", "rk"]
+    return _unpacked(packed).select(*columns).unionByName(behind.select(*columns))
+
+
+def train_packed(docs: DataFrame, context_size: int = 1, k: int = S.NUM_RESULTS,
+                 min_count: int = 1, text: str = "text") -> DataFrame:
+    """The rows of `pack_model(train_ngram(…))`, most of them packed where they were counted."""
+    packed, behind = _trained(docs, context_size, k, min_count, text)
+    return packed.unionByName(pack_model(behind))
 
-    Words are exploded once into all levels and counted on (level, key, token), which
-    spreads even the context-free level over the cluster after map-side counting.
+
+def _trained(docs: DataFrame, context_size: int, k: int, min_count: int,
+             text: str) -> tuple[DataFrame, DataFrame]:
+    """Packed contexts, and ranked rows of the others: those of hot words alone and the context-free one.
+
+    Words are counted first, which gives the context-free level and the hot words: those with more
+    than HOT_ROWS rows and one part in HOT_WORDS of all, which bounds their list. Grams go to the place
+    of one of their context's words that isn't hot, as one row per word and batch, and are counted
+    and ranked there. Contexts of hot words alone are counted at the middle word's place, by which
+    at most k words of a context are left in a batch, and ranked behind that.
     """
-    grams = docs.select(tk.tokens(F.col(text)).alias("_w")).select(
-        F.explode(tk.interior_grams(F.col("_w"), context_size)).alias("g"))
-    lefts = [F.col(f"g.w{j}") for j in range(1, context_size + 1)]
-    rows = grams.select(
-        F.col("g.token").alias("token"),
-        F.explode(tk.level_keys(lefts, F.col("g.right"))).alias("c"),
-    ).select(F.col("c.level").alias("level"), F.col("c.key").alias("key"), "token").filter(
-        F.col("key").isNotNull())
-    counts = rows.groupBy("level", "key", "token").agg(F.count("*").alias("n"))
-    if min_count > 1:
-        counts = counts.filter(F.col("n") >= min_count)
-    return top_k(counts, ["level", "key"], "n", k, rank="rk")
+    last = tk.level_count(context_size)
+    words = docs.select(tk.tokens(F.col(text)).alias("_w"))
+    inside = (F.col("_i") > 0) & (F.col("_i") < F.col("_size") - 1)
+    counts = materialize(words.select(
+        F.array_size("_w").alias("_size"), F.posexplode("_w").alias("_i", "token")).groupBy("token").agg(
+        F.count("*").alias("_n"), F.count_if(inside).alias("n")))
+    least = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) / HOT_WORDS)
+    hot = [r.token for r in counts.filter(F.col("_n") > least).select("token").collect()]
+    free = counts.filter(F.col("n") >= max(min_count, 1)).select(
+        F.lit(last).alias("level"), F.lit("").alias("key"), "token", "n")
+
+    ship(docs.sparkSession)
+    moved = words.mapInArrow(placed_grams(context_size, hot), MOVED).repartition("_at")
+    ranked = materialize(moved.sortWithinPartitions("_at").mapInArrow(
+        ranked_grams(context_size, k, min_count), RANKED))
+    some = _unpacked(ranked.filter(~F.col("whole"))).drop("rk").unionByName(free)
+    return (ranked.filter("whole").select("level", "key", "entries"),
+            top_k(some, ["level", "key"], "n", k, rank="rk"))
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    return packed.select("level", "key", F.posexplode("entries").alias("_i", "_e")).select(
+        "level", "key", "_e.token", "_e.n", (F.col("_i") + 1).alias("rk"))
 
 
 def pack_model(model: DataFrame) -> DataFrame:
     """One row per context: (level, key, entries), at most k entries each, best first.
 
-    A trained model is already partitioned by context, so packing it adds no shuffle.
     """
     ranked = F.sort_array(F.collect_list(F.struct("rk", "token", "n")))
     return model.groupBy("level", "key").agg(F.transform(
@@ -174,7 +206,7 @@ def evaluate_held_out(docs: DataFrame, by: list[str] | None = None, folds: int =
         fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
     scored = None
     for own in range(folds):
-        model = materialize(pack_model(train_ngram(docs.filter(fold != own), context_size, k, text=text)))
+        model = materialize(train_packed(docs.filter(fold != own), context_size, k, text=text))
         grams = docs.filter(fold == own).select(
             *(by or []), F.explode(tk.interior_grams(tk.tokens(F.col(text)), context_size)).alias("g"))
         near = [f"w{j}" for j in range(context_size, 0, -1)]

@@ -6,7 +6,9 @@ import regex
 from pyspark.sql import functions as F
 
 from caretlake.operators import completers as comp
+from caretlake.functions import tokens as tk
 from caretlake.operators import context as ctx
+from caretlake.operators import grams
 from caretlake.operators import ngram
 from caretlake.operators import vocabulary as voc
 from caretlake.operators.completers import EmptyCompleter, VocabCompleter
@@ -267,3 +269,30 @@ def test_encoding_with_a_vocabulary_that_is_not_broadcast(spark, monkeypatch):
     near, rest = voc._first_words(vocab.select(
         vocab["item"].alias("_word"), vocab["idx"].cast("int").alias("_id")), 150)
     assert 0 < near.count() < 6 and near.count() + rest.count() == 6
+
+
+@pytest.mark.parametrize("c", [1, 2, 3])
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_training_with_hot_words_in_small_batches(spark, docs, documents, monkeypatch, c, min_count):
+    """Contexts of hot words alone, and places that go on in the next batch, are counted as others are."""
+    monkeypatch.setattr(ngram, "HOT_ROWS", 0)
+    monkeypatch.setattr(grams, "BATCH_WORDS", 50)
+    monkeypatch.setattr(grams, "BATCH_CHARS", 500)
+    odd = spark.createDataFrame([(7, None), (8, "a a a a a a"), (9, "a a a a a a"), (10, "ä the ß the"), (11, "the of the")],
+                                "doc_id long, text string")
+    for df in (docs.unionByName(odd), documents.select("doc_id", "text")):
+        want = _model([r.text or "" for r in df.select("text").collect()], c, 1 << 30)
+        want = {key: kept for key, v in want.items() if (kept := [e for e in v if e[1] >= min_count][:3])}
+        for words in (3, 50):
+            monkeypatch.setattr(ngram, "HOT_WORDS", words)
+            got = collections.defaultdict(list)
+            for r in ngram.train_ngram(df, c, 3, min_count).orderBy("rk").collect():
+                got[r.level, r.key].append((r.token, r.n))
+            assert got == want
+
+
+def test_training_moves_a_word_of_a_batch_as_one_row(spark):
+    docs = spark.createDataFrame([(f"w{i % 3} x y z",) for i in range(300)], "text string").coalesce(1)
+    words = docs.select(tk.tokens(F.col("text")).alias("w"))
+    moved = words.mapInArrow(grams.placed_grams(1, []), grams.MOVED)
+    assert sorted(r._at for r in moved.collect()) == ["w0", "w1", "w2", "x"]
