@@ -209,18 +209,46 @@ def evaluate_held_out(docs: DataFrame, by: list[str] | None = None, folds: int =
         model = materialize(train_packed(docs.filter(fold != own), context_size, k, text=text))
         grams = docs.filter(fold == own).select(
             *(by or []), F.explode(tk.interior_grams(tk.tokens(F.col(text)), context_size)).alias("g"))
-        near = [f"w{j}" for j in range(context_size, 0, -1)]
-        asked = grams.groupBy(*(by or []), *[F.col(f"g.{w}").alias(w) for w in near],
-                              F.col("g.right").alias("suffix"), F.col("g.token").alias("target")).agg(
-            F.count("*").alias("weight"))
-        asked = materialize(asked.select(
-            F.monotonically_increasing_id().alias("request_id"), *(by or []),
-            F.concat_ws(" ", *near).alias("prefix"), "suffix", "target", "weight"))
-        rows = _places(ngram_candidates(asked, model, k, context_size), [*(by or []), "weight"], k)
+        words = [*[f"w{j}" for j in range(1, context_size + 1)], "right"]
+        asked = grams.groupBy(*(by or []), *[F.col(f"g.{w}").alias(w) for w in words],
+                              F.col("g.token").alias("target")).agg(F.count("*").alias("weight"))
+        rows = _held_out_places(asked, model, [*(by or []), "weight"], k, context_size)
         scored = rows if scored is None else scored.unionByName(rows)
     return score(scored, by, F.col("weight"))
 
 
+def _held_out_places(asked: DataFrame, model: DataFrame, keep: list[str], k: int,
+                     context_size: int) -> DataFrame:
+    """(…keep, at, answers) of `target` next to its words, level by level.
+
+    A row meets one context after the other and carries the labels of those before. Once its target
+    is found it has no key any more, and no labels. Nothing is gathered by request.
+    """
+    last, none = tk.level_count(context_size), F.array().cast("array<string>")
+    keys = tk.level_keys([F.col(f"w{j}") for j in range(1, context_size + 1)], F.col("right"))
+    near = [*[f"w{j}" for j in range(1, context_size + 1)], "right"]
+    rows = asked.withColumn("at", F.lit(0).cast("long")).withColumn("_seen", none)
+    for level in range(1, last):
+        rows = materialize(rows.select(*keep, "target", *near, "at", "_seen", F.when(
+            F.col("at") == 0, F.get(keys, F.lit(level - 1))["key"]).alias("key")))
+        contexts = model.filter(F.col("level") == level).select(
+            "key", F.transform("entries", lambda e: e["token"]).alias("_labels"))
+        met = spread_join(rows, contexts, ["key"], [F.col("target"), *[F.col(w) for w in near]])
+        seen = F.array_distinct(F.concat("_seen", F.coalesce("_labels", none)))
+        rows = _found(met.withColumn("_seen", F.when(F.col("at") == 0, seen).otherwise(none)), k)
+    free = F.transform("_rest", lambda c: c["label"])
+    whole = F.when(F.col("at") == 0, F.array_distinct(F.concat("_seen", free))).otherwise(none)
+    ended = _found(rows.withColumn("_rest", _context_free(model, last)).withColumn("_seen", whole), k)
+    return ended.select(*keep, F.when(F.col("at") > 0, F.col("at")).alias("at"), F.when(
+        F.col("at") > 0, F.lit(1)).otherwise(F.least(F.array_size("_seen"), F.lit(k))).alias("answers"))
+
+
+def _found(rows: DataFrame, k: int) -> DataFrame:
+    """`at` where the target is among the first k labels seen."""
+    place = F.array_position("_seen", F.col("target"))
+    return rows.withColumn("at", F.when((F.col("at") == 0) & place.between(1, k), place).otherwise(F.col("at")))
+
+
 def _places(listed: DataFrame, keep: list[str], k: int) -> DataFrame:
     """(…keep, at, answers): where the target stands in its list of candidates."""
     labels = F.slice(F.transform("candidates", lambda c: c.label), 1, k)
