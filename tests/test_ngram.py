@@ -296,3 +296,20 @@ def test_training_moves_a_word_of_a_batch_as_one_row(spark):
     words = docs.select(tk.tokens(F.col("text")).alias("w"))
     moved = words.mapInArrow(grams.placed_grams(1, []), grams.MOVED)
     assert sorted(r._at for r in moved.collect()) == ["w0", "w1", "w2", "x"]
+
+
+@pytest.mark.parametrize("c", [1, 2])
+def test_places_of_targets_are_those_among_the_candidates(spark, docs, c):
+    """Level by level, without gathering labels by request."""
+    model = materialize(ngram.train_packed(docs, c, 2))
+    asked = spark.createDataFrame(
+        [("u", "the", "cat", "on", "sat", 2), (None, "cat", "sat", "on", "sat", 1), ("the", "cat", "on", "the", "zzz", 4),
+         (None, "qq", "qq", "qq", "the", 3), (None, "qq", "qq", "qq", "mat", 5), ("a", "b", "on", "x", "ran", 6)],
+        "w2 string, w1 string, right string, suffix string, target string, weight long")
+    placed = ngram._held_out_places(asked, model, ["weight"], 2, c)
+    assert "collect_list" not in placed._jdf.queryExecution().toString()
+    prompts = asked.select(F.monotonically_increasing_id().alias("request_id"), F.concat_ws(" ", *(
+        ["w2", "w1"] if c == 2 else ["w1"])).alias("prefix"), F.col("right").alias("suffix"), "target", "weight")
+    want = ngram._places(ngram.ngram_candidates(prompts, model, 2, c), ["weight"], 2)
+    assert sorted((r.weight, r.at or 0, r.answers > 0) for r in placed.collect()) == sorted(
+        (r.weight, r.at or 0, r.answers > 0) for r in want.collect())
