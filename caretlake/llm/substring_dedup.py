@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from caretlake.llm.common import Scratch, arrow_map
 from caretlake.operators.skew import spread_join
+from caretlake.session import maybe_broadcast
 
 # Units of fewer words are left alone: they repeat by nature.
 MIN_WORDS = 8
@@ -34,71 +35,38 @@ _SENTENCE_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+")
 _WORD = re.compile(r"\S+")
 
 
-def _digest(text: str) -> bytes:
-    return blake2b(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"),
-                   digest_size=16).digest()
-
-
-def _pieces(text: str, start: int, end: int):
-    """Spans of a long sentence, cut after pairs of words whose hash is 0 modulo 12.
+def _cuts(words: list[str], first: int, stop: int, pairs: dict):
+    """Spans of a long sentence in words, cut after pairs of words whose hash is 0 modulo 12.
 
     The cuts depend on the words around them alone, so a passage is cut alike wherever it
-    stands, also in the middle of a sentence.
+    stands, also in the middle of a sentence. `pairs` remembers what pairs came to.
     """
-    spans = [m.span() for m in _WORD.finditer(text, start, end)]
-    if len(spans) <= LONG_SENTENCE:
-        yield start, end
+    if stop - first <= LONG_SENTENCE:
         return
-    first, before = start, b""
-    for a, b in spans[:-1]:
-        word = text[a:b].lower().encode("utf-8", "surrogatepass")
-        pair = blake2b(before + b" " + word, digest_size=2).digest()
-        if int.from_bytes(pair, "little") % 12 == 0:
-            yield first, b
-            first = b
+    at, before = first, ""
+    for k, word in enumerate(words[first:stop - 1], first + 1):
+        pair = f"{before} {word}"
+        cut = pairs.get(pair)
+        if cut is None:
+            if len(pairs) >= 150_000:
+                pairs.clear()
+            hash_ = blake2b(pair.encode("utf-8", "surrogatepass"), digest_size=2).digest()
+            cut = pairs[pair] = int.from_bytes(hash_, "little") % 12 == 0
+        if cut:
+            yield at, k
+            at = k
         before = word
-    yield first, end
+    yield at, stop
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, tuple[int, int]]]:
     """(start, end, digest) of all units of a text: those of its lines, and its passages.
 
     The operator finds what repeats among them without listing every passage.
     """
     words = Words(text, WordHashes())
-    return line_units(text, min_words) + words.passages(0, len(words.hashes))
-
-
-def line_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of a text, in code points: lines, sentences within
-    lines, and pieces of long sentences, each of at least `min_words` words.
-
-    Spans begin and end at a word. The digest is taken in lower case with single spaces.
-    """
-    found: dict[tuple[int, int], bytes] = {}
-
-    def add(start, end):
-        body = text[start:end]
-        if len(body.split(None, min_words)) < min_words:
-            return False
-        start += len(body) - len(body.lstrip())
-        end -= len(body) - len(body.rstrip())
-        if (start, end) not in found:
-            found[start, end] = _digest(text[start:end])
-        return True
-
-    at = 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        if add(at, end):
-            start = at
-            for stop in [*(m.end() for m in _SENTENCE_END.finditer(text, at, end)), end]:
-                if add(start, stop):
-                    for piece in _pieces(text, start, stop):
-                        add(*piece)
-                start = stop
-        at = end + 1
-    return [(start, end, digest) for (start, end), digest in found.items()]
+    found = [*zip(*words.line_units(min_words, {})), *zip(*words.passages())]
+    return [(int(a), int(b), (int(key), int(tail))) for a, b, key, tail in found]
 
 
 class WordHashes(dict):
@@ -116,33 +84,94 @@ _SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _ODD = 0x9E3779B97F4A7C15
 
 
-class Words:
-    """The words of a text: hashes in lower case, and where they start and end."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __init__(self, text: str, hashes: WordHashes):
-        found = text.lower().split()
-        self.hashes = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = np.concatenate([[False], ~_SPACE[np.minimum(codes, 0x3001)], [False]])
-        self.starts, self.ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
 
-    def digest(self, first: int, stop: int) -> bytes:
-        return blake2b(self.hashes[first:stop].tobytes(), digest_size=16).digest()
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as texts have needed."""
+
+    def __init__(self, base: int):
+        self.bases = [base, pow(base, -1, 1 << 64)]
+        self.tables = [np.ones(1, np.uint64)] * 2
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) < n:
+            size = max(n, 4096)
+            self.tables = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]))
+                           for b in self.bases]
+        return self.tables
+
 
-    def passages(self, first: int, stop: int) -> list[tuple[int, int, bytes]]:
-        """(start, end, digest) of every passage from word `first` up to word `stop`."""
-        return [(int(self.starts[i]), int(self.ends[i + PASSAGE - 1]), self.digest(i, i + PASSAGE))
-                for i in range(first, stop - PASSAGE + 1)]
+_KEY, _TAIL = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
-    def groups(self) -> list[tuple[int, int, int, bytes, int]]:
-        """(start, end, stop, digest, anchor) of all passages, those of one anchor as a group.
 
-        The anchor is the first smallest hash of the runs of ANCHOR words in a passage, so
-        equal passages have equal anchors, and no two passages of a group are equal. `stop`
+class Words:
+    """The words of a text: hashes in lower case, and where they start and end.
+
+    A digest of words is two numbers, key and tail, of 64 and 63 bits: sums of their hashes times powers of
+    two odd numbers, mixed at the end, so those of all spans come from running sums. The last bit
+    of the tail tells passages from other units.
+    """
+
+    def __init__(self, text: str, hashes: WordHashes):
+        self.text, self.found = text, text.lower().split()
+        self.hashes = np.fromiter(map(hashes.__getitem__, self.found), np.uint64, len(self.found))
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate([[False], ~_SPACE[np.minimum(self.codes, 0x3001)], [False]])
+        self.starts, self.ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+        self.sums: dict = {}
+
+    def _sums(self, powers: Powers, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        up, down = powers.upto(len(self.hashes))
+        if powers not in self.sums:
+            own = self.hashes if powers is _KEY else _mix(self.hashes)
+            self.sums[powers] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[:len(own)])])
+        sums = self.sums[powers]
+        return _mix((sums[stop] - sums[first]) * down[first])
+
+    def key(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return self._sums(_KEY, first, stop).view(np.int64)
+
+    def tail(self, first: np.ndarray, stop: np.ndarray, passage: bool) -> np.ndarray:
+        return self._sums(_TAIL, first, stop).view(np.int64) & -2 | int(passage)
+
+    def line_units(self, min_words: int, pairs: dict):
+        """Arrays start, end, key, tail of lines, sentences within lines, and pieces of long
+        sentences, each of at least `min_words` words. Spans begin and end at a word."""
+        n = len(self.hashes)
+        if n < min_words:
+            return (np.empty(0, np.int64),) * 4
+        ends = np.fromiter((m.end() for m in _SENTENCE_END.finditer(self.text)), np.int64)
+        lines = np.unique(np.concatenate([[0], np.searchsorted(
+            self.starts, np.flatnonzero(self.codes == 10)), [n]]))
+        sentences = np.unique(np.concatenate([lines, np.searchsorted(self.starts, ends)]))
+        pieces = np.array([p for k in np.flatnonzero(np.diff(sentences) > LONG_SENTENCE) for p in _cuts(
+            self.found, int(sentences[k]), int(sentences[k + 1]), pairs)], np.int64).reshape(-1, 2)
+        spans = np.concatenate([lines[:-1] * (n + 1) + lines[1:], sentences[:-1] * (n + 1) + sentences[1:],
+                                pieces[:, 0] * (n + 1) + pieces[:, 1]])
+        first, stop = np.divmod(np.unique(spans), n + 1)
+        long = stop - first >= min_words
+        first, stop = first[long], stop[long]
+        return self.starts[first], self.ends[stop - 1], self.key(first, stop), self.tail(first, stop, False)
+
+    def passages(self):
+        """Arrays start, end, key, tail of every passage."""
+        first = np.arange(max(0, len(self.hashes) - PASSAGE + 1))
+        stop = first + PASSAGE
+        return self.starts[first], self.ends[stop - 1], self.key(first, stop), self.tail(first, stop, True)
+
+    def groups(self):
+        """Arrays start, end, stop, key, tail of all passages, those of one anchor as a group.
+
+        The anchor, the key of a group, is the first smallest hash of the runs of ANCHOR words in a
+        passage, so equal passages have equal anchors, and no two passages of a group are equal. `stop`
         is the end of the group's first passage.
         """
         if len(self.hashes) < PASSAGE:
-            return []
+            return (np.empty(0, np.int64),) * 5
         runs, width, factor = self.hashes, 1, _ODD
         while width < ANCHOR:
             runs = runs[:-width] * np.uint64(factor) + runs[width:]
@@ -158,78 +187,81 @@ class Words:
             width += step
         firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         lasts = np.concatenate([firsts[1:], [len(place)]]) + PASSAGE - 1
-        return list(zip(self.starts[firsts].tolist(), self.ends[lasts - 1].tolist(),
-                        self.ends[firsts + PASSAGE - 1].tolist(),
-                        [self.digest(a, b) for a, b in zip(firsts.tolist(), lasts.tolist())],
-                        least[firsts].view(np.int64).tolist()))
+        return (self.starts[firsts], self.ends[lasts - 1], self.ends[firsts + PASSAGE - 1],
+                least[firsts].view(np.int64), self.tail(firsts, lasts, True))
+
+
+def _unit_batch(batch: dict, owners: list[int], found: list[tuple]) -> dict:
+    """Columns of units from arrays per document; `owners` are the documents' rows in the batch."""
+    names = ("start", "end", "stop", "key", "tail")
+    owner = pa.array(np.repeat(np.array(owners, np.int64), [len(f[0]) for f in found]))
+    columns = zip(*found) if found else [[np.empty(0, np.int64)]] * len(names)
+    return {"id": batch["id"].take(owner), "text_hash": batch["text_hash"].take(owner),
+            **{n: pa.array(np.concatenate(c)) for n, c in zip(names, columns)}}
+
+
+UNITS = "id {kind}, text_hash bigint, start int, end int, stop int, key bigint, tail bigint"
 
 
 def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, text_hash, start, end, stop, digest, anchor) per line unit and group of passages.
+    """(id, text_hash, start, end, stop, key, tail) per line unit and group of passages.
 
-    The anchor of a line unit is null, and its `stop` its end.
+    The `stop` of a line unit is its end.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ("start", "end", "stop", "digest", "anchor")
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, pairs = WordHashes(), {}
         for batch in batches:
-            out = {n: [] for n in ("id", "text_hash", *names)}
-            for id_, hash_, text in zip(batch["id"], batch["text_hash"], batch["text"]):
-                found = [(a, b, b, d, None) for a, b, d in line_units(text, min_words)]
-                found += Words(text, hashes).groups()
-                out["id"] += [id_] * len(found)
-                out["text_hash"] += [hash_] * len(found)
-                for name, values in zip(names, zip(*found)):
-                    out[name] += values
-            yield out
+            found = []
+            for text in batch["text"]:
+                words = Words(text, hashes)
+                start, end, *digest = words.line_units(min_words, pairs)
+                found.append([np.concatenate(c) for c in zip(
+                    (start, end, end, *digest), words.groups())])
+            yield _unit_batch(batch, list(range(len(found))), found)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return arrow_map(
         docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
-                    text.alias("text")),
-        run, f"id {kind}, text_hash bigint, start int, end int, stop int, digest binary, "
-        "anchor bigint")
+                    text.alias("text")), run, UNITS.format(kind=kind), raw=("id", "text_hash"))
 
 
 def passage_rows(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
-    """(id, text_hash, start, end, stop, digest) per passage inside the spans of `spans`."""
+    """(id, text_hash, start, end, stop, key, tail) per passage inside the spans of `spans`, a written
+    table. If the ids of those documents fit a broadcast, texts of others don't move."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ("start", "end", "digest")
+    wanted = maybe_broadcast(spans.select(F.col("id").alias("wanted")).distinct())
     spans = spans.groupBy("id", "text_hash").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")).select(
         F.col("id").alias("other_id"), F.col("text_hash").alias("other_hash"), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
                         text.alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     texts = texts.join(spans, F.col("id").eqNullSafe(F.col("other_id"))
                        & (F.col("text_hash") == F.col("other_hash")))
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            out = {n: [] for n in ("id", "text_hash", *names)}
-            for id_, hash_, text, spans in zip(batch["id"], batch["text_hash"], batch["text"],
-                                               batch["spans"]):
+            owners, found = [], []
+            for k, (text, spans) in enumerate(zip(batch["text"], batch["spans"])):
                 for span in spans:
                     at = span["start"]
-                    words = Words(text[at:span["end"]], hashes)
-                    found = words.passages(0, len(words.hashes))
-                    out["id"] += [id_] * len(found)
-                    out["text_hash"] += [hash_] * len(found)
-                    for name, values in zip(names, zip(*found)):
-                        out[name] += values if name == "digest" else [at + v for v in values]
-            yield {**out, "stop": out["end"]}
+                    start, end, *digest = Words(text[at:span["end"]], hashes).passages()
+                    owners.append(k)
+                    found.append((start + at, end + at, end + at, *digest))
+            yield _unit_batch(batch, owners, found)
 
     return arrow_map(texts.select("id", "text_hash", "text", "spans"), run,
-                     f"id {kind}, text_hash bigint, start int, end int, stop int, digest binary")
+                     UNITS.format(kind=kind), raw=("id", "text_hash"))
 
 
 def _firsts(rows: DataFrame, *more: str) -> DataFrame:
-    """(digest, first, n): the place where a digest comes first, with its stop and `more`."""
+    """(key, tail, first, n): the place where a digest comes first, with its stop and `more`."""
     place = F.struct(F.col("id").isNull().alias("without"), "id", "text_hash", "start", "stop", *more)
-    return rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return rows.groupBy("key", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n"))
 
 
 def _again(rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -237,21 +269,21 @@ def _again(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
     What overlaps its own first occurrence in one document loses the rest only.
     """
-    first = firsts.filter("n > 1").select("digest", "first")
+    first = firsts.filter("n > 1").select("key", "tail", "first")
     here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return _dealt(rows, first, "digest", firsts, "inner").filter(
+    return _dealt(rows, first, ["key", "tail"], firsts, "inner").filter(
         ~(here & (F.col("start") == F.col("first.start")))).select(
         "id", "text_hash", F.when(here, F.greatest("start", "first.stop")).otherwise(
             F.col("start")).alias("start"), "end")
 
 
-def _dealt(rows: DataFrame, others: DataFrame, key: str, counts: DataFrame, how: str) -> DataFrame:
-    """Units joined with `others`, unique in `key`; units of a hot key go to several tasks.
+def _dealt(rows: DataFrame, others: DataFrame, keys: list[str], counts: DataFrame, how: str) -> DataFrame:
+    """Units joined with `others`, unique in `keys`; units of a hot key go to several tasks.
 
     `counts` has `n`, the units of every key, from the aggregation that came before.
     """
-    return spread_join(rows, others, [key], [F.col("id"), F.col("text_hash"), F.col("start")], HOT_UNITS,
-                       how, counts.filter("n > 1").select(key, F.col("n").alias("_n")))
+    return spread_join(rows, others, keys, [F.col("id"), F.col("text_hash"), F.col("start")], HOT_UNITS,
+                       how, counts.filter("n > 1").select(*keys, F.col("n").alias("_n")))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -270,16 +302,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = scratch.write(unit_rows(docs, id_col, text_col, min_words), "units")
-    rows = rows.withColumn("key", F.coalesce("anchor", F.xxhash64("digest")))
     known = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
-    rows = scratch.write(_dealt(rows, known.select("key"), "key", known, "left_semi").drop("key"),
-                         "repeated")
+    rows = scratch.write(_dealt(rows, known.select("key"), ["key"], known, "left_semi"), "repeated")
     scratch.free("units", "keys")
-    firsts = scratch.write(_firsts(rows, "end", "anchor"), "firsts")
-    groups = firsts.filter("first.anchor IS NOT NULL").select("first.*")
-    mixed = groups.groupBy("anchor").count().filter("count > 1").select("anchor")
-    edges = groups.join(mixed, "anchor", "left_semi")
+    firsts = scratch.write(_firsts(rows, "end"), "firsts")
+    groups = firsts.filter("tail % 2 != 0").select("key", "first.*")
+    mixed = groups.groupBy("key").count().filter("count > 1").select("key")
+    edges = scratch.write(groups.join(mixed, "key", "left_semi").select(
+        "id", "text_hash", "start", "end"), "edges")
     passages = scratch.write(passage_rows(docs, id_col, text_col, edges), "passages")
+    scratch.free("edges")
     passage_firsts = scratch.write(_firsts(passages), "passage-firsts")
     again = _again(rows, firsts).union(_again(passages, passage_firsts))
     return again.filter("start < end").groupBy("id", "text_hash").agg(

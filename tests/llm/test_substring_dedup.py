@@ -1,6 +1,6 @@
 import random
 
-from caretlake.llm.substring_dedup import MIN_WORDS, keep_rest, substring_dedup, units
+from caretlake.llm.substring_dedup import MIN_WORDS, keep_rest, substring_dedup, unit_rows, units
 from tests.llm.conftest import HARD
 
 LINE = "this line of nine words stands in many documents"
@@ -145,3 +145,18 @@ def test_a_passage_joined_with_other_words_in_its_sentences_goes(llm):
     got = {r.id: r.text for r in substring_dedup(
         llm.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: rows[0][1], 2: f"{sentence('a2x', 10)} {sentence('b2x', 10)}."}
+
+
+def test_digests_are_numbers_and_know_words_alone(llm):
+    """Units move as fixed-width rows; equal words have one digest wherever they stand."""
+    docs = llm.createDataFrame([(1, f"{LINE}\n{PASSAGE}"), (2, f"other\n\n {LINE.upper()} \n{PASSAGE} x")],
+                               "doc_id bigint, text string")
+    rows = unit_rows(docs, "doc_id", "text", MIN_WORDS)
+    assert {f.dataType.simpleString() for f in rows.schema} == {"bigint", "int"}
+    found = {}
+    for i, text in docs.collect():
+        for start, end, digest in units(text):
+            found.setdefault(digest, set()).add(tuple(text[start:end].lower().split()))
+    assert all(len(texts) == 1 for texts in found.values())
+    line = {i: [u[2] for u in units(t) if t[u[0]:u[1]].lower() == LINE] for i, t in docs.collect()}
+    assert len(line[1]) == 1 and line[1] == line[2]
