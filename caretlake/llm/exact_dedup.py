@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caretlake.llm.common import Scratch
+from caretlake.session import maybe_broadcast
 
 # Two texts are equal if these agree: SHA-256, an independent 64-bit hash, the length.
 KEY = ["digest", "check", "size"]
@@ -80,21 +81,23 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               keep: str = "min") -> DataFrame:
     """The rows that stay, with their own columns; rows repeating id and text become one.
 
-    Rows whose id stands once are kept or go by an anti-join on the id, so no text is hashed or moved
-    again for them. Rows of repeated ids, and rows without one, are told apart by their text:
+    Rows whose id stands once are kept or go by an anti-join on the id, so no text is hashed again
+    for them, nor moved while the ids that go, which are written and counted, fit a broadcast. Rows of repeated ids, and rows without one, are told apart by their text:
     among rows repeating id and text the smallest by the other columns stays, values without an
     order, such as maps, by their JSON.
     """
     names = docs.columns
-    found = Scratch(docs.sparkSession, "exact-dedup").write(
-        exact_dedup(docs, id_col, text_col, keep).select("id", "digest", "kept"), "fates")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    found = scratch.write(exact_dedup(docs, id_col, text_col, keep).select("id", "digest", "kept"), "fates")
     fates = found.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("any"))
     repeated = F.col("id").isNull() | (F.col("n") > 1)
     id_, text = F.col(f"d.`{id_col}`"), F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
     own = F.col("f.id")
+    gone = scratch.write(fates.filter(repeated | ~F.col("any")).select(
+        "id", (repeated & F.col("any")).alias("several")), "gone")
     single = docs.alias("d").filter(id_.isNotNull()).join(
-        fates.filter(repeated | ~F.col("any")).alias("f"), id_ == own, "left_anti")
-    several = fates.filter(repeated & F.col("any")).select("id")
+        maybe_broadcast(gone.select("id")).alias("f"), id_ == own, "left_anti")
+    several = maybe_broadcast(gone.filter("several").select("id"))
     stay = found.filter("kept").alias("k").join(
         several.alias("s"), F.col("k.id").eqNullSafe(F.col("s.id"))).select("k.id", "k.digest").distinct()
     copies = docs.alias("d").join(several.alias("s"), id_.eqNullSafe(F.col("s.id")), "left_semi").alias("d").join(

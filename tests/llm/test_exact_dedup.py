@@ -76,3 +76,18 @@ def test_rows_with_maps_and_repeated_ids(llm):
     got = [(r.doc_id, r.text, (r.more or {}).get("x")) for r in keep_rows(docs).collect()]
     assert sorted(got, key=repr) == sorted(
         [(1, "a", 1), (1, "b", 3), (3, "c", None), (None, "d", 6), (4, "e", None)], key=repr)
+
+
+def test_texts_of_rows_with_ids_of_their_own_do_not_move(llm):
+    """Ids that go are counted and broadcast, however large Spark takes them to be."""
+    docs = llm.createDataFrame([(k, f"t{k % 7}") for k in range(20)], "doc_id bigint, text string")
+    before = llm.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = keep_rows(docs, keep="max")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in got.collect()) == list(range(13, 20))
+    finally:
+        llm.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [line for line in plan.split("\n") if "SortMergeJoin" in line and ("LeftAnti" in line or "LeftSemi" in line)]
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
