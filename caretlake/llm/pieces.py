@@ -186,43 +186,56 @@ def merge_run(model: PieceModel, drop: Dropout, symbols: np.ndarray, key: np.uin
 
 
 def merge_rows(model: PieceModel, drop: Dropout, sym: np.ndarray, keys: np.ndarray,
-               start: np.ndarray):
-    """Merge runs of one length, a row each, all agendas at once.
+               start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge runs of one length, a row each, all agendas at once: (symbols left per row, symbols).
 
     In every round each row takes the head of its agenda: the best rank, leftmost among
-    equals. Rows with an empty agenda are done. Yields (rows, symbols).
+    equals. Rows with an empty agenda are done. Symbols stay where they are and know their
+    neighbours, so a round touches the merged pairs alone, besides the search for the heads.
     """
-    rows, width = np.arange(len(sym)), sym.shape[1]
-    place = start[:, None].astype(np.int32) + np.arange(width + 1, dtype=np.int32)
-    if width > 1:
-        ranks = _candidates(
-            model, drop, sym[:, :-1].ravel(), sym[:, 1:].ravel(), np.repeat(keys, width - 1),
-            place[:, :-2].ravel(), place[:, 1:-1].ravel(), place[:, 2:].ravel()).reshape(len(sym), width - 1)
-    while width > 1:
+    n, width = sym.shape
+    if width == 1:
+        return np.ones(n, np.int64), sym.ravel()
+    place = np.arange(width, dtype=np.int32)
+    ranks = np.full((n, width), NONE, np.int32)
+    begin = start[:, None] + place[:-1]
+    ranks[:, :-1] = _candidates(model, drop, sym[:, :-1].ravel(), sym[:, 1:].ravel(), np.repeat(
+        keys, width - 1), begin.ravel(), begin.ravel() + 1, begin.ravel() + 2).reshape(n, width - 1)
+    # Flat positions: of the next symbol (the row's end behind the last), of the one before, -1 without.
+    at = np.arange(n * width).reshape(n, width)
+    after, before = (at + 1).ravel(), (at - 1).ravel()
+    before[::width] = -1
+    sym = sym.ravel()
+    rows = np.arange(n)
+    while len(rows):
         head = ranks.argmin(axis=1)
-        best = ranks[np.arange(len(rows)), head]
-        going = best != NONE
-        if not going.all():
-            yield rows[~going], sym[~going]
-            rows, sym, place, ranks, keys, head, best = (
-                x[going] for x in (rows, sym, place, ranks, keys, head, best))
-        if not len(rows):
-            return
-        # The right symbol of the merged pair goes, with the edge inside it and its rank.
-        columns, right = np.arange(width + 1), head[:, None] + 1
-        sym[np.arange(len(rows)), head] = model.merged[best]
-        sym = sym[columns[:-1] != right].reshape(len(rows), width - 1)
-        place = place[columns != right].reshape(len(rows), width)
-        ranks = ranks[columns[:-2] + 1 != right].reshape(len(rows), width - 2)
-        width -= 1
-        if width == 1:
-            break
+        local = np.arange(0, len(rows) * width, width) + head
+        best = ranks.ravel()[local]
+        going = np.flatnonzero(best != NONE)
+        if len(going) * 4 < len(rows) * 3:
+            rows, ranks, head, best = rows[going], ranks[going], head[going], best[going]
+            going = np.arange(len(rows))
+            local = going * width + head
+        elif len(going) < len(rows):
+            head, best, local = head[going], best[going], local[going]
+        row, flat = rows[going], ranks.ravel()
+        first, shift = row * width + head, (going - row) * width
+        second, last = after[first], (row + 1) * width
+        third = after[second]
+        sym[first], sym[second], after[first] = model.merged[best], -1, third
+        flat[local], flat[second + shift] = NONE, NONE
+        more = np.flatnonzero(third < last)
+        before[third[more]] = first[more]
         # The pairs on both sides of the new symbol are candidates anew.
-        left, own = np.flatnonzero(head > 0), np.flatnonzero(head < width - 1)
-        at, i = np.concatenate([left, own]), np.concatenate([head[left] - 1, head[own]])
-        ranks[at, i] = _candidates(model, drop, sym[at, i], sym[at, i + 1], keys[at],
-                                   place[at, i], place[at, i + 1], place[at, i + 2])
-    yield rows, sym
+        less = np.flatnonzero(before[first] >= 0)
+        own = np.concatenate([more, less])
+        left = np.concatenate([first[more], before[first[less]]])
+        split = after[left]
+        offset = start[row[own]] - row[own] * width
+        flat[left + shift[own]] = _candidates(model, drop, sym[left], sym[split], keys[row[own]],
+                                              left + offset, split + offset, after[split] + offset)
+    alive = sym >= 0
+    return np.count_nonzero(alive.reshape(n, width), axis=1), sym[alive]
 
 
 def encode(model: PieceModel, texts: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
@@ -252,20 +265,20 @@ def encode(model: PieceModel, texts: list[str], keys: np.ndarray, rate: float) -
         chosen = order[a:b]
         if len(chosen):
             block = sym[runs[chosen][:, None] + np.arange(width)]
-            done += [(chosen[r], s) for r, s in
-                     merge_rows(model, drop, block, run_keys[chosen], begins[chosen])]
+            done.append((chosen, *merge_rows(model, drop, block, run_keys[chosen], begins[chosen])))
     for k in order[cuts[-1]:]:
         run = sym[runs[k]:runs[k] + lengths[k]]
         merged = merge_run(model, drop, run, run_keys[k], int(begins[k]))
-        done.append((np.array([k]), merged[None, :]))
+        done.append((np.array([k]), np.array([len(merged)]), merged))
 
     counts = np.zeros(len(runs), np.int64)
-    for rows, block in done:
-        counts[rows] = block.shape[1]
+    for rows, sizes, _ in done:
+        counts[rows] = sizes
     offsets = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(offsets[-1], np.int32)
-    for rows, block in done:
-        out[offsets[rows][:, None] + np.arange(block.shape[1])] = block
+    for rows, sizes, merged in done:
+        ends = np.cumsum(sizes)
+        out[np.repeat(offsets[rows] - ends + sizes, sizes) + np.arange(ends[-1])] = merged
     run_of_doc = np.searchsorted(runs, first)
     bounds = np.append(offsets[run_of_doc], offsets[-1])
     return [_with_bytes(model, out[a:b]) for a, b in zip(bounds, bounds[1:])]

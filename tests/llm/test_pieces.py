@@ -103,3 +103,21 @@ def test_hard_rows(hard):
 
 def test_empty_table(nothing):
     assert pc.decode_pieces(pc.encode_pieces(nothing)).count() == 0
+
+
+def test_a_merge_touches_the_merged_pair_alone(monkeypatch):
+    """Candidates are asked for once per pair that comes up, however long the runs are."""
+    asked = []
+    whole = pc._candidates
+    monkeypatch.setattr(pc, "_candidates", lambda *a: asked.append(len(a[2])) or whole(*a))
+    model, drop = pc.piece_model(), pc.Dropout(0.1)
+    texts = ["internationalisation", "x" * 20, "abcdefghijklmnopqrst"]
+    sym = np.array([model.symbol[[ord(c) for c in t]] for t in texts])
+    sizes, left = pc.merge_rows(model, drop, sym, pc.drop_keys(["1", "2", "3"], 1), np.arange(1, 4))
+    assert sizes.sum() == len(left) and len(sizes) == 3
+    merges = sym.size - len(left)
+    assert asked[0] == 3 * 19 and sum(asked[1:]) <= 2 * merges
+    ends = np.cumsum(sizes)
+    for text, key, start, a, b in zip(texts, pc.drop_keys(["1", "2", "3"], 1), (1, 2, 3), ends - sizes, ends):
+        run = model.symbol[[ord(c) for c in text]]
+        assert left[a:b].tolist() == pc.merge_run(model, drop, run, key, start).tolist()
