@@ -6,10 +6,11 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretlake.llm.common import arrow_map
+from caretlake.llm.common import arrow_map, list_array
 
 SPACE = 0x2581
 NONE = np.iinfo(np.int32).max
@@ -79,6 +80,7 @@ class PieceModel:
                 self.byte_ids[int(self.text[i][3:5], 16)] = i
         self.bytes = [bytes([int(self.text[i][3:5], 16)]) if model.is_byte(i)
                       else self.text[i].replace("▁", " ").encode() for i in range(size)]
+        self.pieces = pa.array(self.bytes, pa.large_binary())
         # Characters that are no piece but part of one are symbols behind the pieces; all
         # other characters are symbols behind those, by code point.
         ids = {self.text[i]: i for i in normal}
@@ -304,6 +306,15 @@ def decode(model: PieceModel, ids) -> str:
     return data.decode("utf-8", "replace")[1:]
 
 
+def decode_lists(model: PieceModel, ids: pa.ListArray) -> list[str]:
+    """`decode` of every list of a column; the pieces are strung together by Arrow."""
+    strung = model.pieces.take(ids.flatten())
+    places = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    offsets = np.frombuffer(strung.buffers()[1], np.int64)[:len(strung) + 1][places]
+    data = memoryview(strung.buffers()[2] or b"")
+    return [str(data[a:b], "utf-8", "replace")[1:] for a, b in zip(offsets, offsets[1:])]
+
+
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   rate: float = 0.1, seed: int = 0, model_path: str | None = None) -> DataFrame:
     """One row per input row: id, text_hash (xxhash64 of the text), ids.
@@ -325,17 +336,18 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         model = piece_model(model_path)
         for batch in batches:
-            keys = drop_keys([str(i) for i in batch["id"]], seed)
+            keys = drop_keys([str(i) for i in batch["id"].to_pylist()], seed)
             ids = []
             for group in _groups(batch["text"]):
                 ids += encode(model, [batch["text"][k] for k in group], keys[group], rate)
             yield {"id": batch["id"], "text_hash": batch["text_hash"],
-                   "ids": [i.tolist() for i in ids]}
+                   "ids": list_array(ids, pa.int32())}
 
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
                        text.alias("text"))
-    return arrow_map(rows, run, f"id {kind}, text_hash bigint, ids array<int>")
+    return arrow_map(rows, run, f"id {kind}, text_hash bigint, ids array<int>",
+                     raw=("id", "text_hash"))
 
 
 def _groups(texts: list[str], chars: int = 2_000_000) -> list[list[int]]:
@@ -357,7 +369,8 @@ def decode_pieces(encoded: DataFrame, model_path: str | None = None) -> DataFram
     def run(batches):
         model = piece_model(model_path)
         for batch in batches:
-            yield {**batch, "text": [decode(model, i) for i in batch["ids"]]}
+            yield {**batch, "text": decode_lists(model, batch["ids"])}
 
     return arrow_map(encoded.select("id", "text_hash", "ids"), run,
-                     f"id {kind}, text_hash bigint, ids array<int>, text string")
+                     f"id {kind}, text_hash bigint, ids array<int>, text string",
+                     raw=("id", "text_hash", "ids"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -121,3 +122,12 @@ def test_a_merge_touches_the_merged_pair_alone(monkeypatch):
     for text, key, start, a, b in zip(texts, pc.drop_keys(["1", "2", "3"], 1), (1, 2, 3), ends - sizes, ends):
         run = model.symbol[[ord(c) for c in text]]
         assert left[a:b].tolist() == pc.merge_run(model, drop, run, key, start).tolist()
+
+
+def test_lists_are_decoded_as_columns():
+    model = pc.piece_model()
+    lists = [*ids(["the harbour", "", "日本 \u0000😀"], 0.3), [], [int(model.byte_ids[0xE6])], *ids(TEXTS[:9], 0.0)]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    assert pc.decode_lists(model, column) == [pc.decode(model, i) for i in lists]
+    assert pc.decode_lists(model, column.slice(2, 4)) == [pc.decode(model, i) for i in lists[2:6]]
+    assert pc.decode_lists(model, column[:0]) == []
