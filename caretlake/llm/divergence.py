@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caretlake.llm.common import Scratch, arrow_map, prepare, text_bytes
+from caretlake.session import maybe_broadcast
 
 # A term is a run of these bytes of UTF-8: ASCII letters, of which A-Z are lowered, and all
 # bytes from 128 on. Everything else becomes a space.
@@ -34,6 +35,9 @@ ROWS = 20_000
 # Stripes worked on at once, cells of one array of divergences, and cells of a task's table of
 # pairs; with more pairs, blocks of sources are dealt over tasks.
 STRIPES, CELLS, PAIRS = 4_096, 1 << 20, 4 << 20
+# Counts of a share of a language's stripes, at least; more where the language has more pairs, so
+# what the shares emit follows the counts and not the number of partitions.
+SHARE = 50_000
 SCALE = 10 ** 9
 
 _STRIPE = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
@@ -59,7 +63,8 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang",
     merged = scratch.write(merge_stripes(
         fold_stripes(docs, text, lang, source), min_docs, parts), "stripes")
     groups = scratch.write(_groups(merged), "groups")
-    rows = scratch.write(_emit(merged, groups, ranks, parts), "values")
+    langs = scratch.write(_languages(merged, groups), "langs")
+    rows = scratch.write(_emit(merged, langs, ranks, parts), "values")
 
     a, b = groups.select("lang", "source", "p0"), groups.select(
         "lang", F.col("source").alias("item"), F.col("p0").alias("q0"), "kept")
@@ -217,24 +222,35 @@ def _groups(merged: DataFrame) -> DataFrame:
                      F.expr(f"1 + {SCALE} DIV greatest(total + kept, 1)")).otherwise(1))
 
 
-def _emit(merged: DataFrame, groups: DataFrame, ranks: int, parts: int) -> DataFrame:
+def _languages(merged: DataFrame, groups: DataFrame) -> DataFrame:
+    """A stripe without a term per language, all its sources with their totals, and `shares`, the
+    number of shares its stripes are dealt over."""
+    entries = merged.filter("term <> ''").groupBy(F.col("lang").alias("of")).agg(
+        F.sum(F.size("sources")).alias("entries"))
+    langs = groups.groupBy("lang").agg(
+        F.first("kept").alias("docs"),
+        F.sort_array(F.collect_list(F.struct("source", "total"))).alias("g"))
+    width = F.greatest(F.lit(SHARE), F.size("g").cast("long") * F.size("g"))
+    return langs.join(entries, F.col("lang") == F.col("of"), "left").select(
+        "lang", F.lit(None).cast("string").alias("term"), "docs", F.col("g.source").alias("sources"),
+        F.col("g.total").alias("counts"),
+        F.greatest(F.lit(1), F.ceil(F.col("entries") / width)).cast("int").alias("shares"))
+
+
+def _emit(merged: DataFrame, langs: DataFrame, ranks: int, parts: int) -> DataFrame:
     """part, lang, source, item, value of the stripes; pairs as differences from `base`.
 
     Stripes are dealt over shares of their language, each share gets the language's groups as
-    its first row, and over blocks of sources where a language has very many.
+    its first row, and over blocks of sources where a language has very many. `langs` is a
+    written table of `_languages`.
     """
-    langs = groups.groupBy("lang").agg(
-        F.first("kept").alias("docs"),
-        F.sort_array(F.collect_list(F.struct("source", "total"))).alias("g")).select(
-            "lang", F.lit(None).cast("string").alias("term"), "docs",
-            F.col("g.source").alias("sources"), F.col("g.total").alias("counts"))
     most = langs.agg(F.max(F.size("sources"))).first()[0] or 0
     blocks = max(1, -(-most * most // PAIRS))
-    shares = max(1, -(-parts // blocks))
-    share = F.pmod(F.xxhash64("term"), F.lit(shares)).cast("int")
+    share = F.pmod(F.xxhash64("term"), F.col("shares")).cast("int")
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-    rows = merged.filter("term <> ''").withColumn("share", share).unionByName(
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    rows = merged.filter("term <> ''").join(
+        maybe_broadcast(langs.select("lang", "shares")), "lang").withColumn("share", share).unionByName(
         langs.withColumn("share", every)).withColumn("block", block)
     dealt = rows.repartition(parts, "lang", "share", "block").sortWithinPartitions(
         "lang", "share", "block", F.col("term").isNotNull())

@@ -75,6 +75,20 @@ def test_against_dictionaries(llm, monkeypatch, rows, held, ranks, pairs):
     assert collected(source_divergence(df, ranks=ranks)) == brute(rows, ranks=ranks)
 
 
+def test_shares_follow_the_counts(llm, monkeypatch, rows):
+    """What the shares emit doesn't grow with the number of partitions; results are those of many shares."""
+    df = llm.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    merged = merge_stripes(fold_stripes(df), 3, 4).persist()
+    langs = divergence._languages(merged, divergence._groups(merged)).persist()
+    few, many = (divergence._emit(merged, langs, 200, parts).collect() for parts in (2, 40))
+    assert sorted(few) == sorted(many)
+    assert len({r[:4] for r in few}) == len(few)
+    monkeypatch.setattr(divergence, "SHARE", 3)
+    assert max(r.shares for r in divergence._languages(merged, divergence._groups(merged)).collect()) > 1
+    assert collected(source_divergence(df)) == brute(rows)
+    merged.unpersist(), langs.unpersist()
+
+
 def test_stripes(llm):
     rows = [("b a a", "en", "x"), ("a", "en", "y"), ("A c", "en", "x"), ("", "en", "z")]
     df = llm.createDataFrame(rows, "text string, lang string, source string").repartition(4)
