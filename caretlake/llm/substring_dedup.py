@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from hashlib import blake2b
 
 import numpy as np
@@ -31,8 +30,14 @@ PASSAGE = 51
 # A passage is known by the smallest hash of the runs of so many words in it, its anchor.
 ANCHOR = 16
 
-_SENTENCE_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+")
-_WORD = re.compile(r"\S+")
+# What a sentence ends with, and what may stand between that and the white space, by code point.
+_MARKS, _CLOSERS = ".!?…。！？", "\"'”’)]"
+_KIND = np.zeros(0x10001, np.uint8)
+_KIND[[ord(c) for c in _MARKS]], _KIND[[ord(c) for c in _CLOSERS]] = 1, 2
+
+
+# Two-byte hashes that are 0 modulo 12.
+_CUT = frozenset(n.to_bytes(2, "little") for n in range(0, 1 << 16, 12))
 
 
 def _cuts(words: list[str], first: int, stop: int, pairs: dict):
@@ -50,8 +55,7 @@ def _cuts(words: list[str], first: int, stop: int, pairs: dict):
         if cut is None:
             if len(pairs) >= 150_000:
                 pairs.clear()
-            hash_ = blake2b(pair.encode("utf-8", "surrogatepass"), digest_size=2).digest()
-            cut = pairs[pair] = int.from_bytes(hash_, "little") % 12 == 0
+            cut = pairs[pair] = blake2b(pair.encode("utf-8", "surrogatepass"), digest_size=2).digest() in _CUT
         if cut:
             yield at, k
             at = k
@@ -64,30 +68,23 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, tuple[i
 
     The operator finds what repeats among them without listing every passage.
     """
-    words = Words(text, WordHashes())
+    words = Words(text)
     found = [*zip(*words.line_units(min_words, {})), *zip(*words.passages())]
     return [(int(a), int(b), (int(key), int(tail))) for a, b, key, tail in found]
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, kept for frequent words; cleared when it grows large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
 # White space as str.split knows it, by code point; the last entry stands for what is beyond.
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _ODD = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Powers:
@@ -108,6 +105,34 @@ class Powers:
 _KEY, _TAIL = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
 
+# Words of more code points than this are hashed one by one, and words at once.
+_SHORT, _WORDS = 64, 1 << 16
+_PLACES = Powers(0x9FB21C651E98DF25).upto(_SHORT)[0][:_SHORT]
+
+
+def word_hashes(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per word: a polynomial of its code points, all words at once."""
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _WORDS):
+        some = slice(at, at + _WORDS)
+        sizes = np.minimum(ends[some] - starts[some], _SHORT)
+        first = np.cumsum(sizes) - sizes
+        flat = np.arange(first[-1] + sizes[-1])
+        own = codes[flat + np.repeat(starts[some] - first, sizes)].astype(np.uint64) + np.uint64(1)
+        out[some] = np.add.reduceat(own * _PLACES[flat - np.repeat(first, sizes)], first)
+    out = _mix(out)
+    for k in np.flatnonzero(ends - starts > _SHORT):
+        out[k] = xxhash.xxh3_64_intdigest(text[starts[k]:ends[k]].encode("utf-8", "surrogatepass"))
+    return out
+
+
+def _spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words start and end."""
+    inside = np.concatenate([[False], ~_SPACE[np.minimum(codes, 0x3001)], [False]])
+    starts, ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    return starts, ends
+
+
 class Words:
     """The words of a text: hashes in lower case, and where they start and end.
 
@@ -116,14 +141,27 @@ class Words:
     of the tail tells passages from other units.
     """
 
-    def __init__(self, text: str, hashes: WordHashes):
-        self.text, self.found = text, text.lower().split()
-        self.hashes = np.fromiter(map(hashes.__getitem__, self.found), np.uint64, len(self.found))
+    def __init__(self, text: str):
+        self.lower = text.lower()
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = np.concatenate([[False], ~_SPACE[np.minimum(self.codes, 0x3001)], [False]])
-        self.starts, self.ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+        self.starts, self.ends = _spans(self.codes)
+        codes = np.frombuffer(self.lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+        # Lowering can only make a text longer; the words stay the same in number.
+        spans = (self.starts, self.ends) if len(codes) == len(self.codes) else _spans(codes)
+        self.hashes = word_hashes(self.lower, codes, *spans)
         self.sums: dict = {}
 
+    def _sentences(self) -> np.ndarray:
+        """The words, by number, behind a word that ends a sentence."""
+        last = self.ends - 1
+        kind = _KIND[np.minimum(self.codes[last], 0x10000)]
+        closed = np.flatnonzero((kind == 2) & (last > self.starts))
+        while len(closed):
+            last[closed] -= 1
+            kind[closed] = _KIND[np.minimum(self.codes[last[closed]], 0x10000)]
+            closed = closed[(kind[closed] == 2) & (last[closed] > self.starts[closed])]
+        return np.flatnonzero(kind == 1) + 1
+
     def _sums(self, powers: Powers, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         up, down = powers.upto(len(self.hashes))
         if powers not in self.sums:
@@ -144,15 +182,20 @@ class Words:
         n = len(self.hashes)
         if n < min_words:
             return (np.empty(0, np.int64),) * 4
-        ends = np.fromiter((m.end() for m in _SENTENCE_END.finditer(self.text)), np.int64)
-        lines = np.unique(np.concatenate([[0], np.searchsorted(
-            self.starts, np.flatnonzero(self.codes == 10)), [n]]))
-        sentences = np.unique(np.concatenate([lines, np.searchsorted(self.starts, ends)]))
-        pieces = np.array([p for k in np.flatnonzero(np.diff(sentences) > LONG_SENTENCE) for p in _cuts(
-            self.found, int(sentences[k]), int(sentences[k + 1]), pairs)], np.int64).reshape(-1, 2)
+        edge = np.zeros(n + 1, bool)
+        edge[np.searchsorted(self.starts, np.flatnonzero(self.codes == 10))] = True
+        edge[[0, n]] = True
+        lines = np.flatnonzero(edge)
+        edge[self._sentences()] = True
+        sentences = np.flatnonzero(edge)
+        long = np.flatnonzero(np.diff(sentences) > LONG_SENTENCE)
+        found = self.lower.split() if len(long) else []
+        pieces = np.array([p for k in long for p in _cuts(
+            found, int(sentences[k]), int(sentences[k + 1]), pairs)], np.int64).reshape(-1, 2)
         spans = np.concatenate([lines[:-1] * (n + 1) + lines[1:], sentences[:-1] * (n + 1) + sentences[1:],
                                 pieces[:, 0] * (n + 1) + pieces[:, 1]])
-        first, stop = np.divmod(np.unique(spans), n + 1)
+        spans.sort()
+        first, stop = np.divmod(spans[np.diff(spans, prepend=-1) > 0], n + 1)
         long = stop - first >= min_words
         first, stop = first[long], stop[long]
         return self.starts[first], self.ends[stop - 1], self.key(first, stop), self.tail(first, stop, False)
@@ -211,11 +254,11 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        hashes, pairs = WordHashes(), {}
+        pairs = {}
         for batch in batches:
             found = []
             for text in batch["text"]:
-                words = Words(text, hashes)
+                words = Words(text)
                 start, end, *digest = words.line_units(min_words, pairs)
                 found.append([np.concatenate(c) for c in zip(
                     (start, end, end, *digest), words.groups())])
@@ -243,13 +286,12 @@ def passage_rows(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame)
                        & (F.col("text_hash") == F.col("other_hash")))
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             owners, found = [], []
             for k, (text, spans) in enumerate(zip(batch["text"], batch["spans"])):
                 for span in spans:
                     at = span["start"]
-                    start, end, *digest = Words(text[at:span["end"]], hashes).passages()
+                    start, end, *digest = Words(text[at:span["end"]]).passages()
                     owners.append(k)
                     found.append((start + at, end + at, end + at, *digest))
             yield _unit_batch(batch, owners, found)
