@@ -35,7 +35,6 @@ _MARKS, _CLOSERS = ".!?…。！？", "\"'”’)]"
 _KIND = np.zeros(0x10001, np.uint8)
 _KIND[[ord(c) for c in _MARKS]], _KIND[[ord(c) for c in _CLOSERS]] = 1, 2
 
-
 # Two-byte hashes that are 0 modulo 12.
 _CUT = frozenset(n.to_bytes(2, "little") for n in range(0, 1 << 16, 12))
 
@@ -68,11 +67,21 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, tuple[i
 
     The operator finds what repeats among them without listing every passage.
     """
-    words = Words(text)
+    words = Words(text, WordHashes())
     found = [*zip(*words.line_units(min_words, {})), *zip(*words.passages())]
     return [(int(a), int(b), (int(key), int(tail))) for a, b, key, tail in found]
 
 
+class WordHashes(dict):
+    """Word -> 64-bit hash, kept for frequent words; cleared when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 150_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
 # White space as str.split knows it, by code point; the last entry stands for what is beyond.
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _ODD = 0x9E3779B97F4A7C15
@@ -105,34 +114,6 @@ class Powers:
 _KEY, _TAIL = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
 
-# Words of more code points than this are hashed one by one, and words at once.
-_SHORT, _WORDS = 64, 1 << 16
-_PLACES = Powers(0x9FB21C651E98DF25).upto(_SHORT)[0][:_SHORT]
-
-
-def word_hashes(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash per word: a polynomial of its code points, all words at once."""
-    out = np.empty(len(starts), np.uint64)
-    for at in range(0, len(starts), _WORDS):
-        some = slice(at, at + _WORDS)
-        sizes = np.minimum(ends[some] - starts[some], _SHORT)
-        first = np.cumsum(sizes) - sizes
-        flat = np.arange(first[-1] + sizes[-1])
-        own = codes[flat + np.repeat(starts[some] - first, sizes)].astype(np.uint64) + np.uint64(1)
-        out[some] = np.add.reduceat(own * _PLACES[flat - np.repeat(first, sizes)], first)
-    out = _mix(out)
-    for k in np.flatnonzero(ends - starts > _SHORT):
-        out[k] = xxhash.xxh3_64_intdigest(text[starts[k]:ends[k]].encode("utf-8", "surrogatepass"))
-    return out
-
-
-def _spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words start and end."""
-    inside = np.concatenate([[False], ~_SPACE[np.minimum(codes, 0x3001)], [False]])
-    starts, ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
-    return starts, ends
-
-
 class Words:
     """The words of a text: hashes in lower case, and where they start and end.
 
@@ -141,14 +122,12 @@ class Words:
     of the tail tells passages from other units.
     """
 
-    def __init__(self, text: str):
-        self.lower = text.lower()
+    def __init__(self, text: str, hashes: WordHashes):
+        self.found = text.lower().split()
+        self.hashes = np.fromiter(map(hashes.__getitem__, self.found), np.uint64, len(self.found))
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.starts, self.ends = _spans(self.codes)
-        codes = np.frombuffer(self.lower.encode("utf-32-le", "surrogatepass"), np.uint32)
-        # Lowering can only make a text longer; the words stay the same in number.
-        spans = (self.starts, self.ends) if len(codes) == len(self.codes) else _spans(codes)
-        self.hashes = word_hashes(self.lower, codes, *spans)
+        inside = np.concatenate([[False], ~_SPACE[np.minimum(self.codes, 0x3001)], [False]])
+        self.starts, self.ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
         self.sums: dict = {}
 
     def _sentences(self) -> np.ndarray:
@@ -188,10 +167,8 @@ class Words:
         lines = np.flatnonzero(edge)
         edge[self._sentences()] = True
         sentences = np.flatnonzero(edge)
-        long = np.flatnonzero(np.diff(sentences) > LONG_SENTENCE)
-        found = self.lower.split() if len(long) else []
-        pieces = np.array([p for k in long for p in _cuts(
-            found, int(sentences[k]), int(sentences[k + 1]), pairs)], np.int64).reshape(-1, 2)
+        pieces = np.array([p for k in np.flatnonzero(np.diff(sentences) > LONG_SENTENCE) for p in _cuts(
+            self.found, int(sentences[k]), int(sentences[k + 1]), pairs)], np.int64).reshape(-1, 2)
         spans = np.concatenate([lines[:-1] * (n + 1) + lines[1:], sentences[:-1] * (n + 1) + sentences[1:],
                                 pieces[:, 0] * (n + 1) + pieces[:, 1]])
         spans.sort()
@@ -226,7 +203,7 @@ class Words:
             step = min(width, span - width)
             right = least[step:] < least[:-step]
             place = np.where(right, place[step:], place[:-step])
-            least = np.where(right, least[step:], least[:-step])
+            least = np.minimum(least[step:], least[:-step])
             width += step
         firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         lasts = np.concatenate([firsts[1:], [len(place)]]) + PASSAGE - 1
@@ -254,11 +231,11 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        pairs = {}
+        hashes, pairs = WordHashes(), {}
         for batch in batches:
             found = []
             for text in batch["text"]:
-                words = Words(text)
+                words = Words(text, hashes)
                 start, end, *digest = words.line_units(min_words, pairs)
                 found.append([np.concatenate(c) for c in zip(
                     (start, end, end, *digest), words.groups())])
@@ -286,12 +263,13 @@ def passage_rows(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame)
                        & (F.col("text_hash") == F.col("other_hash")))
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
             owners, found = [], []
             for k, (text, spans) in enumerate(zip(batch["text"], batch["spans"])):
                 for span in spans:
                     at = span["start"]
-                    start, end, *digest = Words(text[at:span["end"]]).passages()
+                    start, end, *digest = Words(text[at:span["end"]], hashes).passages()
                     owners.append(k)
                     found.append((start + at, end + at, end + at, *digest))
             yield _unit_batch(batch, owners, found)
