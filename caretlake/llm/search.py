@@ -1,12 +1,15 @@
-"""Exact BM25 top-k search: a sharded inverted index and block-max WAND."""
+"""Exact BM25 top-k search: a sharded inverted index and block-max WAND, many queries at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +23,29 @@ from caretlake.llm.warc import _open
 K1, B = 1.2, 0.75
 TOP = 10
 
-# A shard is closed at so many documents or postings; a block is 64 documents of it.
+# A shard is closed at so many documents or postings; a block is 512 documents of it.
 SHARD_DOCS = 4096
 SHARD_POSTINGS = 1_000_000
-BLOCK_BITS = 6
+BLOCK_BITS = 9
 
-# Blocks of a shard that are scored before the others, to raise the threshold.
-FIRST_BLOCKS = 4
+# Queries that meet a block together, and the share of their pairs with its documents that a term
+# has to stand in to be multiplied as a matrix; other terms go pair by pair.
+TILE_QUERIES = 512
+DENSE = 0.005
+
+# Pairs of query and document that are added up at once.
+PAIRS = 500_000
+
+# Like texts stand together: groups of texts, and frequent terms that tell them apart.
+GROUPS, GROUP_TERMS = 16, 256
 
 # Postings of the shards that one search task goes through, and queries it reads at a time.
-TASK_POSTINGS = 4_000_000
+TASK_POSTINGS = 8_000_000
 QUERY_ROWS = 512
 
 # Queries that a search task takes through its shards together, and bytes of their terms.
 BLOCK_QUERIES = 8192
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 INDEX = ("shard_docs bigint, shard_words bigint, ids array<{kind}>, lengths binary, terms binary, "
          "offsets binary, docs binary, counts binary")
@@ -44,14 +55,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per shard: an inverted index of some thousand documents.
 
     Shards are made of the documents of a scan task, without a shuffle; in a shard they are
-    ordered by their smallest term hashes, so near copies share blocks. terms are 64-bit hashes
+    ordered by groups that share frequent terms and by their smallest term hashes, so like ones
+    and near copies share blocks. terms are 64-bit hashes
     in ascending order; the postings of term t are docs[offsets[t]: offsets[t + 1]], positions in
     the shard, and as many counts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def closed(*columns):
-        like = sorted(range(len(columns[0])), key=lambda i: columns[2][i][:4].tolist())
+        like = _alike(np.concatenate(columns[2]), np.array([len(f) for f in columns[2]]))
         ids, lengths, found, tallies = ([column[i] for i in like] for column in columns)
         sizes = [len(f) for f in found]
         owner = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
@@ -125,6 +137,53 @@ def _below(threshold: float) -> float:
     return threshold * (1 - 1e-9) - 1e-8
 
 
+def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, … sizes[0] numbers; then those of first[1], and so on."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _alike(terms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order of texts in which like ones stand together; no result depends on it.
+
+    terms: those of one text after the other, ascending. Texts are grouped around centres by the
+    frequent terms they share, groups stand next to like groups, near copies next to each other.
+    """
+    texts = len(sizes)
+    starts = np.cumsum(sizes) - sizes
+    smallest = [np.where(sizes > i, terms[np.minimum(starts + i, len(terms) - 1)], 0)
+                if len(terms) else sizes for i in range(4)]
+    # Terms frequent in some hundred texts spread over all are frequent enough for this.
+    some = np.arange(0, texts, max(1, texts // GROUP_TERMS // 2))
+    found, df = np.unique(terms[_spans(starts[some], sizes[some])], return_counts=True)
+    top = np.argsort(-df, kind="stable")[:GROUP_TERMS]
+    top = top[np.argsort(found[top])]
+    if not len(top) or texts <= GROUPS:
+        return np.lexsort(smallest[::-1])
+    at = np.minimum(np.searchsorted(found[top], terms), len(top) - 1)
+    hit = found[top][at] == terms
+    shared = np.zeros((texts, len(top)), np.float32)
+    shared[np.repeat(np.arange(texts), sizes)[hit], at[hit]] = np.log1p(len(some) / df[top])[at[hit]]
+    length = np.linalg.norm(shared, axis=1)
+    shared /= np.maximum(length, 1e-9)[:, None]
+    centres = [shared[int(np.argmax(length))]]
+    near = np.where(length > 0, shared @ centres[0], 1)
+    while len(centres) < GROUPS:
+        centres.append(shared[int(np.argmin(near))])
+        near = np.maximum(near, shared @ centres[-1])
+    centres = np.array(centres)
+    for _ in range(4):
+        group = np.argmax(shared @ centres.T, axis=1)
+        sums = np.eye(GROUPS, dtype=np.float32)[group].T @ shared
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
+    group = np.argmax(shared @ centres.T, axis=1)
+    likeness, chain = centres @ centres.T, [0]
+    while len(chain) < GROUPS:
+        left = [g for g in range(GROUPS) if g not in chain]
+        chain.append(left[int(np.argmax(likeness[chain[-1]][left]))])
+    return np.lexsort([*smallest[::-1], np.argsort(chain)[group]])
+
+
 @dataclass
 class Shard:
     """A shard with the BM25 weights of its postings, before the factor of the term."""
@@ -134,7 +193,7 @@ class Shard:
 
     def __post_init__(self):
         row = self.row
-        self.ids, self.read = row["ids"], 0
+        self.ids = row["ids"]
         lengths = np.frombuffer(row["lengths"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
@@ -143,79 +202,151 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(self.mean_words, 1e-9))
         self.weights = tf * (K1 + 1) / (tf + norm[self.docs])
         owner = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
-        # Largest weight of every term, and of every term in every block it touches.
-        self.most = np.maximum.reduceat(self.weights, self.offsets[:-1]) if len(
-            self.terms) else np.empty(0)
+        # An entry is a term in a block it touches: where its postings are, the largest weight of them.
         blocks = self.docs >> BLOCK_BITS
         edge = np.ones(len(blocks), bool)
         edge[1:] = (owner[1:] != owner[:-1]) | (blocks[1:] != blocks[:-1])
         at = np.flatnonzero(edge)
-        self.block, self.block_most = blocks[at], (
-            np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0))
-        self.block_start = np.append(at, len(blocks))
-        self.block_offsets = np.searchsorted(owner[at], np.arange(len(self.terms) + 1))
-
-    def _block_bounds(self, terms, factors):
-        """For every block, the sum of the block maxima of the terms: no document of it scores more."""
-        spans = [(self.block_offsets[t], self.block_offsets[t + 1]) for t in terms]
-        where = np.concatenate([self.block[a:b] for a, b in spans])
-        most = np.concatenate([self.block_most[a:b] for a, b in spans])
-        return np.bincount(where, most * np.repeat(factors, [b - a for a, b in spans]),
-                           (len(self.ids) >> BLOCK_BITS) + 1)
-
-    def _scores_within(self, terms, factors, alive):
-        """Scores by document; of every list only the blocks that are alive are read."""
-        spans = [(self.block_offsets[t], self.block_offsets[t + 1]) for t in terms]
-        entry = np.concatenate([np.arange(a, b) for a, b in spans])
-        factor = np.repeat(factors, [b - a for a, b in spans])
-        keep = alive[self.block[entry]]
-        entry, factor = entry[keep], factor[keep]
-        first = self.block_start[entry]
-        sizes = self.block_start[entry + 1] - first
-        ends = np.cumsum(sizes)
-        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        self.read += len(at)
-        return np.bincount(self.docs[at], self.weights[at] * np.repeat(factor, sizes), len(self.ids))
-
-    def search(self, terms: np.ndarray, factors: np.ndarray, k: int,
-               threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Documents that may be among the best k, with scores to nine decimals.
-
-        threshold: a score that k documents elsewhere have reached already; documents that
-        only equal it are still returned. This is block-max WAND, a block at a time instead of a
-        pivot document: a block whose terms can't reach the threshold even with their block
-        maxima is skipped in all lists. The most promising blocks are scored first, since their
-        documents raise the threshold for the others; `read` counts the postings looked at.
+        most = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0)
+        sizes = np.diff(np.append(at, len(blocks)))
+        order = np.argsort(blocks[at], kind="stable")
+        self.entry_term, self.entry_start, self.entry_size, self.entry_most = (
+            column[order] for column in (owner[at], at.astype(np.int32), sizes.astype(np.int32), most))
+        self.block_edges = np.searchsorted(blocks[at][order], np.arange(
+            (max(len(self.ids), 1) - 1 >> BLOCK_BITS) + 2))
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Term and document of every posting as one number, ascending."""
+        return np.repeat(np.arange(len(self.terms)) * len(self.ids), np.diff(self.offsets)) + self.docs
+
+
+@dataclass
+class Lists:
+    """The terms of a block of queries, ascending, with the queries each stands in.
+
+    Queries are numbered in an order of like ones and dealt over tiles. `queries` has those of a term
+    in tile i from edge[i] to edge[i + 1]; terms of many queries of a tile are rows of the tile's
+    `matrix` as well, by `row`. `order` are the queries' places in the block, `numbers` their terms.
+    """
+
+    terms: np.ndarray
+    factors: np.ndarray
+    queries: np.ndarray
+    edge: np.ndarray
+    row: np.ndarray
+    matrix: list[np.ndarray]
+    order: np.ndarray
+    numbers: list[np.ndarray]
+
+
+@dataclass
+class QueryBlock:
+    """Queries that go through the shards together, inverted when the first shard is met."""
+
+    rows: pa.Table
+
+    def column(self, name: str):
+        return self.rows.column(name)
+
+    def lists(self, total: int) -> Lists:
+        if not hasattr(self, "_lists"):
+            self._lists = self._inverted(total)
+            self.rows = self.rows.select(["query"])
+        return self._lists
+
+    def _inverted(self, total):
+        lists = pa.concat_arrays(self.rows.column("terms").chunks)
+        sizes = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        terms, df = flat.field("term").to_numpy().view(np.uint64), flat.field("df").to_numpy()
+        # Lists are sorted as signed numbers.
+        ascending = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
+        order = _alike(terms[ascending], sizes)
+        moved = _spans((np.cumsum(sizes) - sizes)[order], sizes[order])
+        terms, df, sizes = terms[moved], df[moved], sizes[order]
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        by_term = np.argsort(terms, kind="stable")
+        new = np.ones(len(terms), bool)
+        new[1:] = terms[by_term][1:] != terms[by_term][:-1]
+        number = np.cumsum(new) - 1
+        first = by_term[new]
+        queries, count = owner[by_term], len(first)
+        tiles = -(-len(sizes) // TILE_QUERIES)
+        size = np.bincount(number * tiles + queries // TILE_QUERIES, minlength=count * tiles)
+        ends = np.cumsum(size, dtype=np.int32).reshape(count, tiles).T
+        edge = np.vstack([np.r_[np.int32(0), ends[-1:, :-1].ravel()][:count], ends])
+        del size, ends
+        row, matrix = np.full((tiles, count), -1, np.int32), []
+        for tile in range(tiles):
+            wide = min(TILE_QUERIES, len(sizes) - tile * TILE_QUERIES)
+            size = edge[tile + 1] - edge[tile]
+            many = np.flatnonzero(size >= max(1, wide >> 6))
+            row[tile, many] = np.arange(len(many))
+            matrix.append(np.zeros((len(many), wide), np.uint8))
+            matrix[-1][np.repeat(np.arange(len(many)), size[many]), queries[
+                _spans(edge[tile, many], size[many])] - tile * TILE_QUERIES] = 1
+        numbers = np.empty(len(terms), np.int32)
+        numbers[by_term] = number
+        return Lists(terms[first], np.log1p((total - df[first] + 0.5) / (df[first] + 0.5)), queries, edge,
+                     row, matrix, order, np.split(numbers, np.cumsum(sizes)[:-1]))
+
+
+@dataclass
+class Block:
+    """A block of a shard: what it holds of the terms that a block of queries asks for."""
+
+    number: np.ndarray      # the term's number among the asked ones
+    most: np.ndarray        # the largest score any document here has from it
+    start: np.ndarray
+    size: np.ndarray
+    docs: np.ndarray        # positions in the block, and scores from the term
+    scores: np.ndarray
+    wide: int
+
+    def __post_init__(self):
+        many = np.flatnonzero(self.size >= max(1, self.wide >> 6))
+        self.row = np.full(len(self.size), -1)
+        self.row[many] = np.arange(len(many))
+        self.matrix = np.zeros((len(many), self.wide))
+        at = _spans(self.start[many], self.size[many])
+        self.matrix[np.repeat(np.arange(len(many)), self.size[many]), self.docs[at]] = self.scores[at]
+
+    def meet(self, lists: Lists, tile: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tile's queries that may reach their least score here, and their scores by document.
+
+        No document scores more than the sum of the largest scores of the query's terms in the block:
+        this is block-max WAND, for many queries at once. Terms in a good share of all pairs of query
+        and document are multiplied as matrices, the others are added up pair by pair.
         """
-        none = np.empty(0, np.int64), np.empty(0), threshold
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        if not have.any():
-            return none
-        local, factors = at[have], factors[have]
-        if (factors * self.most[local]).sum() < _below(threshold):
-            return none
-        bounds = self._block_bounds(local, factors)
-        left = (bounds > 0) & (bounds >= _below(threshold))
-        docs, found = [], []
-        while left.any():
-            alive = left
-            if np.count_nonzero(left) > FIRST_BLOCKS and not docs:
-                edge = np.partition(bounds[left], -FIRST_BLOCKS)[-FIRST_BLOCKS]
-                alive = left & (bounds >= edge)
-            scores = self._scores_within(local, factors, alive)
-            docs.append(np.flatnonzero(scores))
-            found.append(np.round(scores[docs[-1]], 9))
-            reached = np.concatenate(found)
-            if len(reached) >= k:
-                threshold = max(threshold, float(np.partition(reached, -k)[-k]))
-            left = left & ~alive & (bounds >= _below(threshold))
-        if not docs:
-            return none
-        docs, found = np.concatenate(docs), np.concatenate(found)
-        good = found >= _below(threshold)
-        return docs[good], found[good], threshold
+        begin = lists.edge[tile][self.number]
+        asked = lists.edge[tile + 1][self.number] - begin
+        pairs = asked * self.size.astype(np.int64)
+        row, wide = lists.row[tile][self.number], len(least)
+        dense = (pairs >= DENSE * wide * self.wide) & (row >= 0) & (self.row >= 0)
+        apart = np.flatnonzero((pairs > 0) & ~dense)
+        dense = np.flatnonzero(dense)
+        of = lists.matrix[tile][row[dense]].T.astype(np.float64)
+        query = lists.queries[_spans(begin[apart], asked[apart])] - tile * TILE_QUERIES
+        entry = np.repeat(apart, asked[apart])
+        bounds = of @ self.most[dense] + np.bincount(query, self.most[entry], wide)
+        alive = np.flatnonzero(bounds >= least)
+        if not len(alive):
+            return alive, np.empty((0, self.wide))
+        if len(alive) < wide:
+            place = np.full(wide, -1)
+            place[alive] = np.arange(len(alive))
+            kept = place[query] >= 0
+            query, entry, of = place[query[kept]], entry[kept], of[alive]
+        scores = of @ self.matrix[self.row[dense]]
+        ends = np.cumsum(self.size[entry], dtype=np.int64)
+        cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS), "right") if len(ends) else []
+        for few, queries in zip(np.split(entry, cuts), np.split(query, cuts)):
+            size = self.size[few]
+            at = _spans(self.start[few], size)
+            cell = np.repeat(queries.astype(np.int64) * self.wide, size) + self.docs[at]
+            scores += np.bincount(cell, self.scores[at], scores.size).reshape(scores.shape)
+        return alive, scores
 
 
 def search_all(index: DataFrame, tasks: int, query_files: list[str], total: int,
@@ -257,9 +388,12 @@ def best_of_blocks(shards: Callable[[], Iterator[Shard]], batches: Iterator, tot
     """{query: (ranked, threshold)} of one block of the query batches after the other."""
     for block in _query_blocks(batches, queries):
         best: dict = {}
+        rows = QueryBlock(pa.Table.from_batches(block))
+        block.clear()
         for shard in shards():
-            for rows in block:
-                _search_block(shard, rows, total, k, best)
+            _search_block(shard, rows, total, k, best)
+            # One shard at a time: this one goes before the next is made.
+            del shard
         if best:
             yield best
 
@@ -290,22 +424,89 @@ def _blocks(files: list[str], rows: int):
             yield from pq.ParquetFile(source).iter_batches(rows)
 
 
-def _search_block(shard: Shard, rows, total: int, k: int, best: dict) -> None:
-    """Take a block of queries through a shard; `best` has (score, id) rows and a threshold."""
-    lists = rows.column("terms")
-    offsets = lists.offsets.to_numpy()
-    terms = lists.values.field("term").to_numpy().view(np.uint64)
-    df = lists.values.field("df").to_numpy()
-    factors = np.log1p((total - df + 0.5) / (df + 0.5))
-    for query, a, b in zip(rows.column("query").to_pylist(), offsets, offsets[1:]):
-        ranked, threshold = best.get(query, ([], 0.0))
-        docs, scores, threshold = shard.search(terms[a:b], factors[a:b], k, threshold)
-        if len(docs):
-            ranked = sorted([*ranked, *((s, shard.ids[d]) for d, s in zip(docs.tolist(), scores.tolist()))],
-                            key=lambda r: (-r[0], r[1] is None, r[1]))[:k]
-            if len(ranked) == k:
-                threshold = max(threshold, ranked[-1][0])
-            best[query] = ranked, threshold
+def _search_block(shard: Shard, rows: QueryBlock, total: int, k: int, best: dict) -> None:
+    """Take a block of queries through a shard; `best` has (score, id) rows and a threshold.
+
+    A threshold is a score that k documents have reached; documents that only equal it are still looked
+    at. Scores to nine decimals are those of the exact sum, whatever the order it is added up in.
+    """
+    lists, names = rows.lists(total), rows.column("query").to_pylist()
+    if not len(lists.terms) or not len(shard.terms):
+        return
+    at = np.minimum(np.searchsorted(shard.terms, lists.terms), len(shard.terms) - 1)
+    have = shard.terms[at] == lists.terms
+    asked = np.full(len(shard.terms), -1, np.int64)
+    asked[at[have]] = np.flatnonzero(have)
+    reached = np.array([best[names[i]][1] if names[i] in best else 0.0 for i in lists.order])
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at_block, (a, b) in enumerate(zip(shard.block_edges, shard.block_edges[1:])):
+        block = _asked_block(shard, lists, asked, at_block, a, b)
+        for tile in range(len(lists.matrix)):
+            base = tile * TILE_QUERIES
+            mine = reached[base:base + TILE_QUERIES]
+            alive, scores = block.meet(lists, tile, np.maximum(_below(mine), 1e-300))
+            if not len(alive):
+                continue
+            good = scores >= np.maximum(_below(mine[alive]), 1e-300)[:, None]
+            many = np.flatnonzero(good.sum(axis=1) > k)
+            if len(many):
+                kth = np.partition(scores[many], block.wide - k, axis=1)[:, block.wide - k]
+                mine[alive[many]] = np.maximum(mine[alive[many]], np.round(kth, 9))
+                good[many] = scores[many] >= np.maximum(_below(mine[alive[many]]), 1e-300)[:, None]
+            query, doc = np.nonzero(good)
+            found.append((alive[query] + base, doc + (at_block << BLOCK_BITS), scores[query, doc]))
+    query, doc, score = map(np.concatenate, zip(*found))
+    good = score >= _below(reached[query])
+    query, doc, score = query[good], doc[good], score[good]
+    rounded = _rounded(shard, lists, at, have, query, doc, score)
+    order = np.argsort(query, kind="stable")
+    query, doc, rounded = query[order], doc[order].tolist(), rounded[order].tolist()
+    edges = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True]) if len(query) else []
+    for a, b in zip(edges, edges[1:]):
+        name = names[lists.order[query[a]]]
+        ranked, threshold = best.get(name, ([], 0.0))
+        ranked = sorted([*ranked, *((s, shard.ids[d]) for d, s in zip(doc[a:b], rounded[a:b]))],
+                        key=lambda r: (-r[0], r[1] is None, r[1]))[:k]
+        if len(ranked) == k:
+            threshold = max(threshold, ranked[-1][0])
+        best[name] = ranked, threshold
+
+
+def _asked_block(shard: Shard, lists: Lists, asked: np.ndarray, at: int, a: int, b: int) -> Block:
+    number = asked[shard.entry_term[a:b]]
+    kept = np.flatnonzero(number >= 0)
+    number, entry = number[kept], kept + a
+    sizes, factors = shard.entry_size[entry], lists.factors[number]
+    postings = _spans(shard.entry_start[entry], sizes)
+    first = at << BLOCK_BITS
+    return Block(number, shard.entry_most[entry] * factors, np.cumsum(sizes) - sizes, sizes,
+                 shard.docs[postings] - first, shard.weights[postings] * np.repeat(factors, sizes),
+                 min(1 << BLOCK_BITS, len(shard.ids) - first))
+
+
+def _rounded(shard: Shard, lists: Lists, at: np.ndarray, have: np.ndarray, query: np.ndarray,
+             doc: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Scores to nine decimals. Where the order of adding up may matter, they are added up exactly."""
+    terms = np.array([len(n) for n in lists.numbers])
+    scaled = score * 1e9
+    unsure = np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) <= (terms[query] + 8) * scaled * 2.0 ** -53)
+    score = score.copy()
+    for start in range(0, len(unsure), 1024):
+        part = unsure[start:start + 1024]
+        numbers = [lists.numbers[q] for q in query[part]]
+        pair, number = np.repeat(part, [len(n) for n in numbers]), np.concatenate(numbers)
+        pair, number = pair[have[number]], number[have[number]]
+        wanted = at[number] * len(shard.ids) + doc[pair]
+        # Numbers in order are found faster.
+        order = np.argsort(wanted)
+        place = np.empty(len(wanted), np.int64)
+        place[order] = np.searchsorted(shard.places, wanted[order])
+        place = np.minimum(place, len(shard.places) - 1)
+        hit = shard.places[place] == wanted
+        parts = shard.weights[place[hit]] * lists.factors[number[hit]]
+        for i, own in zip(part, np.split(parts, np.searchsorted(pair[hit], part[1:]))):
+            score[i] = fsum(own)
+    return np.round(score, 9)
 
 
 def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -113,3 +113,84 @@ def test_results_over_several_blocks(monkeypatch):
         return out
 
     assert found(2) == found(5) == found(100) and len(found(2)) == 12
+
+
+def _shards(texts, size):
+    """Shards of (id, text) rows and a block of queries, all of them, as the operator makes them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from caretlake.llm.minhash import WordHashes
+
+    hashes, counted = WordHashes(), [(i, Counter(words(t.encode()))) for i, t in texts]
+    df = Counter(w for _, c in counted for w in c)
+    mean, rows = sum(sum(c.values()) for _, c in counted) / len(counted), []
+    for start in range(0, len(counted), size):
+        part = counted[start:start + size]
+        terms = sorted((hashes[w], w) for w in {w for _, c in part for w in c})
+        lists = [[(n, c[w]) for n, (_, c) in enumerate(part) if c[w]] for _, w in terms]
+        rows.append({"ids": [i for i, _ in part], "lengths": np.array(
+            [sum(c.values()) for _, c in part], np.int64).tobytes(),
+            "terms": np.array([t for t, _ in terms], np.uint64).tobytes(),
+            "offsets": np.cumsum([0, *map(len, lists)]).astype(np.int64).tobytes(),
+            "docs": np.array([n for x in lists for n, _ in x], np.int32).tobytes(),
+            "counts": np.array([c for x in lists for _, c in x], np.int32).tobytes()})
+    kind = pa.list_(pa.struct([("term", pa.int64()), ("df", pa.int64())]))
+    asked = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([sorted(
+        ({"term": int(np.uint64(hashes[w]).view(np.int64)), "df": df[w]} for w in c), key=lambda e: e["term"])
+        for _, c in counted], kind)], ["query", "terms"])
+    return [search.Shard(r, mean) for r in rows], asked
+
+
+def test_queries_meet_a_block_together(monkeypatch):
+    """A block of documents is met by tiles of queries, not by one query after the other, in two languages;
+    blocks of the other language are skipped by their bound once thresholds are reached."""
+    monkeypatch.setattr(search, "BLOCK_BITS", 5)
+    monkeypatch.setattr(search, "TILE_QUERIES", 40)
+    rng, met = random.Random(8), []
+    texts = [(i, " ".join(["both"] * (i % 3) + rng.choices([f"{'xy'[i // 100]}{n}" for n in range(60)], k=40)))
+             for i in range(200)]
+    shards, asked = _shards(texts, 100)
+    meet = search.Block.meet
+
+    def seen(block, lists, tile, least):
+        alive, scores = meet(block, lists, tile, least)
+        met.append((len(least), len(alive)))
+        return alive, scores
+
+    monkeypatch.setattr(search.Block, "meet", seen)
+    best, = search.best_of_blocks(lambda: iter(shards), iter([asked]), 200, 5)
+    same({q: [(i, s) for s, i in ranked] for q, (ranked, _) in best.items()}, brute(texts, texts, 5))
+    assert len(met) == 5 * 8 and {n for n, _ in met} == {40}
+    assert sum(not n for _, n in met) >= 8
+
+
+def test_scores_are_the_same_wherever_a_text_stands(monkeypatch):
+    """Copies in other blocks, tiles and shards score alike to the last decimal, so ties go by id."""
+    rng = random.Random(9)
+    text = [" ".join(rng.choices([f"w{n}" for n in range(300)], [1 / (n + 1) for n in range(300)], k=150)) for _ in range(30)]
+    texts = [(i, text[rng.randrange(30)]) for i in range(300)]
+    want, kept = brute(texts, texts, 10), []
+    for bits, tile, dense, size in ((9, 512, 0.005, 300), (3, 16, 0.5, 70), (5, 64, 0.0, 40), (4, 7, 2.0, 300)):
+        monkeypatch.setattr(search, "BLOCK_BITS", bits)
+        monkeypatch.setattr(search, "TILE_QUERIES", tile)
+        monkeypatch.setattr(search, "DENSE", dense)
+        shards, asked = _shards(texts, size)
+        best, = search.best_of_blocks(lambda: iter(shards), iter([asked]), 300, 10)
+        kept.append({q: [(i, s) for s, i in ranked] for q, (ranked, _) in best.items()})
+        same(kept[-1], want)
+    assert all(k == kept[0] for k in kept)
+
+
+def test_like_texts_stand_together():
+    """Texts of two languages, dealt at random, are ordered by language; empty ones are no obstacle."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    kinds = rng.integers(0, 2, 400)
+    texts = [np.unique(rng.integers(1000 * k, 1000 * k + 40, 15)).astype(np.uint64) if n % 50 else
+             np.empty(0, np.uint64) for n, k in enumerate(kinds)]
+    order = search._alike(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert sorted(order) == list(range(400))
+    ranked = [kinds[i] for i in order if len(texts[i])]
+    assert sum(a != b for a, b in zip(ranked, ranked[1:])) <= 4
