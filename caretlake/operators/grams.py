@@ -1,4 +1,4 @@
-"""Counting of n-grams in Arrow batches: words become numbers, contexts are sorted as numbers."""
+"""Counting and scoring of n-grams in Arrow batches: words become numbers, contexts are sorted as numbers."""
 
 from __future__ import annotations
 
@@ -192,3 +192,229 @@ def ranked_grams(size: int, k: int, min_count: int) -> Callable[[Iterator[pa.Rec
                 pa.ListArray.from_arrays(offsets, entries), pa.array(np.full(len(heads), whole))],
                 names=["level", "key", "entries", "whole"])
     return run
+
+
+def _groups(columns: list[pa.Array], rows: int) -> np.ndarray:
+    """A number per row; rows of one number have the same values. Nested values get one per row."""
+    out = np.zeros(rows, np.int64)
+    for column in columns:
+        try:
+            codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1
+        except pa.ArrowNotImplementedError:
+            codes = np.arange(rows)
+        out = np.unique(out * (rows + 2) + codes, return_inverse=True)[1]
+    return out
+
+
+def asked_grams(hot: list[str], pairs: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Word lists and what they are grouped by to counted grams of one left word, at a place of their context.
+
+    Columns are the words, the fold and any others. The place is the left word, or the right one if
+    that is hot, or both words if both are; all grams of a context are at one place. Only those of a
+    hot pair are dealt by their middle word: their candidates are known beforehand.
+    """
+    most_words, most_chars = BATCH_WORDS, BATCH_CHARS
+
+    def run(batches):
+        held, words, chars = [], 0, 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                part = part.filter(pc.fill_null(pc.greater(pc.list_value_length(part.column(0)), 2), False))
+                held.append(part)
+                flat = part.column(0).flatten()
+                words, chars = words + len(flat), chars + flat.nbytes
+                if words >= most_words or chars >= most_chars:
+                    yield from batch_grams(held)
+                    held, words, chars = [], 0, 0
+        yield from batch_grams(held)
+
+    def batch_grams(held):
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        lists, *others = [pa.concat_arrays(c.chunks) for c in table.columns]
+        group = _groups(others, len(lists))
+        shown = np.unique(group, return_index=True)[1]
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().cast(pa.large_string()).dictionary_encode()
+        names, bound = coded.dictionary, len(coded.dictionary)
+        codes = coded.indices.to_numpy().astype(np.int64)
+        ends = np.cumsum(lengths)
+        at = np.arange(len(codes))
+        at = at[(at > np.repeat(ends - lengths, lengths)) & (at < np.repeat(ends, lengths) - 1)]
+        group = np.repeat(group, lengths)[at]
+        # Equal grams of a group are one, with their number.
+        together = _numbers([group, codes[at - 1], codes[at + 1], codes[at]], max(bound, len(shown)))
+        _, first, n = np.unique(together, return_index=True, return_counts=True)
+        group, left, token, right = group[first], *(codes[at[first] + i] for i in (-1, 0, 1))
+        is_hot = pc.is_in(names, pa.array(hot, pa.large_string())).to_numpy(zero_copy_only=False)
+        place = np.where(is_hot[left], np.where(is_hot[right], -1, right), left)
+        both = np.flatnonzero(place < 0)
+        if len(both):
+            kinds, kind = np.unique(left[both] * bound + right[both], return_inverse=True)
+            named = pc.binary_join_element_wise(
+                names.take(pa.array(kinds // bound)), names.take(pa.array(kinds % bound)), pa.scalar(" ", pa.large_string()))
+            known = pc.is_in(named, pa.array(pairs, pa.large_string())).to_numpy(zero_copy_only=False)
+            place[both] = np.where(known[kind], token[both], bound + kind)
+            names = pa.concat_arrays([names, named])
+        order = np.lexsort((group, place))
+        group, place, n = group[order], place[order], n[order].astype(np.int32)
+        new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (group[1:] != group[:-1])])
+        words = names.take(pa.array(np.stack([c[order] for c in (left, right, token)], axis=1).ravel()))
+        offsets = np.r_[new, len(order)]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets * 3), words), pa.scalar(" ", pa.large_string()))
+        counts = pa.Array.from_buffers(pa.large_binary(), len(new), [
+            None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(n)])
+        for start in range(0, len(new), 10_000):
+            part = new[start:start + 10_000]
+            doc = pa.array(shown[group[part]])
+            yield pa.record_batch([
+                names.take(pa.array(place[part])).cast(pa.string()), joined.slice(start, 10_000).cast(pa.string()),
+                counts.slice(start, 10_000).cast(pa.binary()), *(c.take(doc) for c in others)],
+                names=["_at", "_grams", "_counts", *table.schema.names[1:]])
+    return run
+
+
+def scored_grams(by: list[str], k: int, free: list[list[str]],
+                 near: dict[str, list[list[str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counted grams sorted by `_at` to (…by, at, answers, weight): where words stand among their candidates.
+
+    The candidates of a gram are the k best words between its neighbours in the other folds, then
+    those behind its left word, then those of no context, each once, k in all. free[f] has the last for
+    fold f, near[context][f] those of contexts whose grams are at several places.
+    """
+    most_chars = BATCH_CHARS // 2
+
+    def run(batches):
+        held, chars, most = [], 0, most_chars
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            chars += batch.nbytes
+            if chars >= most:
+                table = pa.Table.from_batches(held).combine_chunks()
+                names = table.column("_at").combine_chunks()
+                # The last place may go on in the next batch.
+                same = pc.equal(names, names[-1]).to_numpy(zero_copy_only=False)
+                cut = int(np.argmax(same))
+                yield from scored(table.slice(0, cut))
+                rest = table.slice(cut)
+                held, chars = rest.to_batches(), rest.nbytes
+                most = max(most_chars, 2 * chars)
+        if held:
+            yield from scored(pa.Table.from_batches(held).combine_chunks())
+
+    def scored(table):
+        if not table.num_rows:
+            return
+        others = [pa.concat_arrays(table.column(c).chunks) for c in by]
+        group = _groups(others, table.num_rows)
+        shown = np.unique(group, return_index=True)[1]
+        lists = pc.split_pattern(pa.concat_arrays(table.column("_grams").chunks).cast(pa.large_string()), " ")
+        of = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy() // 3)
+        n = np.frombuffer(b"".join(table.column("_counts").to_pylist()), np.int32).astype(np.int64)
+        fold, group = table.column("_fold").to_numpy()[of], group[of]
+        known = [w for c, kinds in near.items() for w in [*c.split(" "), *(w for words in kinds for w in words)]]
+        flat = pa.concat_arrays([lists.flatten(), pa.array([*known, *(w for words in free for w in words)], pa.large_string())])
+        coded = flat.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        bound = len(order)
+        left, right, token = place[coded.indices.to_numpy()[:3 * len(of)]].reshape(-1, 3).T
+        number = dict(zip(flat[3 * len(of):].to_pylist(), place[coded.indices.to_numpy()[3 * len(of):]].tolist()))
+        del lists, flat, coded, table
+        pairs, context = np.unique(left * bound + right, return_inverse=True)
+        for own, best in enumerate(free):
+            mine = np.flatnonzero(fold == own)
+            if not len(mine):
+                continue
+            others_n = np.where(fold == own, 0, n)
+            first = candidates(context, token, others_n, bound, {
+                int(p): [number[w] for w in near[c][own]] for c in near if " " in c for p in [np.searchsorted(
+                    pairs, number[c.split(" ")[0]] * bound + number[c.split(" ")[1]])]
+                if p < len(pairs) and pairs[p] == number[c.split(" ")[0]] * bound + number[c.split(" ")[1]]})
+            second = candidates(left, token, others_n, bound, {
+                number[c]: [number[w] for w in near[c][own]] for c in near if " " not in c})
+            at = placed(context[mine], left[mine], token[mine], first, second,
+                        np.array([number[w] for w in best], np.int64), bound)
+            weights = np.bincount(group[mine] * (k + 1) + at, n[mine], len(shown) * (k + 1)).astype(np.int64)
+            out = np.flatnonzero(weights)
+            found = out % (k + 1)
+            doc = pa.array(shown[out // (k + 1)])
+            yield pa.record_batch([
+                *(c.take(doc) for c in others), pa.array(found, pa.int64(), mask=found == 0),
+                pa.array(np.full(len(out), int(bool(best))), pa.int32()), pa.array(weights[out])],
+                names=[*by, "at", "answers", "weight"])
+
+    def candidates(context, token, n, bound, given):
+        """Keys of context and word, ascending, with the word's rank; of given contexts as given."""
+        counted = np.flatnonzero(n > 0)
+        keys = context[counted] * bound + token[counted]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        keys, n = keys[new], np.add.reduceat(n[counted][order], new) if len(new) else np.empty(0, np.int64)
+        if given:
+            kept = ~np.isin(keys // bound, list(given))
+            keys, n = keys[kept], n[kept]
+        # Keys of a context are in the order of words, which decides between equal counts.
+        of = keys // bound
+        order = np.lexsort((-n, of))
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys)) - np.repeat(starts, np.diff(np.r_[starts, len(keys)]))
+        kept = rank < k
+        keys, rank = keys[kept], rank[kept]
+        if given:
+            more = [(c * bound + w, i) for c, words in given.items() for i, w in enumerate(words)]
+            keys = np.r_[keys, np.array([m[0] for m in more], np.int64)]
+            rank = np.r_[rank, np.array([m[1] for m in more], np.int64)]
+            order = np.argsort(keys)
+            keys, rank = keys[order], rank[order]
+        return keys, rank
+
+    def ranks(listed, context, token, bound):
+        """The rank of a context's word, k where it is none of its candidates."""
+        keys, rank = listed
+        if not len(keys):
+            return np.full(len(context), k)
+        wanted = context * bound + token
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, rank[at], k)
+
+    def placed(context, left, token, first, second, free, bound):
+        """1-based places of words among their candidates, 0 for none."""
+        at = np.zeros(len(token), np.int64)
+        for start in range(0, len(token), 500_000):
+            part = slice(start, start + 500_000)
+            c, w, t = context[part], left[part], token[part]
+            out = at[part]
+            rank = ranks(first, c, t, bound)
+            out[:] = np.where(rank < k, rank + 1, 0)
+            begin, end = (np.searchsorted(first[0], (c + i) * bound) for i in (0, 1))
+            size = end - begin
+            todo = np.flatnonzero((rank == k) & (size < k))
+            # Candidates from the first list, and their ranks in the second: those are listed once.
+            c, w, t, begin, size = c[todo], w[todo], t[todo], begin[todo], size[todo]
+            unit = np.repeat(np.arange(len(todo)), size)
+            entry = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(unit))
+            twice = ranks(second, w[unit], first[0][entry] % bound, bound)
+            rank = ranks(second, w, t, bound)
+            before = size + rank - np.bincount(unit[twice < rank[unit]], minlength=len(todo))
+            out[todo] = np.where((rank < k) & (before < k), before + 1, 0)
+            more = np.searchsorted(second[0], (w + 1) * bound) - np.searchsorted(second[0], w * bound)
+            listed = size + more - np.bincount(unit[twice < k], minlength=len(todo))
+            left_over = np.flatnonzero((rank == k) & (listed < k))
+            c, w, t, listed = c[left_over], w[left_over], t[left_over], listed[left_over]
+            place = listed.copy()
+            for word in free.tolist():
+                word = np.full(len(c), word)
+                fresh = (ranks(first, c, word, bound) == k) & (ranks(second, w, word, bound) == k)
+                place += fresh
+                hit = fresh & (word == t) & (place <= k)
+                out[todo[left_over[hit]]] = place[hit]
+        return at
+    return run

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caretlake import schemas as S
 from caretlake.functions import tokens as tk
-from caretlake.operators.grams import MOVED, RANKED, placed_grams, ranked_grams
+from caretlake.operators.grams import MOVED, RANKED, asked_grams, placed_grams, ranked_grams, scored_grams
 from caretlake.operators.skew import spread_join
 from caretlake.session import materialize, ship
 
@@ -200,10 +201,13 @@ def evaluate_held_out(docs: DataFrame, by: list[str] | None = None, folds: int =
 
     A document is answered by a model of the other folds, never by its own counts. `fold` numbers
     them from 0, by a hash of `key` if not given, so rows of one key are in one fold. Words with the same neighbours have the same
-    answers: they are counted first and answered once.
+    answers: they are counted first and answered once. With one word of context they are answered
+    where their context is counted, and only scores leave that place.
     """
     if fold is None:
         fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+    if context_size == 1:
+        return score(_scored_in_place(docs, by or [], folds, k, text, fold), by, F.col("weight"))
     scored = None
     for own in range(folds):
         model = materialize(train_packed(docs.filter(fold != own), context_size, k, text=text))
@@ -217,6 +221,51 @@ def evaluate_held_out(docs: DataFrame, by: list[str] | None = None, folds: int =
     return score(scored, by, F.col("weight"))
 
 
+def _scored_in_place(docs: DataFrame, by: list[str], folds: int, k: int, text: str, fold: Column) -> DataFrame:
+    """(…by, at, answers, weight) of every interior word; grams of all folds move once, to their context.
+
+    A context is counted over all folds at one place, and a fold's model is what the others count there. What
+    a gram needs from elsewhere is small and known before: the k best words of no context, those behind
+    a hot word, and those of a pair that is as hot as a word (see `_trained`), of which there are fewer
+    than HOT_WORDS each.
+    """
+    words = docs.filter(fold.isNotNull()).select(
+        tk.tokens(F.col(text)).alias("_w"), fold.cast("int").alias("_fold"), *by)
+    other = [F.col("_fold") != own for own in range(folds)]
+    inside = (F.col("_i") > 0) & (F.col("_i") < F.col("_size") - 1)
+    counts = materialize(words.select("_fold", F.array_size("_w").alias("_size"), F.posexplode("_w").alias(
+        "_i", "token")).groupBy("token").agg(F.count("*").alias("_n"), *[
+            F.count_if(inside & o).alias(f"n{own}") for own, o in enumerate(other)]))
+    least = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) / HOT_WORDS)
+    hot = [r.token for r in counts.filter(F.col("_n") > least).select("token").collect()]
+    free = [[r.token for r in counts.filter(F.col(f"n{own}") > 0).orderBy(
+        F.desc(f"n{own}"), "token").limit(k).collect()] for own in range(folds)]
+
+    near, pairs = {}, []
+    if hot:
+        grams = words.select("_fold", F.explode(tk.interior_grams(F.col("_w"))).alias("g")).filter(
+            F.col("g.w1").isin(hot)).select("_fold", "g.w1", "g.token", F.concat_ws(
+                " ", "g.w1", "g.right").alias("pair"), F.col("g.right").isin(hot).alias("both"))
+        pairs = [r.pair for r in grams.filter("both").groupBy("pair").count().filter(
+            F.col("count") > least).collect()]
+        listed = materialize(grams.select("_fold", "token", F.explode(F.array(
+            "w1", *([F.when(F.col("pair").isin(pairs), F.col("pair"))] if pairs else []))).alias("key")).filter(
+            "key IS NOT NULL").groupBy("key", "token").agg(*[
+                F.count_if(o).alias(f"n{own}") for own, o in enumerate(other)]))
+        near = {key: [[] for _ in range(folds)] for key in [*hot, *pairs]}
+        for own in range(folds):
+            for r in top_k(listed.filter(F.col(f"n{own}") > 0), ["key"], f"n{own}", k).orderBy("rank").collect():
+                near[r.key][own].append(r.token)
+
+    ship(docs.sparkSession)
+    kinds = words.select("_fold", *by)
+    moved = words.mapInArrow(asked_grams(hot, pairs), StructType([
+        *StructType.fromDDL("_at string, _grams string, _counts binary").fields, *kinds.schema.fields]))
+    return moved.repartition("_at").sortWithinPartitions("_at").mapInArrow(
+        scored_grams(by, k, free, near), StructType([
+            *words.select(*by).schema.fields, *StructType.fromDDL("at bigint, answers int, weight bigint").fields]))
+
+
 def _held_out_places(asked: DataFrame, model: DataFrame, keep: list[str], k: int,
                      context_size: int) -> DataFrame:
     """(…keep, at, answers) of `target` next to its words, level by level.

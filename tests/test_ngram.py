@@ -1,5 +1,6 @@
 import collections
 import json
+import random
 
 import pytest
 import regex
@@ -313,3 +314,76 @@ def test_places_of_targets_are_those_among_the_candidates(spark, docs, c):
     want = ngram._places(ngram.ngram_candidates(prompts, model, 2, c), ["weight"], 2)
     assert sorted((r.weight, r.at or 0, r.answers > 0) for r in placed.collect()) == sorted(
         (r.weight, r.at or 0, r.answers > 0) for r in want.collect())
+
+
+def _held_out(rows, folds, k):
+    """{by: (prompts, hits@1, hits@k, sum of 1 / rank, covered)} by scoring every word on its own."""
+    def words(text):
+        return (text or "").split()
+
+    def best(counted):
+        return [w for w, _ in sorted(counted.items(), key=lambda e: (-e[1], e[0]))[:k]]
+
+    out = collections.defaultdict(lambda: [0, 0, 0, 0.0, 0])
+    for own in range(folds):
+        model = collections.defaultdict(collections.Counter)
+        for fold, _, text in rows:
+            if fold is not None and fold != own:
+                w = words(text)
+                for i in range(1, len(w) - 1):
+                    for key in ((w[i - 1], w[i + 1]), w[i - 1], None):
+                        model[key][w[i]] += 1
+        model = {key: best(c) for key, c in model.items()}
+        for fold, by, text in rows:
+            w = words(text) if fold == own else []
+            for i in range(1, len(w) - 1):
+                listed = list(dict.fromkeys(x for key in ((w[i - 1], w[i + 1]), w[i - 1], None)
+                                            for x in model.get(key, [])))[:k]
+                at = listed.index(w[i]) + 1 if w[i] in listed else 0
+                for n, more in enumerate((1, at == 1, at > 0, at and 1 / at, bool(listed))):
+                    out[by][n] += more
+    return dict(out)
+
+
+@pytest.mark.parametrize("hot_words", [1 << 30, 60, 12, 3])
+def test_held_out_scores_where_contexts_are_counted(spark, monkeypatch, hot_words):
+    """With no, some and many hot words and pairs, in small batches; folds that are null or out of range; no
+    gram meets a model by a join."""
+    rng = random.Random(4)
+    vocabulary, weights = [f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)]
+    rows = [(rng.choice([0, 1, 2, 2, 3, None]), rng.choice(["x", "y", None]), " ".join(
+        rng.choices(vocabulary, weights, k=rng.choice([0, 2, 3, 30])))) for _ in range(90)]
+    rows += [(0, "x", None), (1, "z", "a b w0 ä w0 w1 w0"), (0, "z", "w0 w1 w0 w1 w0 w1"), (2, "q", "w0 w1 w0 q w0 w1")]
+    docs = spark.createDataFrame(rows, "f int, lang string, text string").repartition(3)
+    monkeypatch.setattr(ngram, "HOT_ROWS", 0)
+    monkeypatch.setattr(ngram, "HOT_WORDS", hot_words if hot_words < 1 << 30 else 1)
+    monkeypatch.setattr(grams, "BATCH_WORDS", 200)
+    monkeypatch.setattr(grams, "BATCH_CHARS", 2000)
+    monkeypatch.setattr(ngram, "spread_join", None)
+    for k in (2, 5):
+        got = {r.lang: (r.prompts, r.hits_at_1, r.hits_at_k, r.mrr, r.coverage) for r in ngram.evaluate_held_out(
+            docs, ["lang"], folds=3, k=k, fold=F.col("f")).collect()}
+        want = {by: (n, one, hit, round(mrr / n, 6), round(some / n, 6)) for by, (n, one, hit, mrr, some) in
+                _held_out(rows, 3, k).items()}
+        assert got == want
+
+
+def test_grams_to_score_move_once_with_their_number():
+    """All folds of a batch leave as one row per place and group, equal grams as one; a hot pair by the middle word."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([["a", "b", "c", "b", "c", "b", "d"]] * 2 + [["a", "x", "a"], None, ["a"]]),
+                             pa.array([0, 0, 1, 1, 0], pa.int32())], names=["_w", "_fold"])
+
+    def moved(hot, pairs):
+        out = [r for b in grams.asked_grams(hot, pairs)(iter([batch])) for r in b.to_pylist()]
+        return {(r["_at"], r["_fold"]): dict(zip(zip(*[iter(r["_grams"].split(" "))] * 3),
+                                                 np.frombuffer(r["_counts"], np.int32).tolist())) for r in out}
+
+    assert moved([], []) == {
+        ("a", 0): {("a", "c", "b"): 2}, ("b", 0): {("b", "b", "c"): 4}, ("c", 0): {("c", "c", "b"): 2, ("c", "d", "b"): 2},
+        ("a", 1): {("a", "a", "x"): 1}}
+    assert moved(["a", "b"], ["a a"]) == {
+        ("c", 0): {("a", "c", "b"): 2, ("c", "c", "b"): 2, ("c", "d", "b"): 2}, ("b b", 0): {("b", "b", "c"): 4},
+        ("x", 1): {("a", "a", "x"): 1}}
