@@ -206,12 +206,44 @@ def _groups(columns: list[pa.Array], rows: int) -> np.ndarray:
     return out
 
 
-def asked_grams(hot: list[str], pairs: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Word lists and what they are grouped by to counted grams of one left word, at a place of their context.
-
-    Columns are the words, the fold and any others. The place is the left word, or the right one if
-    that is hot, or both words if both are; all grams of a context are at one place. Only those of a
-    hot pair are dealt by their middle word: their candidates are known beforehand.
+def _hashed(names: pa.Array) -> np.ndarray:
+    """A number per word that depends on its bytes alone."""
+    names = names.cast(pa.large_binary())
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
+    sizes = np.diff(ends)
+    data = np.frombuffer(names.buffers()[2], np.uint8)[ends[0]:ends[-1]].astype(np.uint64)
+    starts = ends[:-1] - ends[0]
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.r_[np.uint64(1), np.full(63, 0x100000001B3, np.uint64)])
+        data = (data + np.uint64(1)) * power[(np.arange(len(data)) - np.repeat(starts, sizes)) & 63]
+        out = np.add.reduceat(data, starts) * np.uint64(0x9E3779B97F4A7C15) if len(starts) else data
+    return (out >> np.uint64(33)).astype(np.int64)
+
+
+def _packed(words: pa.Array, columns: list[np.ndarray]) -> bytes:
+    """Words without spaces and columns of as many small numbers each, compressed."""
+    text = " ".join(words.to_pylist()).encode()
+    planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
+    raw = b"".join([np.array([len(text), len(columns)], "<i8").tobytes(), text, *planes])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(packed: bytes) -> tuple[list[str], np.ndarray]:
+    raw = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+    size, columns = np.frombuffer(raw[:16], "<i8").tolist()
+    planes = np.frombuffer(raw[16 + size:], np.uint8).reshape(columns, 4, -1).transpose(0, 2, 1)
+    return raw[16:16 + size].decode().split(), np.ascontiguousarray(planes).view("<u4")[..., 0].astype(np.int64)
+
+
+def asked_grams(hot: list[str], pairs: list[str], common: list[str],
+                places: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Word lists and what they are grouped by to counted grams of one left word, by the place of their context.
+
+    Columns are the words, the fold and any others. The place goes by the left word, or the right one
+    if that is hot, or both words if both are; all grams of a context are at one place. Only those of a
+    hot pair are dealt by their middle word: their candidates are known beforehand. Grams of a place
+    and group leave a batch as one value of numbers: those of `common` words, which aren't spelled out,
+    and of the others, which are once.
     """
     most_words, most_chars = BATCH_WORDS, BATCH_CHARS
 
@@ -233,7 +265,7 @@ def asked_grams(hot: list[str], pairs: list[str]) -> Callable[[Iterator[pa.Recor
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
-        lists, *others = [pa.concat_arrays(c.chunks) for c in table.columns]
+        lists, fold, *others = [pa.concat_arrays(c.chunks) for c in table.columns]
         group = _groups(others, len(lists))
         shown = np.unique(group, return_index=True)[1]
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -244,88 +276,97 @@ def asked_grams(hot: list[str], pairs: list[str]) -> Callable[[Iterator[pa.Recor
         at = np.arange(len(codes))
         at = at[(at > np.repeat(ends - lengths, lengths)) & (at < np.repeat(ends, lengths) - 1)]
         group = np.repeat(group, lengths)[at]
-        # Equal grams of a group are one, with their number.
-        together = _numbers([group, codes[at - 1], codes[at + 1], codes[at]], max(bound, len(shown)))
-        _, first, n = np.unique(together, return_index=True, return_counts=True)
-        group, left, token, right = group[first], *(codes[at[first] + i] for i in (-1, 0, 1))
+        fold = np.repeat(fold.to_numpy().astype(np.int64) + 1, lengths)[at]
         is_hot = pc.is_in(names, pa.array(hot, pa.large_string())).to_numpy(zero_copy_only=False)
-        place = np.where(is_hot[left], np.where(is_hot[right], -1, right), left)
-        both = np.flatnonzero(place < 0)
-        if len(both):
+        word = _hashed(names)
+        left, right, token = codes[at - 1], codes[at + 1], codes[at]
+        columns = ["_at", "_grams", *table.schema.names[2:]]
+        held.clear()
+        del table, lists, coded, codes, at
+        place = np.where(is_hot[left], np.where(is_hot[right], word[left] * 31 + word[right], word[right]), word[left])
+        both = np.flatnonzero(is_hot[left] & is_hot[right])
+        if len(both) and pairs:
             kinds, kind = np.unique(left[both] * bound + right[both], return_inverse=True)
             named = pc.binary_join_element_wise(
                 names.take(pa.array(kinds // bound)), names.take(pa.array(kinds % bound)), pa.scalar(" ", pa.large_string()))
             known = pc.is_in(named, pa.array(pairs, pa.large_string())).to_numpy(zero_copy_only=False)
-            place[both] = np.where(known[kind], token[both], bound + kind)
-            names = pa.concat_arrays([names, named])
-        order = np.lexsort((group, place))
-        group, place, n = group[order], place[order], n[order].astype(np.int32)
+            place[both] = np.where(known[kind], word[token[both]], place[both])
+        place %= places
+        # Common words have their numbers, others get one behind those, in a value each has its own.
+        number = pc.index_in(names, pa.array(common, pa.large_string())).fill_null(-1).to_numpy().astype(np.int64)
+        number = np.where(number < 0, len(common) + np.arange(bound), number)
+        left, right, token = number[left], number[right], number[token]
+        # Equal grams of a group are one, with their number.
+        together = _numbers([place, group, left, right, token, fold], max(len(common) + bound, places, len(shown), int(fold.max()) + 1))
+        first, n = np.unique(together, return_index=True, return_counts=True)[1:]
+        del together
+        place, group, left, right, token, fold = (c[first] for c in (place, group, left, right, token, fold))
         new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (group[1:] != group[:-1])])
-        words = names.take(pa.array(np.stack([c[order] for c in (left, right, token)], axis=1).ravel()))
-        offsets = np.r_[new, len(order)]
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets * 3), words), pa.scalar(" ", pa.large_string()))
-        counts = pa.Array.from_buffers(pa.large_binary(), len(new), [
-            None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(n)])
-        for start in range(0, len(new), 10_000):
-            part = new[start:start + 10_000]
-            doc = pa.array(shown[group[part]])
-            yield pa.record_batch([
-                names.take(pa.array(place[part])).cast(pa.string()), joined.slice(start, 10_000).cast(pa.string()),
-                counts.slice(start, 10_000).cast(pa.binary()), *(c.take(doc) for c in others)],
-                names=["_at", "_grams", "_counts", *table.schema.names[1:]])
+        packed, size = [], 0
+        for row, (a, b) in enumerate(zip(new, np.r_[new[1:], len(first)])):
+            words = np.concatenate([c[a:b] for c in (left, right, token)])
+            rare = np.unique(words[words >= len(common)])
+            spelled = names.take(pa.array(rare - len(common)))
+            words = np.where(words >= len(common), len(common) + np.searchsorted(rare, words), words).reshape(3, -1)
+            # Left words are in the order of their first numbers, so what is kept of them is the step.
+            packed.append(_packed(spelled, [np.diff(words[0], prepend=0), words[1], words[2], n[a:b], fold[a:b]]))
+            size += len(packed[-1])
+            if size >= 1 << 23 or row == len(new) - 1:
+                part = new[row + 1 - len(packed):row + 1]
+                doc = pa.array(shown[group[part]])
+                yield pa.record_batch([pa.array(place[part], pa.int64()), pa.array(packed, pa.binary()),
+                                       *(c.take(doc) for c in others)], names=columns)
+                packed, size = [], 0
     return run
 
 
-def scored_grams(by: list[str], k: int, free: list[list[str]],
-                 near: dict[str, list[list[str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counted grams sorted by `_at` to (…by, at, answers, weight): where words stand among their candidates.
+def scored_grams(by: list[str], k: int, free: list[list[str]], near: dict[str, list[list[str]]],
+                 common: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed grams sorted by `_at` to (…by, at, answers, weight): where words stand among their candidates.
 
     The candidates of a gram are the k best words between its neighbours in the other folds, then
     those behind its left word, then those of no context, each once, k in all. free[f] has the last for
     fold f, near[context][f] those of contexts whose grams are at several places.
     """
-    most_chars = BATCH_CHARS // 2
-
     def run(batches):
-        held, chars, most = [], 0, most_chars
+        held, last = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            chars += batch.nbytes
-            if chars >= most:
-                table = pa.Table.from_batches(held).combine_chunks()
-                names = table.column("_at").combine_chunks()
-                # The last place may go on in the next batch.
-                same = pc.equal(names, names[-1]).to_numpy(zero_copy_only=False)
-                cut = int(np.argmax(same))
-                yield from scored(table.slice(0, cut))
-                rest = table.slice(cut)
-                held, chars = rest.to_batches(), rest.nbytes
-                most = max(most_chars, 2 * chars)
+            at = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else []
+            for a, b in zip(edges, edges[1:]):
+                if held and at[a] != last:
+                    yield from scored(pa.Table.from_batches(held))
+                    held = []
+                last = at[a]
+                held.append(batch.slice(a, b - a))
         if held:
-            yield from scored(pa.Table.from_batches(held).combine_chunks())
+            yield from scored(pa.Table.from_batches(held))
 
     def scored(table):
-        if not table.num_rows:
-            return
         others = [pa.concat_arrays(table.column(c).chunks) for c in by]
         group = _groups(others, table.num_rows)
         shown = np.unique(group, return_index=True)[1]
-        lists = pc.split_pattern(pa.concat_arrays(table.column("_grams").chunks).cast(pa.large_string()), " ")
-        of = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy() // 3)
-        n = np.frombuffer(b"".join(table.column("_counts").to_pylist()), np.int32).astype(np.int64)
-        fold, group = table.column("_fold").to_numpy()[of], group[of]
+        spelled, grams = [], []
+        for packed in table.column("_grams"):
+            words, columns = _unpacked(packed.as_py())
+            columns[0] = np.cumsum(columns[0].astype(np.uint32), dtype=np.uint32)
+            columns[:3] += np.where(columns[:3] >= len(common), len(spelled), 0)
+            spelled += words
+            grams.append(columns)
+        group = np.repeat(group, [g.shape[1] for g in grams])
+        left, right, token, n, fold = np.concatenate(grams, axis=1)
+        fold -= 1
+        del grams, table
         known = [w for c, kinds in near.items() for w in [*c.split(" "), *(w for words in kinds for w in words)]]
-        flat = pa.concat_arrays([lists.flatten(), pa.array([*known, *(w for words in free for w in words)], pa.large_string())])
-        coded = flat.dictionary_encode()
+        known += [w for words in free for w in words]
+        coded = pa.array([*common, *spelled, *known], pa.large_string()).dictionary_encode()
         order = pc.sort_indices(coded.dictionary).to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        bound = len(order)
-        left, right, token = place[coded.indices.to_numpy()[:3 * len(of)]].reshape(-1, 3).T
-        number = dict(zip(flat[3 * len(of):].to_pylist(), place[coded.indices.to_numpy()[3 * len(of):]].tolist()))
-        del lists, flat, coded, table
+        bound, place = len(order), place[coded.indices.to_numpy()]
+        left, right, token = place[left], place[right], place[token]
+        number = dict(zip(known, place[len(common) + len(spelled):].tolist()))
+        del spelled, coded
         pairs, context = np.unique(left * bound + right, return_inverse=True)
         for own, best in enumerate(free):
             mine = np.flatnonzero(fold == own)

@@ -17,6 +17,9 @@ _ENTRIES = "array<struct<token:string,n:bigint>>"
 # Words are hot above so many rows, if they also have more than one part in HOT_WORDS of all.
 HOT_ROWS, HOT_WORDS = 100_000, 1_000
 
+# Grams to be scored go to a place per so many words; so many words are not spelled out on the way.
+PLACE_WORDS, COMMON_WORDS = 1_000_000, 1 << 16
+
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int = S.NUM_RESULTS,
           tie: str = "token", rank: str = "rank") -> DataFrame:
@@ -236,7 +239,8 @@ def _scored_in_place(docs: DataFrame, by: list[str], folds: int, k: int, text: s
     counts = materialize(words.select("_fold", F.array_size("_w").alias("_size"), F.posexplode("_w").alias(
         "_i", "token")).groupBy("token").agg(F.count("*").alias("_n"), *[
             F.count_if(inside & o).alias(f"n{own}") for own, o in enumerate(other)]))
-    least = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) / HOT_WORDS)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(HOT_ROWS, total / HOT_WORDS)
     hot = [r.token for r in counts.filter(F.col("_n") > least).select("token").collect()]
     free = [[r.token for r in counts.filter(F.col(f"n{own}") > 0).orderBy(
         F.desc(f"n{own}"), "token").limit(k).collect()] for own in range(folds)]
@@ -257,13 +261,15 @@ def _scored_in_place(docs: DataFrame, by: list[str], folds: int, k: int, text: s
             for r in top_k(listed.filter(F.col(f"n{own}") > 0), ["key"], f"n{own}", k).orderBy("rank").collect():
                 near[r.key][own].append(r.token)
 
+    common = [r.token for r in counts.orderBy(F.desc("_n"), "token").limit(COMMON_WORDS).collect()]
+    places = max(1, total // PLACE_WORDS)
     ship(docs.sparkSession)
-    kinds = words.select("_fold", *by)
-    moved = words.mapInArrow(asked_grams(hot, pairs), StructType([
-        *StructType.fromDDL("_at string, _grams string, _counts binary").fields, *kinds.schema.fields]))
+    kinds = words.select(*by).schema.fields
+    moved = words.mapInArrow(asked_grams(hot, pairs, common, places), StructType([
+        *StructType.fromDDL("_at bigint, _grams binary").fields, *kinds]))
     return moved.repartition("_at").sortWithinPartitions("_at").mapInArrow(
-        scored_grams(by, k, free, near), StructType([
-            *words.select(*by).schema.fields, *StructType.fromDDL("at bigint, answers int, weight bigint").fields]))
+        scored_grams(by, k, free, near, common), StructType([
+            *kinds, *StructType.fromDDL("at bigint, answers int, weight bigint").fields]))
 
 
 def _held_out_places(asked: DataFrame, model: DataFrame, keep: list[str], k: int,

@@ -360,6 +360,8 @@ def test_held_out_scores_where_contexts_are_counted(spark, monkeypatch, hot_word
     monkeypatch.setattr(grams, "BATCH_WORDS", 200)
     monkeypatch.setattr(grams, "BATCH_CHARS", 2000)
     monkeypatch.setattr(ngram, "spread_join", None)
+    monkeypatch.setattr(ngram, "PLACE_WORDS", 100)
+    monkeypatch.setattr(ngram, "COMMON_WORDS", 7)
     for k in (2, 5):
         got = {r.lang: (r.prompts, r.hits_at_1, r.hits_at_k, r.mrr, r.coverage) for r in ngram.evaluate_held_out(
             docs, ["lang"], folds=3, k=k, fold=F.col("f")).collect()}
@@ -369,21 +371,30 @@ def test_held_out_scores_where_contexts_are_counted(spark, monkeypatch, hot_word
 
 
 def test_grams_to_score_move_once_with_their_number():
-    """All folds of a batch leave as one row per place and group, equal grams as one; a hot pair by the middle word."""
+    """All folds of a batch leave as one value per place and group, equal grams as one; a hot pair by the middle word."""
     import numpy as np
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array([["a", "b", "c", "b", "c", "b", "d"]] * 2 + [["a", "x", "a"], None, ["a"]]),
                              pa.array([0, 0, 1, 1, 0], pa.int32())], names=["_w", "_fold"])
 
-    def moved(hot, pairs):
-        out = [r for b in grams.asked_grams(hot, pairs)(iter([batch])) for r in b.to_pylist()]
-        return {(r["_at"], r["_fold"]): dict(zip(zip(*[iter(r["_grams"].split(" "))] * 3),
-                                                 np.frombuffer(r["_counts"], np.int32).tolist())) for r in out}
-
-    assert moved([], []) == {
-        ("a", 0): {("a", "c", "b"): 2}, ("b", 0): {("b", "b", "c"): 4}, ("c", 0): {("c", "c", "b"): 2, ("c", "d", "b"): 2},
-        ("a", 1): {("a", "a", "x"): 1}}
-    assert moved(["a", "b"], ["a a"]) == {
-        ("c", 0): {("a", "c", "b"): 2, ("c", "c", "b"): 2, ("c", "d", "b"): 2}, ("b b", 0): {("b", "b", "c"): 4},
-        ("x", 1): {("a", "a", "x"): 1}}
+    def moved(hot, pairs, common):
+        out = collections.defaultdict(dict)
+        for b in grams.asked_grams(hot, pairs, common, 1 << 40)(iter([batch])):
+            assert len({tuple(r[c] for c in b.schema.names if c != "_grams") for r in b.to_pylist()}) == b.num_rows
+            for r in b.to_pylist():
+                words, columns = grams._unpacked(r["_grams"])
+                columns[0] = np.cumsum(columns[0].astype(np.uint32), dtype=np.uint32)
+                for *gram, n, fold in columns.T.tolist():
+                    out[r["_at"]][(*((common + words)[w] for w in gram), fold - 1)] = n
+        at = dict(zip("abcx", grams._hashed(pa.array(list("abcx"))).tolist()))
+        names = {**{n: w for w, n in at.items()}, at["b"] * 32: "b b"}
+        return {names[place]: kept for place, kept in out.items()}
+
+    for common in ([], ["b"], ["d", "c", "b", "a", "x"]):
+        assert moved([], [], common) == {
+            "a": {("a", "c", "b", 0): 2, ("a", "a", "x", 1): 1}, "b": {("b", "b", "c", 0): 4},
+            "c": {("c", "c", "b", 0): 2, ("c", "d", "b", 0): 2}}
+        assert moved(["a", "b"], ["a a"], common) == {
+            "c": {("a", "c", "b", 0): 2, ("c", "c", "b", 0): 2, ("c", "d", "b", 0): 2}, "b b": {("b", "b", "c", 0): 4},
+            "x": {("a", "a", "x", 1): 1}}
