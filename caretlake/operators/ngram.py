@@ -267,9 +267,10 @@ def _scored_in_place(docs: DataFrame, by: list[str], folds: int, k: int, text: s
     kinds = words.select(*by).schema.fields
     moved = words.mapInArrow(asked_grams(hot, pairs, common, places), StructType([
         *StructType.fromDDL("_at bigint, _grams binary").fields, *kinds]))
-    return moved.repartition("_at").sortWithinPartitions("_at").mapInArrow(
+    # A written row per place, group and rank, as models are written tables too.
+    return materialize(moved.repartition("_at").sortWithinPartitions("_at").mapInArrow(
         scored_grams(by, k, free, near, common), StructType([
-            *kinds, *StructType.fromDDL("at bigint, answers int, weight bigint").fields]))
+            *kinds, *StructType.fromDDL("at bigint, answers int, weight bigint").fields])))
 
 
 def _held_out_places(asked: DataFrame, model: DataFrame, keep: list[str], k: int,
